@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, secret_scan
 from .packing import pack
 from .shared import table
 
@@ -14,11 +16,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder(5) == 0).alias("held_out"))
+    model = language_id.train(docs.where(~F.col("held_out")))
+    return language_id.identify(docs, model, "doc_id", "held_out")
+
+
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
+    "op3_language_mixture": op3_language_mixture,
+    "op7_markov_secrets": op7_markov_secrets,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
