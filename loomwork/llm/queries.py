@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, secret_scan
+from . import language_id, quality_rules, secret_scan
+from .line_dedup import repeated_chunks
 from .packing import pack
 from .shared import table
+from .substring_dedup import repeated_units
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -21,6 +23,11 @@ def remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_units(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), "first_doc_id", "first_start", "copies")
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder(5) == 0).alias("held_out"))
     model = language_id.train(docs.where(~F.col("held_out")))
@@ -31,14 +38,28 @@ def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules.judge(docs, quality_rules.train(quality_rules.trusted_flag(docs, trusted)))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_chunks(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "n_lines", F.lower(F.hex("digest")).alias("digest"), "first_doc_id", "first_start", "copies")
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_language_mixture": op3_language_mixture,
     "op7_markov_secrets": op7_markov_secrets,
+    "op8_quality_ratio": op8_quality_ratio,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_line_chunks": op10_line_chunks,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
