@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality_rules, secret_scan
+from .decontamination import decontaminate
 from .line_dedup import repeated_chunks
 from .packing import pack
 from .shared import table
+from .sharding import shard
 from .substring_dedup import repeated_units
 
 
@@ -34,6 +36,14 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, "doc_id", "held_out")
 
 
+def op4_winnowed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_md5")
+
+
+def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +66,8 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_language_mixture": op3_language_mixture,
+    "op4_winnowed_windows": op4_winnowed_windows,
+    "op6_minimax_shards": op6_minimax_shards,
     "op7_markov_secrets": op7_markov_secrets,
     "op8_quality_ratio": op8_quality_ratio,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -63,4 +75,27 @@ QUERIES = {
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_winnowed_windows": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bi AS (SELECT item_id, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p, w FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM bi),
+        sizes AS (SELECT DISTINCT n FROM win),
+        t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+        r AS (SELECT doc_id, p, list(x) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS run FROM t),
+        dw AS (SELECT doc_id, n, p, array_to_string(run[1:n], ' ') AS s FROM r, sizes WHERE len(run) >= n),
+        hit AS (SELECT dw.doc_id, dw.n, dw.p, win.item_id FROM dw JOIN win USING (n, s)),
+        covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS ids FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op1_substring_dedup": r"""
+        WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+        p AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS BIGINT) AS start FROM l),
+        n AS (SELECT doc_id, start, start + length(line) AS "end", list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM p),
+        u AS (SELECT doc_id, start, "end", len(words) AS n_words, md5(array_to_string(words, ' ')) AS digest FROM n WHERE len(words) >= 10),
+        r AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start, row_number() OVER w AS k, count(*) OVER (PARTITION BY digest) AS copies FROM u WINDOW w AS (PARTITION BY digest ORDER BY doc_id, start))
+        SELECT doc_id, start, "end", CAST(n_words AS BIGINT) AS n_words, digest, first_doc_id, first_start, CAST(copies AS BIGINT) AS copies FROM r WHERE k > 1""",
+}
