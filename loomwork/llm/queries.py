@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules, secret_scan
+from . import language_id, lm_scoring, quality_rules, secret_scan
 from .decontamination import decontaminate
 from .line_dedup import repeated_chunks
 from .packing import pack
@@ -40,6 +40,10 @@ def op4_winnowed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_md5")
 
 
+def op5_bloom_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), remainder(10) == 0)
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_language_mixture": op3_language_mixture,
     "op4_winnowed_windows": op4_winnowed_windows,
+    "op5_bloom_bigrams": op5_bloom_bigrams,
     "op6_minimax_shards": op6_minimax_shards,
     "op7_markov_secrets": op7_markov_secrets,
     "op8_quality_ratio": op8_quality_ratio,
