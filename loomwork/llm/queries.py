@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, quality_rules, secret_scan
+from . import jaccard_join, language_id, lm_scoring, quality_rules, secret_scan
 from .decontamination import decontaminate
 from .line_dedup import repeated_chunks
 from .packing import pack
@@ -30,6 +30,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), "first_doc_id", "first_start", "copies")
 
 
+def op2_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder(5) == 0).alias("held_out"))
     model = language_id.train(docs.where(~F.col("held_out")))
@@ -69,6 +73,7 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_jaccard_forest": op2_jaccard_forest,
     "op3_language_mixture": op3_language_mixture,
     "op4_winnowed_windows": op4_winnowed_windows,
     "op5_bloom_bigrams": op5_bloom_bigrams,
