@@ -28,7 +28,7 @@ CAPACITY = 2048
 #: Pieces of one length that are ranked together in a task.
 RANKED_TOGETHER = 20_000
 #: Entries of a worker's memory of words.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,20 +42,27 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same vocabulary for stretches that are lower-cased, composed and split already.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Whether a token ends a stretch.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
         self.plain = regex.compile(r"[\n\r\t\x20-\x7E\xA1-\u012F\u0131-\u024F]*+")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def _learn(self, stretches: list[str]) -> None:
-        for i in range(0, len(stretches), 1000):
-            part = stretches[i : i + 1000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))
-            self.stretches.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, at, at[1:], strict=False))
+        parts = [stretches[i : i + 1000] for i in range(0, len(stretches), 1000)]
+        for part, e in zip(parts, self.bare.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+            ids = ids.tobytes()
+            self.stretches.update((w, ids[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED:
@@ -63,10 +70,17 @@ class Encoder:
         if len(self.stretches) > REMEMBERED:
             self.stretches.clear()
         found = [t.lower().split() if "<|" not in t and self.plain.fullmatch(t) else None for t in texts]
-        new = {w: self.split(w) for words in found if words for w in words if w not in self.words}
-        self._learn(list({x for parts in new.values() for x in parts if x not in self.stretches}))
+        new, parts, split = set().union(*filter(None, found)).difference(self.words), [], self.split
+        for w in new:  # most are letters alone, or letters and one other character
+            if w.isalpha():
+                parts.append((w,))
+            elif w[-1] in ".,!|" and w[:-1].isalpha():
+                parts.append((w[:-1], w[-1]))
+            else:
+                parts.append(split(w))
+        self._learn(list(set().union(*parts).difference(self.stretches)))
         get = self.stretches.__getitem__
-        self.words.update((w, b"".join(map(get, parts))) for w, parts in new.items())
+        self.words.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(new, parts, strict=True))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) if words is not None else self.whole(t) for t, words in zip(texts, found, strict=True)]
 
@@ -79,19 +93,24 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         end = end_id.to_bytes(4, "little")
-        for batch in slices(batches):
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        gc.disable()  # the memory of words has no cycles, and is large to search for them
+        try:
+            for batch in slices(batches, 1000):
+                rows = []
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            gc.enable()
 
     return run
 
@@ -155,14 +174,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         plan(histogram, capacity),
         T.StructType([T.StructField(n, T.LongType()) for n in ("p_length", "first_rank", "end_rank", "first_sequence", "first_offset", "per_bin")]),
     )
-    dealt = spark.createDataFrame([(n, 1 + c // ranked_together) for n, c in histogram.items()], "d_length long, deals long")
+    together = max(ranked_together, sum(histogram.values()) // 100_000)  # so that ``before`` stays below 100,000 rows and one a length
+    dealt = spark.createDataFrame([(n, 1 + c // together) for n, c in histogram.items()], "d_length long, deals long")
     # The deal of a piece depends on its row alone: a task that runs again deals alike.
     rows = cut.join(F.broadcast(dealt), F.col("length") == F.col("d_length")).withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece"), "deals"))
     counts = rows.groupBy("length", "deal").agg(F.count("*").alias("n"))
     before = counts.select(F.col("length").alias("b_length"), F.col("deal").alias("b_deal"), (F.sum("n").over(W.partitionBy("length").orderBy("deal")) - F.col("n")).alias("before"))
     ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy("length", "deal").orderBy("doc_id", "piece")))
     placed = (
-        ranked.join(F.broadcast(before), (F.col("length") == F.col("b_length")) & (F.col("deal") == F.col("b_deal")))  # 1 + pieces / ranked_together rows a length at most
+        ranked.join(F.broadcast(before), (F.col("length") == F.col("b_length")) & (F.col("deal") == F.col("b_deal")))
         .withColumn("rank", F.col("before") + F.col("rn") - 1)
         .join(F.broadcast(planned), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
         .withColumn("k", F.col("rank") - F.col("first_rank"))
