@@ -14,8 +14,8 @@ from ..functions.text import count_phrase
 
 WHOLE = -1
 FACE_SEPARATOR = "\n//\n"
-#: Kinds of a type line's words.
-SUPERTYPES = ("Basic", "Elite", "Host", "Legendary", "Ongoing", "Snow", "World")
+#: Words of a type line that are supertypes.
+SUPERTYPES = ("basic", "elite", "host", "legendary", "ongoing", "snow", "world")
 #: Attribute values that say that something is absent.
 ABSENT = ("none", "n/a", "na", "null", "nothing", "no", "")
 
@@ -66,12 +66,14 @@ def repeated_lines(rows: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def parsed_types(type_line: Column) -> Column:
-    """array<struct<kind, value>> of a type line such as ``Legendary Creature — Elf Druid // Land``."""
+    """array<struct<kind, value>> of a type line such as ``Legendary Creature — Elf Druid // Land``, lower-cased, each once."""
+    def words(side: Column) -> Column:
+        return F.filter(F.split(F.trim(F.lower(side)), r"\s+"), lambda w: w != "")
+
     def of(face: Column) -> Column:
-        sides = F.split(face, "[—–]| - ")
-        word = lambda side: F.filter(F.split(F.trim(side), r"\s+"), lambda w: w != "")
-        main = F.transform(word(sides[0]), lambda w: F.struct(F.when(w.isin(*SUPERTYPES), "supertype").otherwise("type").alias("kind"), w.alias("value")))
-        sub = F.transform(word(F.coalesce(F.get(sides, F.lit(1)), F.lit(""))), lambda w: F.struct(F.lit("subtype").alias("kind"), w.alias("value")))
+        sides = F.split(face, "—", 2)
+        main = F.transform(words(sides[0]), lambda w: F.struct(F.when(w.isin(*SUPERTYPES), "supertype").otherwise("type").alias("kind"), w.alias("value")))
+        sub = F.transform(words(F.coalesce(F.get(sides, F.lit(1)), F.lit(""))), lambda w: F.struct(F.lit("subtype").alias("kind"), w.alias("value")))
         return F.concat(main, sub)
 
     return F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(type_line, F.lit("")), "//"), of)))

@@ -386,7 +386,7 @@ def p_at_5(t):
 
 @query(f"""WITH {_BM25} r AS (SELECT item_id, doc_id, rank FROM bmr WHERE rank <= 20), pref AS (SELECT a.item_id, a.doc_id AS a, b.doc_id AS b, a.rank AS ra, b.rank AS rb, CASE WHEN length(x.text) >= length(y.text) THEN a.doc_id ELSE b.doc_id END AS winner
     FROM r a JOIN r b ON a.item_id = b.item_id AND a.doc_id < b.doc_id JOIN documents x ON x.doc_id = a.doc_id JOIN documents y ON y.doc_id = b.doc_id)
-    SELECT sum(CASE WHEN winner = CASE WHEN ra < rb THEN a ELSE b END THEN 1 ELSE 0 END) AS agree, count(*) AS compared, round(agree / compared, 9) AS agreement FROM pref""")
+    SELECT CAST(sum(CASE WHEN winner = CASE WHEN ra < rb THEN a ELSE b END THEN 1 ELSE 0 END) AS BIGINT) AS agree, count(*) AS compared, round(agree / compared, 9) AS agreement FROM pref""")
 def pairwise(t):
     """Agreement of ranks with preferences (here: the longer document) among twenty hits an item."""
     r = _bm25(t).where("rank <= 20").select("query", F.col("doc").alias("id"), "rank")
@@ -452,7 +452,7 @@ def corpus_fingerprint(t):
     return I.fingerprint({"documents": (t("documents"), "doc_id"), "labels": (t("labels"), "doc_id")})
 
 
-@query("""SELECT p_partkey, unnest(list_distinct(string_split(p_type, ' '))) AS value FROM part""")
+@query("""SELECT p_partkey, unnest(list_distinct(string_split(lower(p_type), ' '))) AS value FROM part""")
 def type_words(t):
     """Words of a type line, each once."""
     return t("part").select("p_partkey", F.explode(F.transform(C.parsed_types(F.col("p_type")), lambda x: x["value"])).alias("value"))
