@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import bounded, keyed
-from .shared import WordHashes, mixed, saved, slices, windows
+from .shared import WordHashes, mixed, saved, slices, unused, windows
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -125,7 +125,9 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: Fraction)
 def _compare(threshold: Fraction):
     def task(nodes: list[str], sides: list[int], texts: list[int], sets: list[np.ndarray]) -> list[tuple[str, int, str]]:
         left, right = [i for i, s in enumerate(sides) if s != 2], [i for i, s in enumerate(sides) if s == 2]
-        if right:
+        if 0 not in sides:  # two blocks, of which one may be empty
+            if not left or not right:
+                return []
             m = linked([sets[i] for i in left], [sets[i] for i in right], threshold)
         else:
             right = left
@@ -255,13 +257,14 @@ def _repeated(signed: DataFrame) -> bool:
 def one_of_each(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that another of their class stands for; of repeated rows one stays. Texts without words stay."""
     columns = docs.columns
+    g_id, g_md5 = unused(docs, "g_id", "g_md5")
     found = saved(join(docs, threshold).groupBy("doc_id", "text_md5").agg(F.max("keeper").alias("keeper"), F.first("node").alias("node"), F.count("*").alias("rows")), "kept")
     md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    gone = bounded(found.where("not keeper").select(F.col("doc_id").alias("g_id"), F.col("text_md5").alias("g_md5")))
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("g_id")) & (md5 == F.col("g_md5")), "left_anti")
-    again = found.where("keeper and rows > 1 and node is not null").select(F.col("doc_id").alias("g_id"), F.col("text_md5").alias("g_md5"))
+    gone = bounded(found.where("not keeper").select(F.col("doc_id").alias(g_id), F.col("text_md5").alias(g_md5)))
+    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(g_id)) & (md5 == F.col(g_md5)), "left_anti")
+    again = found.where("keeper and rows > 1 and node is not null").select(F.col("doc_id").alias(g_id), F.col("text_md5").alias(g_md5))
     if again.isEmpty():
         return kept
     again = bounded(again)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("g_id")) & (md5 == F.col("g_md5"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(g_id)) & (md5 == F.col(g_md5))
     return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns))

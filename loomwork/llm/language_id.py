@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import mixed, slices
 
@@ -167,6 +168,8 @@ def proportions(w: np.ndarray, first: np.ndarray) -> np.ndarray:
     value = np.add.reduceat(np.log(np.maximum(alone, 1e-30)).astype(np.float64), first)
     open_ = np.flatnonzero(most - value > 0.5 * np.log(n) + ENTRY_COST)  # no language set explains more than all languages do
     for m in range(2, k + 1):
+        if not len(open_):
+            break
         words = np.repeat(np.isin(np.arange(len(n)), open_), n)
         own = n[open_]
         at = np.concatenate(([0], np.cumsum(own)[:-1]))
@@ -174,8 +177,6 @@ def proportions(w: np.ndarray, first: np.ndarray) -> np.ndarray:
         better = v - value[open_] > 0.5 * np.log(own) + ENTRY_COST
         chosen[open_[better]], value[open_[better]] = pi[better], v[better]
         open_ = open_[better]
-        if not len(open_):
-            break
     return chosen
 
 
@@ -204,10 +205,21 @@ def _predict(model: Model):
     return run
 
 
+def _identified(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` by the names _0, _1, ..., then lang_pred and score."""
+    held = docs.select(F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
+    kinds = {f.name: f for f in held.schema.fields}
+    schema = T.StructType([*(kinds[f"_{i}"] for i in range(len(keep))), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return held.mapInArrow(_predict(model), schema)
+
+
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs``, then lang_pred and score."""
-    held = docs.select(F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
-    kinds = dict(docs.select(*keep).dtypes) if keep else {}
-    schema = ", ".join([*(f"_{i} {kinds[c]}" for i, c in enumerate(keep)), "lang_pred string", "score double"])
-    out = held.mapInArrow(_predict(model), schema)
+    out = _identified(docs, model, keep)
     return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+
+
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows that are ``und``, whatever the names of their columns."""
+    out = _identified(docs, model, tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN)
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))

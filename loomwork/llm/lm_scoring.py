@@ -243,7 +243,7 @@ def score(docs: DataFrame, held_out: Column, segment_bytes: int = SEGMENT_BYTES)
     size = training.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     segments = 1 + 2 * size // segment_bytes
     counted = training.mapInArrow(_count(segments), "segment int, pairs binary, tokens binary")
-    made = saved(counted.repartition(segments, "segment").mapInArrow(_segments, "segment int, bits binary, tokens binary, distinct long, total long"), "lm-segments")
+    made = saved(counted.repartition(4 * segments, "segment").mapInArrow(_segments, "segment int, bits binary, tokens binary, distinct long, total long"), "lm-segments")
     total, distinct = (int(x or 0) for x in made.agg(F.sum("total"), F.sum("distinct")).collect()[0])
     sent = [None] * segments
     for r in made.select("segment", "bits", "tokens").toLocalIterator():  # a partition, so some segments, at a time

@@ -27,8 +27,8 @@ from .shared import saved, slices
 CAPACITY = 2048
 #: Pieces of one length that are ranked together in a task.
 RANKED_TOGETHER = 20_000
-#: Entries of a worker's memory of words.
-REMEMBERED = 1_000_000
+#: Entries of a task's memory of words.
+REMEMBERED = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,7 +38,7 @@ class Encoder:
 
     The tokenizer encodes each stretch that its pre-tokenizer splits off by itself, and no stretch crosses white space. For texts of
     characters whose splitting is plain (below U+0250, without control characters, special tokens or U+0130), words and stretches are
-    found here and each new one is encoded once; other texts go through the tokenizer whole. A test compares both ways.
+    found here and each new word is encoded once; other texts go through the tokenizer whole. A test compares both ways.
     """
 
     def __init__(self, path: str):
@@ -52,35 +52,36 @@ class Encoder:
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         self.words: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
         self.plain = regex.compile(r"[\n\r\t\x20-\x7E\xA1-\u012F\u0131-\u024F]*+")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
-    def _learn(self, stretches: list[str]) -> None:
-        parts = [stretches[i : i + 1000] for i in range(0, len(stretches), 1000)]
-        for part, e in zip(parts, self.bare.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+    def _learn(self, new: set[str]) -> None:
+        # Most words are letters alone, or letters and one other character, which are two stretches.
+        ended = [w for w in new if w[-1] in ".,!|" and w[:-1].isalpha()]
+        odd = [w for w in new.difference(ended) if not w.isalpha()]
+        stems = new.difference(ended, odd)
+        stems.update(w[:-1] for w in ended)
+        stems.update(".,!|")
+        stems = stems.difference(self.words)
+        self._encode([*stems, *odd], [*stems, *(" ".join(self.split(w)) for w in odd)], [1] * len(stems) + [len(self.split(w)) for w in odd])
+        get = self.words.__getitem__
+        self.words.update([(w, get(w[:-1]) + get(w[-1])) for w in ended])
+
+    def _encode(self, words: list[str], apart: list[str], stretches: list[int]) -> None:
+        """``apart``: the words with spaces between their stretches."""
+        cuts = range(0, len(words), 1000)
+        for i, e in zip(cuts, self.bare.encode_batch_fast([" ".join(apart[i : i + 1000]) for i in cuts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            at = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+            ends = np.flatnonzero(self.last[ids])[np.cumsum(stretches[i : i + 1000]) - 1]
+            at = [0, *(4 * ends + 4).tolist()]
             ids = ids.tobytes()
-            self.stretches.update((w, ids[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
+            self.words.update([(w, ids[a:b]) for w, a, b in zip(words[i : i + 1000], at, at[1:], strict=False)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        if len(self.stretches) > REMEMBERED:
-            self.stretches.clear()
         found = [t.lower().split() if "<|" not in t and self.plain.fullmatch(t) else None for t in texts]
-        new, parts, split = set().union(*filter(None, found)).difference(self.words), [], self.split
-        for w in new:  # most are letters alone, or letters and one other character
-            if w.isalpha():
-                parts.append((w,))
-            elif w[-1] in ".,!|" and w[:-1].isalpha():
-                parts.append((w[:-1], w[-1]))
-            else:
-                parts.append(split(w))
-        self._learn(list(set().union(*parts).difference(self.stretches)))
-        get = self.stretches.__getitem__
-        self.words.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(new, parts, strict=True))
+        self._learn(set().union(*filter(None, found)).difference(self.words))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) if words is not None else self.whole(t) for t, words in zip(texts, found, strict=True)]
 
@@ -111,6 +112,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         finally:
             gc.enable()
+            encoder.words.clear()  # most words are met once; the worker may serve other stages next
 
     return run
 

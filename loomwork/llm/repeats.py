@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import slices, unused
 
 #: A document is known by its id and the digest of its text: repeated rows are one document, a null id is a value like others.
 KEY = ("doc_id", "text_md5")
@@ -59,12 +59,13 @@ def _cut(names: list[str]):
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans (doc_id, text_md5, start, end) cut out of their texts, each with the line end after it. n_chars, where
     there is one, follows the new text. Documents of which nothing but white space is left by the cuts go; others keep their rows."""
-    by_doc = bounded(spans.groupBy(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5")).agg(F.collect_list(F.struct("start", "end")).alias("spans")), BROADCAST_ROWS // 10)
+    s_id, s_md5, found = unused(docs, "s_id", "s_md5", "spans")
+    by_doc = bounded(spans.groupBy(F.col("doc_id").alias(s_id), F.col("text_md5").alias(s_md5)).agg(F.collect_list(F.struct("start", "end")).alias(found)), BROADCAST_ROWS // 10)
     md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     columns = docs.columns
     hidden = [f"_{i}" if c not in ("text", "n_chars") else c for i, c in enumerate(columns)]
-    rows = docs.withColumn("text", F.col("text").cast("string")).join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("s_id")) & (md5 == F.col("s_md5")), "left")
-    rows = rows.select(*(F.col(c).alias(h) for c, h in zip(columns, hidden, strict=True)), "spans")
+    rows = docs.withColumn("text", F.col("text").cast("string")).join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(s_id)) & (md5 == F.col(s_md5)), "left")
+    rows = rows.select(*(F.col(c).alias(h) for c, h in zip(columns, hidden, strict=True)), F.col(found).alias("spans"))
     kinds = {f.name: f for f in rows.schema.fields}
     names = [*hidden, "cut"]
     schema = T.StructType([T.StructField(n, T.LongType() if n == "n_chars" else T.BooleanType() if n == "cut" else kinds[n].dataType) for n in names])
