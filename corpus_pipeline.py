@@ -14,7 +14,7 @@ from loomwork.llm import jaccard_join, language_id, queries, repeats
 from loomwork.llm.decontamination import decontaminate
 from loomwork.llm.line_dedup import repeated_chunks
 from loomwork.llm.packing import pack
-from loomwork.llm.shared import saved, table
+from loomwork.llm.shared import saved, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs)
     if not model.langs:
         return docs
-    found = language_id.identify(docs, model, *docs.columns)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.with_language(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    found = saved(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("g_id"), F.col("text_md5").alias("g_md5")).distinct(), "contaminated")
+    g_id, g_md5 = unused(docs, "g_id", "g_md5")
+    found = saved(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(g_id), F.col("text_md5").alias(g_md5)).distinct(), "contaminated")
     md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    return docs.join(repeats.bounded(found), F.col("doc_id").cast("long").eqNullSafe(F.col("g_id")) & (md5 == F.col("g_md5")), "left_anti")
+    return docs.join(repeats.bounded(found), F.col("doc_id").cast("long").eqNullSafe(F.col(g_id)) & (md5 == F.col(g_md5)), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
