@@ -18,7 +18,7 @@ _FOLDED = {ord(k): v for k, v in ATOMIC_LETTERS.items()} | {ord(c): None for c i
 
 def tokenize(text: Column) -> Column:
     """Runs of word characters of the lower-cased text, Unicode-aware."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def normalize(text: Column) -> Column:

@@ -33,23 +33,30 @@ def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return rows.groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
 
 
-def idf(postings_: DataFrame, n_docs: int) -> DataFrame:
-    """(token, df, idf): Okapi's, negative values replaced by ``EPSILON`` times the mean over the vocabulary."""
-    df = postings_.groupBy("token").agg(F.count("*").alias("df"))
+def idf(df: DataFrame, n_docs: int) -> DataFrame:
+    """(token, df, idf) of ``df`` (token, df): Okapi's, negative values replaced by ``EPSILON`` times the mean over the vocabulary."""
     raw = df.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
 def bm25(docs: DataFrame, id_: str, text: str, queries: DataFrame, query_id: str, query_text: str, allowed: DataFrame | None = None) -> DataFrame:
-    """(query, doc, score) with score > 0. A token that a query has twice counts twice. One action: the corpus totals."""
-    posts = postings(docs, id_, text)
-    n, total = docs.select(tokenize(F.col(text)).alias("t")).agg(F.count("*"), F.sum(F.size("t"))).collect()[0]
+    """(query, doc, score) with score > 0. A token that a query has twice counts twice. Of the corpus, only occurrences of the queries'
+    tokens are shuffled, and counts by token. Two actions: the corpus totals, and the
+    size of the query side."""
+    tokens = docs.select(F.col(id_).alias("doc"), tokenize(F.col(text)).alias("tokens")).select("doc", "tokens", F.size("tokens").alias("dl"))
+    n, total = tokens.agg(F.count("*"), F.sum("dl")).collect()[0]
     n, avgdl = n or 0, (total or 0) / max(1, n or 0)
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     wanted = queries.select(F.col(query_id).alias("query"), F.explode(tokenize(F.col(query_text))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("qtf"))
-    weights = small(wanted.join(idf(posts, n), "token"))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # a row a query and token, so the two tables below are no larger
+    hint = F.broadcast if few else lambda x: x
+    asked = hint(wanted.select("token").distinct())
+    weights = hint(wanted.join(idf(df, n).join(asked, "token", "left_semi"), "token"))
     if allowed is not None:
-        posts = posts.join(small(allowed.select(F.col(allowed.columns[0]).alias("doc")).distinct()), "doc", "left_semi")
+        tokens = tokens.join(small(allowed.select(F.col(allowed.columns[0]).alias("doc")).distinct()), "doc", "left_semi")
+    met = tokens.select("doc", "dl", F.explode("tokens").alias("token")).join(asked, "token", "left_semi")
+    posts = met.groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
     return posts.join(weights, "token").groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")

@@ -38,7 +38,7 @@ def query(sql: str | None = None):
     return add
 
 
-_TOKENS = r"regexp_extract_all(lower(text), '[\pL\pN\pM_]+')"
+_TOKENS = r"regexp_extract_all(lower(text), '[\pL\pN_]+')"
 _BM25 = rf"""
     d AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
     p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM d),
