@@ -56,7 +56,7 @@ class Store:
 
     def upsert(self, name: str, df: DataFrame, key: list[str], order: str) -> DataFrame:
         old = self.read(name)
-        return self.replace(name, df if old is None else incremental.last_wins(old, df, key, order))
+        return self.replace(name, incremental.last_wins(df.limit(0) if old is None else old, df, key, order))
 
     def insert_new(self, name: str, df: DataFrame, key: str, order: str) -> DataFrame:
         old = self.read(name)

@@ -127,7 +127,6 @@ def test_scores(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 9.0), (4, None), (5, 1.0)], "id int, v double")
     assert {r["id"]: r["p"] for r in scoring.midrank(df, "v", "p").collect()} == {1: 0.5, 2: 0.5, 3: 0.875, 4: 0.0, 5: 0.125}
     assert {r["id"]: r["m"] for r in scoring.minmax(df.where("v = 5"), "v", "m").collect()} == {1: 0.0, 2: 0.0}
-    assert {r["id"]: r["band"] for r in scoring.bands(df, "v").collect()} == {1: 4, 2: 4, 3: 5, 4: None, 5: 1} or True
     b = {r["id"]: r["band"] for r in scoring.bands(df, "v").collect()}
     assert b[1] == b[2] and b[4] is None and b[3] == 5 and b[5] == 1
 
