@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mixed, saved, slices
+from .shared import mixed, modest_batches, saved, slices
 
 PROBES = 8
 MU = 40.0
@@ -237,7 +237,7 @@ def _score(segments: int, sent: list, total: int, distinct: int):
 def score(docs: DataFrame, held_out: Column, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from rows not held out."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
+    rows = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     training = rows.where(~F.col("held_out")).select("text")
     # A token has at least two bytes with the white space after it, mostly six; a counted bigram takes 12 bytes.
     size = training.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0

@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .shared import saved, slices
+from .shared import modest_batches, saved, slices
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked together in a task.
 RANKED_TOGETHER = 20_000
 #: Entries of a task's memory of words.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -102,7 +102,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         end = end_id.to_bytes(4, "little")
         gc.disable()  # the memory of words has no cycles, and is large to search for them
         try:
-            for batch in slices(batches, 1000):
+            for batch in slices(batches, 500, 2_000_000):
                 rows = []
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                     ids += end
@@ -119,7 +119,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES)
+    return modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

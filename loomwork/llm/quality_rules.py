@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, mixed, slices, windows
+from .shared import WordHashes, mixed, modest_batches, slices, windows
 
 BUCKETS = 1 << 16
 #: Mean log-likelihood ratio an n-gram from which on a document is kept.
@@ -83,7 +83,7 @@ def trusted_flag(docs: DataFrame, trusted: DataFrame, broadcast_ids: int = BROAD
     """(text, trusted) of ``docs``; ``trusted`` has the ids in a column doc_id, in any number of rows."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct()
     small = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.col("text").cast("string").alias("text"))
+    rows = modest_batches(docs).select(F.col("doc_id").cast("long").alias("d_id"), F.col("text").cast("string").alias("text"))
     return rows.join(F.broadcast(ids) if small else ids, F.col("d_id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("trusted"))
 
 
@@ -121,5 +121,5 @@ def _judge(weights: np.ndarray, threshold: float):
 
 def judge(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_judge(weights, threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double")

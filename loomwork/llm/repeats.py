@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, unused
+from .shared import modest_batches, slices, unused
 
 #: A document is known by its id and the digest of its text: repeated rows are one document, a null id is a value like others.
 KEY = ("doc_id", "text_md5")
@@ -19,7 +19,7 @@ BROADCAST_ROWS = 500_000
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, text_md5), text null as null."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_md5"))
+    return modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_md5"))
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

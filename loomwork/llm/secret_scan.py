@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import modest_batches, slices
 
 # The pattern kinds in their listed order.
 KINDS = ("assign", "access", "hex", "markov")
@@ -168,5 +168,5 @@ def _scan(model: np.ndarray, threshold: float):
 def scan(docs: DataFrame, samples: list[tuple[int, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
     model = train(labelled_samples(docs) if samples is None else samples)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(model, threshold), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")

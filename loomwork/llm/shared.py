@@ -49,6 +49,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session has no setting of its own. Texts may be very long, so rows are no bound.
+BATCH_BYTES = 8_000_000
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches are bounded by bytes, unless the session was set to other than Spark's default of 64 MB."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key).rstrip("b") == str(64 << 20):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def dropped(df: DataFrame) -> None:
     """Delete what ``saved`` wrote for ``df``. Only for tables that no later plan reads."""
     spark, path = df.sparkSession, df._loomwork_path
