@@ -2,20 +2,21 @@
 
 Documents of equal text form a group that is never divided. Groups are ordered by 60 bits of the digest of their text, and the order is cut
 into contiguous shards so that the largest is as small as can be: the smallest capacity is found by binary search, each step of which fills
-shard after shard greedily.
+shard after shard greedily, forwards and backwards. That bounds each cut on either side; within the bounds it goes next to the even share.
 
 The search sees the groups through a histogram over ranges of the order. From it follow a lower and an upper bound of the capacity, and so
 a stretch of the order for each cut; only the ranges there are divided further, until each of them is one group. At most some ten thousand
 rows reach the driver a round, however many groups there are, and the result is that of the search over all groups.
 
-Null text counts as empty text. Repeated rows: each takes a slot. One group larger than the rest: it has a shard of its own, and shards
-without a group stay empty. Empty table: no rows. Only doc_id and text are read, so other columns cannot clash.
+Null text counts as empty text. Repeated rows: each takes a slot. A group larger than an even share is a shard to itself or nearly so,
+and shards without a group stay empty. Empty table: no rows. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,15 +79,42 @@ class Line:
                 low = middle + 1
         return low
 
+    def backwards(self) -> Line:
+        return Line(self.ranges[::-1])
+
+    def _stretched(self, shards: int, low: int, high: int) -> set[Range]:
+        """Ranges of several groups that greedy cuts of a capacity from ``low`` to ``high`` can fall in."""
+        stretches = list(zip(self.cuts(low, shards, False), self.cuts(high, shards, True), strict=True))[: shards - 1]
+        return {r for r, end in zip(self.ranges, self.ends, strict=True) if not r.whole and any(end > a and end - r.size < b for a, b in stretches)}
+
     def open(self, shards: int) -> list[Range]:
-        """Ranges that must be divided before the least capacity is known."""
+        """Ranges that must be divided before the least capacity and the cuts are known."""
         low, high = self.least(shards, True), self.least(shards, False)
-        stretches = list(zip(self.cuts(low, shards, False), self.cuts(high, shards, True), strict=True))[: shards - 1]
-        found = []
-        for r, end in zip(self.ranges, self.ends, strict=True):
-            if not r.whole and any(end > a and end - r.size < b for a, b in stretches):
-                found.append(r)
-        return found
+        found = self._stretched(shards, low, high) | self.backwards()._stretched(shards, low, high)
+        even = [self.total * i / shards for i in range(1, shards)]
+        found |= {r for r, end in zip(self.ranges, self.ends, strict=True) if not r.whole and any(end - r.size < e < end for e in even)}
+        return sorted(found, key=lambda r: r.first)
+
+    def even_cuts(self, capacity: int, shards: int) -> list[int]:
+        """The ends of all shards but the last, each as near to an even share as the capacity allows: not so late that a shard before is
+        over it, not so early that those after cannot hold the rest."""
+        latest, back = self.cuts(capacity, shards, False), self.backwards().cuts(capacity, shards, False)
+        # A group larger than an even share counts as one share, and the others share evenly what is left.
+        large, share = 0, self.total / shards
+        while (now := [r.size for r in self.ranges if r.groups == 1 and r.size > share]) and len(now) != large and len(now) < shards:
+            large, share = len(now), (self.total - sum(now)) / (shards - len(now))
+        counted = list(accumulate(min(r.size, share) if r.groups == 1 else r.size for r in self.ranges))
+        at, out = 0, []
+        for i in range(1, shards):
+            earliest = self.total - back[shards - i - 1]
+            goal = counted[-1] * i / shards
+            k = min(bisect_right(counted, goal), len(counted) - 1)
+            near = (self.ends[k - 1] if k else 0) if goal - (counted[k - 1] if k else 0) <= counted[k] - goal else self.ends[k]
+            reach = bisect_right(self.ends, at + capacity)
+            last = max(earliest, min(latest[i - 1], self.ends[reach - 1] if reach else 0))
+            at = min(max(near, earliest), last)
+            out.append(at)
+        return out
 
 
 def capacity_and_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
@@ -112,7 +140,7 @@ def capacity_and_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         return 0, []
     capacity = line.least(shards, False)
     firsts = []
-    for at in line.cuts(capacity, shards, False)[: shards - 1]:
+    for at in line.even_cuts(capacity, shards):
         i = bisect_right(line.ends, at)
         firsts.append(line.ranges[i].first if i < len(line.ranges) else 1 << BITS)
     return capacity, firsts

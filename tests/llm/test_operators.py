@@ -301,6 +301,10 @@ def test_capacity_of_many_groups(spark, monkeypatch):
         for k, s in zip(keys, sizes, strict=True):
             shards[sum(k >= f for f in firsts)] += s
         assert max(shards.values()) == cap
+        if max(sizes) < sum(sizes) / 8:
+            assert cap - min(shards[i] for i in range(8)) <= 2 * max(sizes)
+        else:
+            assert len(shards) >= 6
 
 
 # --- 7: secrets
