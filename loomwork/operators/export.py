@@ -64,3 +64,34 @@ def weighted(rows: DataFrame, weight: Column) -> DataFrame:
 
 def split(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("split", split_of(squeeze(F.col(text))))
+
+
+def routing_records(queries: DataFrame, id_: str, text: str, params: str) -> DataFrame:
+    """(id, text, literal_weight, interpretive_weight, mechanical_terms) of logged plans: either spelling of a field, without plans that a
+    fallback made and without terms that only echo the request."""
+    def field(*names: str) -> Column:
+        return F.coalesce(*(F.get_json_object(params, f"$.{n}") for n in names))
+
+    terms = F.from_json(F.coalesce(field("mechanical_terms", "plan.mechanical_terms"), F.lit("[]")), "array<string>")
+    own = queries.where(~F.lower(F.coalesce(F.col(params), F.lit(""))).contains("router failed"))
+    return own.select(
+        id_, text, field("literal_weight", "plan.literal_weight").cast("double").alias("literal_weight"), field("interpretive_weight", "plan.interpretive_weight").cast("double").alias("interpretive_weight"),
+        F.filter(terms, lambda x: squeeze(x) != squeeze(F.col(text))).alias("mechanical_terms"),
+    ).where("literal_weight is not null")
+
+
+def own_citations(rows: DataFrame, cited: str, valid: str) -> DataFrame:
+    """``cited`` cut down to what the entity has."""
+    return rows.withColumn(cited, F.array_intersect(cited, valid))
+
+
+def done_ids(queries: DataFrame, params: str, path: str = "$.illustration_id") -> DataFrame:
+    """Ids that earlier runs noted in their parameters."""
+    return queries.select(F.get_json_object(params, path).alias("id")).where("id is not null").distinct()
+
+
+def histogram(rows: DataFrame, column: str, spread: float = 0.6) -> DataFrame:
+    """(value, n, share, dominant): counts of a column, with values flagged that hold more than ``spread``."""
+    n = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("_t"))
+    return n.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("_t")).alias("share"), (F.col("n") / F.col("_t") > spread).alias("dominant"))

@@ -153,3 +153,47 @@ def starts_with_any(text: Column, prefixes: list[str]) -> Column:
     for p in prefixes:
         out = out | F.lower(F.trim(text)).startswith(p.lower())
     return out
+
+
+def clean_slots(slots: list[dict], paths: set[str], notes: list[str]) -> list[dict]:
+    """Slot filters with a known path, a known operator and a value; others go with a note."""
+    out = []
+    for s in slots:
+        path, op, value = str(s.get("path") or "").strip(), str(s.get("op") or "").strip(), str(s.get("value") or "").strip()
+        if path in paths and op in ("equals", "contains", "not_contains", "gte", "lte") and value:
+            out.append({"path": path, "op": op, "value": value})
+        else:
+            notes.append(f"slot filter {path or '?'} {op or '?'} {value or '?'} is not understood; dropped")
+    return out
+
+
+def echo(types: list[str] | None = None, colors: str | None = None, mv: tuple[int | None, int | None] = (None, None), formats: list[str] | None = None) -> str:
+    """The filter as a line to show. Equal bounds read as an equality."""
+    low, high = mv
+    parts = [f"type {' or '.join(types)}"] if types else []
+    if colors:
+        parts.append(f"colours within {colors.upper()}")
+    if low is not None and low == high:
+        parts.append(f"mana value = {low}")
+    elif low is not None or high is not None:
+        parts.append("mana value " + " and ".join(p for p in (f">= {low}" if low is not None else "", f"<= {high}" if high is not None else "") if p))
+    if formats:
+        parts.append(f"legal in {' or '.join(formats)}")
+    return "; ".join(parts)
+
+
+def external_query(types: list[str] | None = None, colors: str | None = None, mv: tuple[int | None, int | None] = (None, None), formats: list[str] | None = None) -> str:
+    """The same in the syntax of the public card search. An impossible range has no query."""
+    low, high = mv
+    if low is not None and high is not None and low > high:
+        return ""
+    parts = ["(" + " or ".join(" ".join(f"t:{w}" for w in t.split()) for t in types) + ")"] if types else []
+    if colors:
+        parts.append(f"id<={colors.lower()}")
+    if low is not None and low == high:
+        parts.append(f"cmc={low}")
+    else:
+        parts += [f"cmc>={low}"] * (low is not None) + [f"cmc<={high}"] * (high is not None)
+    if formats:
+        parts.append("(" + " or ".join(f"f:{f}" for f in formats) + ")")
+    return " ".join(parts)

@@ -147,3 +147,20 @@ def logged(lists: DataFrame, fused: DataFrame, offset: int = LOGGED) -> DataFram
     """Rows of the retrieval log: the best ``LOGGED`` of each method, and the fused list with its ranks moved by ``offset``."""
     own = lists.where(F.col("rank") <= LOGGED).select("query", F.col("entity").alias("id"), "rank", F.col("list").alias("method"))
     return own.union(ranked(fused, POOL, ("query",), "entity").select("query", F.col("entity").alias("id"), (F.col("rank") + offset).alias("rank"), F.lit("rrf").alias("method")))
+
+
+def built(props: DataFrame, embeddings: DataFrame, key: str, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(index rows with unit vectors, counters): props joined with their vectors. Vectors of another length are left out and counted, and
+    so are props without one."""
+    joined = props.join(embeddings.select(F.col(key).alias("_k"), F.col(vector).alias("_v")), F.col(key) == F.col("_k"), "left")
+    kept = joined.where(F.size("_v") == dim).withColumn("vector", normalized(F.col("_v"))).drop("_k", "_v")
+    flags = joined.agg(
+        F.sum((F.size("_v") == dim).cast("long")).alias("rows"), F.sum(F.col("_v").isNull().cast("long")).alias("missing"), F.sum((F.col("_v").isNotNull() & (F.size("_v") != dim)).cast("long")).alias("wrong_length")
+    )
+    return kept, flags
+
+
+def nested(parents: DataFrame, children: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """``parents`` with ``children``, an array of structs in order; empty where there is none."""
+    own = children.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("children"))
+    return parents.join(own, F.col(key) == F.col("_k"), "left").drop("_k").withColumn("children", F.coalesce("children", F.array().cast(own.schema["children"].dataType)))

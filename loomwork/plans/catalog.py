@@ -475,3 +475,69 @@ def set_intersect(t):
 def weighted_rows(t):
     """Rows repeated by weight."""
     return T.weighted(t("labels"), F.when(F.col("quality") == 1, 3).otherwise(1)).groupBy("doc_id").agg(F.count("*").alias("copies"))
+
+
+@query("SELECT count(*) AS rows, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS missing, 0 AS wrong_length FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+def index_counts(t):
+    """What joined, what is missing, what has another length."""
+    e = t("embeddings").withColumnRenamed("vec_id", "doc_id")
+    return R.built(t("documents"), e, "doc_id", "embedding", 64)[1]
+
+
+@query("""SELECT n_nationkey, coalesce(array_to_string(list(c_name ORDER BY c_custkey), ','), '') AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_nationkey""")
+def nested_evidence(t):
+    """A record with its ordered children."""
+    c = t("customer").where("c_acctbal > 9000").withColumnRenamed("c_nationkey", "n_nationkey")
+    rows = R.nested(t("nation"), c, "n_nationkey", "c_custkey", ["c_name"])
+    return rows.select("n_nationkey", F.array_join(F.transform("children", lambda x: x["c_name"]), ",").alias("customers"))
+
+
+@query("SELECT lang AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share, count(*) / sum(count(*)) OVER () > 0.6 AS dominant FROM documents GROUP BY lang")
+def register_histogram(t):
+    """Spread of a column."""
+    return T.histogram(t("documents"), "lang").withColumn("share", F.round("share", 9))
+
+
+@query("""WITH j AS (SELECT doc_id, unnest(range(doc_id, doc_id + 3)) AS cite FROM labels), k AS (SELECT doc_id AS cite, doc_id - doc_id % 2 AS owner FROM documents)
+    SELECT count(*) AS cited, count(*) FILTER (owner IS NULL) AS invented, count(*) FILTER (owner <> doc_id) AS misattributed FROM j LEFT JOIN k USING (cite)""")
+def citation_stats(t):
+    """Cited, invented and misattributed statements."""
+    judged = t("labels").select(F.col("doc_id").alias("id"), F.sequence("doc_id", F.col("doc_id") + 2).alias("cited"))
+    known = t("documents").select(F.col("doc_id").alias("cite"), (F.col("doc_id") - F.col("doc_id") % 2).alias("id"))
+    return E.citations(judged, known)
+
+
+@query("SELECT s_suppkey, map_keys(m) AS formats FROM (SELECT s_suppkey, map_from_entries(list((n_name, r_name) ORDER BY n_name)) AS m FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY s_suppkey)")
+def entry_maps(t):
+    """Rows to a map for each entity."""
+    j = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    maps = j.groupBy("s_suppkey").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("n_name", "r_name")))).alias("m"))
+    return maps.select("s_suppkey", F.map_keys("m").alias("formats"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
+def to_rechunk(t):
+    """Never chunked, or changed."""
+    d = t("documents").select("doc_id")
+    return I.to_rechunk(d, t("labels"), d.where("doc_id % 10 = 0"), "doc_id")
+
+
+@query("SELECT doc_id, quality, 'old' AS batch FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, quality, 'new' FROM labels WHERE doc_id % 2 = 1")
+def insert_or_ignore(t):
+    """The first writer wins."""
+    x = t("labels").select("doc_id", "quality")
+    return I.first_wins(x.where("doc_id % 2 = 0").withColumn("batch", F.lit("old")), x.withColumn("batch", F.lit("new")), "doc_id", "quality")
+
+
+@query("SELECT o_orderkey, o_orderkey IN (SELECT max(o_orderkey) FROM orders GROUP BY o_custkey) AS is_default FROM orders")
+def default_flags(t):
+    """The flag of the chosen rows, made anew."""
+    o = t("orders").select("o_custkey", "o_orderkey", F.lit(True).alias("is_default"))
+    return I.with_default(o, o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")), "o_orderkey").select("o_orderkey", "is_default")
+
+
+@query("""SELECT query_id, id, min(rank) AS rank FROM (SELECT user_id AS query_id, event_type AS id, event_id AS rank, event_type = 'purchase' AS f, max(event_type = 'purchase') OVER (PARTITION BY user_id) AS has FROM events) WHERE NOT has OR f GROUP BY ALL""")
+def pool_ranks(t):
+    """Least ranks over fused rows, else over all."""
+    r = t("events").select(F.col("user_id").alias("query"), F.col("event_type").alias("id"), F.col("event_id").alias("rank"), F.when(F.col("event_type") == "purchase", "rrf").otherwise("bm25").alias("method"))
+    return E.ranks(r).select(F.col("query").alias("query_id"), "id", "rank")

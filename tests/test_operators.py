@@ -306,3 +306,33 @@ def test_scan_is_pruned(spark):
 
     plan = QUERIES["filter_hard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(p_size,5)" in plan and "p_name" not in plan
+
+
+def test_small_parts(spark):
+    from loomwork.plans.models import StandIn, expansions, routed, synthesised, verified, weights
+
+    assert weights({"literal_weight": 0, "interpretive_weight": 0}) == {"literal": 0.5, "interpretive": 0.5}
+    w = weights({"literal_weight": 1.0, "interpretive_weight": 0.0})
+    assert sum(w.values()) == pytest.approx(1) and w["interpretive"] == pytest.approx(0.05 / 1.05)
+
+    class Broken(StandIn):
+        def route(self, text):
+            raise ValueError("no")
+
+        def judge(self, text, evidence):
+            raise OSError("down")
+
+    assert routed(Broken(), "x")["literal_weight"] == 0.5
+    assert expansions(StandIn(), "a cat", {"literal": 0.5, "interpretive": 0.5}) == [("literal", "a cat"), ("interpretive", "a cat")]
+    rows = spark.createDataFrame([(0, i, i, "a cat", "a cat sat" if i % 2 else "dog") for i in range(10)], "q int, id int, pos int, text string, ev string")
+    got = {r["id"]: r["holds"] for r in verified(rows, "q", "id", "pos", "text", "ev", StandIn()).collect()}
+    assert got == {i: bool(i % 2) for i in range(8)}
+    assert all(r["holds"] is None for r in verified(rows, "q", "id", "pos", "text", "ev", Broken()).collect())
+    assert synthesised(rows.limit(1), "id", "ev").count() >= 2
+    notes = []
+    assert filters.clean_slots([{"path": "species", "op": "contains", "value": "elf"}, {"path": "x", "op": "is", "value": ""}], {"species"}, notes) == [{"path": "species", "op": "contains", "value": "elf"}] and len(notes) == 1
+    assert filters.echo(["elf"], "wu", (3, 3), ["modern"]) == "type elf; colours within WU; mana value = 3; legal in modern"
+    assert filters.external_query(None, None, (5, 3)) == "" and filters.external_query(["elf druid"], "wu", (1, 4)) == "(t:elf t:druid) id<=wu cmc>=1 cmc<=4"
+    logs = spark.createDataFrame([(1, "a cat", '{"literal_weight": 0.7, "interpretive_weight": 0.3, "mechanical_terms": ["A  cat", "draw"], "illustration_id": "i1"}'), (2, "b", '{"literal_weight": 0.5, "notes": ["router failed"]}')], "id int, text string, params string")
+    assert [(r["id"], r["literal_weight"], r["mechanical_terms"]) for r in export.routing_records(logs, "id", "text", "params").collect()] == [(1, 0.7, ["draw"])]
+    assert [r["id"] for r in export.done_ids(logs, "params").collect()] == ["i1"]
