@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import bounded, keyed
-from .shared import WordHashes, mixed, saved, slices, unused, windows
+from .shared import WordHashes, mixed, saved, slices, tidily, unused, windows
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -207,7 +207,7 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, text_md5, node, class_id (least doc_id of the class), n_links (other texts that it is linked to),
     n_copies (further documents of the same text), keeper (whether this document stands for its class)."""
     rows = keyed(docs)
-    signed = saved(rows.mapInArrow(_sign(depth(float(threshold))), _SIGNED), "signatures")
+    signed = saved(rows.mapInArrow(tidily(_sign(depth(float(threshold)))), _SIGNED), "signatures")
     with_grams = signed.where("node is not null")
     texts = with_grams.groupBy("node", "text_md5").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"), F.max("n").alias("n"))
     nodes = saved(texts.groupBy("node").agg(F.min(F.struct("doc_id", "text_md5")).alias("rep"), F.count("*").alias("n_texts"), F.max("n").alias("n")), "nodes")
@@ -226,10 +226,10 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     sized = saved(sized.join(totals, F.col("comp") == F.col("t_comp")).drop("t_comp"), "sized")
     wanted = bounded(sized.select("node", "r_id", "r_md5"), 200_000)
     texts_of = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_md5") == F.col("r_md5"))).select("node", "text")
-    sets = texts_of.mapInArrow(_grams, "node string, grams binary").withColumnRenamed("node", "s_node")
+    sets = texts_of.mapInArrow(tidily(_grams), "node string, grams binary").withColumnRenamed("node", "s_node")
     sets = saved(sets.dropDuplicates(["s_node"]) if _repeated(signed) else sets, "grams")
     tasks = _dealt(sized).join(sets, F.col("node") == F.col("s_node")).select("task", "node", "side", "n_texts", "grams")
-    compared = saved(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(threshold), "node string, links long, root string"), "links")
+    compared = saved(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(tidily(_compare(threshold)), "node string, links long, root string"), "links")
     links = compared.groupBy(F.col("node").alias("l_node")).agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("root").alias("a"), F.col("node").alias("b")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mixed, modest_batches, slices
+from .shared import mixed, modest_batches, slices, tidily
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -184,7 +184,7 @@ def train(labelled: DataFrame) -> Model:
     """From all rows of ``labelled`` (text, lang) with neither null. Counts are summed in each task before the shuffle; what reaches the
     driver has at most ``BUCKETS`` rows a language."""
     rows = modest_batches(labelled).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(tidily(_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     logs = np.empty((BUCKETS, len(langs)), np.float32)
     for k, lang in enumerate(langs):
@@ -210,7 +210,7 @@ def _identified(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFra
     held = modest_batches(docs).select(F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
     kinds = {f.name: f for f in held.schema.fields}
     schema = T.StructType([*(kinds[f"_{i}"] for i in range(len(keep))), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return held.mapInArrow(_predict(model), schema)
+    return held.mapInArrow(tidily(_predict(model)), schema)
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import bounded, keyed, later
-from .shared import mixed, saved, slices
+from .shared import mixed, saved, slices, tidily
 
 WINDOW = 2
 DIVISOR = 3
@@ -76,10 +76,10 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
     """One row per removed chunk: doc_id, text_md5, start, end (code points, end exclusive), n_lines, digest, first_doc_id, first_start,
     copies. ``repeats.without`` cuts them out of the texts."""
     rows = keyed(docs)
-    found = saved(rows.mapInArrow(_digests(window, divisor, min_lines), _CHUNKS), "chunks").distinct()
+    found = saved(rows.mapInArrow(tidily(_digests(window, divisor, min_lines)), _CHUNKS), "chunks").distinct()
     many = bounded(found.groupBy(F.col("digest").alias("m_digest")).count().where("count > 1").select("m_digest"))
     again = found.join(many, F.col("digest") == F.col("m_digest"), "left_semi")
     by_doc = again.groupBy(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5")).agg(F.collect_list(F.struct("start", "end", "n_lines", "digest")).alias("found"))
     own = rows.join(bounded(by_doc, 50_000), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_md5") == F.col("s_md5"))).select("doc_id", "text", "text_md5", "found")
-    fetched = saved(own.mapInArrow(_bytes, _BYTES), "chunk-bytes").distinct()
+    fetched = saved(own.mapInArrow(tidily(_bytes), _BYTES), "chunk-bytes").distinct()
     return later(fetched, ("digest", "chunk")).drop("chunk")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mixed, modest_batches, saved, slices
+from .shared import mixed, modest_batches, saved, slices, tidily
 
 PROBES = 8
 MU = 40.0
@@ -242,11 +242,11 @@ def score(docs: DataFrame, held_out: Column, segment_bytes: int = SEGMENT_BYTES)
     # A token has at least two bytes with the white space after it, mostly six; a counted bigram takes 12 bytes.
     size = training.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     segments = 1 + 2 * size // segment_bytes
-    counted = training.mapInArrow(_count(segments), "segment int, pairs binary, tokens binary")
-    made = saved(counted.repartition(4 * segments, "segment").mapInArrow(_segments, "segment int, bits binary, tokens binary, distinct long, total long"), "lm-segments")
+    counted = training.mapInArrow(tidily(_count(segments)), "segment int, pairs binary, tokens binary")
+    made = saved(counted.repartition(4 * segments, "segment").mapInArrow(tidily(_segments), "segment int, bits binary, tokens binary, distinct long, total long"), "lm-segments")
     total, distinct = (int(x or 0) for x in made.agg(F.sum("total"), F.sum("distinct")).collect()[0])
     sent = [None] * segments
     for r in made.select("segment", "bits", "tokens").toLocalIterator():  # a partition, so some segments, at a time
         sent[r["segment"]] = spark.sparkContext.broadcast((bytes(r["bits"]), bytes(r["tokens"])))
         sent[r["segment"]].__dict__.pop("_value", None)  # workers read the sent file; the driver needs no copy
-    return rows.mapInArrow(_score(segments, sent, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(tidily(_score(segments, sent, total, distinct)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

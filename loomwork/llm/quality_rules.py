@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, mixed, modest_batches, slices, windows
+from .shared import WordHashes, mixed, modest_batches, slices, tidily, windows
 
 BUCKETS = 1 << 16
 #: Mean log-likelihood ratio an n-gram from which on a document is kept.
@@ -89,7 +89,7 @@ def trusted_flag(docs: DataFrame, trusted: DataFrame, broadcast_ids: int = BROAD
 
 def train(flagged: DataFrame) -> np.ndarray:
     """log P(trusted) - log P(raw) by bucket, from all rows of (text, trusted). At most ``BUCKETS`` rows reach the driver."""
-    n = flagged.mapInArrow(_counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    n = flagged.mapInArrow(tidily(_counts), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
     at = n["bucket"].to_numpy(np.int64)
     raw[at] += n["raw"].to_numpy(np.float64)
@@ -122,4 +122,4 @@ def _judge(weights: np.ndarray, threshold: float):
 def judge(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio."""
     rows = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_judge(weights, threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double")
+    return rows.mapInArrow(tidily(_judge(weights, threshold)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import modest_batches, slices, unused
+from .shared import modest_batches, slices, tidily, unused
 
 #: A document is known by its id and the digest of its text: repeated rows are one document, a null id is a value like others.
 KEY = ("doc_id", "text_md5")
@@ -70,7 +70,7 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     names = [*hidden, "cut"]
     schema = T.StructType([T.StructField(n, T.LongType() if n == "n_chars" else T.BooleanType() if n == "cut" else kinds[n].dataType) for n in names])
     plain = rows.where("spans is null").drop("spans")
-    changed = rows.where("spans is not null").mapInArrow(_cut(names), schema).where(~(F.col("cut") & (F.trim(F.translate("text", "\n\r\t\x0b\x0c", "     ")) == ""))).drop("cut")
+    changed = rows.where("spans is not null").mapInArrow(tidily(_cut(names)), schema).where(~(F.col("cut") & (F.trim(F.translate("text", "\n\r\t\x0b\x0c", "     ")) == ""))).drop("cut")
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.col("n_chars").cast(docs.schema["n_chars"].dataType))
     return plain.union(changed).toDF(*columns)

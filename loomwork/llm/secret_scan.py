@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import modest_batches, slices
+from .shared import modest_batches, slices, tidily
 
 # The pattern kinds in their listed order.
 KINDS = ("assign", "access", "hex", "markov")
@@ -143,7 +143,7 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_wor
     """At most ``sample_docs * sample_words`` ordinary words of the corpus, and the seeded samples."""
     ids = [r[0] for r in docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
     sample = docs.where(F.col("doc_id").isin(ids)).select(F.col("text").cast("string").alias("text")) if ids else None
-    words = sorted(r[0] for r in sample.mapInArrow(_words(sample_words), "word string").distinct().collect()) if ids else []
+    words = sorted(r[0] for r in sample.mapInArrow(tidily(_words(sample_words)), "word string").distinct().collect()) if ids else []
     return seeded_samples() + [(0, w) for w in words]
 
 
@@ -169,4 +169,4 @@ def scan(docs: DataFrame, samples: list[tuple[int, str]] | None = None, threshol
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
     model = train(labelled_samples(docs) if samples is None else samples)
     rows = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan(model, threshold), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return rows.mapInArrow(tidily(_scan(model, threshold)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import keyed, later
-from .shared import saved, slices
+from .shared import saved, slices, tidily
 
 MIN_WORDS = 10
 
@@ -45,5 +45,5 @@ def _units(unit: str, min_words: int):
 def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per removed unit: doc_id, text_md5, start, end (code points, end exclusive), n_words, digest, first_doc_id, first_start,
     copies. ``repeats.without`` cuts them out of the texts."""
-    units = saved(keyed(docs).mapInArrow(_units(unit, min_words), _UNITS), "units")
+    units = saved(keyed(docs).mapInArrow(tidily(_units(unit, min_words)), _UNITS), "units")
     return later(units.distinct(), ("digest",))
