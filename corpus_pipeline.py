@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm import jaccard_join, language_id, queries, repeats
 from loomwork.llm.decontamination import decontaminate
-from loomwork.llm.line_dedup import repeated_chunks
+from loomwork.llm.line_dedup import repeated_passages
 from loomwork.llm.packing import pack
 from loomwork.llm.shared import saved, table, unused
 
@@ -27,8 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks that an earlier document, or place, has; documents of which nothing is left go."""
-    return repeats.without(docs, saved(repeated_chunks(docs), "removed-chunks"))
+    """Texts without the passages of two or more lines, and the long lines, that an earlier document, or place, has; documents of which nothing is left go.
+    Near copies go whole before: cut, they would leave stubs that no longer resemble what they were copied from."""
+    rows = saved(jaccard_join.one_of_each(docs), "whole-copies-gone")
+    return repeats.without(rows, saved(repeated_passages(rows), "removed-passages"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,15 @@
-"""Removal of repeated multi-line chunks (op 10).
+"""Removal of repeated multi-line passages (op 10).
 
-Lines are hashed, and a rolling hash over the last ``window`` line hashes ends a chunk wherever it is 0 modulo ``divisor``: boundaries
-depend on near lines only, so that insertions shift them no further than the next boundary. Chunks of ``min_lines`` lines or more whose
-128-bit digest occurs elsewhere are fetched and grouped by their bytes, which is the comparison that decides. The earliest occurrence
-stays (smallest doc_id, null first, then start), the rest are removed.
+``repeated_passages`` finds every stretch of two or more adjacent lines, and every long line, that an earlier place has. A hash rolls over
+the text's lines: each two adjacent lines that are not blank (with blank ones between) are a window, and so is each line of ``LONG_WORDS``
+words or more. A passage of k lines repeats just where its k - 1 windows do, so that no passage is missed for where a boundary falls.
+
+Besides, lines are cut into chunks: a rolling hash over the last ``window`` line hashes ends one wherever it is 0 modulo ``divisor``, so
+that insertions shift boundaries no further than the next one. ``repeated_chunks`` takes them alone. A repeated chunk that begins and ends
+with lines that are not blank is the union of repeated windows; the others are looked up beside the windows.
+
+What has ``min_lines`` lines or more and a 128-bit digest that occurs elsewhere is fetched and grouped by its bytes, which is the comparison
+that decides. The earliest occurrence stays (smallest doc_id, null first, then start), the rest are removed; spans of one text may overlap.
 
 Null and empty texts have no chunks; chunks of white space are left. Repeated rows (same id and text) are one document. Empty table: no
 rows. Only doc_id and text are read, so other columns cannot clash.
@@ -12,7 +18,7 @@ rows. Only doc_id and text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +32,8 @@ from .shared import mixed, saved, slices, tidily
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
+#: A line of so many words is a passage of its own.
+LONG_WORDS = 50
 
 _CHUNKS = "doc_id long, text_md5 string, start long, end long, n_lines long, digest binary"
 _BYTES = "doc_id long, text_md5 string, start long, end long, n_lines long, digest binary, chunk binary"
@@ -52,12 +60,29 @@ def chunks(text: str, window: int, divisor: int, min_lines: int) -> Iterator[tup
         at, first = at + size + 1, last + 1
 
 
-def _digests(window: int, divisor: int, min_lines: int):
+def passages(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, lines) of a text's windows of two lines that are not blank, its long lines, and its chunks with a blank line first or last."""
+    lines = text.split("\n")
+    at, before = 0, None  # start and number of the last line that is not blank
+    for k, line in enumerate(lines):
+        if line.strip():
+            if before:
+                yield before[0], at + len(line), k - before[1] + 1
+            if len(line) >= 2 * LONG_WORDS - 1 and len(line.split()) >= LONG_WORDS:
+                yield at, at + len(line), 1
+            before = at, k
+        at += len(line) + 1
+    for a, b, n in chunks(text, WINDOW, DIVISOR, MIN_LINES) if any(not x.strip() for x in lines) else ():
+        if not (text[a:b].split("\n", 1)[0].strip() and text[a:b].rsplit("\n", 1)[-1].strip()):
+            yield a, b, n
+
+
+def _digests(cut: Callable[[str], Iterator[tuple[int, int, int]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for doc_id, text, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_md5")), strict=True):
-                rows += [(doc_id, key, a, b, n, hashlib.md5(text[a:b].encode()).digest()) for a, b, n in chunks(text or "", window, divisor, min_lines)]
+                rows += [(doc_id, key, a, b, n, hashlib.md5(text[a:b].encode()).digest()) for a, b, n in cut(text or "")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "n_lines", "digest"])
 
@@ -72,14 +97,23 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "n_lines", "digest", "chunk"])
 
 
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """One row per removed chunk: doc_id, text_md5, start, end (code points, end exclusive), n_lines, digest, first_doc_id, first_start,
-    copies. ``repeats.without`` cuts them out of the texts."""
+def _repeated(docs: DataFrame, cut: Callable[[str], Iterator[tuple[int, int, int]]]) -> DataFrame:
     rows = keyed(docs)
-    found = saved(rows.mapInArrow(tidily(_digests(window, divisor, min_lines)), _CHUNKS), "chunks").distinct()
+    found = saved(rows.mapInArrow(tidily(_digests(cut)), _CHUNKS), "chunks").distinct()
     many = bounded(found.groupBy(F.col("digest").alias("m_digest")).count().where("count > 1").select("m_digest"))
     again = found.join(many, F.col("digest") == F.col("m_digest"), "left_semi")
     by_doc = again.groupBy(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5")).agg(F.collect_list(F.struct("start", "end", "n_lines", "digest")).alias("found"))
     own = rows.join(bounded(by_doc, 50_000), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_md5") == F.col("s_md5"))).select("doc_id", "text", "text_md5", "found")
     fetched = saved(own.mapInArrow(tidily(_bytes), _BYTES), "chunk-bytes").distinct()
     return later(fetched, ("digest", "chunk")).drop("chunk")
+
+
+def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+    """One row per removed chunk: doc_id, text_md5, start, end (code points, end exclusive), n_lines, digest, first_doc_id, first_start,
+    copies. ``repeats.without`` cuts them out of the texts."""
+    return _repeated(docs, lambda text: chunks(text, window, divisor, min_lines))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """As ``repeated_chunks``, of all ``passages``: one row per window, long line or chunk that an earlier place has. Their union goes."""
+    return _repeated(docs, passages)

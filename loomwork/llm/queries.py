@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard_join, language_id, lm_scoring, quality_rules, secret_scan
 from .decontamination import decontaminate
-from .line_dedup import repeated_chunks
+from .line_dedup import repeated_passages
 from .packing import pack
 from .shared import table
 from .sharding import shard
@@ -67,7 +67,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_chunks(table(spark, sf_dir, "documents"))
+    found = repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", "n_lines", F.lower(F.hex("digest")).alias("digest"), "first_doc_id", "first_start", "copies")
 
 

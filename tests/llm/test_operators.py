@@ -72,6 +72,38 @@ def test_line_chunks(spark, docs, rows, none):
     assert all(r["n_chars"] == len(r["text"]) for r in left.where("text is not null").collect())
 
 
+def test_every_repeated_passage_is_found(spark, docs, rows, none):
+    seen, want = set(), collections.defaultdict(set)
+    for doc, text in distinct(rows):
+        lines = (text or "").split("\n")
+        for k, line in enumerate(lines):
+            later = [j for j in range(k + 1, len(lines)) if lines[j].strip()][:1]
+            own = [tuple(range(k, j + 1)) for j in later] if line.strip() else []
+            for at in own + [(k,)] * (len(line.split()) >= 50):
+                key = tuple(lines[i] for i in at)
+                want[doc, text] |= set(at) if key in seen else set()
+                seen.add(key)
+    got = collections.defaultdict(set)
+    text = {(d, hashlib.md5((t or "").encode()).hexdigest()): t for d, t, *_ in rows}
+    for r in line_dedup.repeated_passages(docs).collect():
+        t = text[r["doc_id"], r["text_md5"]]
+        first = t[: r["start"]].count("\n")
+        got[r["doc_id"], t] |= set(range(first, first + r["n_lines"]))
+        assert t[r["start"] : r["end"]].count("\n") == r["n_lines"] - 1 and hashlib.md5(t[r["start"] : r["end"]].encode()).digest() == r["digest"]
+    assert sum(map(len, want.values())) > 20 and all(v <= got[k] for k, v in want.items())
+    assert all(not t.split("\n")[i].strip() for (d, t), v in got.items() for i in v - want[d, t])
+    assert line_dedup.repeated_passages(none).isEmpty()
+
+
+def test_repeated_passage_of_two_lines_and_long_line_amid_others(spark):
+    rng = __import__("random").Random(4)
+    two, long = [prose(rng, 9), prose(rng, 9)], prose(rng, 60)
+    texts = ["\n".join([prose(rng, 9), *two, prose(rng, 9), long, prose(rng, 9)]) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in repeats.without(df, line_dedup.repeated_passages(df)).collect()}
+    assert left[0] == texts[0] and all(left[i].split("\n") == [texts[i].split("\n")[k] for k in (0, 3, 5)] for i in range(1, 20))
+
+
 def test_chunk_boundaries_resist_shifts():
     lines = [f"line {i}" for i in range(60)]
     ends = {lines[i] for i in line_dedup.boundaries(lines)}
