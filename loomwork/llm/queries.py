@@ -59,7 +59,7 @@ def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return quality_rules.judge(docs, quality_rules.train(quality_rules.trusted_flag(docs, trusted)))
+    return quality_rules.verdicts(docs, trusted)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -406,6 +406,21 @@ def test_quality_tells_labels_apart(spark):
     assert share[1] > 0.98 and share[0] < 0.2
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_quality_keeps_clean_documents_at_each_size(spark, sf):
+    got = queries.op8_quality_ratio(spark, f"/root/testdata/{sf}").where("not base_failed").select("doc_id", "kept")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select(F.col("doc_id").alias("d"), "quality")
+    kind = F.when(F.col("quality").isNull(), "none").when(F.col("quality") == 0, "bad").when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, "held out").otherwise("trained")
+    share = {r["kind"]: r["kept"] for r in got.join(labels, F.col("doc_id") == F.col("d"), "left").groupBy(kind.alias("kind")).agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    print(sf, share)
+    assert share["held out"] >= 0.98 and share["trained"] >= 0.98 and share["none"] >= 0.85 and share["bad"] < 0.2
+
+
+def test_quality_without_trusted_documents(spark, docs):
+    none = spark.createDataFrame([], "doc_id long")
+    assert all(r["kept"] != r["base_failed"] for r in quality_rules.verdicts(docs, none).collect())
+
+
 # --- 9: packing
 
 
