@@ -1,8 +1,10 @@
 """Secrets in whole texts (op 7): three pattern kinds, and runs of characters that a pair of Markov models takes for random strings.
 
 Two second-order character Markov models, one of random strings (keys, digests, tokens) and one of ordinary identifiers and words, are
-trained from labelled samples. A run of 20 or more characters that no pattern span overlaps is a secret of the kind ``markov`` when its
-log-likelihood ratio, a character, exceeds a threshold.
+trained from labelled samples. Of each run of 20 or more characters, what no pattern span covers is scored in pieces of 20 or more. A
+piece is a secret of the kind ``markov`` when its log-likelihood ratio, a character, exceeds a threshold. Otherwise its best stretches are:
+those of 20 or more characters with the greatest sum, when that exceeds ``MARGIN``, out to the separators around; so a path before a key
+does not outvote it.
 
 The samples are seeded ones made here (random strings over common alphabets against composed identifiers) and, as ordinary strings, the
 long words of a bounded sample of the corpus: the ``sample_docs`` documents with the smallest hashes of their ids, of which each gives at
@@ -35,7 +37,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
 THRESHOLD = 0.0
+#: Sum of the log-likelihood ratio from which on a stretch within a run is a secret, above what ordinary runs reach by chance.
+MARGIN = 10.0
 SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 100
 
@@ -106,16 +111,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def stretches(model: np.ndarray, text: str, threshold: float = THRESHOLD, margin: float = MARGIN) -> Iterator[tuple[int, int]]:
+    """(start, end) of the secrets in a run or what is left of one: the whole, or else its best stretches."""
+    if len(text) < LEAST:
+        return
+    if ratio(model, text) > threshold:
+        yield 0, len(text)
+        return
+    c = _codes(text)
+    total = np.concatenate(([0.0], np.cumsum(model[(c[:-2] * _N + c[1:-1]) * _N + c[2:]] - threshold, dtype=np.float64)))
+    least = np.minimum.accumulate(total[: len(total) - LEAST])
+    best = total[LEAST:] - least
+    k = int(best.argmax())
+    if best[k] <= margin:
+        return
+    start, end = int(total[: k + 1].argmin()), k + LEAST
+    while start and text[start - 1] not in "/_=-":
+        start -= 1
+    while end < len(text) and text[end] not in "/_=-":
+        end += 1
+    yield from stretches(model, text[:start], threshold, margin)
+    yield start, end
+    yield from ((end + a, end + b) for a, b in stretches(model, text[end:], threshold, margin))
+
+
 def model_spans(model: np.ndarray, text: str, base: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int]]:
     found, k = [], 0
-    reach = [0]  # largest end so far, by number of base spans
-    for _, _, e in base:
-        reach.append(max(reach[-1], e))
     for m in RUN.finditer(text):
         while k < len(base) and base[k][0] < m.end():
             k += 1
-        if reach[k] <= m.start() and ratio(model, m[0]) > threshold:
-            found.append((m.start(), 3, m.end()))
+        at = m.start()
+        for s, _, e in [*(x for x in base[:k] if x[2] > m.start()), (m.end(), 0, m.end())] if k else [(m.end(), 0, m.end())]:
+            if s > at:
+                found += [(at + a, 3, at + b) for a, b in stretches(model, text[at:s], threshold)]
+            at = max(at, e)
     return found
 
 

@@ -366,6 +366,25 @@ def test_secret_scan(spark, docs, rows, none):
     assert secret_scan.scan(none).isEmpty()
 
 
+def test_secrets_behind_paths_and_beside_pattern_spans():
+    rng = __import__("random").Random(11)
+    model = secret_scan.train(secret_scan.seeded_samples())
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    share = {}
+    for path in ("/service/user/config/default/", "/service/user/config/default/account/session/cache_"):
+        for alphabet, n in ((alnum, 20), (alnum, 24), (alnum, 32), ("0123456789ABCDEF", 32)):
+            keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(200)]
+            share[len(path), len(alphabet), n] = np.mean([any(s <= len(path) and e == len(path) + n for s, _, e in secret_scan.model_spans(model, path + x, [], 0.0)) for x in keys])
+    plain = [t for label, t in secret_scan.seeded_samples(2000, seed=97) if not label]
+    wrong = np.mean([bool(list(secret_scan.stretches(model, t))) for t in plain])
+    print("found", share, "wrong", wrong)
+    assert min(share.values()) > 0.9 and wrong < 0.01
+    key = "Zq9xT4vLm2Rk8WbN7cYp5HsJ"
+    text = f"{key}/{'0123456789abcdef' * 2}/{key}"
+    spans = secret_scan.model_spans(model, text, secret_scan.base_spans(text), 0.0)
+    assert [text[a:b].strip("/") for a, _, b in spans] == [key, key]
+
+
 # --- 8: quality
 
 
