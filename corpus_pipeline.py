@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     g_id, g_md5 = unused(docs, "g_id", "g_md5")
-    found = saved(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(g_id), F.col("text_md5").alias(g_md5)).distinct(), "contaminated")
+    found = saved(decontaminate(docs, table(spark, sf_dir, "benchmark"), null_ids=True).where("contaminated").select(F.col("doc_id").alias(g_id), F.col("text_md5").alias(g_md5)).distinct(), "contaminated")
     md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     return docs.join(repeats.bounded(found), F.col("doc_id").cast("long").eqNullSafe(F.col(g_id)) & (md5 == F.col(g_md5)), "left_anti")
 

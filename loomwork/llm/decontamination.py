@@ -6,7 +6,8 @@ items and documents alike: so whoever share a stretch of that length share its f
 Documents of which no fingerprint is an item's are done with after one pass. In the others, each matched stretch is compared word by word
 with the items' windows, and the verified windows extend to hit spans by union. Shorter items are looked up by the hash of their words.
 
-Null and empty texts have no words. Items without words, or with a null id, match nothing. Items of one id count once. Repeated document
+Null and empty texts have no words. Items without words match nothing, nor do those with a null id unless ``null_ids`` is set:
+then their windows count for n_hit and contaminated, and they for no item. Items of one id count once. Repeated document
 rows are reported each, with equal values. Empty tables: no rows, or no hits. Columns are renamed on reading, so others cannot clash.
 """
 
@@ -63,10 +64,10 @@ def _prints(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
+def item_windows(benchmark: DataFrame, null_ids: bool = False) -> DataFrame:
     """Distinct (item_id as text, window as text, n words, fingerprint) of the items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("words"))
-    items = items.where(F.col("item_id").isNotNull() & (F.size("words") > 0))
+    items = items.where((F.col("item_id").isNotNull() | F.lit(null_ids)) & (F.size("words") > 0))
     sized = _prints(items, [WINDOW])
     whole = F.xxhash64(F.size("words"), *(F.get("h", F.lit(j)) for j in range(WINDOW - 1)))  # of a shorter item; nulls beyond its end leave a hash as it is
     own = F.when(F.size("words") >= WINDOW, F.col(f"f{WINDOW}")).otherwise(F.array(whole))
@@ -80,9 +81,9 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, null_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_md5."""
-    windows = saved(item_windows(benchmark), "item-windows")
+    windows = saved(item_windows(benchmark, null_ids), "item-windows")
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # 1 to WINDOW
     prints = _maybe_broadcast(windows.select(F.col("print").alias("p")).distinct(), broadcast_rows)
     text = F.col("text").cast("string")

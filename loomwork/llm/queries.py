@@ -41,7 +41,7 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_winnowed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_md5")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), null_ids=True).drop("text_md5")
 
 
 def op5_bloom_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

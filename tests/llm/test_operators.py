@@ -244,6 +244,24 @@ def test_decontamination(spark, docs, rows, none, limit):
         assert decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").isEmpty()
 
 
+def test_items_of_null_id_contaminate_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    import corpus_pipeline as P
+
+    for name, data, schema in (("documents", [(1, "an amber basin here"), (2, "cedar and amber"), (3, "nothing")], "doc_id long, text string"), ("benchmark", [(None, "amber basin"), (7, "cedar")], "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.op4_winnowed_windows(spark, str(tmp_path))
+    cursor = con.execute(queries.ORACLE_SQL["op4_winnowed_windows"])
+    assert sorted(map(tuple, got.select(*(c[0] for c in cursor.description)).collect())) == sorted(cursor.fetchall())
+    assert [r["doc_id"] for r in got.where("contaminated and n_items = 0").collect()] == [1]
+    left = P.decontamination(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert [r["doc_id"] for r in left.collect()] == [3]
+
+
 # --- 5: scoring
 
 
