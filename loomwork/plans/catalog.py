@@ -359,13 +359,18 @@ _GOLD = "g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON conta
 
 
 def _gold(t) -> DataFrame:
-    """Documents that contain an item word for word; joined on the item's first words, so that no product is made."""
+    """Documents that contain an item word for word; joined on an item's words 2 to 5, so that no product is made. Items of fewer than six words,
+    whose last may end inside a longer one, are looked for in each text."""
     head = lambda c: F.xxhash64(F.array_join(F.slice(c, 1, 4), " "))
-    b = t("benchmark").select("item_id", F.col("text").alias("btext"), F.split("text", r"\s+").alias("w")).where(F.size("w") >= 4).select("item_id", "btext", head(F.slice("w", 2, 4)).alias("h"))
+    items = t("benchmark").select("item_id", F.col("text").alias("btext"), F.split("text", r"\s+").alias("w")).where("btext is not null")
+    b = items.where(F.size("w") >= 6).select("item_id", "btext", head(F.slice("w", 2, 4)).alias("h"))
+    short = items.where(F.size("w") < 6).select("item_id", "btext")
     d = t("documents").select("doc_id", F.col("text").alias("dtext"), F.split("text", r"\s+").alias("w"))
     keys = d.select("doc_id", F.transform("w", lambda x, i: F.xxhash64(F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)))).alias("hs"))
     hits = keys.select("doc_id", F.explode(F.array_distinct("hs")).alias("h")).join(R.small(b), "h").select("item_id", "doc_id", "btext")
-    return hits.join(d.select("doc_id", "dtext"), "doc_id").where(F.col("dtext").contains(F.col("btext"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id")).distinct()
+    long = hits.join(d.select("doc_id", "dtext"), "doc_id").where(F.col("dtext").contains(F.col("btext"))).select("item_id", "doc_id")
+    found = long.union(d.join(R.small(short), F.col("dtext").contains(F.col("btext"))).select("item_id", "doc_id"))
+    return found.select(F.col("item_id").alias("query"), F.col("doc_id").alias("id")).distinct()
 
 
 @query(f"WITH {_BM25} {_GOLD}, r AS (SELECT * FROM bmr WHERE rank <= 200) SELECT g.item_id, count(r.doc_id) AS found, count(*) AS n, count(r.doc_id) / count(*) AS recall FROM g LEFT JOIN r USING (item_id, doc_id) GROUP BY g.item_id")

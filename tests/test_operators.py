@@ -336,3 +336,13 @@ def test_small_parts(spark):
     logs = spark.createDataFrame([(1, "a cat", '{"literal_weight": 0.7, "interpretive_weight": 0.3, "mechanical_terms": ["A  cat", "draw"], "illustration_id": "i1"}'), (2, "b", '{"literal_weight": 0.5, "notes": ["router failed"]}')], "id int, text string, params string")
     assert [(r["id"], r["literal_weight"], r["mechanical_terms"]) for r in export.routing_records(logs, "id", "text", "params").collect()] == [(1, 0.7, ["draw"])]
     assert [r["id"] for r in export.done_ids(logs, "params").collect()] == ["i1"]
+
+
+def test_containing_documents_of_short_items(spark):
+    from loomwork.plans import catalog
+
+    docs = [(1, "one two three four five six seven eight"), (2, "two three fourth and more"), (3, "x one two three four fivefold")]
+    items = [(1, "two"), (2, "two three four"), (3, "one two three four"), (4, "one two three four five"), (5, "one two three four five si"), (6, "three four five six seven eight"), (7, None)]
+    tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string"), "benchmark": spark.createDataFrame(items, "item_id long, text string")}
+    got = {(r["query"], r["id"]) for r in catalog._gold(tables.__getitem__).collect()}
+    assert got == {(i, d) for i, b in items for d, t in docs if b is not None and b in t}
