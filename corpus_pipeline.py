@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import jaccard_join, language_id, queries, repeats
+from loomwork.llm import jaccard_join, language_id, queries
 from loomwork.llm.decontamination import decontaminate
-from loomwork.llm.line_dedup import repeated_passages
+from loomwork.llm.line_dedup import without_passages
 from loomwork.llm.packing import pack
-from loomwork.llm.shared import saved, table, unused
+from loomwork.llm.shared import bounded, saved, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of two or more lines, and the long lines, that an earlier document, or place, has; documents of which nothing is left go.
     Near copies go whole before: cut, they would leave stubs that no longer resemble what they were copied from."""
-    rows = saved(jaccard_join.one_of_each(docs), "whole-copies-gone")
-    return repeats.without(rows, saved(repeated_passages(rows), "removed-passages"))
+    return without_passages(saved(jaccard_join.one_of_each(docs), "whole-copies-gone"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     g_id, g_md5 = unused(docs, "g_id", "g_md5")
     found = saved(decontaminate(docs, table(spark, sf_dir, "benchmark"), null_ids=True).where("contaminated").select(F.col("doc_id").alias(g_id), F.col("text_md5").alias(g_md5)).distinct(), "contaminated")
     md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    return docs.join(repeats.bounded(found), F.col("doc_id").cast("long").eqNullSafe(F.col(g_id)) & (md5 == F.col(g_md5)), "left_anti")
+    return docs.join(bounded(found), F.col("doc_id").cast("long").eqNullSafe(F.col(g_id)) & (md5 == F.col(g_md5)), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .repeats import bounded, keyed
-from .shared import WordHashes, mixed, saved, slices, tidily, unused, windows
+from .repeats import keyed
+from .shared import WordHashes, bounded, mixed, saved, slices, tidily, unused, windows
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)

@@ -1,18 +1,19 @@
 """Removal of repeated multi-line passages (op 10).
 
-``repeated_passages`` finds every stretch of two or more adjacent lines, and every long line, that an earlier place has. A hash rolls over
-the text's lines: each two adjacent lines that are not blank (with blank ones between) are a window, and so is each line of ``LONG_WORDS``
-words or more. A passage of k lines repeats just where its k - 1 windows do, so that no passage is missed for where a boundary falls.
-
-Besides, lines are cut into chunks: a rolling hash over the last ``window`` line hashes ends one wherever it is 0 modulo ``divisor``, so
-that insertions shift boundaries no further than the next one. ``repeated_chunks`` takes them alone. A repeated chunk that begins and ends
-with lines that are not blank is the union of repeated windows; the others are looked up beside the windows.
-
-What has ``min_lines`` lines or more and a 128-bit digest that occurs elsewhere is fetched and grouped by its bytes, which is the comparison
-that decides. The earliest occurrence stays (smallest doc_id, null first, then start), the rest are removed; spans of one text may overlap.
-
-Null and empty texts have no chunks; chunks of white space are left. Repeated rows (same id and text) are one document. Empty table: no
-rows. Only doc_id and text are read, so other columns cannot clash.
+Lines are cut into chunks: a hash rolls over the last ``window`` line hashes and ends a chunk wherever it is 0 modulo ``divisor``, so that
+insertions shift boundaries no further than the next one. ``repeated_chunks`` takes them alone, and misses passages that hold no two
+boundaries. ``repeated_passages`` finds every stretch of two or more adjacent lines, and every long line, that an earlier place has: chunks
+of the densest kind, where each two adjacent lines that are not blank (with blank ones between) are one, and so is each line of
+``LONG_WORDS`` words or more. A passage of k lines repeats just where its k - 1 windows do. Of the sparser chunks it adds those that begin
+or end with a blank line; all others are unions of such windows.
+
+What has a 128-bit digest that occurs elsewhere is read again and compared by its bytes: a task compares its own, and ships what it has met
+once a digest; of a digest whose bytes differ, the bytes themselves are grouped. The earliest occurrence stays (smallest doc_id, null first,
+then the text's digest, then start), the rest go; spans of one text may overlap.
+
+Null and empty texts have no chunks; chunks of white space are left. Of repeated rows (same id and text) the first is the earliest, the
+others lose all passages they have. Ties cannot be: places differ. Long texts are one Arrow batch each. Empty table: no rows. Only doc_id
+and text are read; further columns of ``without_passages`` are renamed meanwhile, so that none can clash.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import bounded, keyed, later
-from .shared import mixed, saved, slices, tidily
+from . import repeats
+from .repeats import folded, kept, keyed, merged, occurrences, with_spans
+from .shared import bounded, dropped, mixed, saved, slices, tidily
 
 WINDOW = 2
 DIVISOR = 3
@@ -35,16 +37,26 @@ MIN_LINES = 2
 #: A line of so many words is a passage of its own.
 LONG_WORDS = 50
 
-_CHUNKS = "doc_id long, text_md5 string, start long, end long, n_lines long, digest binary"
-_BYTES = "doc_id long, text_md5 string, start long, end long, n_lines long, digest binary, chunk binary"
+#: Bytes of chunks that a task remembers at once, to compare others with.
+REMEMBERED = 32_000_000
+#: A base of the rolling hash: odd, so that no bit of an older line is lost but by rolling out.
+BASE = 0x9E3779B97F4A7C15
+
+_CHUNKS = "doc_id long, text_md5 string, start long, end long, digest binary"
+
+Cut = Callable[[str], Iterator[tuple[int, int, int]]]
 
 
 def boundaries(lines: list[str], window: int = WINDOW, divisor: int = DIVISOR) -> list[int]:
     """Line numbers after which a chunk ends; the last line always ends one. The first ``window - 1`` lines see a shorter window."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
-    rolled = np.zeros(len(h), np.uint64)
-    for back in range(min(window, len(h))):
-        rolled[back:] = rolled[back:] * np.uint64(1) + mixed(h[: len(h) - back] + np.uint64(back) * np.uint64(0x9E3779B97F4A7C15))
+    # A polynomial in BASE: a step multiplies by it, adds the next line's hash and takes off the one that leaves the window.
+    leaving = np.uint64(pow(BASE, window, 1 << 64))
+    rolled, now = np.empty(len(h), np.uint64), 0
+    gone = np.concatenate((np.zeros(min(window, len(h)), np.uint64), h[: max(0, len(h) - window)] * leaving))
+    for k, (new, old) in enumerate(zip(h.tolist(), gone.tolist(), strict=True)):
+        now = (now * BASE + new - old) & 0xFFFFFFFFFFFFFFFF
+        rolled[k] = now
     ends = np.flatnonzero(mixed(rolled) % np.uint64(divisor) == 0).tolist()
     return ends if ends and ends[-1] == len(lines) - 1 else [*ends, len(lines) - 1]
 
@@ -77,43 +89,112 @@ def passages(text: str) -> Iterator[tuple[int, int, int]]:
             yield a, b, n
 
 
-def _digests(cut: Callable[[str], Iterator[tuple[int, int, int]]]):
+def _digest(chunk: str) -> bytes:
+    return hashlib.md5(chunk.encode()).digest()
+
+
+def _digests(cut: Cut):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for doc_id, text, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_md5")), strict=True):
-                rows += [(doc_id, key, a, b, n, hashlib.md5(text[a:b].encode()).digest()) for a, b, n in cut(text or "")]
+                rows += [(doc_id, key, a, b, _digest(text[a:b])) for a, b, _ in cut(text or "")]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "n_lines", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "digest"])
 
     return run
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, chunk): each chunk of the spans, but for those that the task knows and finds equal."""
+    known, held = {}, 0
     for batch in slices(batches):
-        rows = []
-        for doc_id, text, key, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_md5", "found")), strict=True):
-            rows += [(doc_id, key, x["start"], x["end"], x["n_lines"], x["digest"], text[x["start"] : x["end"]].encode()) for x in found]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "n_lines", "digest", "chunk"])
+        new = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for s in spans:
+                chunk = text[s["start"] : s["end"]].encode()
+                if known.get(s["digest"]) != chunk:
+                    new.append((s["digest"], chunk))
+                    if s["digest"] not in known:
+                        known[s["digest"]] = chunk
+                        held += len(chunk)
+        if held > REMEMBERED:
+            known, held = {}, 0
+        if new:
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in new], pa.binary()), pa.array([c for _, c in new], pa.binary())], names=["digest", "chunk"])
+
+
+def _places(digests: set[bytes]):
+    """(doc_id, text_md5, start, end, digest, chunk) of the spans with one of the digests."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for doc_id, key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_md5", "text", "spans")), strict=True):
+                rows += [(doc_id, key, s["start"], s["end"], s["digest"], text[s["start"] : s["end"]].encode()) for s in spans if s["digest"] in digests]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "digest", "chunk"])
+
+    return run
 
-def _repeated(docs: DataFrame, cut: Callable[[str], Iterator[tuple[int, int, int]]]) -> DataFrame:
-    rows = keyed(docs)
-    found = saved(rows.mapInArrow(tidily(_digests(cut)), _CHUNKS), "chunks").distinct()
-    many = bounded(found.groupBy(F.col("digest").alias("m_digest")).count().where("count > 1").select("m_digest"))
-    again = found.join(many, F.col("digest") == F.col("m_digest"), "left_semi")
-    by_doc = again.groupBy(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5")).agg(F.collect_list(F.struct("start", "end", "n_lines", "digest")).alias("found"))
-    own = rows.join(bounded(by_doc, 50_000), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_md5") == F.col("s_md5"))).select("doc_id", "text", "text_md5", "found")
-    fetched = saved(own.mapInArrow(tidily(_bytes), _BYTES), "chunk-bytes").distinct()
-    return later(fetched, ("digest", "chunk")).drop("chunk")
+
+#: Digests of differing bytes that are known to workers by value. There are none but by design: md5 has to be attacked for one.
+FORGED = 1_000
+
+
+def with_repeats(rows: DataFrame, cut: Cut) -> DataFrame:
+    """``rows`` (doc_id, text_md5, text, others; one a key) with ``spans``: their chunks that occur twice or more, ``again`` where an earlier
+    place has the same bytes. Rows are shuffled once, unless the spans are few enough to be broadcast, and saved."""
+    chunks_ = saved(rows.select("doc_id", "text", "text_md5").mapInArrow(tidily(_digests(cut)), _CHUNKS), "chunks")
+    found = occurrences(chunks_).select("doc_id", "text_md5", "start", "end", "digest", "again")
+    out = saved(with_spans(rows, found), "with-spans")
+    dropped(chunks_)
+    met = out.where("spans is not null")
+    differ = met.select("text", "spans").mapInArrow(tidily(_bytes), "digest binary, chunk binary").groupBy("digest").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("least <> most")
+    forged = saved(differ.select("digest"), "forged")
+    if forged.isEmpty():
+        return out
+    if forged.count() <= FORGED:
+        digests = {bytes(r["digest"]) for r in forged.collect()}
+        places = met.select("doc_id", "text_md5", "text", "spans").mapInArrow(tidily(_places(digests)), f"{_CHUNKS}, chunk binary")
+    else:
+        every = met.select("doc_id", "text_md5", "text", F.explode("spans").alias("s")).join(bounded(forged.withColumnRenamed("digest", "f_digest")), F.col("s.digest") == F.col("f_digest"), "left_semi")
+        places = every.select("doc_id", "text_md5", "s.start", "s.end", "s.digest", F.encode(F.expr("substring(text, int(s.start) + 1, int(s.end - s.start))"), "utf-8").alias("chunk"))
+    exact = occurrences(saved(places, "places"), ("digest", "chunk")).where("again").select("doc_id", "text_md5", "start", "end", "digest", "again")
+    others = met.select("doc_id", "text_md5", F.explode("spans").alias("s")).select("doc_id", "text_md5", "s.*").where("again")
+    others = others.join(bounded(forged.withColumnRenamed("digest", "f_digest")), F.col("digest") == F.col("f_digest"), "left_anti")
+    return with_spans(out.drop("spans"), others.union(exact))
+
+
+def _removed(docs: DataFrame, cut: Cut) -> DataFrame:
+    rows = keyed(docs).dropDuplicates(["doc_id", "text_md5"])
+    return with_repeats(rows, cut).select("doc_id", "text_md5", F.explode("spans").alias("s")).where("s.again").select("doc_id", "text_md5", "s.start", "s.end", "s.digest")
 
 
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """One row per removed chunk: doc_id, text_md5, start, end (code points, end exclusive), n_lines, digest, first_doc_id, first_start,
-    copies. ``repeats.without`` cuts them out of the texts."""
-    return _repeated(docs, lambda text: chunks(text, window, divisor, min_lines))
+    """One row per chunk that goes: doc_id, text_md5, start, end (code points, end exclusive), digest. Repeated rows are one here."""
+    return _removed(docs, lambda text: chunks(text, window, divisor, min_lines))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """As ``repeated_chunks``, of all ``passages``: one row per window, long line or chunk that an earlier place has. Their union goes."""
-    return _repeated(docs, passages)
+    return _removed(docs, passages)
+
+
+def lines(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for line in text.split("\n"):
+        yield at, at + len(line)
+        at += len(line) + 1
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, what stays (text, kept_spans) and what goes (removed_spans), as ``repeats.kept`` has them; its pieces are
+    lines."""
+    rows, most = folded(docs)
+    return kept(with_repeats(rows, passages), most, lines, lambda text: merged((a, b) for a, b, _ in passages(text)))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs``, of which no two rows have an id and a text in common unless they have no passages, without their repeated passages."""
+    return repeats.without(docs, lambda rows: with_repeats(rows, passages))

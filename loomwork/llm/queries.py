@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, lm_scoring, quality_rules, secret_scan
+from . import jaccard_join, language_id, line_dedup, lm_scoring, quality_rules, secret_scan, substring_dedup
 from .decontamination import decontaminate
-from .line_dedup import repeated_passages
 from .packing import pack
 from .shared import table
 from .sharding import shard
-from .substring_dedup import repeated_units
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,8 +24,7 @@ def remainder(n: int) -> Column:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_units(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), "first_doc_id", "first_start", "copies")
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
 def op2_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +64,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_passages(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "start", "end", "n_lines", F.lower(F.hex("digest")).alias("digest"), "first_doc_id", "first_start", "copies")
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
@@ -102,10 +98,25 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op1_substring_dedup": r"""
-        WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
-        p AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS BIGINT) AS start FROM l),
-        n AS (SELECT doc_id, start, start + length(line) AS "end", list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM p),
-        u AS (SELECT doc_id, start, "end", len(words) AS n_words, md5(array_to_string(words, ' ')) AS digest FROM n WHERE len(words) >= 10),
-        r AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start, row_number() OVER w AS k, count(*) OVER (PARTITION BY digest) AS copies FROM u WINDOW w AS (PARTITION BY digest ORDER BY doc_id, start))
-        SELECT doc_id, start, "end", CAST(n_words AS BIGINT) AS n_words, digest, first_doc_id, first_start, CAST(copies AS BIGINT) AS copies FROM r WHERE k > 1""",
+        WITH d AS (SELECT row_number() OVER () AS r, *, md5(coalesce(text, '')) AS h, row_number() OVER (PARTITION BY doc_id, text) AS copy FROM documents),
+        l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+        lp AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY k) - length(line) - 1 AS pos FROM l),
+        s AS (SELECT r, k, pos, string_split(replace(replace(replace(line, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10)) AS parts FROM lp),
+        q AS (SELECT r, k, pos, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM s),
+        t AS (SELECT r, k, j, length(part) AS n, pos + sum(length(part) + 1) OVER (PARTITION BY r, k ORDER BY j) - length(part) - 1 AS start,
+              list_filter(regexp_split_to_array(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM q),
+        p AS (SELECT *, len(words) AS n_words, array_to_string(words, ' ') AS own, string_agg(array_to_string(words, ' '), ' ' ORDER BY j) OVER (PARTITION BY r, k) AS line, min(start) OVER (PARTITION BY r, k) AS line_start FROM t WHERE len(words) > 0),
+        u AS (SELECT DISTINCT r, line_start AS start, line AS unit FROM p UNION SELECT r, start, own FROM p WHERE n_words >= 8),
+        f AS (SELECT u.r, start, unit, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS FIRST, h, copy, start) > 1 AS again FROM u JOIN d USING (r)),
+        m AS (SELECT p.r, p.start, p.n, p.n_words, a.again OR coalesce(b.again, false) AS gone, lead(p.start) OVER w AS nxt, row_number() OVER w AS i
+              FROM p JOIN f a ON a.r = p.r AND a.start = p.line_start AND a.unit = p.line LEFT JOIN f b ON b.r = p.r AND b.start = p.start AND b.unit = p.own AND p.n_words >= 8 WINDOW w AS (PARTITION BY p.r ORDER BY p.start)),
+        g AS (SELECT *, i - row_number() OVER (PARTITION BY r, gone ORDER BY i) AS island FROM m),
+        runs AS (SELECT r, gone, min(start) AS a, max(start + n) AS b, sum(n_words) AS words FROM g GROUP BY r, gone, island),
+        spans AS (SELECT r, string_agg(CASE WHEN NOT gone THEN a || ':' || b END, ',' ORDER BY a) AS kept_spans, string_agg(CASE WHEN gone THEN a || ':' || b END, ',' ORDER BY a) AS removed_spans, max(CASE WHEN gone THEN words END) AS longest FROM runs GROUP BY r),
+        sums AS (SELECT m.r, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, sum(n_words) AS n_words, sum(n_words) FILTER (gone) AS removed_words,
+                 substr(any_value(text), 1, CAST(min(start) AS INT)) || coalesce(string_agg(substr(text, CAST(start AS INT) + 1, CAST(coalesce(nxt, length(text)) - start AS INT)), '' ORDER BY start) FILTER (NOT gone), '') AS text
+                 FROM m JOIN d USING (r) GROUP BY m.r)
+        SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words,
+               CAST(coalesce(longest, 0) AS BIGINT) AS longest_run_words, coalesce(kept_spans, '') AS kept_spans, coalesce(removed_spans, '') AS removed_spans, coalesce(sums.text, d.text) AS text
+        FROM d LEFT JOIN sums USING (r) LEFT JOIN spans USING (r)""",
 }

@@ -11,7 +11,8 @@ from typing import ClassVar
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_ROOTS: dict[str, str] = {}
 
@@ -32,9 +33,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one, which only
+    a local master can share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _OWN_ROOTS.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="loomwork-")
         _OWN_ROOTS[app] = root
@@ -51,6 +55,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: A side of a join is broadcast up to so many bytes (Spark's own default); beyond, both sides are shuffled.
+BROADCAST_BYTES = 10 << 20
+#: Of rows with one key in a join, more than one in so many are hot. There are at most so many hot keys, whatever the input.
+HOT_SHARE = 10_000
+
+
+def bounded(df: DataFrame, row_bytes: Column | int = 100, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, of ``row_bytes`` each, add up to at most ``limit`` bytes. The caller has ``df`` saved, or
+    cheap to make twice. Without the hint Spark plans a shuffle join and splits what is skewed."""
+    if isinstance(row_bytes, int):
+        small = df.limit(limit // row_bytes + 1).count() <= limit // row_bytes
+    else:
+        small = (df.agg(F.sum(row_bytes)).head()[0] or 0) <= limit
+    return F.broadcast(df) if small else df
+
+
 #: Bytes of an Arrow batch between Spark and Python, where the session has no setting of its own. Texts may be very long, so rows are no bound.
 BATCH_BYTES = 8_000_000
 
@@ -66,6 +86,7 @@ def modest_batches(df: DataFrame) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Delete what ``saved`` wrote for ``df``. Only for tables that no later plan reads."""
     spark, path = df.sparkSession, df._loomwork_path
+    spark.catalog.refreshByPath(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

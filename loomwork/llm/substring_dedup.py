@@ -1,11 +1,14 @@
 """Removal of repeated lines or paragraphs (op 1).
 
-A text is cut into units: its lines, or its paragraphs (stretches between blank lines). Each unit of at least ``min_words`` words is
-normalised (A-Z lower-cased, white space squeezed) and hashed; digests are grouped over the whole corpus. Of each group the earliest
-occurrence stays (smallest doc_id, null first, then start); the rest are removed, with their places in the original text.
+A text is cut into units: its lines, or its paragraphs (stretches between blank lines). A line of several sentences also gives each of its
+sentences of ``SENTENCE_WORDS`` words or more as a unit, since a repeated passage may begin and end within lines; shorter sentences repeat
+by chance, and go with their lines alone. A sentence ends at a space after one of ``.!?``. Each unit is normalised (A-Z lower-cased, white
+space squeezed) and hashed; digests are grouped over the whole corpus. Of each group the earliest occurrence stays (smallest doc_id, null
+first, then the text's digest, then start); the rest are removed.
 
-Null and empty texts have no units. Repeated rows (same id and text) are one document. Empty table: no rows. Only doc_id and text are
-read, so other columns cannot clash.
+Null and empty texts have no units. Of repeated rows (same id and text) the first is the earliest, the others lose all they have. Ties
+cannot be: places differ. Long texts are one Arrow batch each. Empty table: no rows. Only doc_id and text are read, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -16,15 +19,52 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .repeats import keyed, later
-from .shared import saved, slices, tidily
+from .repeats import folded, kept, occurrences, with_spans
+from .shared import dropped, saved, slices, tidily
 
-MIN_WORDS = 10
+MIN_WORDS = 1
+SENTENCE_WORDS = 8
 
-_UNIT = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n(?![\x20\x09-\x0D]*(?:\n|\Z))[^\n]+)*")}
-_UNITS = "doc_id long, text_md5 string, start long, end long, n_words long, digest binary"
+_PARAGRAPH = re.compile(r"[^\n]+(?:\n(?![\x20\x09-\x0D]*(?:\n|\Z))[^\n]+)*")
+_UNITS = "doc_id long, text_md5 string, start long, end long, digest binary"
+
+
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the sentences of each line, one after another; some are white space."""
+    at = 0
+    for part in text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
+        yield at, at + len(part)
+        at += len(part) + 1
+
+
+def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in _PARAGRAPH.finditer(text))
+
+
+def pieces(unit: str):
+    """The smallest units of a text, which do not overlap."""
+    return _paragraphs if unit == "paragraph" else _pieces
+
+
+def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, normalised words) of each unit. Sentences lie within their lines."""
+    if unit == "paragraph":
+        for a, b in _paragraphs(text):
+            words = text[a:b].encode().lower().split()
+            if len(words) >= min_words:
+                yield a, b, words
+        return
+    at = 0
+    for line in text.split("\n"):
+        words = line.encode().lower().split()
+        if words and len(words) >= min_words:
+            yield at, at + len(line), words
+        if len(words) > SENTENCE_WORDS:
+            parts = [(a, b, w) for a, b in _pieces(line) if (w := line[a:b].encode().lower().split())]
+            if len(parts) > 1:
+                yield from ((at + a, at + b, w) for a, b, w in parts if len(w) >= SENTENCE_WORDS)
+        at += len(line) + 1
 
 
 def _units(unit: str, min_words: int):
@@ -32,18 +72,19 @@ def _units(unit: str, min_words: int):
         for batch in slices(batches):
             rows = []
             for doc_id, text, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_md5")), strict=True):
-                for m in _UNIT[unit].finditer(text or ""):
-                    words = m[0].encode().lower().split()
-                    if len(words) >= min_words:
-                        rows.append((doc_id, key, m.start(), m.end(), len(words), hashlib.md5(b" ".join(words)).digest()))
+                rows += [(doc_id, key, a, b, hashlib.md5(b" ".join(w)).digest()) for a, b, w in units(text or "", unit, min_words)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "n_words", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "digest"])
 
     return run
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: doc_id, text_md5, start, end (code points, end exclusive), n_words, digest, first_doc_id, first_start,
-    copies. ``repeats.without`` cuts them out of the texts."""
-    units = saved(keyed(docs).mapInArrow(tidily(_units(unit, min_words)), _UNITS), "units")
-    return later(units.distinct(), ("digest",))
+def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per document: doc_id, what stays (text, kept_spans) and what goes (removed_spans), as ``repeats.kept`` has them. The spans
+    are of the original text. Digests are shuffled, and texts once, unless the removed spans are few enough to be broadcast."""
+    rows, most = folded(docs)
+    all_ = saved(rows.select("doc_id", "text", "text_md5").mapInArrow(tidily(_units(unit, min_words)), _UNITS), "units")
+    again = occurrences(all_).where("again").select("doc_id", "text_md5", "start", "end", "digest", "again")
+    out = with_spans(rows, again)
+    dropped(all_)
+    return kept(out, most, pieces(unit), lambda text: ((a, b) for a, b, _ in units(text, unit, min_words)))

@@ -37,39 +37,100 @@ def repeated(rows, units):
     return out
 
 
-def lines_of(text):
-    at = 0
-    for line in text.split("\n"):
-        words = line.encode().lower().split()
-        if len(words) >= 10:
-            yield at, at + len(line), tuple(words)
-        at += len(line) + 1
+def line_words(text):
+    return text.translate({i: i + 32 for i in range(65, 91)}).encode().split()
+
+
+def expected_units(rows, sentence=8):
+    """By brute force: per row, (removed pieces, kept text, removed words)."""
+    ranked = sorted(range(len(rows)), key=lambda i: (order(rows[i][0]), hashlib.md5((rows[i][1] or "").encode()).hexdigest(), i))
+    seen, out = set(), collections.Counter()
+    for i in ranked:
+        doc, text = rows[i][:2]
+        kept, gone, n_gone, pieces, at = [], 0, 0, [], 0
+        for line in (text or "").split("\n"):
+            whole = (b" ".join(line_words(line)),) if line_words(line) else None
+            parts = re.findall(r"(?:(?<=[.!?]) )?((?:(?![.!?] ).)*(?:[.!?](?= ))?)", line) if line else []
+            places, p = [], at
+            for part in [x for x in parts if x] or []:
+                p = text.index(part, p)
+                if line_words(part):
+                    places.append((p, p + len(part), (b" ".join(line_words(part)),)))
+                p += len(part)
+            again = whole in seen if whole else False
+            pieces += [(a, b, again or (key in seen and len(key[0].split()) >= sentence)) for a, b, key in places]
+            if whole:
+                seen.add(whole)
+            seen.update(key for *_, key in places if len(key[0].split()) >= sentence)
+            at += len(line) + 1
+        for k, (a, b, removed) in enumerate(pieces):
+            if removed:
+                gone, n_gone = gone + 1, n_gone + len(line_words(text[a:b]))
+            else:
+                kept.append(text[a : pieces[k + 1][0] if k + 1 < len(pieces) else len(text)])
+        left = text[: pieces[0][0]] + "".join(kept) if pieces else text
+        out[doc, left, gone, n_gone] += 1
+    return out
+
+
+ODD = "The first sentence of this text has some nine words. Short one. And another sentence that is long enough to be a unit! x\n  padded line \nShort one."
+
+
+def test_substring_dedup(spark, rows, none):
+    rng = __import__("random").Random(12)
+    passage = " ".join(" ".join(rng.choice(WORDS) for _ in range(12)) + "." for _ in range(6))
+    more = [(400, ODD, None, None), (401, "Begins otherwise. " + ODD, None, None), (402, "short  ONE.\nNot padded. padded line", None, None), (403, f"Host a b c. {passage} Host goes on.", None, None), (404, f"Other host {passage} ends", None, None)]
+    rows = [*rows, *((d, t, lang, s, 0, "x", "x", "x", 0.0) for d, t, lang, s in more)]
+    got = substring_dedup.deduplicated(frame(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["text"], r["n_removed"], r["removed_words"]) for r in got) == expected_units(rows)
+    text = {r[0]: r[1] for r in rows}
+    by = {r["doc_id"]: r for r in got}
+    assert by[404]["longest_run_words"] == 5 * 12 and by[403]["n_removed"] == 0  # its first sentence is one with words of the host
+    for r in by.values():
+        if r["doc_id"] not in (3, None) and r["text"] is not None:
+            spans = sorted([*map(int, x.split(":"))] for x in ",".join(filter(None, (r["kept_spans"], r["removed_spans"]))).split(",") if x)
+            left = re.sub(r"\s", "", "".join(text[r["doc_id"]][a:b] for a, b in spans))
+            assert left == re.sub(r"\s", "", text[r["doc_id"]])
+    three = [r for r in got if r["doc_id"] == 3]
+    assert len(three) == 3 and sorted(bool(r["text"]) for r in three) == [False, False, True]
+    assert substring_dedup.deduplicated(none).isEmpty()
 
 
-def test_substring_dedup(spark, docs, rows, none):
-    got = {(r["doc_id"], r["start"], r["end"]) for r in substring_dedup.repeated_units(docs).collect()}
-    assert got == repeated(rows, lines_of) and got
-    assert substring_dedup.repeated_units(none).isEmpty()
+def test_repeated_rows_are_ranked_and_dealt(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "UNFOLDED_TOGETHER", 3)
+    df = spark.createDataFrame([(1, "a line")] * 8 + [(2, "a line\nmore")] * 2, "doc_id long, text string")
+    got = substring_dedup.deduplicated(df).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == {(1, "a line"): 1, (1, ""): 7, (2, "more"): 1, (2, ""): 1}
 
 
 def test_paragraph_units(spark):
     a, b = prose(__import__("random").Random(1), 12), prose(__import__("random").Random(2), 12)
     df = spark.createDataFrame([(1, f"{a}\n{b}\n\nend"), (2, f"start\n\n{a}\n{b}")], "doc_id long, text string")
-    got = substring_dedup.repeated_units(df, unit="paragraph").collect()
-    assert [(r["doc_id"], r["start"], r["first_doc_id"]) for r in got] == [(2, 7, 1)]
+    got = substring_dedup.deduplicated(df, unit="paragraph").collect()
+    assert {(r["doc_id"], r["text"], r["removed_spans"]) for r in got} == {(1, f"{a}\n{b}\n\nend", ""), (2, "start\n\n", f"7:{len(a) + len(b) + 8}")}
 
 
 def test_line_chunks(spark, docs, rows, none):
     units = lambda text: ((a, b, text[a:b]) for a, b, _ in line_dedup.chunks(text, line_dedup.WINDOW, line_dedup.DIVISOR, line_dedup.MIN_LINES))
-    removed = line_dedup.repeated_chunks(docs)
-    got = {(r["doc_id"], r["start"], r["end"]) for r in removed.collect()}
+    got = {(r["doc_id"], r["start"], r["end"]) for r in line_dedup.repeated_chunks(docs).collect()}
     assert got == repeated(rows, units) and got
     assert line_dedup.repeated_chunks(none).isEmpty()
-    left = repeats.without(docs, removed)
+
+
+def test_texts_without_passages(spark, docs, rows, none):
+    once = docs.dropDuplicates(["doc_id", "text"])
+    left = line_dedup.without_passages(once)
     assert left.columns == docs.columns
     after = {(r["doc_id"], r["text"]) for r in left.collect()}
-    assert (101, None) not in after and (103, None) in after and (104, "") in after
+    assert 101 not in {d for d, _ in after} and (103, None) in after and (104, "") in after and (0, rows[0][1]) in after
     assert all(r["n_chars"] == len(r["text"]) for r in left.where("text is not null").collect())
+    got = line_dedup.deduplicated(docs).collect()
+    assert len(got) == len(rows)
+    whole = {(r["doc_id"], r["text"] and re.sub(r"\s", "", r["text"])) for r in got if r["n_removed"] < r["n_units"] or not r["n_units"]}
+    assert whole == {(d, t and re.sub(r"\s", "", t)) for d, t in after}
+    three = [r for r in got if r["doc_id"] == 3]
+    assert len(three) == 3 and sum(r["n_removed"] > 0 for r in three) >= 2
+    assert line_dedup.deduplicated(none).isEmpty()
 
 
 def test_every_repeated_passage_is_found(spark, docs, rows, none):
@@ -88,8 +149,8 @@ def test_every_repeated_passage_is_found(spark, docs, rows, none):
     for r in line_dedup.repeated_passages(docs).collect():
         t = text[r["doc_id"], r["text_md5"]]
         first = t[: r["start"]].count("\n")
-        got[r["doc_id"], t] |= set(range(first, first + r["n_lines"]))
-        assert t[r["start"] : r["end"]].count("\n") == r["n_lines"] - 1 and hashlib.md5(t[r["start"] : r["end"]].encode()).digest() == r["digest"]
+        got[r["doc_id"], t] |= set(range(first, first + t[r["start"] : r["end"]].count("\n") + 1))
+        assert hashlib.md5(t[r["start"] : r["end"]].encode()).digest() == r["digest"]
     assert sum(map(len, want.values())) > 20 and all(v <= got[k] for k, v in want.items())
     assert all(not t.split("\n")[i].strip() for (d, t), v in got.items() for i in v - want[d, t])
     assert line_dedup.repeated_passages(none).isEmpty()
@@ -100,7 +161,7 @@ def test_repeated_passage_of_two_lines_and_long_line_amid_others(spark):
     two, long = [prose(rng, 9), prose(rng, 9)], prose(rng, 60)
     texts = ["\n".join([prose(rng, 9), *two, prose(rng, 9), long, prose(rng, 9)]) for _ in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    left = {r["doc_id"]: r["text"] for r in repeats.without(df, line_dedup.repeated_passages(df)).collect()}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.without_passages(df).collect()}
     assert left[0] == texts[0] and all(left[i].split("\n") == [texts[i].split("\n")[k] for k in (0, 3, 5)] for i in range(1, 20))
 
 
@@ -112,9 +173,22 @@ def test_chunk_boundaries_resist_shifts():
     assert ends - touched == {moved[i] for i in line_dedup.boundaries(moved)} - touched and len(ends) > 10
 
 
-def test_chunks_of_equal_digest_are_told_apart_by_bytes(spark):
-    units = spark.createDataFrame([(1, "a", 0, b"x", b"one"), (2, "b", 0, b"x", b"two"), (3, "c", 0, b"x", b"one")], "doc_id long, text_md5 string, start long, digest binary, chunk binary")
-    assert [r["doc_id"] for r in repeats.later(units, ("digest", "chunk")).collect()] == [3]
+@pytest.mark.parametrize("known", [1_000, 0])
+def test_chunks_of_equal_digest_are_told_apart_by_bytes(spark, docs, rows, monkeypatch, known):
+    want = {(r["doc_id"], r["start"], r["end"]) for r in line_dedup.repeated_passages(docs).collect()}
+    plain = {line_dedup._digest(x[1][a:b]) for x in rows for a, b, _ in line_dedup.passages(x[1] or "")}
+    monkeypatch.setattr(line_dedup, "_digest", lambda chunk: hashlib.md5(chunk.encode()).digest()[:1])
+    monkeypatch.setattr(line_dedup, "FORGED", known)
+    assert len({d[:1] for d in plain}) < len(plain)
+    assert {(r["doc_id"], r["start"], r["end"]) for r in line_dedup.repeated_passages(docs).collect()} == want
+
+
+def test_rolling_hash_is_that_of_its_window():
+    lines = [f"line {i % 7}" for i in range(50)]
+    for window in (1, 2, 5):
+        ends = line_dedup.boundaries(lines, window, 4)
+        for k in range(window - 1, len(lines) - 1):
+            assert (k in ends) == (window - 1 in line_dedup.boundaries([*lines[k - window + 1 : k + 1], "x"], window, 4))
 
 
 # --- 2: Jaccard join
