@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import HOT_SHARE, bounded, modest_batches, saved, slices, tidily, unused
+from .shared import bounded, hot, modest_batches, saved, slices, split_join, tidily, unused
 
 #: Rows that one input row is blown up to in one go.
 UNFOLDED_TOGETHER = 10_000
@@ -59,14 +59,12 @@ def unfolded(df: DataFrame, n: str, most: int) -> DataFrame:
 def occurrences(units: DataFrame, by: tuple[str, ...] = ("digest",)) -> DataFrame:
     """Rows of ``units`` (doc_id, text_md5, start, ``by``..., others) whose ``by`` occurs twice or more, with first_doc_id, first_start,
     copies and ``again``: whether the first occurrence is another one (smallest doc_id, null first, then text_md5, then start). ``units`` is
-    saved. Partial aggregation meets hot groups before the shuffle; their first places are broadcast, at most ``HOT_SHARE`` of them."""
+    saved. Partial aggregation meets hot groups before the shuffle; their first places are broadcast."""
     own = F.struct("doc_id", "text_md5", "start")
     first = units.groupBy(*by).agg(F.min(own).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     first = saved(first.select(*(F.col(c).alias(f"f_{c}") for c in by), "first", "copies"), "firsts")
     same = [F.col(c) == F.col(f"f_{c}") for c in by]
-    hot = F.col("copies") > F.lit(max(1, units.count() // HOT_SHARE))
-    common = F.broadcast(first.where(hot))
-    held = units.join(common, same).union(units.join(common, same, "left_anti").join(bounded(first.where(~hot), 200), same))
+    held = split_join(units, first, same, hot(F.col("copies"), units.count()), row_bytes=200)
     return held.select(*units.columns, F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies", (~own.eqNullSafe(F.col("first"))).alias("again"))
 
 

@@ -71,6 +71,18 @@ def bounded(df: DataFrame, row_bytes: Column | int = 100, limit: int = BROADCAST
     return F.broadcast(df) if small else df
 
 
+def split_join(left: DataFrame, right: DataFrame, on: list[Column] | Column, hot: Column, how: str = "inner", row_bytes: Column | int = 100) -> DataFrame:
+    """``left`` joined to ``right``, one row a key, without sending a hot key's rows to one task: rows of ``right`` that are ``hot``, of which
+    the caller knows that there are at most ``HOT_SHARE``, are broadcast; the others are too if they are few. Both sides are saved or cheap."""
+    common = F.broadcast(right.where(hot))
+    return left.join(common, on).union(left.join(common, on, "left_anti").join(bounded(right.where(~hot), row_bytes), on, how))
+
+
+def hot(count: Column, total: int) -> Column:
+    """Whether a key's ``count`` rows are more than one in ``HOT_SHARE`` of ``total``: true of at most ``HOT_SHARE`` keys."""
+    return count > F.lit(max(1, total // HOT_SHARE))
+
+
 #: Bytes of an Arrow batch between Spark and Python, where the session has no setting of its own. Texts may be very long, so rows are no bound.
 BATCH_BYTES = 8_000_000
 

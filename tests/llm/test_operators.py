@@ -239,8 +239,99 @@ def test_jaccard_join(spark, docs, rows, none, monkeypatch, block):
         assert ids.count(3) == 1 and 100 not in ids and 0 in ids and ids.count(None) == 2
 
 
-def test_forest_depth():
-    assert 1 - (1 - 0.8 ** jaccard_join.depth()) ** jaccard_join.TREES >= jaccard_join.RECALL
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_forest_depths_reach_the_target(threshold):
+    short, enough, longest = jaccard_join.levels(threshold)
+    assert short < enough < longest == jaccard_join.LONGEST
+    assert jaccard_join.met([enough] * jaccard_join.TREES, threshold) >= jaccard_join.RECALL or jaccard_join.depth(threshold) == 1
+    assert threshold > 0.8 or jaccard_join.met([enough + 1] * jaccard_join.TREES, threshold) < jaccard_join.RECALL
+
+
+def test_labels_hold_the_minima_as_prefixes():
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 1 << 63, 900, np.uint64)
+    lengths, agree, trees = jaccard_join.levels(), collections.Counter(), 0
+    for k in range(60):  # sets of similarity 0.8: agreement at a prefix of d minima in a share of 0.8 ** d of the trees
+        a, b = np.sort(rng.permutation(g)[:900]), None
+        b = np.sort(np.concatenate((a[100:], rng.integers(0, 1 << 63, 100, np.uint64))))
+        x, y = jaccard_join.labels(a, lengths), jaccard_join.labels(b, lengths)
+        trees += jaccard_join.TREES
+        for d, shift in zip(lengths, jaccard_join.SHIFTS, strict=True):
+            agree[d] += int(((x >> shift) == (y >> shift)).sum())
+    assert all(abs(agree[d] / trees - 0.8**d) < 0.05 for d in lengths)
+
+
+def trie(labelled, shift):
+    out = collections.defaultdict(set)
+    for node, label in labelled:
+        out[label >> shift].add(node)
+    return out
+
+
+@pytest.mark.parametrize("crowded", [1, 3, 10**6])
+def test_candidates_meet_the_target_whatever_the_crowd(spark, monkeypatch, crowded):
+    """Against the rule, worked out by plain dictionaries: which nodes each prefix joins, and that no node stays short of the target."""
+    monkeypatch.setattr(jaccard_join, "CROWDED", crowded)
+    rng = np.random.default_rng(7)
+    lengths, base = jaccard_join.levels(), rng.integers(0, 1 << 63, 200, np.uint64)
+    sets = []
+    for k in range(60):  # a crowd of similarity 0.5 and more, pairs of 0.9 in it, and others
+        own = np.concatenate((base[: rng.integers(150, 200)], rng.integers(0, 1 << 63, 40, np.uint64))) if k < 30 else rng.integers(0, 1 << 63, 200, np.uint64)
+        sets.append(np.unique(own))
+        if k % 5 == 0:
+            sets.append(np.unique(np.concatenate((own[8:], rng.integers(0, 1 << 63, 8, np.uint64)))))
+    labelled = [(i, int(x)) for i, g in enumerate(sets) for x in jaccard_join.labels(g, lengths)]
+    short, middle, long = (trie(labelled, shift) for shift in jaccard_join.SHIFTS)
+    s1, s2, _ = jaccard_join.SHIFTS
+    depths = collections.defaultdict(list)
+    for node, label in labelled:
+        depths[node].append(lengths[0] if len(short[label >> s1]) <= crowded else lengths[1] if len(middle[label >> s2]) <= crowded else lengths[2])
+    lost = {n for n, d in depths.items() if jaccard_join.met(d) < jaccard_join.RECALL}
+    assert (crowded == 1) == bool(lost)
+    joins = set()
+    for label in {x for _, x in labelled}:
+        if len(short[label >> s1]) <= crowded:
+            joins.add(frozenset(short[label >> s1]))
+        elif len(middle[label >> s2]) <= crowded or middle[label >> s2] & {n for n in lost if any(m == n and (x >> s2) == (label >> s2) for m, x in labelled)}:
+            joins.add(frozenset(middle[label >> s2]))
+        else:
+            joins.add(frozenset(long[label]))
+    want = {(min(j), n) for j in joins if len(j) > 1 for n in j}
+    df = spark.createDataFrame(labelled, "nid long, label long").cache()
+    assert {(r["a"], r["b"]) for r in jaccard_join.candidates(df).collect()} == want
+
+
+def near_copies(rng, n):
+    """Pairs of texts of 200 to 300 words whose similarity is a little above and below 0.8, by one changed word after another."""
+    rows = []
+    for i in range(n):
+        words = [rng.choice(WORDS) + str(rng.randint(0, 50)) for _ in range(rng.randint(200, 300))]
+        other = list(words)
+        for k in range(rng.randint(3, 7)):
+            other[20 + k * 25] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    return rows
+
+
+def test_measured_recall(spark):
+    """Links found of the links that there are: near the threshold, and on the tables."""
+    planted = near_copies(__import__("random").Random(21), 300)
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    for name, rows in (("planted", planted), ("sf0.01", real)):
+        sets = {t: frozenset(jaccard_join.grams(t).tolist()) for _, t in rows}
+        texts, holders, links = list(sets), collections.defaultdict(list), collections.Counter()
+        for i, t in enumerate(texts):
+            for g in sets[t]:
+                holders[g].append(i)
+        shared = collections.Counter((a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :])
+        for (a, b), n in shared.items():
+            if 5 * n >= 4 * (len(sets[texts[a]]) + len(sets[texts[b]]) - n):
+                links[texts[a]] += 1
+                links[texts[b]] += 1
+        got = {r["doc_id"]: r["n_links"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        found, there = sum(min(got[d], links[t]) for d, t in rows), sum(links[t] for _, t in rows)
+        print(name, "recall", found, "of", there)
+        assert all(got[d] <= links[t] for d, t in rows) and there > 10 and found >= 0.99 * there
 
 
 def test_shared_counts():
