@@ -144,11 +144,11 @@ FORGED = 1_000
 
 def with_repeats(rows: DataFrame, cut: Cut) -> DataFrame:
     """``rows`` (doc_id, text_md5, text, others; one a key) with ``spans``: their chunks that occur twice or more, ``again`` where an earlier
-    place has the same bytes. Rows are shuffled once, unless the spans are few enough to be broadcast, and saved."""
-    chunks_ = saved(rows.select("doc_id", "text", "text_md5").mapInArrow(tidily(_digests(cut)), _CHUNKS), "chunks")
-    found = occurrences(chunks_).select("doc_id", "text_md5", "start", "end", "digest", "again")
-    out = saved(with_spans(rows, found), "with-spans")
-    dropped(chunks_)
+    place has the same bytes. Rows are shuffled once and saved."""
+    scratch = [chunks_ := saved(rows.select("doc_id", "text", "text_md5").mapInArrow(tidily(_digests(cut)), _CHUNKS), "chunks")]
+    out = saved(with_spans(rows, occurrences(chunks_, scratch=scratch).select("doc_id", "text_md5", "start", "end", "digest", "again")), "with-spans", "zstd")
+    for t in scratch:
+        dropped(t)
     met = out.where("spans is not null")
     differ = met.select("text", "spans").mapInArrow(tidily(_bytes), "digest binary, chunk binary").groupBy("digest").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("least <> most")
     forged = saved(differ.select("digest"), "forged")

@@ -56,13 +56,14 @@ def unfolded(df: DataFrame, n: str, most: int) -> DataFrame:
     return few.union(many).drop(n, at)
 
 
-def occurrences(units: DataFrame, by: tuple[str, ...] = ("digest",)) -> DataFrame:
+def occurrences(units: DataFrame, by: tuple[str, ...] = ("digest",), scratch: list[DataFrame] | None = None) -> DataFrame:
     """Rows of ``units`` (doc_id, text_md5, start, ``by``..., others) whose ``by`` occurs twice or more, with first_doc_id, first_start,
     copies and ``again``: whether the first occurrence is another one (smallest doc_id, null first, then text_md5, then start). ``units`` is
-    saved. Partial aggregation meets hot groups before the shuffle; their first places are broadcast."""
+    saved. Partial aggregation meets hot groups before the shuffle; their first places are broadcast. ``scratch`` gets the tables written."""
     own = F.struct("doc_id", "text_md5", "start")
     first = units.groupBy(*by).agg(F.min(own).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     first = saved(first.select(*(F.col(c).alias(f"f_{c}") for c in by), "first", "copies"), "firsts")
+    scratch is None or scratch.append(first)
     same = [F.col(c) == F.col(f"f_{c}") for c in by]
     held = split_join(units, first, same, hot(F.col("copies"), units.count()), row_bytes=200)
     return held.select(*units.columns, F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies", (~own.eqNullSafe(F.col("first"))).alias("again"))
@@ -70,9 +71,9 @@ def occurrences(units: DataFrame, by: tuple[str, ...] = ("digest",)) -> DataFram
 
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` (doc_id, text_md5, others) and ``spans``: the places of ``found`` (doc_id, text_md5, start, end, digest, again), null where
-    there are none. A row of ``rows`` an id and digest, so no key is hot."""
-    by_doc = saved(found.groupBy(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5")).agg(F.collect_list(F.struct("start", "end", "digest", "again")).alias("spans")), "spans")
-    return rows.join(bounded(by_doc, F.size("spans") * 64 + 100), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_md5") == F.col("s_md5")), "left").drop("s_id", "s_md5")
+    there are none. Spans grow with the corpus, so both sides are shuffled at any size. A row of ``rows`` an id and digest: no key is hot."""
+    by_doc = found.groupBy(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5")).agg(F.collect_list(F.struct("start", "end", "digest", "again")).alias("spans"))
+    return rows.join(by_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_md5") == F.col("s_md5")), "left").drop("s_id", "s_md5")
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:

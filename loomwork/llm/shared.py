@@ -45,11 +45,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomwork_path = path
     return out

@@ -81,10 +81,10 @@ def _units(unit: str, min_words: int):
 
 def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, what stays (text, kept_spans) and what goes (removed_spans), as ``repeats.kept`` has them. The spans
-    are of the original text. Digests are shuffled, and texts once, unless the removed spans are few enough to be broadcast."""
+    are of the original text. Digests are shuffled, and texts once, to meet the spans that go."""
     rows, most = folded(docs)
-    all_ = saved(rows.select("doc_id", "text", "text_md5").mapInArrow(tidily(_units(unit, min_words)), _UNITS), "units")
-    again = occurrences(all_).where("again").select("doc_id", "text_md5", "start", "end", "digest", "again")
-    out = with_spans(rows, again)
-    dropped(all_)
-    return kept(out, most, pieces(unit), lambda text: ((a, b) for a, b, _ in units(text, unit, min_words)))
+    scratch = [all_ := saved(rows.select("doc_id", "text", "text_md5").mapInArrow(tidily(_units(unit, min_words)), _UNITS), "units")]
+    again = saved(occurrences(all_, scratch=scratch).where("again").select("doc_id", "text_md5", "start", "end", "digest", "again"), "repeated-units")
+    for t in scratch:
+        dropped(t)
+    return kept(with_spans(rows, again), most, pieces(unit), lambda text: ((a, b) for a, b, _ in units(text, unit, min_words)))
