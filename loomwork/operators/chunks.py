@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.text import count_phrase
@@ -15,16 +13,17 @@ from ..functions.text import count_phrase
 WHOLE = -1
 FACE_SEPARATOR = "\n//\n"
 #: Words of a type line that are supertypes.
-SUPERTYPES = ("basic", "elite", "host", "legendary", "ongoing", "snow", "world")
+SUPERTYPES = ("basic", "legendary", "snow", "world", "ongoing", "host", "elite")
 #: Attribute values that say that something is absent.
-ABSENT = ("none", "n/a", "na", "null", "nothing", "no", "")
+ABSENT = ("", "n/a", "na", "nil", "none", "not applicable", "not present", "not visible", "nothing", "null", "unknown", "unspecified")
 
 
-def line_chunks(rows: DataFrame, id_: str, text: str, separator: str = FACE_SEPARATOR) -> DataFrame:
-    """(id, face_index, ordinal, text): one row per line that is not blank, numbered within its face without the blank ones."""
-    faces = rows.select(id_, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), re.escape(separator).replace("/", "\\/"))).alias("face_index", "_face"))
-    lines = faces.select(id_, "face_index", F.filter(F.transform(F.split("_face", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "").alias("_lines"))
-    return lines.select(id_, "face_index", F.posexplode("_lines").alias("ordinal", "text"))
+def line_chunks(rows: DataFrame, id_: str, text: str, *along: Column, separator: str = FACE_SEPARATOR) -> DataFrame:
+    """(id, ``along``..., face_index, ordinal, text): one row per line that is not blank, numbered within its face without the blank ones."""
+    held = rows.select(id_, *along, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), re.escape(separator).replace("/", "\\/"))).alias("face_index", "_face"))
+    more = [c for c in held.columns if c not in (id_, "face_index", "_face")]
+    lines = held.select(id_, *more, "face_index", F.filter(F.transform(F.split("_face", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "").alias("_lines"))
+    return lines.select(id_, *more, "face_index", F.posexplode("_lines").alias("ordinal", "text"))
 
 
 def chunks(rows: DataFrame, id_: str, name: str, type_line: str, text: str) -> DataFrame:
@@ -32,10 +31,9 @@ def chunks(rows: DataFrame, id_: str, name: str, type_line: str, text: str) -> D
     kind = F.trim(F.coalesce(F.col(type_line), F.lit("")))
     body = F.coalesce(F.col(text), F.lit(""))
     whole = F.when(kind != "", F.regexp_replace(F.concat(kind, F.lit("\n"), body), r"^\n+|\n+$", "")).otherwise(body)
-    parts = line_chunks(rows, id_, text).withColumn("kind", F.lit("ability"))
-    wholes = rows.select(id_, F.lit(0).alias("face_index"), F.lit(WHOLE).alias("ordinal"), whole.alias("text"), F.lit("whole").alias("kind"))
-    named = rows.select(F.col(id_).alias("_id"), F.col(name).alias("_name"))
-    both = parts.unionByName(wholes).join(named, F.col(id_) == F.col("_id"), "left")
+    parts = line_chunks(rows, id_, text, F.col(name).alias("_name")).withColumn("kind", F.lit("ability"))
+    wholes = rows.select(id_, F.col(name).alias("_name"), F.lit(0).alias("face_index"), F.lit(WHOLE).alias("ordinal"), whole.alias("text"), F.lit("whole").alias("kind"))
+    both = parts.unionByName(wholes)
     return both.select(id_, "face_index", "ordinal", "kind", "text", without_name(F.col("text"), F.col("_name")).alias("text_embedded"))
 
 
@@ -79,22 +77,48 @@ def parsed_types(type_line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(type_line, F.lit("")), "//"), of)))
 
 
+def squeezed(value: Column) -> Column:
+    return F.trim(F.regexp_replace(value, r"\s+", " "))
+
+
 def present(value: Column) -> Column:
-    """The value, or null if it says that there is nothing or that it cannot be made out."""
-    low = F.lower(F.trim(value))
-    return F.when(~low.isin(*ABSENT) & ~low.startswith("obscured"), F.trim(value))
+    """The value, or null if it says that there is nothing to see."""
+    return F.when(~F.lower(squeezed(value)).isin(*ABSENT), F.trim(value))
 
 
 def folded_slots(slots: Column) -> Column:
-    """Plain statements of nested attributes; absent values say nothing, of lists the first four count."""
+    """Plain statements of nested attributes, each under the name of its attribute; absent values say nothing, of lists the first four count."""
     subject = slots["primary_subject"]
-    held = F.transform(F.slice(F.filter(F.coalesce(subject["held_objects"], F.array()), lambda o: present(o["object"]).isNotNull()), 1, 4), lambda o: F.concat(F.lit("holding "), present(o["object"])))
-    others = F.transform(F.slice(F.filter(F.coalesce(slots["other_figures"], F.array()), lambda f: present(f["species"]).isNotNull()), 1, 4), lambda f: F.concat_ws(" ", F.lit("also"), present(f["species"]), present(f["role"])))
-    fixed = F.array(
-        present(subject["species"]), present(subject["facial_hair"]), present(subject["clothing"]), present(subject["pose"]), count_phrase(slots["figure_count"]),
-        present(slots["setting"]), present(slots["time_of_day"]), present(slots["art_style"]), present(slots["composition"]),
-    )
-    return F.filter(F.concat(fixed, held, others), lambda x: x.isNotNull())
+
+    def said(label: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{label}: "), present(value))
+
+    def first(members: Column, statement) -> Column:
+        return F.coalesce(F.filter(F.transform(F.slice(members, 1, 4), statement), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+    held = first(subject["held_objects"], lambda o: said_of(F.when(o["is_weapon"], "a weapon").otherwise("a non-weapon object"), o["object"]))
+    others = first(slots["other_figures"], lambda f: F.concat(said("other figure", f["species"]), F.coalesce(F.concat(F.lit(" ("), present(f["role"]), F.lit(")")), F.lit(""))))
+    count = F.coalesce(slots["figure_count"].cast("int"), F.lit(0))
+    of_subject = [said(f"primary subject {label}", subject[key]) for label, key in (("species", "species"), ("facial hair", "facial_hair"), ("clothing", "clothing"), ("pose", "pose"))]
+    scene = [
+        F.concat(F.lit("figure count: "), count.cast("string"), F.lit(" ("), count_phrase(count), F.lit(")")), said("setting", slots["setting"]), said("time of day", slots["time_of_day"]),
+        said("palette", F.array_join(slots["palette"], ", ")), said("art style", slots["art_style"]), said("composition", slots["composition"]),
+    ]
+    return F.concat(F.filter(F.array(*of_subject), lambda x: x.isNotNull()), held, others, F.filter(F.array(*scene), lambda x: x.isNotNull()))
+
+
+def said_of(kind: Column, value: Column) -> Column:
+    return F.concat(F.lit("primary subject holds "), kind, F.lit(": "), present(value))
+
+
+def statements(rows: DataFrame, id_: str, literal: Column, slots: Column, interpretive: Column) -> DataFrame:
+    """(id, position, layer, text): literal statements, those of the slots, then interpretive ones; of equal ones, white space and case
+    aside, the first stays, over all layers."""
+    tag = lambda layer, texts: F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.struct(F.lit(layer).alias("layer"), t.alias("text")))
+    every = rows.select(id_, F.posexplode(F.concat(tag("literal", literal), tag("literal", folded_slots(slots)), tag("interpretive", interpretive))).alias("position", "s"))
+    keyed = every.select(id_, "position", "s.layer", "s.text", F.lower(squeezed(F.col("s.text"))).alias("_key")).where("_key <> ''")
+    first = W.partitionBy(id_, "_key").orderBy("position")
+    return keyed.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "_key")
 
 
 def slot_phrases(rows: DataFrame, id_: str, slots: dict[str, Column]) -> DataFrame:
@@ -127,13 +151,3 @@ def repaired(raw: DataFrame, text: str, schema: str, bounds: dict[str, tuple[int
     for name, (_, most) in bounds.items():
         cut = cut.withColumn("data", F.col("data").withField(name, F.slice(F.col("data")[name], 1, most)))
     return cut, parsed.where(bad).drop("data")
-
-
-@F.pandas_udf(T.BooleanType())
-def phrase_has(phrases: pd.Series, wanted: pd.Series) -> pd.Series:
-    """Whether a phrase's words include the wanted words as a run. Meant for distinct phrases."""
-    def has(p: str | None, w: str | None) -> bool:
-        a, b = (p or "").split(), (w or "").split()
-        return bool(b) and any(a[i : i + len(b)] == b for i in range(len(a) - len(b) + 1))
-
-    return pd.Series([has(p, w) for p, w in zip(phrases, wanted, strict=True)])

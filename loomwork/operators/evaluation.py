@@ -35,6 +35,37 @@ def marks(judgments: DataFrame, seq: str) -> DataFrame:
     return judgments.groupBy("query", "id").agg(F.max_by("fit", seq).alias("fit"))
 
 
+#: Sources whose marks are a person's.
+HUMAN = ("human", "discord")
+
+
+def stored_marks(judgments: DataFrame, queries: DataFrame, seq: str, sources: tuple[str, ...] = HUMAN) -> DataFrame:
+    """(text, id, fit): the last human mark of each entity under each query text, of whichever run. ``judgments``: (query_id, id, fit, source,
+    seq), ``queries``: (query_id, text)."""
+    own = judgments.where(F.col("source").isin(*sources) & F.col("id").isNotNull()).join(queries.select("query_id", "text"), "query_id")
+    return marks(own.withColumnRenamed("text", "query"), seq).withColumnRenamed("query", "text")
+
+
+def stored_preferences(preferences: DataFrame, queries: DataFrame) -> DataFrame:
+    """(text, a, b, winner) of ``preferences`` (query_id, a, b, winner)."""
+    return preferences.join(queries.select("query_id", "text"), "query_id").select("text", "a", "b", "winner")
+
+
+def pool_names(retrievals: DataFrame, owners: DataFrame, cards: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query, card, name, rank): each query's cards by the least rank of any of their entities in the pool. ``retrievals``: (query, id, rank,
+    method), ``owners``: (id, card), ``cards``: (card, name)."""
+    best = ranks(retrievals).join(owners, "id").groupBy("query", "card").agg(F.min("rank").alias("rank")).join(cards, "card").where("name <> ''")
+    named = best.select("query", "card", "name", "rank")
+    return named if limit is None else named.withColumn("_k", F.row_number().over(W.partitionBy("query").orderBy("rank", "card"))).where(F.col("_k") <= limit).drop("_k")
+
+
+def described(descriptions: DataFrame, arts: DataFrame, text: str, id_: str = "id") -> DataFrame:
+    """Descriptions with a text, and whether theirs is a default one (no, where the art is not known)."""
+    flags = arts.select(F.col(id_).alias("_id"), "is_default")
+    rows = descriptions.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").join(flags, F.col(id_) == F.col("_id"), "left").drop("_id")
+    return rows.withColumn("is_default", F.coalesce("is_default", F.lit(False)))
+
+
 def precision(ranked: DataFrame, marked: DataFrame, depth: int = 5, passing: float = 0.5) -> DataFrame:
     """(query, good, marked, precision): good marks among the marks given within ``depth``."""
     j = ranked.where(F.col("rank") <= depth).join(marked.where("fit is not null"), ["query", "id"])

@@ -10,6 +10,7 @@ from ..functions.text import split_of, squeeze
 
 # Fixed values of the export.
 PRIORITY = {"human": 3, "discord": 3, "judge": 2, "distill": 1}
+LITERAL_REGISTERS = ("literal", "compositional")
 POSITIVE, NEGATIVE, ACCEPT, MOST_NEGATIVES, STATEMENTS, CHARACTERS, HUMAN_WEIGHT = 0.7, 0.3, 0.5, 8, 4, 700, 3
 
 
@@ -57,6 +58,20 @@ def evidence(props: DataFrame, id_: str, position: str, text: str, most: int = S
     return first.groupBy(id_).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", text))), lambda s: s[text]), " "), 1, characters).alias("evidence"))
 
 
+def text_for(labels: DataFrame, props: DataFrame, id_: str, cited: str, register: str, most: int = STATEMENTS, characters: int = CHARACTERS) -> DataFrame:
+    """Adds ``positive``: the entity's side of a training pair. The cited statements that it has, in the order cited; else those of the layer
+    that the register asks for; else all. ``props``: (id, prop, layer, text)."""
+    own = props.groupBy(F.col(id_).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("prop", "layer", "text"))).alias("_props"))
+    rows = labels.join(own, F.col(id_) == F.col("_id"), "left").drop("_id")
+    held = F.coalesce("_props", F.array().cast(own.schema["_props"].dataType))
+    texts = lambda a: F.filter(F.transform(a, lambda p: p["text"]), lambda t: F.coalesce(t, F.lit("")) != "")
+    named = texts(F.filter(F.transform(F.coalesce(cited, F.array().cast("array<bigint>")), lambda n: F.get(F.filter(held, lambda p: p["prop"] == n), F.lit(0))), lambda p: p.isNotNull()))
+    layer = F.when(F.coalesce(register, F.lit("")).isin(*LITERAL_REGISTERS), "literal").otherwise("interpretive")
+    of_layer = texts(F.filter(held, lambda p: p["layer"] == layer))
+    chosen = F.when(F.size(named) > 0, named).when(F.size(of_layer) > 0, of_layer).otherwise(texts(held))
+    return rows.withColumn("positive", F.trim(F.substring(F.array_join(F.slice(chosen, 1, most), " "), 1, characters))).drop("_props")
+
+
 def weighted(rows: DataFrame, weight: Column) -> DataFrame:
     """Each row as often as its weight says."""
     return rows.withColumn("_w", F.explode(F.array_repeat(F.lit(1), weight.cast("int")))).drop("_w")

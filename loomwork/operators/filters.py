@@ -6,12 +6,18 @@ dropped, broadest first kept, where they would leave fewer than a floor.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER_LIMITS = (0, 30)
+# Attribute paths that slot filters may name, and their operators.
+SLOT_PATHS = (
+    "primary_subject.species", "primary_subject.facial_hair", "primary_subject.clothing", "primary_subject.pose", "primary_subject.held_objects", "other_figures",
+    "figure_count", "setting", "time_of_day", "palette", "art_style", "composition",
+)
+SLOT_OPS = ("equals", "contains", "not_contains", "gte", "lte")
 
 
 def between_bounds(value: Column, low: int | None, high: int | None, notes: list[str] | None = None) -> Column | None:
@@ -79,11 +85,6 @@ def legal_in(legalities: DataFrame, id_: str, formats: list[str]) -> DataFrame:
     return legalities.where((F.col("status") == "legal") & F.col("format").isin(formats)).select(id_).distinct()
 
 
-def flagged(rows: DataFrame, predicates: Mapping[str, Column | None]) -> DataFrame:
-    """A boolean column for each field that filters, in one scan; null counts as no match."""
-    return rows.select("*", *(F.coalesce(p, F.lit(False)).alias(f"is_{name}") for name, p in predicates.items() if p is not None))
-
-
 def hard(rows: DataFrame, predicates: Mapping[str, Column | None]) -> DataFrame:
     for p in predicates.values():
         if p is not None:
@@ -98,8 +99,9 @@ def soft(rows: DataFrame, predicates: Mapping[str, Column | None], floor: int =
     used = [n for n, p in predicates.items() if p is not None]
     if not used:
         return rows, []
-    marked = flagged(rows, predicates)
-    combos = [(tuple(r[f"is_{n}"] for n in used), r["count"]) for r in marked.groupBy(*(f"is_{n}" for n in used)).count().collect()]  # 2 ** filters rows at most
+    flag = {n: f"_flag{i}" for i, n in enumerate(used)}
+    marked = rows.select("*", *(F.coalesce(predicates[n], F.lit(False)).alias(flag[n]) for n in used))
+    combos = [(tuple(r[flag[n]] for n in used), r["count"]) for r in marked.groupBy(*flag.values()).count().collect()]  # 2 ** filters rows at most
     own = {n: sum(c for flags, c in combos if flags[i]) for i, n in enumerate(used)}
     kept: list[str] = []
     for name in sorted(used, key=lambda n: -own[n]):
@@ -115,8 +117,8 @@ def soft(rows: DataFrame, predicates: Mapping[str, Column | None], floor: int =
             continue
         kept.append(name)
     for name in kept:
-        marked = marked.where(f"is_{name}")
-    return marked.drop(*(f"is_{n}" for n in used)), kept
+        marked = marked.where(F.col(flag[name]))
+    return marked.drop(*flag.values()), kept
 
 
 def structural(rows: DataFrame, rank: str, id_: str, k: int) -> DataFrame:
@@ -124,8 +126,8 @@ def structural(rows: DataFrame, rank: str, id_: str, k: int) -> DataFrame:
     return rows.orderBy(F.col(rank).asc_nulls_last(), F.col(id_)).limit(k)
 
 
-def mechanical(rows: DataFrame, terms: list[str], columns: list[str]) -> DataFrame:
-    """Rows with any term in any of the columns; all rows if there is none (the filter is then dropped)."""
+def mechanical(rows: DataFrame, terms: list[str], columns: list[str], notes: list[str] | None = None) -> DataFrame:
+    """Rows with any term in any of the columns; all rows if there is none (the filter is then dropped, with a note)."""
     if not terms:
         return rows
     text = F.lower(F.concat_ws("\n", *columns))
@@ -133,7 +135,11 @@ def mechanical(rows: DataFrame, terms: list[str], columns: list[str]) -> DataFra
     for t in terms:
         hit = hit | text.contains(t.lower())
     found = rows.where(hit)
-    return rows if found.isEmpty() else found
+    if not found.isEmpty():
+        return found
+    if notes is not None:
+        notes.append(f"terms {', '.join(terms)} matched nothing; dropped")
+    return rows
 
 
 def in_bands(rows: DataFrame, low: int, high: int, band: str = "band") -> DataFrame:
@@ -148,19 +154,15 @@ def relaxed(low: int, high: int) -> tuple[int, int]:
     return max(1, low - 1), min(5, high + 1)
 
 
-def starts_with_any(text: Column, prefixes: list[str]) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | F.lower(F.trim(text)).startswith(p.lower())
-    return out
-
-
-def clean_slots(slots: list[dict], paths: set[str], notes: list[str]) -> list[dict]:
+def clean_slots(slots: list[dict], notes: list[str], paths: Iterable[str] = SLOT_PATHS) -> list[dict]:
     """Slot filters with a known path, a known operator and a value; others go with a note."""
     out = []
-    for s in slots:
-        path, op, value = str(s.get("path") or "").strip(), str(s.get("op") or "").strip(), str(s.get("value") or "").strip()
-        if path in paths and op in ("equals", "contains", "not_contains", "gte", "lte") and value:
+    for s in slots or []:
+        if not isinstance(s, dict):
+            notes.append(f"slot filter {s!r} is not understood; dropped")
+            continue
+        path, op, value = str(s.get("path") or "").strip(), str(s.get("op") or "").strip().lower(), str(s.get("value") or "").strip()
+        if path in paths and op in SLOT_OPS and value:
             out.append({"path": path, "op": op, "value": value})
         else:
             notes.append(f"slot filter {path or '?'} {op or '?'} {value or '?'} is not understood; dropped")

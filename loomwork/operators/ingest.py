@@ -13,7 +13,9 @@ from .chunks import FACE_SEPARATOR, parsed_types
 #: What is not a printed card.
 DIGITAL_ONLY = ("arena", "astral", "sega")
 EXCLUDED_LAYOUTS = ("token", "double_faced_token", "emblem", "art_series")
-EXCLUDED_SET_TYPES = ("token", "memorabilia", "minigame")
+EXCLUDED_SET_TYPES = ("token", "memorabilia")
+#: Vendors whose prices are in one currency, by preference.
+VENDORS = ("tcgplayer", "cardkingdom", "manapool", "scg", "mtgstocks")
 
 _S, _L = T.StringType(), T.ArrayType(T.StringType())
 _IMAGES = T.StructType([T.StructField("normal", _S), T.StructField("art_crop", _S)])
@@ -111,8 +113,13 @@ def legalities(raw: DataFrame) -> DataFrame:
     return raw.select(card_id().alias("oracle_id"), F.explode("legalities").alias("format", "status"))
 
 
+def entry_map(rows: DataFrame, id_: str, key: str, value: str, out: str) -> DataFrame:
+    """(id, out): a map of an entity's rows, one a key."""
+    return rows.groupBy(id_).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(key, value)))).alias(out))
+
+
 def legality_maps(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("oracle_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("format", "status")))).alias("legalities"))
+    return entry_map(rows, "oracle_id", "format", "status", "legalities")
 
 
 def arts(raw: DataFrame) -> DataFrame:
@@ -136,11 +143,9 @@ def default_printings(raw: DataFrame) -> DataFrame:
 
 def page_stats(pages: DataFrame) -> DataFrame:
     """(slug, num_decks, avg_price, themes, archetypes) of parsed statistics pages (slug, num_decks, prices, themes, taglinks): the first
-    vendor's price above 0, archetypes falling back to themes."""
-    price = None
-    for vendor in ("tcgplayer", "cardkingdom", "cardmarket"):
-        p = F.col("prices")[vendor]
-        price = F.when(p > 0, p) if price is None else F.coalesce(price, F.when(p > 0, p))
+    vendor's price above 0, where ``prices`` maps a vendor to a struct with ``price``; archetypes falling back to themes."""
+    offered = [F.col("prices")[v]["price"].cast("double") for v in VENDORS]
+    price = F.coalesce(*(F.when(p > 0, p) for p in offered))
     archetypes = F.when(F.size(F.coalesce("taglinks", F.array())) > 0, F.col("taglinks")).otherwise(F.col("themes"))
     return pages.select("slug", F.col("num_decks").cast("long").alias("num_decks"), price.alias("avg_price"), "themes", archetypes.alias("archetypes"))
 

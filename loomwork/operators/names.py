@@ -1,7 +1,8 @@
 """Names resolved through six layers: exact, folded, part, prefix, all words, and near by edits. A layer counts only where all above are empty.
 
-Each layer runs on the queries that are still open, so the costlier ones meet few. The fuzzy layer joins on shared bigrams within the length
-band, keeps pairs of a Dice similarity of 0.4 or more, and measures the edit distance of those.
+Each layer runs on the queries that are still open, so the costlier ones meet few; it is written before the next one begins, so that no
+plan holds more than its own layer. The fuzzy layer joins on a query's rarest bigrams, as many as any name of enough similarity must share
+one of, within the length band; keeps pairs of a Dice similarity of 0.4 or more; and measures all of those within the budget.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import bigrams, edit_budget, fold
+from ..sources.scratch import written
 
-DICE_FLOOR, CANDIDATES, NEAREST = 0.4, 10, 200
+DICE_FLOOR, CANDIDATES, BUDGET = 0.4, 10, 3
 
 
 def index(entities: DataFrame, id_: str, name: str, rank: str | None = None, parts: DataFrame | None = None) -> DataFrame:
@@ -27,35 +29,42 @@ def index(entities: DataFrame, id_: str, name: str, rank: str | None = None, par
 
 def fuzzy(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query, id, distance): the nearest names within the budget, all that tie. ``queries`` has query and folded."""
-    q = queries.select("query", F.col("folded").alias("qf"), edit_budget(F.col("folded")).alias("budget"), F.length("folded").alias("qn"), bigrams(F.col("folded")).alias("qg"))
+    q = queries.select("query", F.col("folded").alias("qf"), edit_budget(F.col("folded"), BUDGET).alias("budget"), F.length("folded").alias("qn"), bigrams(F.col("folded")).alias("qg"))
     distinct = names.select(F.col("folded").alias("nf")).distinct().select("nf", F.length("nf").alias("nn"), bigrams(F.col("nf")).alias("ng"))
-    qx, nx = q.select("*", F.explode("qg").alias("gram")).drop("qg"), distinct.select("nf", "nn", F.explode("ng").alias("gram"))
-    near = qx.join(nx, (qx["gram"] == nx["gram"]) & F.col("nn").between(F.col("qn") - F.col("budget"), F.col("qn") + F.col("budget")))
-    shared = near.groupBy("query", "qf", "budget", "nf", "nn").agg(F.count("*").alias("shared"))
-    sized = shared.join(q.select(F.col("query").alias("_q"), F.size("qg").alias("qsize")), F.col("query") == F.col("_q"))
-    kept = sized.where(2 * F.col("shared") / (F.col("qsize") + F.greatest(F.lit(1), F.col("nn") - 1)) >= DICE_FLOOR)
-    capped = kept.withColumn("_k", F.row_number().over(W.partitionBy("query").orderBy(F.desc("shared"), "nf"))).where(F.col("_k") <= NEAREST)
-    measured = capped.withColumn("distance", F.levenshtein("qf", "nf")).where(F.col("distance") <= F.col("budget"))
-    best = measured.withColumn("_d", F.min("distance").over(W.partitionBy("query"))).where("distance = _d")
+    held = distinct.select("nf", "nn", "ng", F.explode("ng").alias("gram"))
+    often = held.groupBy(F.col("gram").alias("o_gram")).agg(F.count("*").alias("often"))
+    # Dice = 2 shared / (grams + length - 1), and no name is shorter than the band allows: so many bigrams have to be shared.
+    need = F.greatest(F.lit(1), F.ceil(F.lit(DICE_FLOOR / 2) * (F.size("qg") + F.greatest(F.lit(1), F.col("qn") - F.col("budget") - 1)) - 1e-9))
+    asked = q.withColumn("need", need.cast("int")).select("*", F.explode("qg").alias("gram")).join(often, F.col("gram") == F.col("o_gram"), "left")
+    rarest = F.row_number().over(W.partitionBy("query").orderBy(F.coalesce("often", F.lit(0)), "gram"))
+    asked = asked.withColumn("k", rarest).where((F.col("k") <= F.size("qg") - F.col("need") + 1) & (F.col("often") > 0)).drop("o_gram", "often", "k", "need")
+    near = asked.join(held.withColumnRenamed("gram", "h_gram"), (F.col("gram") == F.col("h_gram")) & F.col("nn").between(F.col("qn") - F.col("budget"), F.col("qn") + F.col("budget")))
+    pairs = near.select("query", "qf", "budget", "qg", "nf", "nn", "ng").dropDuplicates(["query", "nf"]).withColumn("shared", F.size(F.array_intersect("qg", "ng")))
+    kept = pairs.where(2 * F.col("shared") / (F.size("qg") + F.greatest(F.lit(1), F.col("nn") - 1)) >= DICE_FLOOR)
+    distance = F.levenshtein("qf", "nf", BUDGET)  # -1 beyond the greatest budget, where the count stops
+    best = kept.withColumn("distance", distance).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("budget")))
+    best = best.withColumn("least", F.min("distance").over(W.partitionBy("query"))).where("distance = least")
     owners = names.select("id", F.col("folded").alias("of"))
     return best.join(owners, F.col("nf") == F.col("of")).select("query", "id", "distance").distinct()
 
 
 def resolve(queries: DataFrame, names: DataFrame, max_layer: int = 5) -> DataFrame:
-    """(query, layer, id, place, total, distance): up to ten ids a query, by rank, unranked last, then name; total counts all."""
+    """(query, layer, id, place, total, distance): up to ten ids a query, by rank, unranked last, then name; total counts all. An action a
+    layer: each is written."""
     asked = queries.select(F.trim(F.col(queries.columns[0])).alias("query")).where("query <> ''").distinct().withColumn("folded", fold(F.col("query")))
+    asked, names = written(asked, "asked"), written(names, "names")
     wholes, open_, found = names.where("not part"), asked, None
 
     def layer(n: int, hits: DataFrame) -> None:
         nonlocal found, open_
         if n > max_layer:
             return
-        own = hits.select("query", "id", F.lit(f"L{n}").alias("layer"), (F.col("distance") if "distance" in hits.columns else F.lit(None)).cast("int").alias("distance")).distinct()
+        distance = F.col("distance") if "distance" in hits.columns else F.lit(None)
+        own = written(hits.select("query", "id", F.lit(f"L{n}").alias("layer"), distance.cast("int").alias("distance")).distinct(), f"layer-{n}")
         found = own if found is None else found.unionByName(own)
-        open_ = open_.join(own.select("query").distinct(), "query", "left_anti")
+        open_ = asked.join(found.select("query").distinct(), "query", "left_anti").where("folded <> ''")
 
     layer(0, open_.join(wholes.select("id", F.col("name").alias("n")), F.col("query") == F.col("n")))
-    open_ = open_.where("folded <> ''")
     layer(1, open_.join(wholes.select("id", F.col("folded").alias("f")), F.col("folded") == F.col("f")))
     layer(2, open_.join(names.where("part").select("id", F.col("folded").alias("f")), F.col("folded") == F.col("f")))
     if max_layer >= 3:
@@ -70,7 +79,7 @@ def resolve(queries: DataFrame, names: DataFrame, max_layer: int = 5) -> DataFra
         layer(4, hit)
     if max_layer >= 5:
         layer(5, fuzzy(open_, names))
-    shown = names.where("not part").select("id", "name", "rank").distinct()
+    shown = wholes.select("id", "name", "rank").distinct()
     order = W.partitionBy("query").orderBy(F.col("rank").asc_nulls_last(), "name", "id")
     placed = found.join(shown, "id").withColumn("place", F.row_number().over(order)).withColumn("total", F.count("*").over(W.partitionBy("query")))
     return placed.where(F.col("place") <= CANDIDATES).select("query", "layer", "id", "place", "total", "distance")

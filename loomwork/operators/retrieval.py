@@ -6,11 +6,14 @@ index, as a mask must not change a row's score.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import tokenize
+from ..sources.scratch import written
 
 # Fixed values of the ranking functions.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -18,6 +21,8 @@ RRF_K, DEPTH, POOL, RULES_POOL, LOGGED = 60, 200, 100, 40, 50
 
 #: Rows of a query table up to which it is broadcast.
 BROADCAST_ROWS = 200_000
+#: Query vectors that meet the corpus at once.
+QUERY_BLOCK = 20_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -41,27 +46,56 @@ def idf(df: DataFrame, n_docs: int) -> DataFrame:
 
 
 def bm25(docs: DataFrame, id_: str, text: str, queries: DataFrame, query_id: str, query_text: str, allowed: DataFrame | None = None) -> DataFrame:
-    """(query, doc, score) with score > 0. A token that a query has twice counts twice. Of the corpus, only occurrences of the queries'
-    tokens are shuffled, and counts by token. Two actions: the corpus totals, and the
-    size of the query side."""
-    tokens = docs.select(F.col(id_).alias("doc"), tokenize(F.col(text)).alias("tokens")).select("doc", "tokens", F.size("tokens").alias("dl"))
-    n, total = tokens.agg(F.count("*"), F.sum("dl")).collect()[0]
-    n, avgdl = n or 0, (total or 0) / max(1, n or 0)
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    """(query, doc, score) with score > 0. A token that a query has twice counts twice. One pass over the corpus writes the postings of the
+    queries' tokens, with a row a document for the totals; a second one is made only where some of them are in more than half of all
+    documents, whose weight is a share of the vocabulary's mean. ``indexed`` makes both tables once, for many sets of queries."""
     wanted = queries.select(F.col(query_id).alias("query"), F.explode(tokenize(F.col(query_text))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("qtf"))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # a row a query and token, so the two tables below are no larger
-    hint = F.broadcast if few else lambda x: x
-    asked = hint(wanted.select("token").distinct())
-    weights = hint(wanted.join(idf(df, n).join(asked, "token", "left_semi"), "token"))
+    tokens = docs.select(F.col(id_).alias("doc"), F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("tokens")).select("doc", "tokens", F.size("tokens").alias("dl"))
+    asked = small(wanted.select(F.col("token").alias("a")).distinct())
+    # Null stands for the document itself.
+    each = tokens.select("doc", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("token"))
+    met = each.join(asked, F.col("token") == F.col("a"), "left").where("token is null or a is not null")
+    posts = written(met.groupBy("doc", "dl", "token").agg(F.count("*").alias("tf")), "postings")
+    n, total = posts.where("token is null").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf"))).head()
+    posts = posts.where("token is not null")
+    df = written(posts.groupBy("token").agg(F.count("*").alias("df")), "document-frequencies")
+
+    def vocabulary() -> DataFrame:
+        return tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    return _scored(posts, df, vocabulary, n or 0, total or 0, wanted, allowed)
+
+
+def _scored(posts: DataFrame, df: DataFrame, vocabulary: Callable[[], DataFrame], n: int, total: int, wanted: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """``bm25`` of ``posts`` (doc, dl, token, tf) and ``df`` (token, df), which may hold the queries' tokens alone. ``vocabulary`` makes all."""
+    if df.where(F.col("df") > n / 2).isEmpty():
+        weighted = df.select("token", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    else:
+        weighted = idf(vocabulary(), n).join(F.broadcast(df.select("token")) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.select("token"), "token", "left_semi").select("token", "idf")
+    weights = small(wanted.join(weighted, "token"))
     if allowed is not None:
-        tokens = tokens.join(small(allowed.select(F.col(allowed.columns[0]).alias("doc")).distinct()), "doc", "left_semi")
-    met = tokens.select("doc", "dl", F.explode("tokens").alias("token")).join(asked, "token", "left_semi")
-    posts = met.groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
-    tf, dl = F.col("tf"), F.col("dl")
+        posts = posts.join(small(allowed.select(F.col(allowed.columns[0]).alias("doc")).distinct()), "doc", "left_semi")
+    tf, dl, avgdl = F.col("tf"), F.col("dl"), total / max(1, n)
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
     return posts.join(weights, "token").groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
 
 
+def indexed(docs: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index as tables: postings (doc, dl, token, tf), frequencies (token, df), and one row of totals (n, total)."""
+    tokens = docs.select(F.col(id_).alias("doc"), F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("tokens")).select("doc", "tokens", F.size("tokens").alias("dl"))
+    posts = postings(docs, id_, text)
+    return posts, posts.groupBy("token").agg(F.count("*").alias("df")), tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+
+
+def bm25_of(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, query_id: str, query_text: str, allowed: DataFrame | None = None) -> DataFrame:
+    """``bm25`` over the tables of ``indexed``, which the caller has stored: only postings of the queries' tokens are read on."""
+    posts, df, totals = index
+    wanted = queries.select(F.col(query_id).alias("query"), F.explode(tokenize(F.col(query_text))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("qtf"))
+    asked = small(wanted.select("token").distinct())
+    n, total = totals.select("n", "total").head()
+    return _scored(posts.join(asked, "token", "left_semi"), df.join(asked, "token", "left_semi"), lambda: df, n, total, wanted, allowed)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -78,12 +112,25 @@ def normalized(a: Column) -> Column:
 
 
 def dense(vectors: DataFrame, id_: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, depth: int = DEPTH, allowed: DataFrame | None = None) -> DataFrame:
-    """(query, doc, score, rank): cosine similarity of each query with each vector, the best ``depth``. ``queries`` is a stated set, which
-    meets the vectors in Arrow batches by matrix product; a batch passes on its best ``depth`` a query only."""
+    """(query, doc, score, rank): cosine similarity of each query with each vector, the best ``depth``. ``queries`` meets the vectors in
+    Arrow batches by matrix product; a batch passes on its best ``depth`` a query only. The driver holds at most about ``QUERY_BLOCK``
+    queries: more are dealt by the hashes of their ids into blocks, each of which is a job that is written before the next begins."""
+    blocks = 1 + queries.count() // QUERY_BLOCK
+    if blocks > 1:
+        out = None
+        for b in range(blocks):
+            own = queries.where(F.pmod(F.xxhash64(F.col(query_id)), F.lit(blocks)) == b)
+            found = written(_dense_block(vectors, id_, vector, own, query_id, query_vector, depth, allowed), "dense")
+            out = found if out is None else out.union(found)
+        return out
+    return _dense_block(vectors, id_, vector, queries, query_id, query_vector, depth, allowed)
+
+
+def _dense_block(vectors: DataFrame, id_: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, depth: int, allowed: DataFrame | None) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    named = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null").orderBy("q").collect()  # the query set
+    named = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null").orderBy("q").collect()
     kind = dict(queries.select(F.col(query_id).alias("q")).dtypes)["q"]
     doc_kind = dict(vectors.select(F.col(id_).alias("d")).dtypes)["d"]
     if not named:

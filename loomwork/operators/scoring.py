@@ -40,11 +40,29 @@ def running_sum(rows: DataFrame, order: str, value: str, out: str, ranges: int =
     return parted.withColumn("_in", inner).join(F.broadcast(before), F.col("_part") == F.col("_p2")).withColumn(out, F.col("_in") + F.col("_before")).drop("_part", "_p2", "_in", "_before")
 
 
+def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = EDGES) -> list[float]:
+    """Exact quantiles, interpolated between the two nearest ranks, by counts of values and running sums over ranges: no task sorts all
+    values, and the driver gets two rows a quantile. Empty where there is no value."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    upto = running_sum(counts, "_v", "_n", "_upto")
+    n = rows.where(F.col(column).isNotNull()).count()
+    if not n:
+        return []
+    ranks = sorted({int(r) for q in at for r in (q * (n - 1) // 1, -(-q * (n - 1) // 1))})
+    covers = F.lit(False)
+    for r in ranks:
+        covers = covers | ((F.col("_upto") > r) & (F.col("_upto") - F.col("_n") <= r))
+    held = upto.where(covers).select("_v", "_n", "_upto").collect()
+    value = {r: next(h["_v"] for h in held if h["_upto"] - h["_n"] <= r < h["_upto"]) for r in ranks}
+    return [value[int(q * (n - 1) // 1)] + (q * (n - 1) % 1) * (value[int(-(-q * (n - 1) // 1))] - value[int(q * (n - 1) // 1)]) for q in at]
+
+
 def bands(rows: DataFrame, score: str, out: str = "band") -> DataFrame:
     """1 + the number of quantile edges at or below the score, null for null. Equal scores share a band."""
-    edges = rows.agg(F.percentile(score, F.array(*(F.lit(e) for e in EDGES))).alias("_edges"))
-    band = F.aggregate("_edges", F.lit(1), lambda n, e: n + F.when(F.col(score) >= e, 1).otherwise(0))
-    return rows.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(score).isNotNull(), band)).drop("_edges")
+    band = F.lit(1)
+    for e in quantiles(rows, score):
+        band = band + F.when(F.col(score) >= e, 1).otherwise(0)
+    return rows.withColumn(out, F.when(F.col(score).isNotNull(), band))
 
 
 def composite(rows: DataFrame, popularity: str, price: str, cost: str, competitive: Column, weights: dict[str, float] = WEIGHTS) -> DataFrame:

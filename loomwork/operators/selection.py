@@ -58,7 +58,9 @@ def by_fit(rows: DataFrame, fit: str, id_: str, by: tuple[str, ...], k: int) ->
 
 
 def filled(rows: DataFrame, chosen: DataFrame, by: str, id_: str, group: str, fit: str, k: int) -> DataFrame:
-    """``chosen`` (by, id, place), then stretches by fit under a cap of their own, up to k."""
+    """``chosen`` (by, id, place), then stretches by fit under a cap of their own, up to k. Rows that a column ``rejected`` marks are none."""
+    if "rejected" in rows.columns:
+        rows = rows.where(~F.coalesce("rejected", F.lit(False)))
     rest = rows.join(chosen.select(by, id_), [by, id_], "left_anti")
     rest = capped(rest, group, [F.coalesce(F.col(fit), F.lit(-1.0)).desc(), F.col(id_)], (by,))
     both = chosen.select(by, id_, F.lit(0).alias("stretch"), F.col("place").cast("double").alias("key")).union(rest.select(by, id_, F.lit(1), -F.coalesce(F.col(fit), F.lit(-1.0))))

@@ -14,6 +14,7 @@ from ..operators import evaluation as E
 from ..operators import export as T
 from ..operators import filters as P
 from ..operators import incremental as I
+from ..operators import ingest as G
 from ..operators import names as N
 from ..operators import retrieval as R
 from ..operators import scoring as S
@@ -72,7 +73,8 @@ def _dense(t) -> DataFrame:
 @query(rf"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY token")
 def tokenize_df(t):
     """Document frequency of each token."""
-    return R.postings(t("documents"), "doc_id", "text").groupBy("token").agg(F.count("*").alias("df"))
+    tokens = t("documents").select(F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("df"))
 
 
 @query(f"WITH {_BM25} z AS (SELECT 1) SELECT item_id, doc_id, score, rank FROM bmr WHERE rank <= 10")
@@ -139,7 +141,12 @@ def color_cap(t):
     return L.capped(t("part"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "p_brand", "p_retailprice")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    c AS (SELECT q.vec_id AS query, d.vec_id AS doc, d.v, round(list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(d.v, d.v)), 9) AS score FROM e q, e d WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM c QUALIFY rank <= 15),
+    m AS (SELECT query, [CAST(1 AS BIGINT)] AS chosen, 1 AS place FROM r WHERE rank = 1
+        UNION ALL SELECT query, list_append(chosen, best), place + 1 FROM (SELECT m.query, chosen, place, (SELECT arg_min(x.rank, (-round(0.7 * x.score - 0.3 * (SELECT max(list_dot_product(x.v, y.v)) FROM r y WHERE y.query = m.query AND list_contains(m.chosen, y.rank)), 12), x.rank)) FROM r x WHERE x.query = m.query AND NOT list_contains(m.chosen, x.rank)) AS best FROM m WHERE place < 5))
+    SELECT m.query, r.doc, CAST(m.place AS INTEGER) AS place FROM m JOIN r ON r.query = m.query AND r.rank = m.chosen[m.place]""")
 def mmr_select(t):
     """Five of the fifteen nearest vectors by maximal marginal relevance, for each query vector."""
     near = _dense(t).where("rank <= 15").join(t("embeddings").select(F.col("vec_id").alias("doc"), "embedding"), "doc")
@@ -207,11 +214,11 @@ def filter_types(t):
     return P.typed(words, "p_partkey", "word", [lo, hi, "no-such-word"])
 
 
-@query("SELECT user_id FROM (SELECT user_id, list(DISTINCT upper(event_type[1])) AS s FROM events GROUP BY user_id) WHERE len(list_filter(s, lambda x: NOT list_contains(['C', 'V', 'P'], x))) = 0")
+@query("SELECT user_id FROM (SELECT user_id, list(DISTINCT upper(event_type[1])) AS s FROM events WHERE value > 150 GROUP BY user_id) WHERE len(list_filter(s, lambda x: NOT list_contains(['C', 'V', 'P', 'S'], x))) = 0")
 def subset_filter(t):
-    """users whose event initials are all among the wanted letters."""
-    users = t("events").groupBy("user_id").agg(F.array_join(F.collect_set(F.substring("event_type", 1, 1)), "").alias("letters"))
-    return users.where(P.subset_of(F.col("letters"), "CVP")).select("user_id")
+    """users whose large events' initials are all among the wanted letters."""
+    users = t("events").where("value > 150").groupBy("user_id").agg(F.array_join(F.collect_set(F.substring("event_type", 1, 1)), "").alias("letters"))
+    return users.where(P.subset_of(F.col("letters"), "CVPS")).select("user_id")
 
 
 @query("SELECT s_suppkey FROM supplier ORDER BY CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END ASC NULLS LAST, s_suppkey LIMIT 10")
@@ -255,13 +262,15 @@ def left_enrich(t):
     return s.join(counts, F.col("s_nationkey") == F.col("k"), "left").select("s_suppkey", "s_name", "n_name", "r_name", F.coalesce("n_customers", F.lit(0)).alias("n_customers"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
-    k AS (SELECT doc_id, p, trim(x, ' ' || chr(9) || chr(13)) AS text FROM l WHERE trim(x, ' ' || chr(9) || chr(13)) <> '')
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS INTEGER) AS ordinal, 'ability' AS kind, md5(text) AS digest FROM k
-    UNION ALL SELECT doc_id, -1, 'whole', md5(source || chr(10) || trim(text, chr(10))) FROM documents""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+    k AS (SELECT doc_id, p, trim(x, ' ' || chr(9) || chr(13)) AS text FROM l WHERE trim(x, ' ' || chr(9) || chr(13)) <> ''),
+    c AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS INTEGER) AS ordinal, 'ability' AS kind, text FROM k UNION ALL SELECT doc_id, -1, 'whole', source || chr(10) || trim(text, chr(10)) FROM documents)
+    SELECT doc_id, ordinal, kind, md5(text) AS digest, md5(regexp_replace(text, '\bsrc' || doc_id % 20 || '\b', 'this card', 'g')) AS embedded FROM c""")
 def chunk_lines(t):
-    """A chunk a line, and one of the whole text."""
-    return C.chunks(t("documents"), "doc_id", "lang", "source", "text").select("doc_id", "ordinal", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
+    """A chunk a line, and one of the whole text; in what is embedded the name (here the source's) is ``this card``."""
+    rows = t("documents").withColumn("name", F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")))
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return C.chunks(rows, "doc_id", "name", "source", "text").select("doc_id", "ordinal", "kind", digest("text").alias("digest"), digest("text_embedded").alias("embedded"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents),
@@ -301,7 +310,23 @@ def _asked(t) -> DataFrame:
     return n.select(F.explode(F.array(*variants)).alias("query")).distinct()
 
 
-@query()
+_LADDER = """n AS (SELECT p_name AS name, min(p_partkey) AS id, avg(p_size) AS rank, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS f FROM part GROUP BY p_name),
+    a AS (SELECT DISTINCT trim(x) AS query FROM (SELECT unnest([name, upper(name), substr(name, 1, greatest(1, length(name) - 3)), substr(name, 1, 2) || substr(name, 4), array_to_string(list_reverse(string_split(name, ' ')), ' ')]) AS x FROM n) WHERE trim(x) <> ''),
+    q AS (SELECT query, trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) AS f FROM a),
+    l0 AS (SELECT query, id FROM q JOIN n ON query = name), q1 AS (SELECT * FROM q ANTI JOIN l0 USING (query) WHERE f <> ''),
+    l1 AS (SELECT query, id FROM q1 JOIN n USING (f)), q3 AS (SELECT * FROM q1 ANTI JOIN l1 USING (query)),
+    l3 AS (SELECT query, id FROM q3 JOIN n ON starts_with(n.f, q3.f)), q4 AS (SELECT * FROM q3 ANTI JOIN l3 USING (query)),
+    l4 AS (SELECT query, id FROM q4 JOIN n ON list_has_all(string_split(n.f, ' '), string_split(q4.f, ' '))), q5 AS (SELECT * FROM q4 ANTI JOIN l4 USING (query)),
+    g AS (SELECT f, list_distinct(list_transform(range(1, greatest(2, length(f))), lambda i: substr(f, i, 2))) AS g FROM (SELECT DISTINCT f FROM n)),
+    b AS (SELECT query, f, greatest(1, least(3, length(f) * 3 // 10)) AS budget, list_distinct(list_transform(range(1, greatest(2, length(f))), lambda i: substr(f, i, 2))) AS qg FROM q5),
+    d AS (SELECT query, budget, g.f, levenshtein(b.f, g.f) AS distance FROM b JOIN g ON abs(length(b.f) - length(g.f)) <= budget WHERE 2.0 * len(list_intersect(qg, g.g)) / (len(qg) + greatest(1, length(g.f) - 1)) >= 0.4),
+    k AS (SELECT * FROM d WHERE distance <= budget QUALIFY distance = min(distance) OVER (PARTITION BY query)),
+    l5 AS (SELECT query, id, distance FROM k JOIN n USING (f)),
+    every AS (SELECT query, 'L0' AS layer, id, NULL AS distance FROM l0 UNION ALL SELECT query, 'L1', id, NULL FROM l1 UNION ALL SELECT query, 'L3', id, NULL FROM l3 UNION ALL SELECT query, 'L4', id, NULL FROM l4 UNION ALL SELECT query, 'L5', id, distance FROM l5)"""
+
+
+@query(f"""WITH {_LADDER} SELECT query, layer, id, CAST(row_number() OVER w AS INTEGER) AS place, count(*) OVER (PARTITION BY query) AS total, CAST(distance AS INTEGER) AS distance
+    FROM every JOIN n USING (id) WINDOW w AS (PARTITION BY query ORDER BY rank NULLS LAST, name, id) QUALIFY row_number() OVER w <= 10""")
 def name_ladder(t):
     """2.9: names resolved, as they are and misspelled, in six layers."""
     return N.resolve(_asked(t), N.index(_part_names(t), "id", "p_name", "rank"))
@@ -407,11 +432,14 @@ def rolling_median(t):
     return S.rolling_median(t("events"), "value", [F.desc("ts"), F.desc("event_id")], ["user_id"]).withColumn("median", F.round("median", 9))
 
 
-@query("SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY ALL")
+@query("""WITH e AS (SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events), o AS (SELECT user_id, event_type, arg_min(event_id, event_id) AS event_id, arg_min(value, event_id) AS value FROM e GROUP BY ALL),
+    n AS (SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM e WHERE event_type <> 'error' AND user_id % 3 = 0 GROUP BY ALL)
+    SELECT * FROM n UNION ALL SELECT * FROM o ANTI JOIN n USING (user_id, event_type)""")
 def latest_vote(t):
-    """The last row of each (user, type) wins."""
+    """Stored rows, of which those that come again are replaced by the last of what comes."""
     e = t("events").select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
-    return I.last_wins(e.where("event_id % 2 = 0").limit(0), e, ["user_id", "event_type"], "event_id")
+    stored = e.groupBy("user_id", "event_type").agg(F.min_by(F.struct("event_id", "value"), "event_id").alias("r")).select("user_id", "event_type", "r.*")
+    return I.last_wins(stored, e.where("event_type <> 'error' AND user_id % 3 = 0"), ["user_id", "event_type"], "event_id")
 
 
 @query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name ORDER BY n DESC, p_name LIMIT 10")
@@ -482,10 +510,12 @@ def weighted_rows(t):
     return T.weighted(t("labels"), F.when(F.col("quality") == 1, 3).otherwise(1)).groupBy("doc_id").agg(F.count("*").alias("copies"))
 
 
-@query("SELECT count(*) AS rows, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS missing, 0 AS wrong_length FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+@query("""WITH e AS (SELECT vec_id AS doc_id, CASE WHEN vec_id % 7 = 0 THEN embedding[1:10] ELSE embedding END AS v FROM embeddings)
+    SELECT count(*) FILTER (len(v) = 64) AS rows, count(*) FILTER (v IS NULL) AS missing, count(*) FILTER (len(v) <> 64) AS wrong_length FROM documents LEFT JOIN e USING (doc_id)""")
 def index_counts(t):
     """What joined, what is missing, what has another length."""
-    e = t("embeddings").withColumnRenamed("vec_id", "doc_id")
+    v = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding"))
+    e = t("embeddings").select(F.col("vec_id").alias("doc_id"), v.alias("embedding"))
     return R.built(t("documents"), e, "doc_id", "embedding", 64)[1]
 
 
@@ -512,12 +542,13 @@ def citation_stats(t):
     return E.citations(judged, known)
 
 
-@query("SELECT s_suppkey, map_keys(m) AS formats FROM (SELECT s_suppkey, map_from_entries(list((n_name, r_name) ORDER BY n_name)) AS m FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY s_suppkey)")
+@query("""SELECT o_custkey, list_transform(list_sort(map_entries(m)), lambda e: e.key || '=' || e.value) AS formats FROM (SELECT o_custkey, map_from_entries(list((o_orderpriority, s))) AS m
+    FROM (SELECT o_custkey, o_orderpriority, max(o_orderstatus) AS s FROM orders GROUP BY ALL) GROUP BY o_custkey)""")
 def entry_maps(t):
     """Rows to a map for each entity."""
-    j = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    maps = j.groupBy("s_suppkey").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("n_name", "r_name")))).alias("m"))
-    return maps.select("s_suppkey", F.map_keys("m").alias("formats"))
+    rows = t("orders").groupBy("o_custkey", "o_orderpriority").agg(F.max("o_orderstatus").alias("s"))
+    maps = G.entry_map(rows, "o_custkey", "o_orderpriority", "s", "m")
+    return maps.select("o_custkey", F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"])).alias("formats"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
@@ -546,3 +577,168 @@ def pool_ranks(t):
     """Least ranks over fused rows, else over all."""
     r = t("events").select(F.col("user_id").alias("query"), F.col("event_type").alias("id"), F.col("event_id").alias("rank"), F.when(F.col("event_type") == "purchase", "rrf").otherwise("bm25").alias("method"))
     return E.ranks(r).select(F.col("query").alias("query_id"), "id", "rank")
+
+
+# Slots made of part's columns, for the operators that read attributes.
+_SLOTS = {
+    "species": "p_name", "facial_hair": "CASE WHEN p_size % 2 = 0 THEN ' None' ELSE 'grey beard' END", "clothing": "p_brand", "pose": "CASE p_size % 3 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'standing' ELSE 'not  visible' END",
+    "setting": "p_type", "time_of_day": "CASE WHEN p_size % 5 = 0 THEN '' ELSE 'dusk' END", "art_style": "'oil'", "composition": "CASE WHEN p_size % 4 = 0 THEN 'N/A' ELSE 'low angle' END",
+}
+
+
+def _slots(t) -> DataFrame:
+    own = {k: F.expr(v) for k, v in _SLOTS.items()}
+    held = F.array(F.struct(F.col("p_type").alias("object"), (F.col("p_size") % 2 == 0).alias("is_weapon")), F.struct(F.lit("none").alias("object"), F.lit(False).alias("is_weapon")))
+    others = F.array(F.struct(F.col("p_brand").alias("species"), F.when(F.col("p_size") % 3 == 0, "none").otherwise("rider").alias("role")), F.struct(F.lit("Nothing").alias("species"), F.lit("none").alias("role")))
+    subject = F.struct(*(own[k].alias(k) for k in ("species", "facial_hair", "clothing", "pose")), held.alias("held_objects"))
+    scene = [own[k].alias(k) for k in ("setting", "time_of_day", "art_style", "composition")]
+    return t("part").select("p_partkey", F.struct(subject.alias("primary_subject"), others.alias("other_figures"), (F.col("p_size") % 8).alias("figure_count"), *scene, F.array(F.lit("green"), F.lower("p_type")).alias("palette")).alias("slots"))
+
+
+def _said(label: str, value: str) -> str:
+    absent = ", ".join(f"'{a}'" for a in C.ABSENT)
+    return f"CASE WHEN lower(trim(regexp_replace({value}, '\\s+', ' ', 'g'))) NOT IN ({absent}) THEN '{label}: ' || trim({value}) END"
+
+
+_FOLDED = f"""f AS (SELECT p_partkey, list_filter([{_said("primary subject species", _SLOTS["species"])}, {_said("primary subject facial hair", _SLOTS["facial_hair"])}, {_said("primary subject clothing", _SLOTS["clothing"])}, {_said("primary subject pose", _SLOTS["pose"])},
+    'primary subject holds ' || CASE WHEN p_size % 2 = 0 THEN 'a weapon' ELSE 'a non-weapon object' END || ': ' || p_type, 'other figure: ' || p_brand || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' (rider)' END,
+    'figure count: ' || p_size % 8 || ' (' || CASE p_size % 8 WHEN 0 THEN 'no figures' WHEN 1 THEN 'a single figure' WHEN 2 THEN 'two figures' WHEN 6 THEN 'a crowd of figures' WHEN 7 THEN 'a crowd of figures' ELSE 'a small group of figures' END || ')',
+    {_said("setting", _SLOTS["setting"])}, {_said("time of day", _SLOTS["time_of_day"])}, 'palette: green, ' || lower(p_type), 'art style: oil', {_said("composition", _SLOTS["composition"])}], lambda x: x IS NOT NULL) AS s FROM part)"""
+
+
+@query(f"WITH {_FOLDED} SELECT p_partkey, md5(array_to_string(s, '|')) AS digest, len(s) AS n FROM f")
+def folded_slots(t):
+    """Statements of nested attributes."""
+    s = C.folded_slots(F.col("slots"))
+    return _slots(t).select("p_partkey", F.md5(F.array_join(s, "|").cast("binary")).alias("digest"), F.size(s).cast("long").alias("n"))
+
+
+@query(f"""WITH {_FOLDED}, e AS (SELECT p_partkey, [p_brand || ' seen', 'x'] || s || ['ART  style: oil', 'calm'] AS s FROM f JOIN part USING (p_partkey)), u AS (SELECT p_partkey, len(s) AS n, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS position FROM e)
+    SELECT p_partkey, CAST(position AS INTEGER) AS position, CASE WHEN position < n - 2 THEN 'literal' ELSE 'interpretive' END AS layer, text FROM u QUALIFY row_number() OVER (PARTITION BY p_partkey, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY position) = 1""")
+def slot_statements(t):
+    """Statements of all layers, each once."""
+    rows = _slots(t).join(t("part").select("p_partkey", "p_brand"), "p_partkey").withColumn("literal", F.array(F.concat("p_brand", F.lit(" seen")), F.lit("x"))).withColumn("interpretive", F.array(F.lit("ART  style: oil"), F.lit("calm")))
+    return C.statements(rows, "p_partkey", F.col("literal"), F.col("slots"), F.col("interpretive"))
+
+
+@query("""SELECT p_partkey, 'palette' AS path, unnest(['["green","' || lower(p_type) || '"]', 'green', lower(p_type)]) AS phrase FROM part UNION ALL SELECT p_partkey, 'figure_count', CAST(p_size % 8 AS VARCHAR) FROM part""")
+def slot_phrases(t):
+    """Attributes as phrases, lists as JSON and member by member."""
+    return C.slot_phrases(_slots(t), "p_partkey", {"palette": F.col("slots.palette"), "figure_count": F.col("slots.figure_count")})
+
+
+_FILTERS = [("primary_subject.species", "equals", "widgets"), ("primary_subject.species", "equals", "wid"), ("primary_subject.species", "contains", "WID"), ("primary_subject.species", "contains", "bolt, LARGE"), ("setting", "not_contains", "mall"), ("figure_count", "gte", "17"), ("figure_count", "contains", "4"), ("setting", "lte", "small"), ("composition", "equals", "low_angle_shot"), ("figure_count", "gte", "many")]
+
+
+@query(r"""WITH p AS (SELECT p_partkey, lower(p_name) AS s, lower(p_type) AS t, p_size FROM part), w AS (SELECT *, list_transform(string_split(s, ' '), lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' AND NOT regexp_matches(x, '(ss|us|is|os|as)$') THEN x[:-2] ELSE x END) AS words FROM p)
+    SELECT 0 AS filter, p_partkey FROM w WHERE list_contains(words, 'widget') UNION ALL SELECT 2, p_partkey FROM w WHERE contains(s, 'wid') UNION ALL SELECT 3, p_partkey FROM w WHERE list_has_all(words, ['bolt', 'large'])
+    UNION ALL SELECT 4, p_partkey FROM w WHERE NOT contains(t, 'mall') UNION ALL SELECT 5, p_partkey FROM w WHERE p_size >= 17 UNION ALL SELECT 6, p_partkey FROM w WHERE p_size = 4 UNION ALL SELECT 7, p_partkey FROM w WHERE contains(t, 'small')
+    UNION ALL SELECT 8, p_partkey FROM w WHERE p_size % 2 = 0""")
+def slot_filter(t):
+    """Slot filters, each by itself, on descriptive phrases."""
+    part = t("part")
+    rows = part.select("p_partkey", F.explode(F.array(*(F.struct(F.lit(path).alias("path"), phrase.alias("phrase")) for path, phrase in (
+        ("primary_subject.species", F.col("p_name")), ("setting", F.col("p_type")), ("figure_count", F.col("p_size").cast("string")), ("composition", F.when(F.col("p_size") % 2 == 0, "full figure, low angle looking up at it").otherwise("a wide shot")),
+    )))).alias("s")).select("p_partkey", "s.path", "s.phrase")
+    out = None
+    for i, (path, op, value) in enumerate(_FILTERS):
+        found = V.matching(rows, "p_partkey", path, op, value).select(F.lit(i).alias("filter"), "p_partkey")
+        out = found if out is None else out.union(found)
+    return out
+
+
+@query(r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(string_split(p_type, ' ')[1] || ' ' || p_name, '[A-Za-z'']{3,}'), lambda w: lower(w)), lambda w: w NOT IN ('knight', 'time', 'world', 'snow', 'basic')))), ',') AS kinds FROM part""")
+def kinds_of_being(t):
+    """P10: words after the dash, without trades and type words."""
+    line = F.concat(F.lit("Legendary Creature — "), "p_type", F.lit(" "), F.when(F.col("p_size") % 2 == 0, "Knight").otherwise("World"), F.lit(" // Artifact – "), "p_name")
+    return t("part").select("p_partkey", F.array_join(V.subtypes(line), ",").alias("kinds"))
+
+
+_PRINTED = "list_filter([CASE WHEN p_size % 5 IN (1, 3) THEN 'arena' END, CASE WHEN p_size % 5 = 2 THEN 'mtgo' END, CASE WHEN p_size % 5 = 3 THEN 'paper' END, CASE WHEN p_size % 5 = 4 THEN 'astral' END], lambda x: x IS NOT NULL)"
+
+
+@query("SELECT p_partkey, p_size % 5 IN (2, 3) AND p_size % 11 <> 0 AND p_size % 13 <> 0 AS is_paper FROM part")
+def is_paper(t):
+    """Printed cards by their platforms, layout and set type."""
+    size = F.col("p_size")
+    games = F.filter(F.array(F.when((size % 5).isin(1, 3), "arena"), F.when(size % 5 == 2, "mtgo"), F.when(size % 5 == 3, "paper"), F.when(size % 5 == 4, "astral")), lambda x: x.isNotNull())
+    rows = t("part").withColumn("games", games).withColumn("layout", F.when(size % 11 == 0, "token").otherwise("normal")).withColumn("set_type", F.when(size % 13 == 0, "memorabilia").when(size % 13 == 1, "minigame").otherwise("core"))
+    return rows.select("p_partkey", G.is_paper().alias("is_paper"))
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def legal_in(t):
+    """entities that any of the formats allows."""
+    rows = t("orders").select("o_custkey", F.col("o_orderpriority").alias("format"), F.when(F.col("o_orderstatus") == "F", "legal").otherwise("banned").alias("status"))
+    return P.legal_in(rows, "o_custkey", ["1-URGENT", "2-HIGH"])
+
+
+@query(_RRF + """, b AS (SELECT item_id, doc_id, arg_min(list, (rank, doc_id)) AS list, min(rank) AS rank FROM lists GROUP BY ALL) SELECT item_id, doc_id, rank FROM b""")
+def best_rows(t):
+    """Of each fused entity the row that ranked best (here the document itself), and its rank."""
+    rows = _lists(t).withColumn("row", F.struct(F.col("rank").alias("r"), "row"))
+    return R.fuse(rows, weight="w").select(F.col("query").alias("item_id"), F.col("entity").alias("doc_id"), F.col("best_row.r").cast("long").alias("rank"))
+
+
+@query("""WITH q AS (SELECT DISTINCT user_id, 'text ' || user_id % 10 AS text FROM events), j AS (SELECT e.*, text FROM events e JOIN q USING (user_id) WHERE event_id % 3 < 2)
+    SELECT text, event_type AS id, round(arg_max(value, event_id), 6) AS fit FROM j GROUP BY ALL""")
+def stored_marks(t):
+    """The last human mark under a query's text, over all its runs."""
+    e = t("events")
+    queries = e.select(F.col("user_id").alias("query_id"), F.concat(F.lit("text "), (F.col("user_id") % 10).cast("string")).alias("text")).distinct()
+    source = F.when(F.col("event_id") % 3 == 0, "human").when(F.col("event_id") % 3 == 1, "discord").otherwise("judge")
+    judged = e.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("id"), F.round("value", 6).alias("fit"), source.alias("source"), "event_id")
+    return E.stored_marks(judged, queries, "event_id")
+
+
+@query("SELECT 'text ' || doc_id % 3 AS text, doc_id AS a, doc_id + 1 AS b, doc_id + 1 - quality AS winner FROM labels")
+def stored_preferences(t):
+    """Preferences by the text of their query."""
+    x = t("labels")
+    queries = x.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("text "), (F.col("doc_id") % 3).cast("string")).alias("text"))
+    return E.stored_preferences(x.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), (F.col("doc_id") + 1 - F.col("quality")).alias("winner")), queries)
+
+
+@query("""WITH r AS (SELECT user_id AS query, event_id % 200 AS id, min(event_id) AS rank FROM events WHERE event_type = 'purchase' GROUP BY ALL), m AS (SELECT query, p_size AS card, min(rank) AS rank FROM r JOIN part ON p_partkey = id GROUP BY ALL)
+    SELECT query, card, 'size ' || card AS name, rank FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, card) <= 5""")
+def pool_names(t):
+    """Cards of the pool by their best entity."""
+    r = t("events").select(F.col("user_id").alias("query"), (F.col("event_id") % 200).alias("id"), F.col("event_id").alias("rank"), F.when(F.col("event_type") == "purchase", "rrf").otherwise("bm25").alias("method"))
+    part = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("card"))
+    return E.pool_names(r, part, part.select("card", F.concat(F.lit("size "), F.col("card").cast("string")).alias("name")).distinct(), 5)
+
+
+@query("SELECT doc_id, d.text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS is_default FROM documents d WHERE trim(coalesce(d.text, '')) <> ''")
+def described(t):
+    """Descriptions, and whether theirs is a default art."""
+    arts = t("labels").select("doc_id", (F.col("quality") == 1).alias("is_default"))
+    return E.described(t("documents").select("doc_id", "text"), arts, "text", "doc_id").select("doc_id", "is_default")
+
+
+@query("""WITH l AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 = 0 THEN [2, 99, 0] ELSE [] END AS cited, CASE WHEN conv_id % 2 = 0 THEN 'literal' ELSE 'narrative' END AS register FROM conversations),
+    p AS (SELECT conv_id, list(struct_pack(turn := turn, layer := CASE WHEN role = 'user' THEN 'literal' ELSE 'interpretive' END, text := text) ORDER BY turn) AS p FROM conversations WHERE text <> '' GROUP BY conv_id),
+    x AS (SELECT conv_id, p, list_filter(list_transform(cited, lambda n: list_filter(p, lambda s: s.turn = n)[1].text), lambda s: s IS NOT NULL) AS named, list_transform(list_filter(p, lambda s: s.layer = CASE register WHEN 'literal' THEN 'literal' ELSE 'interpretive' END), lambda s: s.text) AS own FROM l JOIN p USING (conv_id))
+    SELECT conv_id, md5(trim(substr(array_to_string((CASE WHEN len(named) > 0 THEN named WHEN len(own) > 0 THEN own ELSE list_transform(p, lambda s: s.text) END)[1:4], ' '), 1, 700))) AS digest FROM x""")
+def text_for(t):
+    """An entity's side of a training pair."""
+    c = t("conversations")
+    props = c.select("conv_id", F.col("turn").alias("prop"), F.when(F.col("role") == "user", "literal").otherwise("interpretive").alias("layer"), "text")
+    labels = c.select("conv_id").distinct().withColumn("cited", F.when(F.col("conv_id") % 3 == 0, F.array(*(F.lit(n).cast("long") for n in (2, 99, 0)))).otherwise(F.array().cast("array<bigint>"))).withColumn("register", F.when(F.col("conv_id") % 2 == 0, "literal").otherwise("narrative"))
+    return T.text_for(labels, props, "conv_id", "cited", "register").select("conv_id", F.md5(F.col("positive").cast("binary")).alias("digest"))
+
+
+@query("""WITH r AS (SELECT doc_id % 11 AS query, doc_id, 's' || doc_id % 3 AS ci, quality AS fit, toxic = 1 AS rejected FROM labels), c AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY fit DESC, doc_id) AS place FROM r WHERE NOT rejected QUALIFY place <= 2),
+    s AS (SELECT query, doc_id, ci, fit FROM r WHERE NOT rejected AND (query, doc_id) NOT IN (SELECT query, doc_id FROM c) QUALIFY row_number() OVER (PARTITION BY query, ci ORDER BY fit DESC, doc_id) <= 2),
+    u AS (SELECT query, doc_id, 0 AS stretch, CAST(place AS DOUBLE) AS k FROM c UNION ALL SELECT query, doc_id, 1, -fit FROM s)
+    SELECT query, doc_id, stretch, CAST(row_number() OVER (PARTITION BY query ORDER BY stretch, k, doc_id) AS INTEGER) AS place FROM u QUALIFY place <= 5""")
+def filled_up(t):
+    """The chosen, then stretches under a cap of their own; rejected ones never."""
+    r = t("labels").select((F.col("doc_id") % 11).alias("query"), "doc_id", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("ci"), F.col("quality").cast("double").alias("fit"), (F.col("toxic") == 1).alias("rejected"))
+    chosen = L.by_fit(r.where("not rejected"), "fit", "doc_id", ("query",), 2)
+    return L.filled(r, chosen, "query", "doc_id", "ci", "fit", 5)
+
+
+@query(r"SELECT p_partkey, ([trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-')]) AS slugs FROM part")
+def slugs(t):
+    """Addresses of the first face and of the whole name."""
+    return t("part").select("p_partkey", X.slug_candidates(F.concat("p_name", F.lit(" // "), "p_brand")).alias("slugs"))

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, names, retrieval, selection
-from .models import ModelClient, StandIn, embedded, expansions, judged, routed, weights
+from ..operators import filters, names, retrieval, selection, vocabulary
+from ..sources.scratch import written
+from .models import ModelClient, StandIn, embedded, expansions, judged, routed, verified, weights
 
 
 @dataclass
@@ -65,53 +66,97 @@ def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]]
     return retrieval.fuse(lists, weight="w")
 
 
-def art_search(spark: SparkSession, request: Request, index: DataFrame, entities: DataFrame, client: ModelClient | None = None, dim: int = 64) -> Answer:
-    """``index`` (row, entity, layer, text, vector), ``entities`` (entity, card, color_identity, band, evidence, vector)."""
+#: Columns of a card that mechanical terms are looked for in, those that are there.
+MECHANICAL = ("oracle_text", "type_line", "themes", "archetypes")
+
+
+def art_search(spark: SparkSession, request: Request, index: DataFrame, entities: DataFrame, client: ModelClient | None = None, dim: int = 64, phrases: DataFrame | None = None, mined: DataFrame | None = None) -> Answer:
+    """``index`` (row, entity, layer, text, vector), ``entities`` (entity, card, color_identity, band, evidence, vector, and columns of
+    ``MECHANICAL``). ``phrases`` (entity, path, phrase) and ``mined``, the associations of their vocabulary, serve the plan's slot filters.
+    A finalist that verification rejects stays in the pool, marked, and is never chosen."""
     client, notes = client or StandIn(dim), []
     plan = routed(client, request.text)
     notes += plan.get("notes", [])
     layer_weight = weights(plan)
     if index.isEmpty():
         return Answer(entities.limit(0), entities.limit(0), [*notes, "the index is empty"])
-    fused = retrieve(spark, index, expansions(client, request.text, layer_weight), layer_weight, client, dim)
+    slots = filters.clean_slots(plan.get("slot_filters"), notes)
+    ids = vocabulary.allowed(phrases, "entity", slots, notes, mined) if phrases is not None else None
+    fused = retrieve(spark, index, expansions(client, request.text, layer_weight), layer_weight, client, dim, ids)
     rows = retrieval.collapse(fused.join(entities, "entity"), "card")
+    rows = filters.mechanical(rows, [t for t in plan.get("mechanical_terms") or [] if t], [c for c in MECHANICAL if c in rows.columns] or ["evidence"], notes)
     if request.colors:
         p = filters.subset_of(F.col("color_identity"), request.colors)
         rows = rows if p is None else rows.where(p)
 
     def judge(pool: DataFrame) -> DataFrame:
         asked = pool.withColumn("text_asked", F.lit(request.text))
-        return pool.join(judged(asked, "query", "text_asked", "entity", "rank", "evidence", client).select("entity", "fit"), "entity", "left")
+        return written(pool.join(judged(asked, "query", "text_asked", "entity", "rank", "evidence", client).select("entity", "fit"), "entity", "left"), "judged")
+
+    def verify(pool: DataFrame) -> DataFrame:
+        """The best of the pool once more, one by one."""
+        best = pool.where("fit is not null").select("query", "entity", (-F.col("fit")).alias("order"), F.lit(request.text).alias("asked"), "evidence")
+        found = verified(best, "query", "entity", "order", "asked", "evidence", client)
+        return pool.join(found.select("entity", (~F.col("holds")).alias("rejected"), F.col("holds").alias("verified")), "entity", "left")
 
     banded = rows if request.band is None else filters.in_bands(rows, *request.band)
     pool = judge(retrieval.pool(banded))
-    passing = pool.where(F.col("fit") >= selection.PASS_FIT)
+    final_pool = written(verify(pool), "verified")
+    passing = final_pool.where((F.col("fit") >= selection.PASS_FIT) & ~F.coalesce("rejected", F.lit(False)))
     if request.band is not None and passing.count() < request.k:
         wider = filters.relaxed(*request.band)
         if wider != request.band:
-            notes.append(f"bands widened to {wider[0]}-{wider[1]}")
             more = retrieval.pool(filters.in_bands(rows, *wider)).join(pool.select("entity"), "entity", "left_anti")
-            pool = pool.unionByName(judge(more))
-            passing = pool.where(F.col("fit") >= selection.PASS_FIT)
+            if not more.isEmpty():
+                notes.append(f"bands widened to {wider[0]}-{wider[1]}")
+                final_pool = written(verify(pool.unionByName(judge(more))), "verified")
+                passing = final_pool.where((F.col("fit") >= selection.PASS_FIT) & ~F.coalesce("rejected", F.lit(False)))
+    if final_pool.where("verified is not null").isEmpty() and not final_pool.isEmpty():
+        notes.append("nothing could be verified; the order is the judge's")
     ordered = passing.withColumn("key", -F.col("fit"))
     chosen = selection.diversified(ordered, "query", "entity", "color_identity", "key", "fit", "vector", request.k)
-    final = selection.filled(pool, chosen, "query", "entity", "color_identity", "fit", request.k)
-    return Answer(final.join(pool.drop("query"), "entity").orderBy("place"), pool, notes)
+    final = selection.filled(final_pool, chosen, "query", "entity", "color_identity", "fit", request.k)
+    return Answer(final.join(final_pool.drop("query"), "entity").orderBy("place"), final_pool, notes)
+
 
+# How questions about the rules begin.
+RULES_PREFIXES = (
+    "can i", "can you", "does", "do i", "do you", "how does", "how do", "what happens if", "what happens when", "when do i", "when does", "am i allowed to", "is it legal to", "am i able to",
+)
 
-RULES_PREFIXES = ["how does", "what happens", "can i", "does", "is it legal", "do i", "when do"]
+
+def rules_question(text: str) -> bool:
+    return " ".join(text.lower().split()).startswith(RULES_PREFIXES)
+
+
+def _soft(rows: DataFrame, plan: dict, types: DataFrame, legalities: DataFrame, notes: list[str]) -> DataFrame:
+    """``rows`` under the routed filters (mv_min, mv_max, colors, types, formats), each of which is dropped where it would leave nothing."""
+    wanted, own = plan.get("filters") or {}, {}
+    own["mana value"] = filters.between_bounds(F.col("cmc"), wanted.get("mv_min"), wanted.get("mv_max"), notes)
+    own["colours"] = filters.subset_of(F.col("color_identity"), wanted.get("colors"))
+    marks = []
+    if wanted.get("types"):
+        ids = filters.typed(types, "entity", "value", wanted["types"], notes)
+        marks += [] if ids is None else [("types", ids)]
+    if wanted.get("formats"):
+        marks.append(("formats", filters.legal_in(legalities, "entity", wanted["formats"])))
+    for name, ids in marks:
+        rows = rows.join(ids.select("entity", F.lit(True).alias(f"_{name}")), "entity", "left")
+        own[name] = F.col(f"_{name}")
+    return filters.soft(rows, own, notes=notes)[0].drop(*(f"_{name}" for name, _ in marks))
 
 
 def text_search(spark: SparkSession, request: Request, index: DataFrame, cards: DataFrame, types: DataFrame, legalities: DataFrame, name_index: DataFrame, client: ModelClient | None = None, dim: int = 64) -> Answer:
-    """Hard filters, then retrieval within them. ``index`` as above with the layer ``any``; ``cards`` (entity, name, cmc, color_identity,
-    edhrec_rank, evidence). A card's name is answered as such; a rules question is declined."""
+    """Hard filters, the plan's soft ones among what they leave, then retrieval within. ``index`` as above with the layer ``any``; ``cards``
+    (entity, name, cmc, color_identity, edhrec_rank, evidence). A text that names exactly one card is answered as such; a rules question is
+    declined. ``best_row`` of a result is the matched row of the index."""
     client, notes = client or StandIn(dim), []
     asked = spark.createDataFrame([(request.text,)], "query string")
-    named = names.resolve(asked, name_index, max_layer=2)
+    named = names.resolve(asked, name_index, max_layer=2).where("total = 1")
     if not named.isEmpty():
         hit = cards.join(named.select(F.col("id").alias("entity"), "place"), "entity").orderBy("place")
         return Answer(hit, hit, ["that is a card's name"])
-    if request.text.strip().lower().startswith(tuple(RULES_PREFIXES)) and request.text.strip().endswith("?"):
+    if rules_question(request.text):
         return Answer(cards.limit(0), cards.limit(0), ["rules questions are not answered"])
     rows = filters.hard(cards, {"mv": filters.between_bounds(F.col("cmc"), *request.mv, notes), "colors": filters.subset_of(F.col("color_identity"), request.colors)})
     if request.types:
@@ -122,6 +167,8 @@ def text_search(spark: SparkSession, request: Request, index: DataFrame, cards:
     if rows.isEmpty():
         return Answer(rows, rows, [*notes, "nothing passes the filters"])
     plan = routed(client, request.text)
+    notes += plan.get("notes", [])
+    rows = _soft(rows, plan, types, legalities, notes)
     intent = (plan.get("semantic_intent") or "").strip()
     if not intent:
         best = filters.structural(rows, "edhrec_rank", "entity", request.k)

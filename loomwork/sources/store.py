@@ -1,4 +1,5 @@
-"""Tables as snapshot folders: each write is a new folder, and a pointer file names the one that counts. Readers are never blocked."""
+"""Tables as snapshot folders: each write is a new folder, and numbered pointer files name them, of which the highest counts. A pointer is
+made complete under another name and renamed, so there is always one to read, and of two writers at once one fails."""
 
 from __future__ import annotations
 
@@ -22,28 +23,41 @@ class Store:
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def current(self, name: str) -> str | None:
-        at = self._path(name, "CURRENT")
+    def _pointers(self, name: str) -> list[tuple[int, str]]:
+        at = self._path(name)
         if not self._fs().exists(at):
-            return None
-        text = self.spark.read.text(at.toString()).head()
-        return json.loads(text[0])["snapshot"] if text else None
+            return []
+        found = (s.getPath().getName() for s in self._fs().listStatus(at))
+        return sorted((int(n.split("-")[1]), n) for n in found if n.startswith("CURRENT-"))
+
+    def current(self, name: str) -> str | None:
+        """The snapshot that counts. A pointer may go while it is read, where writers came in between: then the next higher one is read."""
+        for _ in range(5):
+            pointers = self._pointers(name)
+            if not pointers:
+                return None
+            at = self._path(name, pointers[-1][1])
+            if self._fs().exists(at):
+                return json.loads(self.spark.read.text(at.toString()).head()[0])["snapshot"]
+        raise OSError(f"{name} is written too often to be read")
 
     def read(self, name: str) -> DataFrame | None:
         snapshot = self.current(name)
         return None if snapshot is None else self.spark.read.parquet(f"{self.root}/{name}/{snapshot}")
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a snapshot, then swap the pointer. A reader of the old one goes on undisturbed."""
-        snapshot = uuid.uuid4().hex
+        """Write a snapshot, then a pointer to it. A reader of the old one goes on undisturbed; the pointer before stays as well."""
+        snapshot, pointers = uuid.uuid4().hex, self._pointers(name)
         df.write.parquet(f"{self.root}/{name}/{snapshot}")
         fs = self._fs()
-        new, at = self._path(name, f"CURRENT.{snapshot}"), self._path(name, "CURRENT")
+        new, at = self._path(name, f".{snapshot}"), self._path(name, f"CURRENT-{pointers[-1][0] + 1 if pointers else 1:012d}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps({"snapshot": snapshot}).encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(new, at)
+        if fs.exists(at) or not fs.rename(new, at):
+            raise OSError(f"{name} was written by another at the same time")
+        for _, old in pointers[:-1]:
+            fs.delete(self._path(name, old), False)
         return self.spark.read.parquet(f"{self.root}/{name}/{snapshot}")
 
     def append(self, name: str, df: DataFrame) -> None:

@@ -24,7 +24,7 @@ def test_singular(spark):
     assert [r[0] for r in df.select(X.singular(F.col("t"))).collect()] == ["wolve", "pony", "glass", "status", "axis", "cat", "die", "gas"]
 
 
-@pytest.mark.parametrize(("name", "folded"), [("Lim-Dûl's Vault", "lim duls vault"), ("Ærath // Ice", "aerath ice"), ("Straße", "strasse"), ("  ", "")])
+@pytest.mark.parametrize(("name", "folded"), [("Tél-Orô's Gate", "tel oros gate"), ("Ærath // Ice", "aerath ice"), ("Straße", "strasse"), ("  ", "")])
 def test_fold(name, folded):
     assert X.fold_name(name) == folded
 
@@ -152,11 +152,20 @@ def test_slots(spark):
     schema = "slots struct<primary_subject: struct<species: string, facial_hair: string, clothing: string, pose: string, held_objects: array<struct<object: string, is_weapon: boolean>>>, other_figures: array<struct<species: string, role: string>>, figure_count: int, setting: string, time_of_day: string, art_style: string, composition: string, palette: array<string>>"
     df = spark.createDataFrame([((("elf", "none", "a robe", "standing", [("staff", False), ("none", False)]), [("owl", "pet")], 2, "a wood", "obscured (fog)", None, "", ["green", "gold"]),)], schema)
     got = df.select(chunks.folded_slots(F.col("slots"))).head()[0]
-    assert got == ["elf", "a robe", "standing", "two figures", "a wood", "holding staff", "also owl pet"]
+    assert got == [
+        "primary subject species: elf", "primary subject clothing: a robe", "primary subject pose: standing", "primary subject holds a non-weapon object: staff", "other figure: owl (pet)",
+        "figure count: 2 (two figures)", "setting: a wood", "time of day: obscured (fog)", "palette: green, gold",
+    ]
     phrases = {(r["path"], r["phrase"]) for r in chunks.slot_phrases(df.withColumn("id", F.lit(1)), "id", {"palette": F.col("slots.palette"), "setting": F.col("slots.setting")}).collect()}
     assert phrases == {("palette", '["green","gold"]'), ("palette", "green"), ("palette", "gold"), ("setting", "a wood")}
 
 
+@pytest.mark.parametrize("absent", ["none", "N/A", " Not  Visible ", "unknown", "unspecified", "nil", "not present", ""])
+def test_absent_values(spark, absent):
+    df = spark.createDataFrame([(absent, "no"), (absent, "obscured by fog")], "t string, other string")
+    assert [tuple(r) for r in df.select(chunks.present(F.col("t")), chunks.present(F.col("other"))).collect()] == [(None, "no"), (None, "obscured by fog")]
+
+
 def test_repaired(spark):
     df = spark.createDataFrame([(1, 'Sure: {"props": ["a", "b", "c"]} ok'), (2, '{"props": ["a"]}'), (3, "no")], "id int, raw string")
     good, bad = chunks.repaired(df, "raw", "props array<string>", {"props": (2, 2)})
@@ -192,14 +201,52 @@ def test_mining(spark):
     assert got == [("elf", "pointed ears", 3)]
 
 
+PHRASES = [
+    (1, "primary_subject.species", "winged elf"), (2, "primary_subject.species", "elfin child"), (3, "figure_count", "4"), (4, "figure_count", "2"), (5, "primary_subject.species", "humanoid with long ears"),
+    (6, "primary_subject.held_objects", '[{"object":"lamp","is_weapon":false}]'), (7, "composition", "full figure shot, low angle looking up at it"),
+    (8, "composition", "wide shot with the figure low in the frame, camera at eye level, a bright angle of light from the left"), (9, "primary_subject.pose", "standing, facing away"), (10, "other_figures", "dog"),
+    (11, "primary_subject.species", "long ears"),
+]
+
+
 def test_matching(spark):
-    p = spark.createDataFrame([(1, "species", "winged elf"), (2, "species", "elfin child"), (3, "count", "4"), (4, "count", "2")], "id int, path string, phrase string")
+    p = spark.createDataFrame(PHRASES, "id int, path string, phrase string")
     ids = lambda *a, **k: sorted(r[0] for r in vocabulary.matching(p, "id", *a, **k).collect())
-    assert ids("species", "contains", "elf") == [1]
-    assert ids("species", "equals", "Winged Elf") == [1]
-    assert ids("species", "not_contains", "elf") == [2, 3, 4]
-    assert ids("count", "gte", "3") == [3]
-    assert ids("species", "gte", "elf") == [1]
+    species = "primary_subject.species"
+    assert ids(species, "contains", "elf") == [1, 2] and ids(species, "equals", "elf") == [1]
+    assert ids(species, "equals", "Winged Elves") == [] and ids(species, "equals", "elf winged") == [1]
+    assert ids(species, "not_contains", "elf") == [3, 4, 5, 6, 7, 8, 9, 10, 11]
+    assert ids("figure_count", "gte", "3") == [3] and ids("figure_count", "equals", "2") == [4] and ids("figure_count", "not_contains", "2") == [3] and ids("figure_count", "lte", "few") == []
+    assert ids(species, "gte", "elf") == [1, 2]
+    assert ids("primary_subject.held_objects", "contains", '"is_weapon":false') == [6] and ids("primary_subject.held_objects", "contains", '"is_weapon":true') == []
+    assert ids("other_figures", "contains", '"species":"dog"') == [10]
+    assert ids("composition", "equals", "low_angle_shot") == [7] and ids("composition", "contains", "low angle") == [7]
+    assert ids("primary_subject.pose", "contains", "seen from behind") == [9]
+    known = {"elf": ["long ears"]}
+    assert ids(species, "equals", "elf", known=known) == [1, 11]  # a mined phrase as a whole
+    assert ids(species, "not_contains", "elf", known=known) == [3, 4, 5, 6, 7, 8, 9, 10, 11]
+
+
+def test_slot_filters_leave_a_floor(spark):
+    rows = [(i, "setting", "a wood" if i < 30 else "a town") for i in range(60)] + [(i, "palette", "green" if i < 3 else "grey") for i in range(60)]
+    p = spark.createDataFrame(rows, "entity int, path string, phrase string")
+    slots = [{"path": "setting", "op": "contains", "value": "wood"}, {"path": "palette", "op": "equals", "value": "green"}, {"path": "art_style", "op": "equals", "value": "oil"}]
+    notes = []
+    assert sorted(r[0] for r in vocabulary.allowed(p, "entity", slots, notes).collect()) == list(range(30))
+    assert len(notes) == 2 and "green" in " ".join(notes) and "oil" in " ".join(notes)
+    assert vocabulary.allowed(p, "entity", [], notes) is None and vocabulary.allowed(p, "entity", slots[1:], notes) is None
+    assert sorted(r[0] for r in vocabulary.allowed(p, "entity", slots, notes, floor=2).collect()) == [0, 1, 2]
+
+
+def test_terms():
+    assert vocabulary.variants('{"species":"dog","role":" "}') == ['{"species":"dog","role":" "}', "dog"]
+    assert ("contains", "facing away") in vocabulary.terms("back turned", "composition", "equals", {}) and vocabulary.terms("turned", "composition", "equals", {}) == [("equals", "turned")]
+    assert ("exact", "long ears") in vocabulary.terms("elf", "other_figures", "equals", {"elf": ["long ears"]}) and vocabulary.terms("elf", "setting", "equals", {"elf": ["long ears"]}) == [("equals", "elf")]
+
+
+def test_subtypes(spark):
+    df = spark.createDataFrame([("Legendary Creature — Elf Knight // Land",), ("Creature -- Owl's // Legendary Creature – Bat",), ("Artifact",), (None,)], "t string")
+    assert [r[0] for r in df.select(vocabulary.subtypes(F.col("t"))).collect()] == [["elf"], ["bat", "owl's"], [], []]
 
 
 def test_selection(spark):
@@ -328,9 +375,10 @@ def test_small_parts(spark):
     got = {r["id"]: r["holds"] for r in verified(rows, "q", "id", "pos", "text", "ev", StandIn()).collect()}
     assert got == {i: bool(i % 2) for i in range(8)}
     assert all(r["holds"] is None for r in verified(rows, "q", "id", "pos", "text", "ev", Broken()).collect())
-    assert synthesised(rows.limit(1), "id", "ev").count() >= 2
+    made = synthesised(rows.limit(1).withColumn("s", F.expr("array(named_struct('prop', 7L, 'text', 'a dog'))")), "id", "ev", None, "s").collect()
+    assert {(r["theme"], r["fit"], tuple(r["prop_ids"])) for r in made} == {("dog", 1.0, (7,)), ("without dog", 0.0, (7,))}
     notes = []
-    assert filters.clean_slots([{"path": "species", "op": "contains", "value": "elf"}, {"path": "x", "op": "is", "value": ""}], {"species"}, notes) == [{"path": "species", "op": "contains", "value": "elf"}] and len(notes) == 1
+    assert filters.clean_slots([{"path": "species", "op": "contains", "value": "elf"}, {"path": "x", "op": "is", "value": ""}], notes, {"species"}) == [{"path": "species", "op": "contains", "value": "elf"}] and len(notes) == 1
     assert filters.echo(["elf"], "wu", (3, 3), ["modern"]) == "type elf; colours within WU; mana value = 3; legal in modern"
     assert filters.external_query(None, None, (5, 3)) == "" and filters.external_query(["elf druid"], "wu", (1, 4)) == "(t:elf t:druid) id<=wu cmc>=1 cmc<=4"
     logs = spark.createDataFrame([(1, "a cat", '{"literal_weight": 0.7, "interpretive_weight": 0.3, "mechanical_terms": ["A  cat", "draw"], "illustration_id": "i1"}'), (2, "b", '{"literal_weight": 0.5, "notes": ["router failed"]}')], "id int, text string, params string")
@@ -338,6 +386,82 @@ def test_small_parts(spark):
     assert [r["id"] for r in export.done_ids(logs, "params").collect()] == ["i1"]
 
 
+def test_citations_are_checked(spark):
+    from loomwork.plans.models import StandIn, cited, clean_items
+
+    class Odd(StandIn):
+        def cite(self, text, numbered):
+            return [{"candidate": 0, "fit": "2.5", "rationale": " so  it ", "prop_ids": [1, 3, 99, "x"]}, {"candidate": 1, "fit": "much", "prop_ids": [3]}, {"candidate": 9}, "no"]
+
+    s = lambda *props: [(p, f"text {p}") for p in props]
+    rows = spark.createDataFrame([(0, "a", 1, "?", s(10, 11)), (0, "b", 2, "?", s(20)), (0, "c", 3, "?", s())], "q int, id string, pos int, text string, s array<struct<prop: bigint, text: string>>")
+    got = {r["id"]: (r["fit"], r["rationale"], r["prop_ids"], r["cited"], r["invented"], r["misattributed"]) for r in cited(rows, "q", "text", "id", "pos", "s", Odd()).collect()}
+    assert got == {"a": (1.0, "so it", [10], 4, 2, 1), "b": (0.0, "(no rationale)", [20], 1, 0, 0), "c": (None, "", [], 0, 0, 0)}
+    plain = {r["id"]: r["prop_ids"] for r in cited(rows.withColumn("text", F.lit("text 11")), "q", "text", "id", "pos", "s", StandIn()).collect()}
+    assert plain == {"a": [10, 11], "b": [20], "c": []}
+    items = [{"theme": ' "A  theme" ', "register": "LITERAL", "prop_ids": [1, "2", 5, None]}, {"theme": "a THEME"}, {"theme": "ab"}, 3, {"theme": "other", "register": "odd"}]
+    assert [(x["theme"], x["register"], x["prop_ids"]) for x in clean_items(items, {1, 2})] == [("A theme", "literal", [1, 2]), ("other", "abstract", [])]
+
+
+@pytest.mark.parametrize(("text", "is_"), [("Can I respond to this", True), ("how  does a card work?", True), ("what happens if it dies", True), ("draw cards", False), ("what happens", False)])
+def test_rules_questions(text, is_):
+    from loomwork.plans.search import rules_question
+
+    assert rules_question(text) is is_
+
+
+def test_page_stats(spark):
+    rows = [("a", 3, {"scg": (2.0,), "tcgplayer": (0.0,), "other": (9.0,)}, ["x"], []), ("b", 1, {}, ["y"], ["z"])]
+    df = spark.createDataFrame(rows, "slug string, num_decks int, prices map<string, struct<price: double>>, themes array<string>, taglinks array<string>")
+    assert [(r["avg_price"], r["archetypes"]) for r in ingest.page_stats(df).orderBy("slug").collect()] == [(2.0, ["x"]), (None, ["z"])]
+
+
+@pytest.mark.parametrize(("name", "slugs"), [("Æra, the Bold's // Nâme!", ["aera-the-bolds", "aera-the-bolds-name"]), ("Plain", ["plain"]), ("!! // x", ["x"])])
+def test_slug_candidates(spark, name, slugs):
+    assert one(spark, X.slug_candidates(F.col("t")), t=name) == slugs
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    for values in ([rng.choice((1.0, 2.0, 2.5, 9.0)) for _ in range(37)], [rng.random() for _ in range(200)], [3.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        assert scoring.quantiles(df, "v") == pytest.approx(np.quantile(values, scoring.EDGES).tolist())
+    assert scoring.quantiles(df.where("v is null"), "v") == []
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    v = spark.createDataFrame([(i, [rng.random() - 0.5 for _ in range(8)]) for i in range(60)], "id long, v array<double>").cache()
+    whole = sorted(map(tuple, retrieval.dense(v, "id", "v", v, "id", "v", depth=3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, retrieval.dense(v, "id", "v", v, "id", "v", depth=3).collect())) == whole and len(whole) == 180
+
+
+def test_bm25_over_an_index_is_bm25(spark):
+    docs = spark.createDataFrame([(0, "cat mat the"), (1, "cat the"), (2, "dog the"), (3, ""), (4, "cat cow the the"), (5, None)], "id long, text string")
+    asked = spark.createDataFrame([(0, "cat the"), (1, "cow cow")], "q long, text string")
+    rows = lambda df: sorted((r["query"], r["doc"], round(r["score"], 9)) for r in df.collect())
+    own = rows(retrieval.bm25(docs, "id", "text", asked, "q", "text"))
+    assert own == rows(retrieval.bm25_of(retrieval.indexed(docs, "id", "text"), asked, "q", "text")) and own
+
+
+def test_store_has_a_pointer_at_any_time(spark, tmp_path):
+    from loomwork.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    for i in range(3):
+        store.replace("t", spark.range(i + 1))
+    assert store.read("t").count() == 3 and store.current("none") is None
+    assert len(list((tmp_path / "t").glob("CURRENT-*"))) == 2
+    (tmp_path / "t" / "CURRENT-000000000004").write_text('{"snapshot": "x"}')
+    other = Store(spark, str(tmp_path))
+    other._pointers = lambda name: [(3, "CURRENT-000000000003")]
+    with pytest.raises(OSError):
+        other.replace("t", spark.range(1))
+
+
 def test_containing_documents_of_short_items(spark):
     from loomwork.plans import catalog
 
