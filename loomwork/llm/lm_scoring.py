@@ -1,21 +1,24 @@
 """Log10 probabilities of texts under a bigram model whose counts lie in a log-frequency Bloom filter (op 5).
 
 Tokens are words (A-Z lower-cased, split at ASCII white space) and one end a text. All bigrams and tokens of the training texts are counted
-exactly: a task sorts and counts its own, and ships them packed by segment of the key space, where they are merged. A segment then becomes
-a Bloom filter: a bigram of quantised count q (1 + floor(log2 count)) is entered q times, as (key, 1) to (key, q). A scorer probes (key, 1),
-(key, 2), ... until a probe misses; an unseen bigram passes a probe with probability 2 ** -PROBES. The smoothed probability is
+exactly: a task sorts and counts its own, and ships them packed by segment of the key space, where they are merged. Bigrams are dealt by the
+hash of the pair, so that a frequent word's do not meet in one segment. A segment then becomes a Bloom filter: a bigram of quantised count q
+(1 + floor(log2 count)) is entered q times, as (key, 1) to (key, q). A scorer probes (key, 1), (key, 2), ... until a probe misses; an unseen
+bigram passes with probability f = 2 ** -PROBES. The smoothed probability is
 
-    P(w | u) = (m(q) + MU * P(w)) / (c(u) + MU),    P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
+    P(w | u) = (m + MU * P(w)) / (c(u) + MU + f * (V + 1)),    P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
-with m(q) the geometric middle of the counts of level q and c the exact token counts, which travel with the filter.
+with m the least count of level q, but no more than c(u) or c(w), and c the exact token counts, which travel with the filter. So no
+probability is above 1, and those of all words after u add up to 1 at most: the m of bigrams that occur are no more than their counts, which
+add up to c(u), and f * (V + 1) is what others are expected to add.
 
-The filter grows with the corpus, about 11.5 bits a distinct bigram and 12 bytes a distinct token. So it is broadcast in segments of a fixed
+The filter grows with the corpus, about 30 bits a distinct bigram and 16 bytes a distinct token. So it is broadcast in segments of a fixed
 size, made and sent one at a time; a worker reads its block of tokens once for each segment and holds one segment at a time. No more than
 one segment is in the driver's memory.
 
 Null text counts as empty text: one end token. No training text: every probability is that of P(w) with c = N = V = 0. Repeated rows: each
-is learned from and scored. Empty table: no rows. Only doc_id, text and the two flags are read, so other columns cannot clash.
-Tokens are told apart by 64-bit hashes.
+is learned from and scored. Ties: equal texts score equally. Long texts: a block of their own. Empty table: no rows. Only doc_id, text and
+the two flags are read, so other columns cannot clash. Tokens are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import mixed, modest_batches, saved, slices, tidily
 
-PROBES = 8
+PROBES = 16
 MU = 40.0
 #: Bytes of packed counts that a segment is planned for; its filter and token counts are smaller.
 SEGMENT_BYTES = 48_000_000
@@ -46,9 +49,9 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + after + np.uint64(1))
 
 
-def segment_of(after: np.ndarray, segments: int) -> np.ndarray:
-    """Bigrams live in the segment of their second token, beside its own count."""
-    return (mixed(after) % np.uint64(segments)).astype(np.int64)
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of a bigram's key or of a token's hash."""
+    return (mixed(keys) % np.uint64(segments)).astype(np.int64)
 
 
 class Block:
@@ -99,17 +102,15 @@ def _count(segments: int):
     def emit(block: Block) -> pa.RecordBatch:
         after, before, h = block.arrays()
         pairs, n = np.unique((before.astype(np.int64) << 32) | after, return_counts=True)
-        second = (pairs & 0xFFFFFFFF).astype(np.int64)
-        keys, at = pair_keys(h[pairs >> 32], h[second]), segment_of(h, segments)
+        keys = pair_keys(h[pairs >> 32], h[pairs & 0xFFFFFFFF])
         singles = np.bincount(after, minlength=len(h))
-        rows = []
-        order = np.argsort(at[second], kind="stable")
-        bounds = np.searchsorted(at[second][order], np.arange(segments + 1))
         seen = np.flatnonzero(singles)
-        order1 = seen[np.argsort(at[seen], kind="stable")]
-        bounds1 = np.searchsorted(at[order1], np.arange(segments + 1))
+        of_pair, of_token = segment_of(keys, segments), segment_of(h[seen], segments)
+        pairs_at, tokens_at = np.argsort(of_pair, kind="stable"), np.argsort(of_token, kind="stable")
+        pair_cuts, token_cuts = (np.searchsorted(x, np.arange(segments + 1)) for x in (of_pair[pairs_at], of_token[tokens_at]))
+        rows = []
         for s in range(segments):
-            i, j = order[bounds[s] : bounds[s + 1]], order1[bounds1[s] : bounds1[s + 1]]
+            i, j = pairs_at[pair_cuts[s] : pair_cuts[s + 1]], seen[tokens_at[token_cuts[s] : token_cuts[s + 1]]]
             if len(i) or len(j):
                 rows.append((s, _packed(keys[i], n[i]), _packed(h[j], singles[j])))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["segment", "pairs", "tokens"])
@@ -179,10 +180,16 @@ def levels(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def middle(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: 1 for level 1, else the geometric middle of its counts."""
-    q = level.astype(np.float64)
-    return np.where(q == 0, 0.0, np.where(q == 1, 1.0, np.exp2(q - 0.5)))
+def least(level: np.ndarray) -> np.ndarray:
+    """The least count of a level, 0 for none."""
+    return np.where(level == 0, 0.0, np.exp2(level.astype(np.float64) - 1))
+
+
+def probabilities(level: np.ndarray, before: np.ndarray, after: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """P(w | u) by the level of each bigram and the counts of its two tokens."""
+    p = (after + 0.1) / (total + 0.1 * (distinct + 1))
+    m = np.minimum(least(level), np.minimum(before, after))
+    return (m + MU * p) / (before + MU + (distinct + 1) / 2.0**PROBES)
 
 
 def _score(segments: int, sent: list, total: int, distinct: int):
@@ -192,28 +199,29 @@ def _score(segments: int, sent: list, total: int, distinct: int):
 
     def done(block: Block, ids: list, flags: list) -> pa.RecordBatch:
         after, before, h = block.arrays()
-        at = segment_of(h, segments)
-        counts, found = np.zeros(len(h), np.int64), np.zeros(len(after), np.uint8)
-        of_token = at[after]
+        counts = np.zeros(len(h), np.int64)
+        pairs, place = np.unique((before.astype(np.int64) << 32) | after, return_inverse=True)
+        keys = pair_keys(h[pairs >> 32], h[pairs & 0xFFFFFFFF])
+        of_token, of_pair, level = segment_of(h, segments), segment_of(keys, segments), np.zeros(len(pairs), np.uint8)
         for s, value in enumerate(sent):
             if value is None:
                 continue
             bits, tokens = value.value
             n = len(tokens) // 16
             known, c = np.frombuffer(tokens, np.uint64, n), np.frombuffer(tokens, np.int64, n, 8 * n)
-            own = np.flatnonzero(at == s)
-            place = np.minimum(np.searchsorted(known, h[own]), max(0, n - 1))
-            same = known[place] == h[own] if n else np.zeros(len(own), bool)
-            counts[own[same]] = c[place[same]]
-            here = np.flatnonzero((of_token == s) & (counts[after] > 0))
-            found[here] = levels(np.frombuffer(bits, np.uint8), pair_keys(h[before[here]], h[after[here]]))
+            own = np.flatnonzero(of_token == s)
+            at = np.minimum(np.searchsorted(known, h[own]), max(0, n - 1))
+            same = known[at] == h[own] if n else np.zeros(len(own), bool)
+            counts[own[same]] = c[at[same]]
+            here = np.flatnonzero(of_pair == s)
+            level[here] = levels(np.frombuffer(bits, np.uint8), keys[here])
             del bits, tokens, known, c
             value.__dict__.pop("_value", None)  # read again from the worker's file for the next block
-        c = counts[after].astype(np.float64)
-        p = (c + 0.1) / floor
+        found = level[place]
+        c, u = counts[after].astype(np.float64), counts[before].astype(np.float64)
         starts = np.concatenate(([0], np.cumsum(block.lengths)[:-1]))
-        base = np.add.reduceat(np.log10(p), starts)
-        score = np.add.reduceat(np.log10((middle(found) + MU * p) / (counts[before] + MU)), starts)
+        base = np.add.reduceat(np.log10((c + 0.1) / floor), starts)
+        score = np.add.reduceat(np.log10(probabilities(found, u, c, total, distinct)), starts)
         n_known = np.add.reduceat((c > 0).astype(np.int64), starts)
         columns = (ids, flags, block.lengths, n_known, [total] * len(ids), base, score)
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=list(names))

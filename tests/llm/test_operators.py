@@ -448,16 +448,46 @@ def test_lm_scores(spark, docs, rows, none):
         w = tokens(t)
         want[i, is_held(i), len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10(p(x)) for x in w), 6)] += 1
     assert collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
-    # The model itself: each level stands within a factor of two of its count, and few unseen pairs pass.
+    # The score, with counts cut down to powers of two as the filter has them; a pair that is not there passes with probability 2 ** -16.
+    low = lambda u, w: min(2 ** (pairs[u, w].bit_length() - 1) if pairs[u, w] else 0, count[u], count[w])
+    prob = lambda u, w: (low(u, w) + lm_scoring.MU * p(w)) / (count[u] + lm_scoring.MU + (v + 1) / 2**lm_scoring.PROBES)
+    scores = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        w = tokens(t)
+        scores[i].append(sum(math.log10(prob(a, b)) for a, b in zip(["\n", *w], w, strict=False)))
+    got = collections.defaultdict(list)
+    for r in out:
+        got[r["doc_id"]].append(r["score"])
+    assert all(np.allclose(sorted(got[i]), sorted(scores[i]), atol=1e-6) for i in scores)
+    assert all(s < 0 for x in got.values() for s in x)
+    again = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, held, segment_bytes=2_000).collect() if r["doc_id"] not in (3, None)}
+    assert all(abs(again[i] - got[i][0]) < 1e-9 for i in again)
+    assert lm_scoring.score(none, held).isEmpty()
+    assert lm_scoring.score(docs.where("doc_id = 104"), F.lit(True)).count() == 1
+
+
+def test_lm_levels():
     keys, counts = np.arange(1, 20001, dtype=np.uint64), np.random.default_rng(1).integers(1, 60, 20000)
     bits = np.frombuffer(lm_scoring._filter(keys, counts), np.uint8)
     levels = lm_scoring.levels(bits, keys)
-    assert (levels >= 1 + np.floor(np.log2(counts))).all() and (levels > 1 + np.floor(np.log2(counts))).mean() < 0.02
-    assert (lm_scoring.levels(bits, keys + np.uint64(10**9)) > 0).mean() < 0.01
-    again = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs.where("doc_id < 30"), held, segment_bytes=2_000).collect()}
-    assert all(s < 0 for s in again.values())
-    assert lm_scoring.score(none, held).isEmpty()
-    assert lm_scoring.score(docs.where("doc_id = 104"), F.lit(True)).count() == 1
+    assert (levels >= 1 + np.floor(np.log2(counts))).all() and (levels > 1 + np.floor(np.log2(counts))).mean() < 0.001
+    assert (lm_scoring.levels(bits, keys + np.uint64(10**9)) > 0).mean() < 0.001
+
+
+def test_lm_probabilities_add_up_to_one_at_most():
+    """After every word of a small language, over all words, by the filter itself; with pairs that occur as often as their first word too."""
+    rng = np.random.default_rng(5)
+    words = np.concatenate((rng.zipf(1.4, 6000) % 300, np.tile([400, 401], 600)))
+    count, pairs = np.bincount(words, minlength=402), collections.Counter(zip(words.tolist(), np.roll(words, -1).tolist(), strict=True))
+    distinct, total = int((count > 0).sum()), len(words)
+    h = np.array([int.from_bytes(hashlib.md5(str(i).encode()).digest()[:8], "little") for i in range(402)], np.uint64)
+    first, second = (np.array(x) for x in zip(*pairs, strict=True))
+    bits = np.frombuffer(lm_scoring._filter(lm_scoring.pair_keys(h[first], h[second]), np.array(list(pairs.values()))), np.uint8)
+    known = np.flatnonzero(count)
+    for u in known:
+        level = lm_scoring.levels(bits, lm_scoring.pair_keys(np.full(len(known), h[u]), h[known]))
+        p = lm_scoring.probabilities(level, np.full(len(known), float(count[u])), count[known].astype(float), total, distinct)
+        assert 0 < p.min() and p.max() <= 1 and p.sum() <= 1
 
 
 def test_lm_prefers_its_corpus(spark):
