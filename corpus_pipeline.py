@@ -17,13 +17,17 @@ from loomwork.llm.packing import pack
 from loomwork.llm.shared import bounded, saved, table, unused
 
 
+#: Languages that are kept, None for all that documents are labelled with, and the least proportion of the text that has to be in one.
+WANTED: tuple[str, ...] | None = None
+LEAST_SHARE = 0.0
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found. The model learns from the rows of ``docs`` that have a language; rejected are texts without
-    letters, ``und``. When no row has a language nothing is learned, and nothing is rejected."""
+    """Documents in a known (and wanted) language. The model learns from the rows of ``docs`` that have a language; rejected are texts without
+    letters, and those that fit the best language worse than labelled texts do. When no row has a language nothing is learned, and nothing
+    is rejected."""
     model = language_id.train(docs)
-    if not model.langs:
-        return docs
-    return language_id.with_language(docs, model)
+    return language_id.in_known_language(docs, model, WANTED, LEAST_SHARE) if model.langs else docs
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

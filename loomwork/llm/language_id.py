@@ -4,9 +4,10 @@ A language is a distribution over hashed character trigrams, estimated from all
 of its words (runs of letters) comes from one language, and expectation-maximisation over the words' n-gram likelihoods gives the
 languages' proportions. The language set is chosen by penalised likelihood: languages enter in the order of their proportions, each must
 raise the log-likelihood by more than half the logarithm of the number of words, plus a constant. The predicted language is the one of the
-largest proportion within the set, and that proportion is the score.
+largest proportion within the set, and that proportion is the score. ``fit`` is the mean log-likelihood of a used character under that
+language, by which ``in_known_language`` tells texts in none of the languages.
 
-A text that is null or has no letter, or any text when nothing was learned: ``und``, score 0. Ties go to the language that sorts first.
+A text that is null or has no letter, or any text when nothing was learned: ``und``, score 0, fit null. Ties go to the language that sorts first.
 Training rows with null text or language are left out. Repeated rows: each is predicted (and counted in training). Empty table: no rows.
 Long texts are worked through in blocks of bounded size. The columns read are passed by position, so others cannot clash.
 """
@@ -22,13 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mixed, modest_batches, slices, tidily
+from .shared import mixed, modest_batches, saved, slices, tidily
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
-ROUNDS = 12
+#: Rounds of expectation-maximisation at most, and the change of a proportion below which it has converged.
+ROUNDS, STILL = 50, 1e-3
 #: What a further language must add to the log-likelihood, besides half the logarithm of the number of words.
 ENTRY_COST = 2.0
+#: Texts fit worse than this share of the labelled ones, by as much again as those do than the middle one, are in no known language.
+OUTLYING = 0.001
+#: What the fit of a text of n characters may be worse for being short, times the square root of n.
+SHORT = 10.0
 #: Characters whose likelihoods are held at once.
 BLOCK = 500_000
 
@@ -96,29 +102,28 @@ class Model:
     langs: list[str]
     logs: np.ndarray  # buckets x languages, log probabilities
 
-    def word_logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(words x languages log-likelihoods, document of each word). Texts over ``BLOCK`` characters are worked through in parts."""
-        rows, docs = [], []
+    def word_logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words x languages log-likelihoods, document of each word, characters of each word). Texts over ``BLOCK`` characters are worked
+        through in parts."""
+        parts = []
         step = max(1, BLOCK * 4 // max(4, len(self.langs)))
         for i, t in enumerate(texts):  # one list entry a document when a text is long, else all at once
             if len(t) > BLOCK:
                 for part in _blocks([t]):
-                    w, d = self._few(part, step)
-                    rows.append(w)
-                    docs.append(np.full(len(d), i))
-        if not rows:
+                    w, d, n = self._few(part, step)
+                    parts.append((w, np.full(len(d), i), n))
+        if not parts:
             return self._few(texts, step)
         short = [i for i, t in enumerate(texts) if len(t) <= BLOCK]
-        w, d = self._few([texts[i] for i in short], step)
-        rows.append(w)
-        docs.append(np.array(short, np.int64)[d])
-        w, d = np.concatenate(rows), np.concatenate(docs)
+        w, d, n = self._few([texts[i] for i in short], step)
+        parts.append((w, np.array(short, np.int64)[d], n))
+        w, d, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(d, kind="stable")
-        return w[order], d[order]
+        return w[order], d[order], n[order]
 
-    def _few(self, texts: list[str], step: int) -> tuple[np.ndarray, np.ndarray]:
+    def _few(self, texts: list[str], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not texts:
-            return np.empty((0, len(self.langs)), np.float32), np.empty(0, np.int64)
+            return np.empty((0, len(self.langs)), np.float32), np.empty(0, np.int64), np.empty(0, np.int64)
         bucket, word, doc = features(texts)
         out = np.zeros((len(doc), len(self.langs)), np.float32)
         for at in range(0, len(bucket), step):
@@ -126,31 +131,43 @@ class Model:
             if len(w):
                 first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
                 out[w[first]] += np.add.reduceat(self.logs[bucket[at : at + step]], first)
-        return out, doc
+        return out, doc, np.bincount(word, minlength=len(doc))
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float | None], list[int]]:
+        """Language, score, fit and used characters of each text."""
+        langs, scores, fits, sizes = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts), [0] * len(texts)
         if not self.langs:
-            return langs, scores
-        w, doc = self.word_logs(texts)
+            return langs, scores, fits, sizes
+        w, doc, n = self.word_logs(texts)
         if not len(w):
-            return langs, scores
+            return langs, scores, fits, sizes
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         ids = doc[first]
         shares = proportions(w, first)
         best = shares.argmax(1)
-        for i, k, s in zip(ids, best, shares[np.arange(len(ids)), best], strict=True):
-            langs[i], scores[i] = self.langs[k], float(min(1.0, max(0.0, s)))
-        return langs, scores
+        likely = np.add.reduceat(w[np.arange(len(w)), np.repeat(best, np.diff(np.append(first, len(w))))].astype(np.float64), first)
+        used = np.add.reduceat(n, first)
+        for j, (i, k, s) in enumerate(zip(ids, best, shares[np.arange(len(ids)), best], strict=True)):
+            langs[i], scores[i], fits[i], sizes[i] = self.langs[k], float(min(1.0, max(0.0, s))), float(likely[j] / used[j]), int(used[j])
+        return langs, scores, fits, sizes
 
 
 def _mixture(p: np.ndarray, first: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions by expectation-maximisation among the allowed languages, and the log-likelihood (but for each word's constant)."""
     pi = allowed / allowed.sum(1, keepdims=True)
+    words, starts, open_ = p, first, np.arange(len(n))
     for _ in range(ROUNDS):
-        r = p * np.repeat(pi, n, 0)
+        sizes = n[open_]
+        r = words * np.repeat(pi[open_], sizes, 0)
         r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
-        pi = np.add.reduceat(r, first) / n[:, None]
+        new = np.add.reduceat(r, starts) / sizes[:, None]
+        moved = np.abs(new - pi[open_]).max(1) > STILL
+        pi[open_] = new
+        if not moved.any():
+            break
+        if moved.mean() < 0.5:  # documents that stand still leave, once that is worth the copying
+            words, open_ = words[np.repeat(moved, sizes)], open_[moved]
+            starts = np.concatenate(([0], np.cumsum(n[open_])[:-1]))
     total = np.log(np.maximum((p * np.repeat(pi, n, 0)).sum(1), 1e-30))
     return pi, np.add.reduceat(total.astype(np.float64), first)
 
@@ -195,31 +212,60 @@ def train(labelled: DataFrame) -> Model:
     return Model(list(langs), logs)
 
 
+_FOUND = ("lang_pred", "score", "fit", "used")
+
+
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=BLOCK):
-            langs, scores = model.predict([t or "" for t in batch.column("text").to_pylist()])
+            langs, scores, fits, sizes = model.predict([t or "" for t in batch.column("text").to_pylist()])
             rest = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rest, *found], names=[*batch.schema.names[1:], *_FOUND])
 
     return run
 
 
 def _identified(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    """The columns ``keep`` by the names _0, _1, ..., then lang_pred and score."""
+    """The columns ``keep`` by the names _0, _1, ..., then ``_FOUND``."""
     held = modest_batches(docs).select(F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
     kinds = {f.name: f for f in held.schema.fields}
-    schema = T.StructType([*(kinds[f"_{i}"] for i in range(len(keep))), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return held.mapInArrow(tidily(_predict(model)), schema)
+    found = [T.StructField(n, t) for n, t in zip(_FOUND, (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()), strict=True)]
+    return held.mapInArrow(tidily(_predict(model)), T.StructType([*(kinds[f"_{i}"] for i in range(len(keep))), *found]))
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs``, then lang_pred and score."""
+    """The columns ``keep`` of ``docs``, then lang_pred, score and fit."""
     out = _identified(docs, model, keep)
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
-
-
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows that are ``und``, whatever the names of their columns."""
-    out = _identified(docs, model, tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN)
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "fit")
+
+
+def floors(labelled: DataFrame) -> dict[str, float]:
+    """The fit below which a text is in no known language, by predicted language, from all labelled rows (lang_pred, fit). Counts by
+    hundredths reach the driver."""
+    n: dict[str, list[tuple[float, int]]] = {}
+    for r in labelled.where("fit is not null").groupBy("lang_pred", F.round("fit", 2).alias("at")).count().orderBy("at").collect():
+        n.setdefault(r["lang_pred"], []).append((r["at"], r["count"]))
+    out = {}
+    for lang, counts in n.items():
+        total, upto, low, middle = sum(c for _, c in counts), 0, None, None
+        for at, c in counts:
+            upto += c
+            low = at if low is None and upto > OUTLYING * total else low
+            middle = at if middle is None and upto > total / 2 else middle
+        out[lang] = low - (middle - low)
+    return out
+
+
+def in_known_language(docs: DataFrame, model: Model, wanted: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
+    """``docs``, whatever the names of their columns, without the rows that are ``und``; those whose text fits its language worse than texts
+    of a known language do; and, if languages are ``wanted``, those of another one or with a score below ``least``. Docs have a column lang."""
+    rows = saved(_identified(docs, model, tuple(docs.columns)), "identified")
+    lang = F.col(f"_{docs.columns.index('lang')}")
+    limit = F.lit(float("-inf"))
+    for name, floor in sorted(floors(rows.where(lang.isNotNull())).items()):
+        limit = F.when(F.col("lang_pred") == name, F.lit(floor)).otherwise(limit)
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= limit - SHORT / F.sqrt(F.col("used")))
+    if wanted is not None:
+        kept = kept & F.col("lang_pred").isin(*wanted) & (F.col("score") >= least)
+    return rows.where(kept).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))

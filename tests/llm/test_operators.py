@@ -358,7 +358,7 @@ def test_language(spark, none):
     assert all(got[i] == ("und", 0.0) for i in (4, 5, 6))
     assert language_id.identify(none, model, "doc_id").isEmpty()
     empty = language_id.train(none)
-    assert empty.langs == [] and empty.predict(["amber"]) == (["und"], [0.0])
+    assert empty.langs == [] and empty.predict(["amber"]) == (["und"], [0.0], [None], [0])
 
 
 def test_language_of_long_texts_is_that_of_short_blocks(monkeypatch):
@@ -371,6 +371,42 @@ def test_language_of_long_texts_is_that_of_short_blocks(monkeypatch):
     assert np.allclose(model.predict(texts)[1], whole[1], atol=1e-4)
 
 
+def test_proportions_against_plain_mixtures(spark):
+    """Counts of trigrams, word likelihoods and the mixture, worked out by dictionaries and loops."""
+    rng = __import__("random").Random(15)
+    other = [w[::-1] + "ij" for w in WORDS]
+    rows = [(prose(rng, 25, WORDS if i % 2 else other), "en" if i % 2 else "yy") for i in range(12)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    grams = lambda word: [tuple(("  " + word + " ")[i : i + 3]) for i in range(len(word) + 1)]
+    words = lambda t: re.findall("[a-z]+", t.lower())
+    seen = {lang: collections.Counter(g for t, x in rows if x == lang for w in words(t) for g in grams(w)) for lang in model.langs}
+    size = {lang: sum(n.values()) + 0.05 * language_id.BUCKETS for lang, n in seen.items()}
+    for text in (prose(rng, 30), prose(rng, 12) + " " + prose(rng, 20, other), "amber basin"):
+        p = [[math.exp(sum(math.log((seen[lang][g] + 0.05) / size[lang]) for g in grams(w))) for lang in model.langs] for w in words(text)]
+        pi = [0.5, 0.5]
+        for _ in range(200):
+            r = [[a * b / sum(x * y for x, y in zip(row, pi, strict=True)) for a, b in zip(row, pi, strict=True)] for row in p]
+            pi = [sum(x[k] for x in r) / len(r) for k in (0, 1)]
+        both = sum(math.log(sum(x * y for x, y in zip(row, pi, strict=True))) for row in p)
+        top = max((0, 1), key=lambda k: pi[k])
+        one = sum(math.log(row[top]) for row in p)
+        share = pi[top] if both - one > 0.5 * math.log(len(p)) + language_id.ENTRY_COST else 1.0
+        langs, scores, fits, used = model.predict([text])
+        assert langs == [model.langs[top]] and abs(scores[0] - share) < 0.02  # buckets are shared by some trigrams
+        assert used == [sum(len(w) + 1 for w in words(text))] and abs(fits[0] - sum(math.log(row[top]) for row in p) / used[0]) < 0.05
+
+
+def test_texts_of_no_known_language_go(spark):
+    rng = __import__("random").Random(16)
+    foreign = ["\u043f\u0440\u0438\u0432\u0435\u0442", "\u043c\u0438\u0440\u044b", "\u0434\u043e\u043c\u0430"]
+    rows = [(i, prose(rng, rng.randint(2, 80)), "en", 1) for i in range(300)] + [(1000, prose(rng, 40, foreign), None, 1), (1001, " ".join("xqzkj"[i % 5] * 7 for i in range(40)), None, 1), (1002, "amber", None, 1), (1003, "12 34", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int")
+    model = language_id.train(df)
+    kept = language_id.in_known_language(df, model)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(300)) | {1002}
+    assert language_id.in_known_language(df, model, ("fr",)).isEmpty()
+
+
 def test_held_out_accuracy(spark):
     got = queries.op3_language_mixture(spark, "/root/testdata/sf0.01")
     lang = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("d"), "lang")
