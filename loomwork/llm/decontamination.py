@@ -6,7 +6,7 @@ items and documents alike: so whoever share a stretch of that length share its f
 Documents of which no fingerprint is an item's are done with after one pass. In the others, each matched stretch is compared word by word
 with the items' windows, and the verified windows extend to hit spans by union. Shorter items are looked up by the hash of their words.
 
-Null and empty texts have no words. Items without words match nothing, nor do those with a null id unless ``null_ids`` is set:
+Null and empty texts have no words; long ones are one array of words and hashes. Ties: items are counted and listed once each. Items without words match nothing, nor do those with a null id unless ``null_ids`` is set:
 then their windows count for n_hit and contaminated, and they for no item. Items of one id count once. Repeated document
 rows are reported each, with equal values. Empty tables: no rows, or no hits. Columns are renamed on reading, so others cannot clash.
 """
@@ -20,14 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import saved
+from .shared import BROADCAST_BYTES, bounded, saved, unfolded
 
 WINDOW = 10
 K = 6
 #: Fixed value: what a word is made of, after lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many fingerprints or document keys (some 50 bytes each) are broadcast; beyond, the join shuffles both sides.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -77,15 +75,13 @@ def item_windows(benchmark: DataFrame, null_ids: bool = False) -> DataFrame:
     return exploded.select("item_id", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("window"), "n", "print").distinct()
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, null_ids: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_md5."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, null_ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_md5. What is joined is broadcast up to so many
+    bytes."""
+    small = lambda df, row_bytes: bounded(df, row_bytes, broadcast_bytes)
     windows = saved(item_windows(benchmark, null_ids), "item-windows")
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # 1 to WINDOW
-    prints = _maybe_broadcast(windows.select(F.col("print").alias("p")).distinct(), broadcast_rows)
+    prints = small(windows.select(F.col("print").alias("p")).distinct(), 40)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_md5"), words(text).alias("words"))
 
@@ -98,12 +94,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
     matched = (
         exploded.join(prints, F.col("print") == F.col("p"), "left")
         .groupBy("doc_id", "text_md5", "n_words")  # a task meets a document's rows one after another, so little of this is shuffled
-        .agg(F.max(F.col("p").isNotNull()).alias("found"), F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, 1).otherwise(0)).alias("rows"))
+        .agg(F.max(F.col("p").isNotNull()).alias("found"), F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, 1).otherwise(0)).cast("long").alias("rows"))
     )
     seen = saved(matched, "matched")
 
     # Their words again, and every stretch with such a fingerprint, compared in full.
-    keys = _maybe_broadcast(seen.where("found").select(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5")), broadcast_rows)
+    keys = small(seen.where("found").select(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5")), 100)
     some = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_md5") == F.col("s_md5")), "left_semi")
     again = _prints(some, lengths) if lengths else some
     stretches = None
@@ -114,24 +110,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
         hits = seen.select("doc_id", "text_md5", F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit("").alias("window")).where(F.lit(False))
     else:
         places = stretches.join(prints, F.col("print") == F.col("p"), "left_semi").groupBy(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5")).agg(F.collect_list(F.struct("at", "n")).alias("places"))
-        placed = rows.join(_maybe_broadcast(saved(places, "places"), broadcast_rows // 10), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_md5") == F.col("s_md5")))
+        placed = rows.join(small(saved(places, "places"), 100 + 16 * F.size("places")), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_md5") == F.col("s_md5")))
         window = F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.array_join(F.slice("words", x["at"] + 1, x["n"]), " ").alias("window")))
         near = placed.select("doc_id", "text_md5", window.alias("found")).select("doc_id", "text_md5", F.explode_outer("found").alias("x")).select("doc_id", "text_md5", "x.n", "x.at", "x.window")
-        known = _maybe_broadcast(windows.select(F.col("window").alias("w"), F.col("n").alias("w_n")).distinct(), broadcast_rows // 4)
+        known = small(windows.select(F.col("window").alias("w"), F.col("n").alias("w_n")).distinct(), 40 + F.octet_length("w"))
         hits = near.join(known, (F.col("window") == F.col("w")) & (F.col("n") == F.col("w_n")), "left_semi").distinct()
     hits = saved(hits, "hits")
 
     by_doc = W.partitionBy("doc_id", "text_md5").orderBy("at", "n")
     reach = F.coalesce(F.max(F.col("at") + F.col("n")).over(by_doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     spans = hits.withColumn("new", F.greatest(F.lit(0), F.col("at") + F.col("n") - F.greatest(F.col("at"), reach))).groupBy("doc_id", "text_md5").agg(F.sum("new").cast("long").alias("n_hit"))
-    own = hits.select("doc_id", "text_md5", "window", "n").distinct().join(_maybe_broadcast(windows.select("item_id", F.col("window").alias("w"), F.col("n").alias("w_n")), broadcast_rows // 4), (F.col("window") == F.col("w")) & (F.col("n") == F.col("w_n")))
+    own = hits.select("doc_id", "text_md5", "window", "n").distinct().join(small(windows.select("item_id", F.col("window").alias("w"), F.col("n").alias("w_n")), 80 + F.octet_length("w")), (F.col("window") == F.col("w")) & (F.col("n") == F.col("w_n")))
     items = own.groupBy("doc_id", "text_md5").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_md5") == F.col("b.text_md5"))
     found = spans.alias("a").join(items.alias("b"), same).select(
         F.col("a.doc_id").alias("h_id"), F.col("a.text_md5").alias("h_md5"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
     )
     # Repeated rows are one in ``seen``; they come back here.
-    out = seen.join(_maybe_broadcast(found, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_md5") == F.col("h_md5")), "left").withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))))
+    found = saved(found, "found")
+    out = seen.join(small(found, 250), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_md5") == F.col("h_md5")), "left")
+    out = unfolded(out, "rows", seen.agg(F.max("rows")).head()[0] or 1)
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),

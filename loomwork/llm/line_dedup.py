@@ -93,12 +93,12 @@ def _digest(chunk: str) -> bytes:
     return hashlib.md5(chunk.encode()).digest()
 
 
-def _digests(cut: Cut):
+def _digests(cut: Cut, digest: Callable[[str], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for doc_id, text, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_md5")), strict=True):
-                rows += [(doc_id, key, a, b, _digest(text[a:b])) for a, b, _ in cut(text or "")]
+                rows += [(doc_id, key, a, b, digest(text[a:b])) for a, b, _ in cut(text or "")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "digest"])
 
@@ -142,10 +142,10 @@ def _places(digests: set[bytes]):
 FORGED = 1_000
 
 
-def with_repeats(rows: DataFrame, cut: Cut) -> DataFrame:
+def with_repeats(rows: DataFrame, cut: Cut, digest: Callable[[str], bytes] = _digest) -> DataFrame:
     """``rows`` (doc_id, text_md5, text, others; one a key) with ``spans``: their chunks that occur twice or more, ``again`` where an earlier
     place has the same bytes. Rows are shuffled once and saved."""
-    scratch = [chunks_ := saved(rows.select("doc_id", "text", "text_md5").mapInArrow(tidily(_digests(cut)), _CHUNKS), "chunks")]
+    scratch = [chunks_ := saved(rows.select("doc_id", "text", "text_md5").mapInArrow(tidily(_digests(cut, digest)), _CHUNKS), "chunks")]
     out = saved(with_spans(rows, occurrences(chunks_, scratch=scratch).select("doc_id", "text_md5", "start", "end", "digest", "again")), "with-spans", "zstd")
     for t in scratch:
         dropped(t)
@@ -166,9 +166,9 @@ def with_repeats(rows: DataFrame, cut: Cut) -> DataFrame:
     return with_spans(out.drop("spans"), others.union(exact))
 
 
-def _removed(docs: DataFrame, cut: Cut) -> DataFrame:
+def _removed(docs: DataFrame, cut: Cut, digest: Callable[[str], bytes] = _digest) -> DataFrame:
     rows = keyed(docs).dropDuplicates(["doc_id", "text_md5"])
-    return with_repeats(rows, cut).select("doc_id", "text_md5", F.explode("spans").alias("s")).where("s.again").select("doc_id", "text_md5", "s.start", "s.end", "s.digest")
+    return with_repeats(rows, cut, digest).select("doc_id", "text_md5", F.explode("spans").alias("s")).where("s.again").select("doc_id", "text_md5", "s.start", "s.end", "s.digest")
 
 
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:

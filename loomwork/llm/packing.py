@@ -6,7 +6,8 @@ counts: a group of equal bins takes many pieces of one length at once. The plan
 offset); a piece takes its slot by its rank within its length. Ranks are counted inside groups of bounded size, so that a length which
 a third of all pieces share is spread over many tasks.
 
-Null or empty text: a piece of the end id alone. Repeated rows: each is packed. Empty table: no rows. Other columns are not read.
+Null or empty text: a piece of the end id alone. Repeated rows: each is packed; equal pieces are one row with a count until they get their
+slots. Ties: pieces of one length are ranked by id, piece and content. Long texts: encoded whole, then cut. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,25 +21,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from .shared import modest_batches, saved, slices, tidily
+from .shared import modest_batches, numbered, saved, slices, tidily
 
 CAPACITY = 2048
-#: Pieces of one length that are ranked together in a task.
-RANKED_TOGETHER = 20_000
+#: Pieces of one length that are ranked together in a task, as long as that makes no more than so many sets.
+RANKED_TOGETHER, MOST_DEALS = 2_000, 100_000
 #: Entries of a task's memory of words.
 REMEMBERED = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Texts that tokenizers of other rules (case, splitting, white space, marks of words) encode otherwise.
+PROBE = ("Hello, WORLD!! |x| a1b2 3.14", "it's 'S don't I'LL x'sy", "½²³ ªº µß ſ ŉ é á", "tab\tand\nline  two spaces ", "", " ", "under_score e-mail http://a.b/c?d=1", "Éèê çà ñandú übergroß naïve", "aaaaaaaaaaaaaaaaaaaa zzzz 1234567890", "(a)[b]{c}<d>;:'\"#$%^&*+=~`")
+
+
 class Encoder:
     """Token ids of whole texts, as packed little-endian unsigned 32-bit integers.
 
     The tokenizer encodes each stretch that its pre-tokenizer splits off by itself, and no stretch crosses white space. For texts of
     characters whose splitting is plain (below U+0250, without control characters, special tokens or U+0130), words and stretches are
-    found here and each new word is encoded once; other texts go through the tokenizer whole. A test compares both ways.
+    found here and each new word is encoded once; other texts go through the tokenizer whole. At the start both ways are compared on
+    ``PROBE``: a tokenizer of other rules is used whole.
     """
 
     def __init__(self, path: str):
@@ -53,7 +58,13 @@ class Encoder:
         self.last[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.plain = regex.compile(r"[\n\r\t\x20-\x7E\xA1-\u012F\u0131-\u024F]*+")
+        self.alike = True
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        try:
+            self.alike = self.encode(list(PROBE)) == [self.whole(t) for t in PROBE]
+        except (IndexError, KeyError, ValueError):
+            self.alike = False
+        self.words.clear()
 
     def _learn(self, new: set[str]) -> None:
         # Most words are letters alone, or letters and one other character, which are two stretches.
@@ -80,6 +91,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED:
             self.words.clear()
+        if not self.alike:
+            return [self.whole(t) for t in texts]
         found = [t.lower().split() if "<|" not in t and self.plain.fullmatch(t) else None for t in texts]
         self._learn(set().union(*filter(None, found)).difference(self.words))
         get = self.words.__getitem__
@@ -176,19 +189,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         plan(histogram, capacity),
         T.StructType([T.StructField(n, T.LongType()) for n in ("p_length", "first_rank", "end_rank", "first_sequence", "first_offset", "per_bin")]),
     )
-    together = max(ranked_together, sum(histogram.values()) // 100_000)  # so that ``before`` stays below 100,000 rows and one a length
-    dealt = spark.createDataFrame([(n, 1 + c // together) for n, c in histogram.items()], "d_length long, deals long")
-    # The deal of a piece depends on its row alone: a task that runs again deals alike.
-    rows = cut.join(F.broadcast(dealt), F.col("length") == F.col("d_length")).withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece"), "deals"))
-    counts = rows.groupBy("length", "deal").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("length").alias("b_length"), F.col("deal").alias("b_deal"), (F.sum("n").over(W.partitionBy("length").orderBy("deal")) - F.col("n")).alias("before"))
-    ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy("length", "deal").orderBy("doc_id", "piece")))
-    placed = (
-        ranked.join(F.broadcast(before), (F.col("length") == F.col("b_length")) & (F.col("deal") == F.col("b_deal")))
-        .withColumn("rank", F.col("before") + F.col("rn") - 1)
-        .join(F.broadcast(planned), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
-        .withColumn("k", F.col("rank") - F.col("first_rank"))
-    )
+    ranked = numbered(cut, "length", ["doc_id", "piece", "ids_crc32", "start"], ranked_together, MOST_DEALS).withColumnRenamed("number", "rank")
+    placed = ranked.join(F.broadcast(planned), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))).withColumn("k", F.col("rank") - F.col("first_rank"))
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("first_sequence") + F.floor(F.col("k") / F.col("per_bin"))).cast("long").alias("sequence_id"),

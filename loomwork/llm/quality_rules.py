@@ -6,7 +6,7 @@ left out of training, and so look like any other clean document; the threshold i
 any size of the tables. Nothing is drawn at random, so equal texts get equal verdicts.
 
 Null text: no words, which fails the base rules. Repeated rows: each is judged (and counted in the corpus). Ties at the threshold are kept.
-Empty table: no rows. No trusted document left to train on, or none to set the threshold by: the base rules alone decide. Columns are read by name and renamed before any
+Long texts: one array of word hashes. Empty table: no rows. No trusted document left to train on, or none to set the threshold by: the base rules alone decide. Columns are read by name and renamed before any
 join, so others cannot clash.
 """
 
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .shared import WordHashes, mixed, modest_batches, slices, tidily, windows
 
 BUCKETS = 1 << 16
-#: Mean log-likelihood ratio an n-gram from which on a document is kept, where ``judge`` is given none.
-THRESHOLD = -0.12
 #: Pseudo-counts shared among the buckets, as a share of the trusted counts: a bucket's trusted probability is drawn to its raw one by so much.
 PRIOR = 0.25
 #: Share of the trusted documents left out of training that the threshold keeps.
@@ -128,8 +126,9 @@ def _judge(weights: np.ndarray, threshold: float):
     return run
 
 
-def judge(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio."""
+def judge(docs: DataFrame, weights: np.ndarray, threshold: float = 0.0) -> DataFrame:
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio. Kept is what passes the
+    base rules and has a mean log-likelihood ratio an n-gram of ``threshold`` or more."""
     rows = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(tidily(_judge(weights, threshold)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double")
 

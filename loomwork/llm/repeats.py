@@ -12,10 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded, hot, modest_batches, saved, slices, split_join, tidily, unused
-
-#: Rows that one input row is blown up to in one go.
-UNFOLDED_TOGETHER = 10_000
+from .shared import bounded, hot, modest_batches, saved, slices, split_join, tidily, unfolded, unused
 
 Spans = Callable[[str], Iterable[tuple[int, int]]]
 
@@ -43,19 +40,6 @@ def folded(docs: DataFrame) -> tuple[DataFrame, int]:
     return rows.join(twice, same, "left_anti").withColumn("copies", F.lit(1).cast("long")).union(again.select("doc_id", "text", "text_md5", "copies")), most
 
 
-def unfolded(df: DataFrame, n: str, most: int) -> DataFrame:
-    """Each row of ``df`` as often as its column ``n``, at most ``most``, says; without that column. Large numbers are dealt to many tasks."""
-    (at,) = unused(df, "at")
-    one = F.lit(1).cast("long")
-    if most <= UNFOLDED_TOGETHER:
-        return df.withColumn(at, F.explode(F.sequence(one, F.col(n)))).drop(n, at)
-    df = saved(df, "folded")
-    few = df.where(F.col(n) <= UNFOLDED_TOGETHER).withColumn(at, F.explode(F.sequence(one, F.col(n))))
-    blocks = df.where(F.col(n) > UNFOLDED_TOGETHER).withColumn(at, F.explode(F.sequence(one, F.col(n), F.lit(UNFOLDED_TOGETHER).cast("long")))).repartition(at)
-    many = blocks.withColumn(at, F.explode(F.sequence(F.col(at), F.least(F.col(at) + UNFOLDED_TOGETHER - 1, F.col(n)))))
-    return few.union(many).drop(n, at)
-
-
 def occurrences(units: DataFrame, by: tuple[str, ...] = ("digest",), scratch: list[DataFrame] | None = None) -> DataFrame:
     """Rows of ``units`` (doc_id, text_md5, start, ``by``..., others) whose ``by`` occurs twice or more, with first_doc_id, first_start,
     copies and ``again``: whether the first occurrence is another one (smallest doc_id, null first, then text_md5, then start). ``units`` is
@@ -134,7 +118,7 @@ def kept(rows: DataFrame, most: int, pieces: Spans, all_spans: Spans) -> DataFra
     ``all_spans`` of its text. n_units and n_removed count pieces with a word; kept_spans and removed_spans are the stretches of adjacent
     pieces that stay or go, as start:end in code points of the original text, comma-joined; text is what stays."""
     out = rows.select("doc_id", "text", "copies", "spans").mapInArrow(tidily(_kept(pieces, all_spans)), f"{KEPT}, times long")
-    return unfolded(out, "times", most)
+    return unfolded(out, "times", most).drop("at")
 
 
 def _cut(names: list[str]):

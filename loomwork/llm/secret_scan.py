@@ -7,10 +7,11 @@ those of 20 or more characters with the greatest sum, when that exceeds ``MARGIN
 does not outvote it.
 
 The samples are seeded ones made here (random strings over common alphabets against composed identifiers) and, as ordinary strings, the
-long words of a bounded sample of the corpus: the ``sample_docs`` documents with the smallest hashes of their ids, of which each gives at
-most ``sample_words`` words of letters only. All else covers every row.
+long words of a bounded sample of the corpus: the ``sample_docs`` rows with the smallest hashes of id and text, of which each gives at most
+``sample_words`` words of 12 to ``LONGEST_WORD`` letters. All else covers every row. Keys of fewer than 20 characters are left to the patterns.
 
-Null or empty text: no span. Offsets are code points, ends exclusive. Repeated rows: each is reported. Empty table: no rows. Only doc_id
+Null or empty text: no span. Offsets are code points, ends exclusive. Repeated rows: each is reported. Ties: spans that begin together are
+in the order of ``KINDS``. Long texts are scanned whole, run by run. Empty table: no rows. Only doc_id
 and text are read, so other columns cannot clash.
 """
 
@@ -43,6 +44,7 @@ THRESHOLD = 0.0
 MARGIN = 10.0
 SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 100
+LONGEST_WORD = 200
 
 _SYMBOLS = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 _CODE = np.full(128, len(_SYMBOLS), np.int64)
@@ -153,7 +155,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _words(limit: int):
-    word = re.compile(r"[^\W\d_]{12,}")
+    word = re.compile(rf"(?<![^\W\d_])[^\W\d_]{{12,{LONGEST_WORD}}}(?![^\W\d_])")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -162,17 +164,21 @@ def _words(limit: int):
                 for n, m in enumerate(word.finditer(text or "")):
                     if n == limit:
                         break
-                    out.append(m[0][:200])
+                    out.append(m[0])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["word"])
 
     return run
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> list[tuple[int, str]]:
-    """At most ``sample_docs * sample_words`` ordinary words of the corpus, and the seeded samples."""
-    ids = [r[0] for r in docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
-    sample = docs.where(F.col("doc_id").isin(ids)).select(F.col("text").cast("string").alias("text")) if ids else None
-    words = sorted(r[0] for r in sample.mapInArrow(tidily(_words(sample_words)), "word string").distinct().collect()) if ids else []
+    """At most ``sample_docs * sample_words`` ordinary words of the corpus, and the seeded samples. Rows beyond ``sample_docs`` are of an id and a
+    text that the sample has already, and add no word."""
+    keyed = docs.select(F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    last = keyed.select("key").orderBy("key").limit(sample_docs).agg(F.max("key")).head()[0]
+    if last is None:
+        return seeded_samples()
+    sample = keyed.where(F.col("key") <= last).select("text")
+    words = sorted(r[0] for r in sample.mapInArrow(tidily(_words(sample_words)), "word string").distinct().collect())
     return seeded_samples() + [(0, w) for w in words]
 
 

@@ -8,7 +8,8 @@ The search sees the groups through a histogram over ranges of the order. From it
 a stretch of the order for each cut; only the ranges there are divided further, until each of them is one group. At most some ten thousand
 rows reach the driver a round, however many groups there are, and the result is that of the search over all groups.
 
-Null text counts as empty text. Repeated rows: each takes a slot. A group larger than an even share is a shard to itself or nearly so,
+Null text counts as empty text. Repeated rows: each takes a slot, by a count. Ties: slots have no order that means anything, and rows of one
+text and id get adjoining ones. Long texts: only their digests are held. A group larger than an even share is a shard to itself or nearly so,
 and shards without a group stay empty. Empty table: no rows. Only doc_id and text are read, so other columns cannot clash.
 """
 
@@ -20,14 +21,13 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .shared import saved
+from .shared import numbered, saved
 
 BITS = 60
 FIRST_BITS, MORE_BITS = 12, 8
-#: Rows that are numbered together in a task, and the most such sets a shard.
-NUMBERED_TOGETHER, MOST_DEALS = 20_000, 4_096
+#: Rows that are numbered together in a task, as long as that makes no more than so many sets.
+NUMBERED_TOGETHER, MOST_DEALS = 10_000, 32_768
 
 
 @dataclass(frozen=True)
@@ -163,11 +163,6 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     number = F.lit(0)
     for first in firsts:
         number = number + (F.col("key") >= first).cast("int")
-    deals = min(MOST_DEALS, 1 + rows.count() // NUMBERED_TOGETHER)
-    dealt = rows.withColumn("shard", number).withColumn("deal", F.pmod(F.xxhash64("doc_id", "key"), F.lit(deals)))
-    counts = dealt.groupBy("shard", "deal").agg(F.count("*").alias("n"))  # shards x MOST_DEALS rows at most
-    before = counts.select(F.col("shard").alias("b_shard"), F.col("deal").alias("b_deal"), (F.sum("n").over(W.partitionBy("shard").orderBy("deal")) - F.col("n")).alias("before"))
-    ranked = dealt.withColumn("rn", F.row_number().over(W.partitionBy("shard", "deal").orderBy("doc_id", "key")))
-    return ranked.join(F.broadcast(before), (F.col("shard") == F.col("b_shard")) & (F.col("deal") == F.col("b_deal"))).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    return numbered(rows.withColumn("shard", number), "shard", ["key", "doc_id"], NUMBERED_TOGETHER, MOST_DEALS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("number").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )

@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 _OWN_ROOTS: dict[str, str] = {}
 
@@ -83,6 +84,41 @@ def hot(count: Column, total: int) -> Column:
     return count > F.lit(max(1, total // HOT_SHARE))
 
 
+#: Rows that one row is blown up to in one go.
+UNFOLDED_TOGETHER = 10_000
+
+
+def unfolded(df: DataFrame, n: str, most: int) -> DataFrame:
+    """Each row of ``df`` as often as its column ``n``, at most ``most``, says; instead of that column ``at`` counts from 0. What large numbers
+    make is dealt to many tasks."""
+    zero, end = F.lit(0).cast("long"), F.col(n) - 1
+    if most <= UNFOLDED_TOGETHER:
+        return df.withColumn("at", F.explode(F.sequence(zero, end))).drop(n)
+    df = saved(df, "folded")
+    few = df.where(F.col(n) <= UNFOLDED_TOGETHER).withColumn("at", F.explode(F.sequence(zero, end)))
+    blocks = df.where(F.col(n) > UNFOLDED_TOGETHER).withColumn("at", F.explode(F.sequence(zero, end, F.lit(UNFOLDED_TOGETHER).cast("long")))).repartition("at")
+    return few.union(blocks.withColumn("at", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + UNFOLDED_TOGETHER - 1, end))))).drop(n)
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], together: int, most_deals: int) -> DataFrame:
+    """``rows`` with ``number``, gapless from 0 within each value of ``by``, and without an order that means anything. Equal rows are one with a
+    count, and get their numbers by arithmetic. Groups of about ``together`` rows are dealt by the hash of ``order``, which tells rows of one
+    ``by`` apart and on which nothing else depends: a task that runs again deals alike. About ``most_deals`` sums are broadcast, no more."""
+    folded = saved(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "distinct")
+    sizes = {r[by]: r["n"] for r in folded.groupBy(by).agg(F.count("*").alias("n")).collect()}  # by has as few values as its callers say
+    most = folded.agg(F.max("copies")).head()[0] or 1
+    together = max(together, sum(sizes.values()) // most_deals)
+    kind = rows.schema[by].dataType.simpleString()
+    deals = rows.sparkSession.createDataFrame([(v, 1 + n // together) for v, n in sizes.items()], f"d_by {kind}, deals long")
+    dealt = folded.join(F.broadcast(deals), F.col(by) == F.col("d_by")).withColumn("deal", F.pmod(F.xxhash64(*order), F.col("deals"))).drop("d_by", "deals")
+    counts = dealt.groupBy(F.col(by).alias("b_by"), F.col("deal").alias("b_deal")).agg(F.sum("copies").alias("n"))
+    before = counts.select("b_by", "b_deal", (F.sum("n").over(W.partitionBy("b_by").orderBy("b_deal")) - F.col("n")).alias("before"))
+    upto = F.sum("copies").over(W.partitionBy(by, "deal").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = dealt.withColumn("own", upto - F.col("copies")).join(F.broadcast(before), (F.col(by) == F.col("b_by")) & (F.col("deal") == F.col("b_deal")))
+    placed = ranked.withColumn("first", F.col("before") + F.col("own")).select(*rows.columns, "first", "copies")
+    return unfolded(placed, "copies", most).withColumn("number", F.col("first") + F.col("at")).drop("first", "at")
+
+
 #: Bytes of an Arrow batch between Spark and Python, where the session has no setting of its own. Texts may be very long, so rows are no bound.
 BATCH_BYTES = 8_000_000
 
