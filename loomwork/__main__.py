@@ -1,57 +1,155 @@
-"""Command line: ``python -m loomwork COMMAND``."""
+"""Command line: ``python -m loomwork COMMAND``. Tables are in a store under ``--root``; see ``loomwork.sources.store``."""
 
 from __future__ import annotations
 
 import argparse
+import json
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import Engine
-from .operators import chunks, ingest, names
+from .operators import chunks, evaluation, export, incremental, ingest, names, vocabulary
+from .plans import models
 from .plans.models import StandIn, embedded
 from .plans.search import Request
 from .session import session
-from .sources.records import read_records
-from .sources.store import Store
+from .sources.records import read_judged_set, read_records
+from .sources.store import Store, write_jsonl, write_report
 
 
-def build(spark, root: str, path: str, dim: int = 64) -> None:
-    """Cards, types, legalities, names and the rules-text index from raw records."""
+def _chunked(cards: DataFrame) -> DataFrame:
+    return chunks.chunks(cards, "oracle_id", "name", "type_line", "oracle_text").withColumn("row", F.concat_ws("/", "oracle_id", "face_index", "ordinal"))
+
+
+def build(spark: SparkSession, root: str, path: str, dim: int = 64) -> None:
+    """Cards, types, legalities, names, arts and the rules-text index from raw records."""
     store = Store(spark, root)
-    raw = read_records(spark, path, ingest.CARD).where(ingest.is_paper())
-    raw = ingest.default_printings(raw)
+    every = read_records(spark, path, ingest.CARD).where(ingest.is_paper())
+    store.replace("arts", ingest.arts(every))
+    raw = ingest.default_printings(every)
     cards = store.replace("cards", ingest.cards(raw).withColumn("entity", F.col("oracle_id")).withColumn("evidence", F.concat_ws("\n", "type_line", "oracle_text")))
     store.replace("types", ingest.types(cards).select(F.col("oracle_id").alias("entity"), "kind", "value"))
     store.replace("legalities", ingest.legalities(raw).select(F.col("oracle_id").alias("entity"), "format", "status"))
     store.replace("names", names.index(cards, "entity", "name", "edhrec_rank", ingest.faces(raw).select("oracle_id", "name")))
-    rows = store.replace("chunks", chunks.chunks(cards, "oracle_id", "name", "type_line", "oracle_text").withColumn("row", F.concat_ws("/", "oracle_id", "face_index", "ordinal")))
-    vectors = embedded(rows, "row", "text_embedded", StandIn(dim), dim)
-    store.replace("text_index", rows.join(vectors, "row").select("row", F.col("oracle_id").alias("entity"), F.lit("any").alias("layer"), F.col("text_embedded").alias("text"), "vector"))
+    rows = store.replace("chunks", _chunked(cards))
+    embed(store, rows, dim)
+
+
+def embed(store: Store, rows: DataFrame, dim: int) -> None:
+    """Vectors of the chunks that have none for their text; those of departed chunks go."""
+    old = store.read("text_index")
+    held = rows.select("row", F.col("oracle_id").alias("entity"), F.lit("any").alias("layer"), F.col("text_embedded").alias("text"))
+    if old is None:
+        store.replace("text_index", held.join(embedded(rows, "row", "text_embedded", StandIn(dim), dim), "row"))
+        return
+    known = old.join(held.select("row", "text"), ["row", "text"], "left_semi")
+    new = held.join(known.select("row"), "row", "left_anti")
+    store.replace("text_index", known.select("row", "entity", "layer", "text", "vector").unionByName(new.join(embedded(new, "row", "text", StandIn(dim), dim), "row").select("row", "entity", "layer", "text", "vector")))
+
+
+def refresh(spark: SparkSession, root: str, path: str, dim: int = 64) -> None:
+    """What changed since the last build: texts are chunked and embedded anew where they differ."""
+    store, old = Store(spark, root), Store(spark, root).read("cards")
+    had = store.read("chunks")
+    if old is None or had is None:
+        build(spark, root, path, dim)
+        return
+    before = old.select("oracle_id", "oracle_text")
+    raw = ingest.default_printings(read_records(spark, path, ingest.CARD).where(ingest.is_paper()))
+    cards = store.replace("cards", ingest.cards(raw).withColumn("entity", F.col("oracle_id")).withColumn("evidence", F.concat_ws("\n", "type_line", "oracle_text")))
+    changed = incremental.changes(before, cards, "oracle_id", "oracle_text").where("change = 'changed'")
+    embed(store, store.replace("chunks", incremental.rechunked(cards, had, changed, "oracle_id", _chunked)), dim)
+
+
+def describe(spark: SparkSession, root: str, client: models.ModelClient | None = None) -> None:
+    """Descriptions, statements, phrases and mined vocabulary of the arts that have none yet."""
+    store = Store(spark, root)
+    arts, had = store.read("arts"), store.read("descriptions")
+    todo = arts.select(F.col("illustration_id").alias("entity"), F.col("art_crop_url").alias("reference")).dropDuplicates(["entity"])
+    todo = todo if had is None else incremental.pending(todo, had, "entity", "reference")
+    made = models.described(todo, "entity", "reference", client).where("failed is null").drop("failed")
+    rows = store.replace("descriptions", made if had is None else had.unionByName(made))
+    store.replace("statements", chunks.statements(rows, "entity", F.col("literal_propositions"), F.col("slots"), F.col("interpretive_propositions")).withColumnRenamed("position", "prop"))
+    subject = [f"primary_subject.{x}" for x in ("species", "facial_hair", "clothing", "pose", "held_objects")]
+    phrases = store.replace("phrases", chunks.slot_phrases(rows, "entity", {p: F.col(f"slots.{p}") for p in (*subject, "other_figures", "palette", "setting", "time_of_day", "art_style", "composition", "figure_count")}))
+    kinds = arts.join(store.read("cards").select("oracle_id", "type_line"), "oracle_id").select(F.col("illustration_id").alias("entity"), F.explode(vocabulary.subtypes(F.col("type_line"))).alias("category"))
+    species = phrases.where("path = 'primary_subject.species'").select("entity", "phrase")
+    store.replace("mined", vocabulary.associations(species, kinds, "entity", rows.select("entity")))
+
+
+def synth(spark: SparkSession, root: str, client: models.ModelClient | None = None) -> None:
+    """Themes and near misses of described arts that have none, appended to the logs of queries and judgments."""
+    store = Store(spark, root)
+    props = store.read("statements").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(F.col("prop").cast("long").alias("prop"), "text"))).alias("statements"))
+    rows = store.read("descriptions").select("entity", "literal").join(props, "entity", "left").where("statements is not null")
+    log = store.log("synth")
+    rows = rows if log is None else rows.join(log.select("entity").distinct(), "entity", "left_anti")
+    store.append("synth", models.synthesised(rows, "entity", "literal", client, "statements").withColumn("source", F.lit("distill")))
+
+
+def evaluate(spark: SparkSession, root: str, path: str, engine: Engine, depth: int = 100) -> dict:
+    """Recall of the pool and marks at five for a judged set, written as a report."""
+    gold = read_judged_set(spark, path)
+    pools = None
+    for r in gold.select("id", "text").collect():  # the judged set: some dozens of queries
+        pool = engine.text_search(Request(r["text"])).pool
+        if "rank" in pool.columns:
+            own = pool.select(F.lit(r["id"]).alias("query"), F.col("name").alias("id"), "rank")
+            pools = own if pools is None else pools.unionByName(own)
+    wanted = gold.select(F.col("id").alias("query"), F.explode("gold").alias("id"))
+    pools = pools if pools is not None else spark.createDataFrame([], "query string, id string, rank int")
+    by_query = {r["query"]: r["recall"] for r in evaluation.recall(pools, wanted, depth=depth).collect()}
+    report = {"queries": len(by_query), "recall": sum(by_query.values()) / len(by_query) if by_query else None, "by_query": by_query}
+    write_report(spark, f"{root}/reports/eval", report)
+    return report
+
+
+def export_training(spark: SparkSession, root: str, out: str) -> None:
+    """Labels of the logs as pairs of a query and an art's statements, by split."""
+    store = Store(spark, root)
+    made = store.log("synth").select(F.col("theme").alias("text"), F.col("entity").alias("id"), "fit", "source", "prop_ids", "register", F.monotonically_increasing_id().alias("seq"))
+    labels = export.folded_labels(made, "text", "id", "source", "seq").withColumnRenamed("id", "entity")
+    pairs = export.text_for(labels, store.read("statements"), "entity", "prop_ids", "register").where("positive <> ''")
+    write_jsonl(export.split(pairs.select("text", "entity", "fit", "positive"), "text"), out)
 
 
-def main() -> None:
+def main(arguments: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="loomwork")
     p.add_argument("--root", default="data")
     sub = p.add_subparsers(dest="command", required=True)
-    b = sub.add_parser("build", help="tables and indexes from raw records")
-    b.add_argument("records")
-    s = sub.add_parser("search", help="search rules texts")
-    s.add_argument("text")
-    s.add_argument("-k", type=int, default=5)
-    r = sub.add_parser("resolve", help="resolve names")
-    r.add_argument("names", nargs="+")
-    sub.add_parser("status")
-    a = p.parse_args()
+    for name, help_ in (("build", "tables and indexes from raw records"), ("refresh", "the same, where records changed")):
+        sub.add_parser(name, help=help_).add_argument("records")
+    for name, help_ in (("search", "search rules texts"), ("art", "search art")):
+        s = sub.add_parser(name, help=help_)
+        s.add_argument("text")
+        s.add_argument("-k", type=int, default=5)
+    sub.add_parser("resolve", help="resolve names").add_argument("names", nargs="+")
+    sub.add_parser("describe", help="descriptions of arts")
+    sub.add_parser("synth", help="themes and near misses of described arts")
+    sub.add_parser("eval", help="recall for a judged set").add_argument("judged")
+    sub.add_parser("export", help="training pairs").add_argument("out")
+    for name, help_ in (("status", "tables, rows and last keys"), ("report", "data quality of the cards")):
+        sub.add_parser(name, help=help_)
+    a = p.parse_args(arguments)
     spark = session()
     engine = Engine(spark, a.root)
-    if a.command == "build":
-        build(spark, a.root, a.records)
-    elif a.command == "search":
-        answer = engine.text_search(Request(a.text, a.k))
-        answer.results.select("entity", "name").show(truncate=False)
+    if a.command in ("build", "refresh"):
+        (build if a.command == "build" else refresh)(spark, a.root, a.records)
+    elif a.command in ("search", "art"):
+        answer = engine.text_search(Request(a.text, a.k)) if a.command == "search" else engine.search(Request(a.text, a.k))
+        answer.results.select(*(c for c in ("entity", "name", "card", "matched_ordinal") if c in answer.results.columns)).show(truncate=False)
         print(*answer.notes, sep="\n")
     elif a.command == "resolve":
         engine.resolve(spark.createDataFrame([(n,) for n in a.names], "query string")).show(truncate=False)
+    elif a.command in ("describe", "synth"):
+        (describe if a.command == "describe" else synth)(spark, a.root)
+    elif a.command == "eval":
+        print(json.dumps(evaluate(spark, a.root, a.judged, engine), sort_keys=True))
+    elif a.command == "export":
+        export_training(spark, a.root, a.out)
+    elif a.command == "report":
+        ingest.quality_report(engine.store.read("cards")).show(100, truncate=False)
     else:
         engine.status().show(truncate=False)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import incremental, names
+from .operators import incremental, names, retrieval, scoring
 from .plans.models import ModelClient, StandIn
 from .plans.search import Answer, Request, art_search, text_search
 from .sources.store import Store
@@ -19,7 +22,7 @@ class Engine:
         self._built: tuple[tuple, dict[str, DataFrame]] | None = None
 
     def _tables(self) -> dict[str, DataFrame]:
-        names_ = ("art_index", "art_entities", "text_index", "cards", "types", "legalities", "names")
+        names_ = ("art_index", "art_entities", "text_index", "cards", "types", "legalities", "names", "chunks", "phrases", "mined")
         version = tuple(self.store.current(n) for n in names_)
         if self._built is None or self._built[0] != version:
             self.refresh()
@@ -32,24 +35,44 @@ class Engine:
 
     def search(self, request: Request) -> Answer:
         t = self._tables()
-        return art_search(self.spark, request, t["art_index"], t["art_entities"], self.client, self.dim)
+        return self._timed(lambda: art_search(self.spark, request, t["art_index"], t["art_entities"], self.client, self.dim, t.get("phrases"), t.get("mined")))
 
     def text_search(self, request: Request) -> Answer:
         t = self._tables()
-        return text_search(self.spark, request, t["text_index"], t["cards"], t["types"], t["legalities"], t["names"], self.client, self.dim)
+        answer = self._timed(lambda: text_search(self.spark, request, t["text_index"], t["cards"], t["types"], t["legalities"], t["names"], self.client, self.dim))
+        if "chunks" in t and "best_row" in answer.results.columns:
+            answer.results = retrieval.located(answer.results, t["chunks"])
+        return answer
+
+    def _timed(self, run: Callable[[], Answer]) -> Answer:
+        began = time.perf_counter()
+        answer = run()
+        answer.seconds = time.perf_counter() - began
+        return answer
+
+    def typical_seconds(self) -> DataFrame | None:
+        """Median of the last twenty logged searches."""
+        log = self.store.log("timings")
+        return None if log is None else scoring.rolling_median(log.withColumn("all", F.lit(1)), "seconds", [F.desc("created_at")], ["all"]).drop("all")
 
     def resolve(self, queries: DataFrame, max_layer: int = 5) -> DataFrame:
         return names.resolve(queries, self._tables()["names"], max_layer)
 
     def feedback(self, votes: DataFrame) -> DataFrame:
-        """Votes (query_id, id, fit, seq) on known queries replace earlier ones; returned are those of unknown queries, which are not
-        written."""
+        """Votes (query_id, id, fit, seq) on known queries replace earlier ones, and take over the citations of the judge's own last judgment of
+        that pair; returned are those of unknown queries, which are not written."""
         known = self.store.log("queries")
         if known is None:
             return votes
         ids = known.select("query_id").distinct()
         good = votes.join(ids, "query_id", "left_semi")
         if not good.isEmpty():
+            judged = self.store.log("judgments")
+            if judged is not None:
+                last = judged.groupBy("query_id", F.col("entity").alias("id")).agg(F.max_by("prop_ids", "created_at").alias("prop_ids"))
+                good = good.withColumn("id", F.col("id").cast("string")).join(last, ["query_id", "id"], "left")
+            else:
+                good = good.withColumn("prop_ids", F.lit(None).cast("array<bigint>"))
             self.store.upsert("votes", good, ["query_id", "id"], "seq")
         return votes.join(ids, "query_id", "left_anti")
 
@@ -57,6 +80,12 @@ class Engine:
         self.store.append("queries", self.spark.createDataFrame([(query_id, request.text)], "query_id string, text string").withColumn("created_at", F.current_timestamp()))
         if "rank" in answer.pool.columns:
             self.store.append("retrievals", answer.pool.select(F.lit(query_id).alias("query_id"), F.col("entity").cast("string").alias("entity"), "rank", "score", F.lit("rrf").alias("method")))
+        if "fit" in answer.pool.columns:
+            cited = F.col("prop_ids") if "prop_ids" in answer.pool.columns else F.lit(None).cast("array<bigint>")
+            judged = answer.pool.where("fit is not null").select(F.lit(query_id).alias("query_id"), F.col("entity").cast("string").alias("entity"), "fit", cited.alias("prop_ids"), F.lit("judge").alias("source"), F.current_timestamp().alias("created_at"))
+            self.store.append("judgments", judged)
+        if answer.seconds is not None:
+            self.store.append("timings", self.spark.createDataFrame([(query_id, answer.seconds)], "query_id string, seconds double").withColumn("created_at", F.current_timestamp()))
 
     def status(self) -> DataFrame:
         return incremental.fingerprint({n: (df, df.columns[0]) for n, df in self._tables().items()})

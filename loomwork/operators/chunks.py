@@ -151,3 +151,16 @@ def repaired(raw: DataFrame, text: str, schema: str, bounds: dict[str, tuple[int
     for name, (_, most) in bounds.items():
         cut = cut.withColumn("data", F.col("data").withField(name, F.slice(F.col("data")[name], 1, most)))
     return cut, parsed.where(bad).drop("data")
+
+
+def marked_line(text: Column, face: Column, ordinal: Column, mark: str = "▸ ", other: str = "  ", separator: str = FACE_SEPARATOR) -> Column:
+    """The text with one line of one face marked, by its number among the face's lines that are not blank; the other lines of that face are
+    indented. A null or negative number marks nothing."""
+    def lines(whole: Column) -> Column:
+        each = F.split(whole, "\n")
+        at = lambda i: F.size(F.filter(F.slice(each, 1, i), lambda x: F.trim(x) != ""))  # noqa: E731  lines before that are not blank
+        return F.array_join(F.transform(each, lambda x, i: F.when(F.trim(x) == "", x).otherwise(F.concat(F.when(at(i) == ordinal, mark).otherwise(other), x))), "\n")
+
+    whole = F.coalesce(text, F.lit(""))
+    faces = F.transform(F.split(whole, re.escape(separator).replace("/", "\\/")), lambda f, i: F.when(i == face, lines(f)).otherwise(f))
+    return F.when((ordinal >= 0) & face.isNotNull(), F.array_join(faces, separator)).otherwise(whole)

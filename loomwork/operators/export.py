@@ -81,18 +81,39 @@ def split(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("split", split_of(squeeze(F.col(text))))
 
 
-def routing_records(queries: DataFrame, id_: str, text: str, params: str) -> DataFrame:
-    """(id, text, literal_weight, interpretive_weight, mechanical_terms) of logged plans: either spelling of a field, without plans that a
-    fallback made and without terms that only echo the request."""
-    def field(*names: str) -> Column:
-        return F.coalesce(*(F.get_json_object(params, f"$.{n}") for n in names))
+# Fields of a routing decision, by any of the names that logs have for them.
+ROUTE_FIELDS = {"literal_weight": ("literal_weight",), "interpretive_weight": ("interpretive_weight",), "slot_filters": ("slot_filters", "slot_filter", "slots"), "mechanical_terms": ("mechanical_terms", "mechanical_filter", "mechanical")}
+# Names of the two lists of expansions.
+DIRECT = ("direct", "direct_expansions", "interpretive_expansions", "interpretive")
+DECOMPOSED = ("decomposed", "decomposed_expansions", "literal_expansions", "literal")
+
+
+def _logged(params: str, *names: str) -> Column:
+    """The first of the names that the plan has, as JSON text; the plan is under ``plan`` or the whole."""
+    return F.coalesce(*(F.get_json_object(params, f"$.plan.{n}") for n in names), *(F.get_json_object(params, f"$.{n}") for n in names))
+
 
-    terms = F.from_json(F.coalesce(field("mechanical_terms", "plan.mechanical_terms"), F.lit("[]")), "array<string>")
-    own = queries.where(~F.lower(F.coalesce(F.col(params), F.lit(""))).contains("router failed"))
+def routing_records(queries: DataFrame, id_: str, text: str, params: str) -> DataFrame:
+    """(id, text, literal_weight, interpretive_weight, slot_filters, mechanical_terms) of logged plans: the routing fields alone, under any of
+    their names; without plans that a fallback made, and without terms that only echo the request."""
+    terms = F.from_json(F.coalesce(_logged(params, *ROUTE_FIELDS["mechanical_terms"]), F.lit("[]")), "array<string>")
+    failed = _logged(params, "router_ok").eqNullSafe("false") | F.lower(F.coalesce(F.col(params), F.lit(""))).contains("router failed")
+    own = queries.where(~F.coalesce(failed, F.lit(False)))
     return own.select(
-        id_, text, field("literal_weight", "plan.literal_weight").cast("double").alias("literal_weight"), field("interpretive_weight", "plan.interpretive_weight").cast("double").alias("interpretive_weight"),
+        id_, text, *(_logged(params, *ROUTE_FIELDS[n]).cast("double").alias(n) for n in ("literal_weight", "interpretive_weight")), _logged(params, *ROUTE_FIELDS["slot_filters"]).alias("slot_filters"),
         F.filter(terms, lambda x: squeeze(x) != squeeze(F.col(text))).alias("mechanical_terms"),
-    ).where("literal_weight is not null")
+    ).where("literal_weight is not null or interpretive_weight is not null")
+
+
+def expansion_records(queries: DataFrame, id_: str, text: str, params: str) -> DataFrame:
+    """(id, text, direct, decomposed): the expansions of logged plans, of either list the first name that holds any, without blank ones and
+    without the request itself."""
+    def listed(names: tuple[str, ...]) -> Column:
+        lists = [F.from_json(_logged(params, at), "array<string>") for at in (*names, *(f"expansions.{n}" for n in names))]
+        clean = [F.filter(x, lambda v: (F.trim(v) != "") & (squeeze(v) != squeeze(F.col(text)))) for x in lists]
+        return F.coalesce(*(F.when(F.size(x) > 0, x) for x in clean), F.array().cast("array<string>"))
+
+    return queries.select(id_, text, listed(DIRECT).alias("direct"), listed(DECOMPOSED).alias("decomposed")).where((F.size("direct") > 0) | (F.size("decomposed") > 0))
 
 
 def own_citations(rows: DataFrame, cited: str, valid: str) -> DataFrame:

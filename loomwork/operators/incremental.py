@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -42,6 +44,18 @@ def replaced_children(children: DataFrame, fresh: DataFrame, parents: DataFrame,
     return pruned(children.join(fresh.select(key).distinct(), key, "left_anti"), parents, key).unionByName(fresh)
 
 
+def cascaded(children: DataFrame, dependents: DataFrame, child: str) -> DataFrame:
+    """Dependents of children that are there, such as the vectors of chunks."""
+    return pruned(dependents, children, child)
+
+
+def rechunked(parents: DataFrame, chunks: DataFrame, changed: DataFrame, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``chunks`` of the parents that are left, with those of parents that never had any, or changed, made anew by ``make``."""
+    ids = to_rechunk(parents.select(key), chunks, changed, key)
+    stale = chunks.join(ids, key, "left_anti")
+    return pruned(stale, parents, key).unionByName(make(parents.join(ids, key, "left_semi")))
+
+
 def to_rechunk(parents: DataFrame, chunks: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """Parents that were never chunked, or changed."""
     never = parents.join(chunks.select(key).distinct(), key, "left_anti")

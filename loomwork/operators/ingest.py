@@ -164,9 +164,14 @@ def links(rows: DataFrame, base: str) -> DataFrame:
     return rows.withColumn("links", F.map_filter(made, lambda k, v: v.isNotNull() & (v != "")))
 
 
-def quality_report(cards_: DataFrame) -> DataFrame:
-    """(check, value): counts that an ingest is checked by."""
-    return cards_.agg(
-        F.count("*").alias("cards"), F.sum(F.col("image_normal").isNull().cast("long")).alias("without_image"), F.sum((F.col("oracle_text") == "").cast("long")).alias("without_text"),
-        (F.count("*") - F.count_distinct("name_norm")).alias("name_collisions"),
-    ).unpivot([], ["cards", "without_image", "without_text", "name_collisions"], "check", "value")
+def quality_report(cards_: DataFrame, layouts: int = 8, collisions: int = 20) -> DataFrame:
+    """(check, value, n): how many cards there are, without image, without text, and with a folded name that others have; then the commonest
+    layouts, and the folded names held by most cards, with their names."""
+    counts = cards_.agg(
+        F.count("*").alias("cards"), F.sum((F.length(F.coalesce("image_normal", F.lit(""))) == 0).cast("long")).alias("without_image"), F.sum((F.coalesce("oracle_text", F.lit("")) == "").cast("long")).alias("without_text"),
+    ).unpivot([], ["cards", "without_image", "without_text"], "check", "n")
+    common = cards_.groupBy(F.coalesce("layout", F.lit("?")).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(layouts)
+    held = cards_.groupBy("name_norm").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("name")), 1, 10).alias("names")).where("n > 1")
+    total = held.agg(F.count("*").alias("n")).select(F.lit("name_collisions").alias("check"), F.lit(None).cast("string").alias("value"), "n")
+    worst = held.orderBy(F.desc("n"), "name_norm").limit(collisions).select(F.lit("collision").alias("check"), F.concat_ws(" | ", "names").alias("value"), "n")
+    return counts.select("check", F.lit(None).cast("string").alias("value"), "n").union(total).union(common.select(F.lit("layout").alias("check"), "value", "n")).union(worst)

@@ -179,6 +179,13 @@ def collapse(scores: DataFrame, group: str, by: tuple[str, ...] = ("query",), id
     return scores.withColumn("_k", F.row_number().over(W.partitionBy(*by, group).orderBy(F.desc("score"), id_))).where("_k = 1").drop("_k")
 
 
+def located(fused: DataFrame, chunks: DataFrame, row: str = "row") -> DataFrame:
+    """``fused`` with where its best row stands: matched_row, matched_face_index, matched_ordinal and matched_kind. ``chunks``: (row, face_index,
+    ordinal, kind)."""
+    at = chunks.select(F.col(row).alias("matched_row"), *(F.col(c).alias(f"matched_{c}") for c in ("face_index", "ordinal", "kind")))
+    return fused.join(at, F.col("best_row") == F.col("matched_row"), "left")
+
+
 def pool(scores: DataFrame, size: int = POOL, by: tuple[str, ...] = ("query",), id_: str = "entity") -> DataFrame:
     return ranked(scores, size, by, id_)
 

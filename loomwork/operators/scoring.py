@@ -78,3 +78,19 @@ def rolling_median(rows: DataFrame, value: str, order: list[Column], by: list[st
     """Median of the last ``window`` rows of each group; nulls are left out after the window is cut."""
     last = rows.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= window)
     return last.groupBy(*by).agg(F.median(value).alias("median"), F.count(value).alias("n"))
+
+
+def tagged_count(themes: Column, slug: str) -> Column:
+    """The count of the first of ``themes``, JSON text of objects with slug and count, that has the slug; 0 where there is none, or no number."""
+    parsed = F.from_json(themes, "array<struct<slug: string, count: string>>")
+    return _whole(F.get(F.filter(parsed, lambda t: t["slug"] == slug), F.lit(0))["count"])
+
+
+def bracket_count(brackets: Column, bracket: str) -> Column:
+    """The count of a bracket in JSON text that maps brackets to counts; 0 where there is none, or no number."""
+    return _whole(F.from_json(brackets, "map<string,string>")[bracket])
+
+
+def _whole(text: Column) -> Column:
+    number = F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), text).cast("double")
+    return F.coalesce(F.floor(number).cast("long"), F.lit(0).cast("long"))

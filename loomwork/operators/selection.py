@@ -71,3 +71,9 @@ def pick_default(rows: DataFrame, group: str, digital: str | None, released: str
     """The newest row of each group among those that are not digital, else among all; ties to the largest id."""
     order = ([F.col(digital).cast("int")] if digital else []) + [F.desc(released), F.desc(id_)]
     return rows.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def passing_first(results: DataFrame, by: str, place: str = "place") -> DataFrame:
+    """``results`` numbered anew: those that pass, then stretches, otherwise in the order they have."""
+    order = W.partitionBy(by).orderBy(F.coalesce(F.col("stretch").cast("int"), F.lit(0)), place)
+    return results.withColumn(place, F.row_number().over(order))

@@ -42,6 +42,7 @@ class Answer:
     results: DataFrame
     pool: DataFrame
     notes: list[str]
+    seconds: float | None = None
 
 
 def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]], layer_weight: dict[str, float], client: ModelClient, dim: int, allowed: DataFrame | None = None) -> DataFrame:

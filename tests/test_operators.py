@@ -470,3 +470,170 @@ def test_containing_documents_of_short_items(spark):
     tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string"), "benchmark": spark.createDataFrame(items, "item_id long, text string")}
     got = {(r["query"], r["id"]) for r in catalog._gold(tables.__getitem__).collect()}
     assert got == {(i, d) for i, b in items for d, t in docs if b is not None and b in t}
+
+
+def test_described_and_checked(spark):
+    import json
+
+    from loomwork.plans.models import StandIn, checked, described
+
+    good = json.loads(StandIn().describe("a grey owl", None))
+    data, repairs = checked("Sure: " + json.dumps(good))
+    assert repairs == [] and data["slots"]["other_figures"] == [{"species": "none", "role": "none"}]
+    odd = {**good, "literal_propositions": [f"- {i} things" for i in range(25)], "slots": {**good["slots"], "figure_count": "about 3", "palette": "Green, none", "setting": "", "other_figures": ["wolf", {"species": ""}]}}
+    data, repairs = checked(json.dumps(odd))
+    assert len(data["literal_propositions"]) == 20 and data["literal_propositions"][0] == "0 things"
+    assert (data["slots"]["figure_count"], data["slots"]["palette"], data["slots"]["setting"], data["slots"]["other_figures"]) == (3, ["Green"], "none", [{"species": "wolf", "role": "none"}])
+    assert len(repairs) == 5
+    assert checked(json.dumps({**good, "slots": {**good["slots"], "figure_count": None, "other_figures": ["wolf"]}}))[0]["slots"]["figure_count"] == 2
+    for bad in ("no", "{", json.dumps({**good, "literal": " "}), json.dumps({k: v for k, v in good.items() if k != "slots"}), json.dumps({**good, "interpretive_propositions": ["one two"] * 9}), json.dumps({**good, "literal_propositions": "text"})):
+        with pytest.raises(ValueError):
+            checked(bad)
+
+    class Second(StandIn):
+        def describe(self, reference, reason):
+            return super().describe(reference, reason) if reason and reference != "bad" else "nothing"
+
+    class Down(StandIn):
+        def describe(self, reference, reason):
+            raise OSError("down")
+
+    rows = spark.createDataFrame([(1, "a grey owl"), (2, "bad")], "id int, ref string").coalesce(1)
+    got = {r["id"]: r for r in described(rows, "id", "ref", Second()).collect()}
+    assert got[1]["failed"] is None and got[1]["slots"]["primary_subject"]["species"] == "a" and got[2]["failed"] == "no JSON object"
+    many = spark.range(8).select(F.col("id").cast("int").alias("id"), F.lit("x").alias("ref")).coalesce(1)
+    assert [r["failed"] for r in described(many, "id", "ref", Down()).orderBy("id").collect()] == ["down"] * 5 + ["stopped after failures in a row"] * 3
+
+
+def test_marked_line(spark):
+    text = "Fly\n\nDraw\n//\nDraw\nDraw"
+    marked = lambda face, ordinal: spark.createDataFrame([(text, face, ordinal)], "t string, f int, o int").select(chunks.marked_line(F.col("t"), F.col("f"), F.col("o"))).head()[0]
+    assert marked(0, 1) == "  Fly\n\n▸ Draw\n//\nDraw\nDraw" and marked(1, 1) == "Fly\n\nDraw\n//\n  Draw\n▸ Draw" and marked(0, -1) == marked(None, None) == text
+
+
+def test_counts_out_of_json(spark):
+    df = spark.createDataFrame([('[{"slug":"x","count":1},{"slug":"cedh","count":57}]', '{"5": 3.0}'), ("no", '{"5": "many"}'), (None, None)], "t string, b string")
+    assert [tuple(r) for r in df.select(scoring.tagged_count(F.col("t"), "cedh"), scoring.bracket_count(F.col("b"), "5")).collect()] == [(57, 3), (0, 0), (0, 0)]
+
+
+def test_passing_first_and_located(spark):
+    df = spark.createDataFrame([("q", "a", 1, 1), ("q", "b", 0, 2), ("q", "c", 0, 3)], "query string, id string, stretch int, place int")
+    assert [r["id"] for r in selection.passing_first(df, "query").orderBy("place").collect()] == ["b", "c", "a"]
+    at = spark.createDataFrame([("a/0/1", 0, 1, "ability")], "row string, face_index int, ordinal int, kind string")
+    fused = spark.createDataFrame([("a", "a/0/1"), ("b", None)], "entity string, best_row string")
+    assert {r["entity"]: (r["matched_face_index"], r["matched_ordinal"], r["matched_kind"]) for r in retrieval.located(fused, at).collect()} == {"a": (0, 1, "ability"), "b": (None, None, None)}
+
+
+def test_children_follow_their_parents(spark):
+    parents = spark.createDataFrame([(1, "one"), (2, "two"), (4, "four")], "id int, t string")
+    children = spark.createDataFrame([(1, "old one"), (2, "old two"), (3, "gone")], "id int, c string")
+    changed = spark.createDataFrame([(2,)], "id int")
+    made = incremental.rechunked(parents, children, changed, "id", lambda p: p.select("id", F.concat(F.lit("new "), "t").alias("c")))
+    assert {tuple(r) for r in made.collect()} == {(1, "old one"), (2, "new two"), (4, "new four")}
+    vectors = spark.createDataFrame([("old one", 1.0), ("old two", 2.0)], "c string, v double")
+    assert [r["c"] for r in incremental.cascaded(made, vectors, "c").collect()] == ["old one"]
+    fresh = spark.createDataFrame([(2, "x"), (2, "y")], "id int, c string")
+    assert {tuple(r) for r in incremental.replaced_children(children, fresh, parents, "id").collect()} == {(1, "old one"), (2, "x"), (2, "y")}
+    flags = spark.createDataFrame([(1, 10, False), (1, 11, False), (2, 12, True)], "g int, a int, is_default boolean")
+    assert {r["a"] for r in incremental.promoted(flags, "g", "a").where("is_default").collect()} == {10, 12}
+
+
+def test_expansion_records(spark):
+    logs = [(1, "A cat", '{"plan": {"interpretive": ["a  CAT", "feline"], "expansions": {"literal": ["whiskers", " "]}, "literal_weight": 1}, "notes": []}'), (2, "b", '{"direct": ["b"]}'), (3, "c", '{"plan": {"literal_weight": 0.5, "router_ok": false}}')]
+    df = spark.createDataFrame(logs, "id int, text string, params string")
+    assert [(r["id"], r["direct"], r["decomposed"]) for r in export.expansion_records(df, "id", "text", "params").collect()] == [(1, ["feline"], ["whiskers"])]
+    assert [r["id"] for r in export.routing_records(df, "id", "text", "params").collect()] == [1]
+
+
+def test_links(spark):
+    rows = [("s", [("Elves", "elves", 3), ("Big Tokens", "big-tokens", 9)], ["x", "elves"], "u1", None, "a1"), ("t", [], None, None, "u2", "")]
+    df = spark.createDataFrame(rows, "slug string, records array<struct<name: string, slug: string, count: int>>, matched_terms array<string>, scryfall_uri string, tcgplayer_uri string, art_crop_url string")
+    got = [r["links"] for r in ingest.links(df, "http://x").orderBy("slug").collect()]
+    assert got == [{"edhrec": "http://x/s", "edhrec_theme": "http://x/s/elves", "scryfall": "u1", "art_crop": "a1"}, {"edhrec": "http://x/t", "tcgplayer": "u2"}]
+    most = ingest.links(df.withColumn("matched_terms", F.array(F.lit("none of them"))), "http://x").where("slug = 's'").head()["links"]
+    assert most["edhrec_theme"] == "http://x/s/big-tokens"
+
+
+def test_quality_report(spark):
+    cards = spark.createDataFrame([("A", "a", "normal", "u", "t"), ("Á", "a", "normal", "", ""), ("B", "b", None, None, "t")], "name string, name_norm string, layout string, image_normal string, oracle_text string")
+    got = {(r["check"], r["value"]): r["n"] for r in ingest.quality_report(cards).collect()}
+    assert got == {("cards", None): 3, ("without_image", None): 2, ("without_text", None): 1, ("name_collisions", None): 1, ("layout", "normal"): 2, ("layout", "?"): 1, ("collision", "A | Á"): 2}
+
+
+def test_art_search_follows_its_plan(spark):
+    from loomwork.plans.models import StandIn, embedded
+    from loomwork.plans.search import Request, art_search
+
+    class Planned(StandIn):
+        def route(self, text):
+            return {"literal_weight": 1.0, "interpretive_weight": 0.0, "slot_filters": [{"path": "setting", "op": "contains", "value": "wood"}, {"path": "nowhere", "op": "is", "value": "x"}], "mechanical_terms": ["draw"], "semantic_intent": text}
+
+        def judge(self, text, evidence):
+            return [0.0 if len(evidence) == 1 and "second" in e else 0.9 for e in evidence]  # one by one, the second is rejected
+
+    names_ = ["first", "second", "third"] + [f"n{i}" for i in range(40)]
+    rows = spark.createDataFrame([(i, f"a wolf, {n}", "draw a card" if i < 20 else "fight") for i, n in enumerate(names_)], "entity int, evidence string, oracle_text string")
+    vectors = embedded(rows, "entity", "evidence", StandIn(16), 16)
+    entities = rows.join(vectors, "entity").withColumn("card", F.col("entity")).withColumn("color_identity", F.concat(F.lit("W"), F.col("entity").cast("string"))).withColumn("band", F.lit(3))
+    index = rows.select(F.col("entity").alias("row"), "entity", F.lit("literal").alias("layer"), F.col("evidence").alias("text")).join(vectors, "entity")
+    phrases = spark.createDataFrame([(i, "setting", "a wood" if i < 30 else "a town") for i in range(43)], "entity int, path string, phrase string")
+    answer = art_search(spark, Request("a wolf", 5), index, entities, Planned(16), 16, phrases)
+    pool = {r["entity"]: (r["fit"], r["rejected"]) for r in answer.pool.collect()}
+    assert set(pool) == set(range(20)) and pool[1] in ((0.9, True), (0.9, None)) and any("nowhere" in n for n in answer.notes)
+    picked = [r["entity"] for r in answer.results.collect()]
+    assert len(picked) == 5 and (pool[1][1] is None or 1 not in picked)
+    unfiltered = art_search(spark, Request("a wolf", 5), index, entities, StandIn(16), 16)
+    assert unfiltered.pool.count() == 43
+
+
+def test_text_search_soft_filters_and_guards(spark):
+    from loomwork.plans.models import StandIn, embedded
+    from loomwork.plans.search import Request, text_search
+
+    class Soft(StandIn):
+        def route(self, text):
+            return {"filters": {"colors": "W", "types": ["elf"], "mv_min": 9, "formats": ["modern"]}, "semantic_intent": ""}
+
+    cards = spark.createDataFrame([("a", "Mara", 2.0, "W", 1.0, "x"), ("b", "Wolf", 4.0, "G", 2.0, "y"), ("c", "Stone", 1.0, "", None, "z"), ("d", "Mara", 3.0, "W", 3.0, "x")], "entity string, name string, cmc double, color_identity string, edhrec_rank double, evidence string")
+    types = spark.createDataFrame([("a", "type", "elf"), ("c", "type", "elf"), ("b", "type", "elf")], "entity string, kind string, value string")
+    legal = spark.createDataFrame([("c", "modern", "legal")], "entity string, format string, status string")
+    index = cards.select(F.col("entity").alias("row"), "entity", F.lit("any").alias("layer"), F.col("evidence").alias("text")).join(embedded(cards, "entity", "evidence", StandIn(16), 16), "entity")
+    search = lambda text, client: text_search(spark, Request(text), index, cards, types, legal, names.index(cards, "entity", "name", "edhrec_rank"), client, 16)
+    answer = search("something", Soft(16))
+    assert [r["entity"] for r in answer.results.collect()] == ["c"] and any("mana value" in n for n in answer.notes)
+    assert search("wolf", StandIn(16)).notes == ["that is a card's name"]
+    assert search("mara", StandIn(16)).notes != ["that is a card's name"]  # two cards have it
+    assert search("can you do that", StandIn(16)).notes == ["rules questions are not answered"]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import json
+
+    from loomwork import __main__ as cli
+    from loomwork.sources.store import Store
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    card = lambda i, name, text: {"id": f"p{i}", "oracle_id": f"o{i}", "name": name, "layout": "normal", "games": ["paper"], "type_line": "Creature — Elf", "oracle_text": text, "image_uris": {"normal": "n", "art_crop": f"art of {name}"}, "illustration_id": f"i{i}", "cmc": 1.0, "legalities": {"commander": "legal"}}
+    records, judged, root = tmp_path / "r.json", tmp_path / "j.jsonl", str(tmp_path / "data")
+    records.write_text(json.dumps([card(1, "Mara", "Draw a card."), card(2, "Wolf", "Fight a bear.")]))
+    run = lambda *a: cli.main(["--root", root, *a])
+    run("build", str(records))
+    store = Store(spark, root)
+    assert store.read("cards").count() == 2 and store.read("text_index").count() == 4
+    records.write_text(json.dumps([card(1, "Mara", "Draw two cards."), card(3, "Bear", "Sleep.")]))
+    run("refresh", str(records))
+    assert {r["text"] for r in store.read("chunks").where("kind = 'ability'").collect()} == {"Draw two cards.", "Sleep."} == {r["text"] for r in store.read("text_index").where("not text like '%Elf%'").collect()}
+    run("describe")
+    run("synth")
+    run("synth")
+    assert store.read("descriptions").count() == 2 and store.read("phrases").where("path = 'primary_subject.species'").count() == 2
+    assert store.log("synth").groupBy("entity", "theme", "fit").count().where("count > 1").isEmpty() and not store.log("synth").isEmpty()
+    run("export", str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).where("fit = 1.0").count() > 0
+    judged.write_text(json.dumps({"id": "q1", "text": "draw cards", "gold": ["Mara"]}) + "\n")
+    run("eval", str(judged))
+    run("search", "draw cards")
+    run("report")
+    run("status")
+    out = capsys.readouterr().out
+    assert '"recall": 1.0' in out and "without_image" in out and "text_index" in out
