@@ -26,9 +26,9 @@ from .shared import modest_batches, numbered, saved, slices, tidily
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked together in a task, as long as that makes no more than so many sets.
-RANKED_TOGETHER, MOST_DEALS = 2_000, 100_000
+RANKED_TOGETHER, MOST_DEALS = 250, 100_000
 #: Entries of a task's memory of words.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -74,7 +74,8 @@ class Encoder:
         stems.update(w[:-1] for w in ended)
         stems.update(".,!|")
         stems = stems.difference(self.words)
-        self._encode([*stems, *odd], [*stems, *(" ".join(self.split(w)) for w in odd)], [1] * len(stems) + [len(self.split(w)) for w in odd])
+        apart = [self.split(w) for w in odd]
+        self._encode([*stems, *odd], [*stems, *map(" ".join, apart)], [1] * len(stems) + [len(x) for x in apart])
         get = self.words.__getitem__
         self.words.update([(w, get(w[:-1]) + get(w[-1])) for w in ended])
 
