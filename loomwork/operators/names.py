@@ -48,6 +48,23 @@ def fuzzy(queries: DataFrame, names: DataFrame) -> DataFrame:
     return best.join(owners, F.col("nf") == F.col("of")).select("query", "id", "distance").distinct()
 
 
+def similar(names: DataFrame, name: str, floor: float = DICE_FLOOR) -> DataFrame:
+    """(a, b, shared, dice): pairs of different names of a Dice similarity of ``floor`` or more, which is twice the shared bigrams through those
+    of a and the length of b less one. Each side is joined on its rarest bigrams alone, as many as such a pair has to share one of."""
+    n = names.select(F.col(name).alias("f")).where("f <> ''").distinct().select("f", F.length("f").alias("n"), bigrams(F.col("f")).alias("g"))
+    each = n.select("f", "n", "g", F.explode("g").alias("gram"))
+    often = each.groupBy(F.col("gram").alias("o_gram")).agg(F.count("*").alias("often"))
+    place = F.row_number().over(W.partitionBy("f").orderBy("often", "gram"))
+    ranked = written(each.join(often, F.col("gram") == F.col("o_gram")).select("f", "n", "g", "gram", place.alias("k")), "bigrams")
+    # shared >= floor / 2 * (grams + length - 1), and neither grams nor length - 1 is below shared.
+    least = lambda size: F.greatest(F.lit(1), F.ceil(size * F.lit(floor / (2 - floor)) - 1e-9))
+    a = ranked.where(F.col("k") <= F.size("g") - least(F.size("g")) + 1).select(F.col("f").alias("a"), F.col("g").alias("ga"), "gram")
+    b = ranked.where(F.col("k") <= F.size("g") - least(F.greatest(F.lit(1), F.col("n") - 1)) + 1).select(F.col("f").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("gram").alias("b_gram"))
+    pairs = a.join(b, (F.col("gram") == F.col("b_gram")) & (F.col("a") != F.col("b"))).dropDuplicates(["a", "b"]).withColumn("shared", F.size(F.array_intersect("ga", "gb")).cast("long"))
+    dice = 2.0 * F.col("shared") / (F.size("ga") + F.greatest(F.lit(1), F.col("nb") - 1))
+    return pairs.withColumn("dice", dice).where(F.col("dice") >= floor).select("a", "b", "shared", "dice")
+
+
 def resolve(queries: DataFrame, names: DataFrame, max_layer: int = 5) -> DataFrame:
     """(query, layer, id, place, total, distance): up to ten ids a query, by rank, unranked last, then name; total counts all. An action a
     layer: each is written."""

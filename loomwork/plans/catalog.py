@@ -337,12 +337,7 @@ def name_ladder(t):
     SELECT a, b, CAST(shared AS BIGINT) AS shared, round(dice, 9) AS dice FROM x WHERE dice >= 0.4""")
 def bigram_dice(t):
     """Distinct names of a Dice similarity of 0.4 or more, joined on shared bigrams."""
-    n = t("part").select(F.lower("p_name").alias("f")).distinct().select("f", F.length("f").alias("n"), X.bigrams(F.col("f")).alias("g"))
-    a = n.select(F.col("f").alias("a"), F.size("g").alias("na"), F.explode("g").alias("gram"))
-    b = n.select(F.col("f").alias("b"), F.col("n").alias("nb"), F.explode("g").alias("gram"))
-    pairs = a.join(b, "gram").where("a <> b").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
-    dice = 2.0 * F.col("shared") / (F.col("na") + F.greatest(F.lit(1), F.col("nb") - 1))
-    return pairs.withColumn("dice", F.round(dice, 9)).where("dice >= 0.4").select("a", "b", "shared", "dice")
+    return N.similar(t("part").select(F.lower("p_name").alias("f")), "f").withColumn("dice", F.round("dice", 9))
 
 
 @query("""WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'human' WHEN 'click' THEN 'judge' ELSE 'distill' END AS source, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS p FROM events)

@@ -189,6 +189,43 @@ def test_names(spark, query, layer, ids):
     assert all(r["layer"] == layer and r["total"] == len(ids) for r in got)
 
 
+def test_similar_names_against_all_pairs(spark):
+    rng = random.Random(8)
+    held = sorted({"".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(120)})
+    grams = {n: {n[i : i + 2] for i in range(max(1, len(n) - 1))} for n in held}
+    for floor in (0.4, 0.7):
+        dice = {(a, b): 2 * len(grams[a] & grams[b]) / (len(grams[a]) + max(1, len(b) - 1)) for a in held for b in held if a != b}
+        got = {(r["a"], r["b"]): r["dice"] for r in names.similar(spark.createDataFrame([(n,) for n in held], "n string"), "n", floor).collect()}
+        assert got == pytest.approx({k: v for k, v in dice.items() if v >= floor}) and got
+
+
+def test_fuzzy_names_against_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(2, 8)))
+    held = sorted({f"{word()} {word()}" for _ in range(150)})
+    asked = sorted({n[:k] + rng.choice("abz") + n[k + 1 :] for n in held[::3] for k in [rng.randrange(len(n))]} - set(held))
+    grams = lambda n: {n[i : i + 2] for i in range(max(1, len(n) - 1))}
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {}
+    for q in asked:
+        budget = max(1, min(3, len(q) * 3 // 10))
+        near = {n: lev(q, n) for n in held if abs(len(n) - len(q)) <= budget and 2 * len(grams(q) & grams(n)) / (len(grams(q)) + max(1, len(n) - 1)) >= names.DICE_FLOOR}
+        near = {n: d for n, d in near.items() if d <= budget}
+        want |= {(q, n): d for n, d in near.items() if d == min(near.values())}
+    cards = spark.createDataFrame([(n, n, None) for n in held], "id string, name string, rank double")
+    q = spark.createDataFrame([(x, x) for x in asked], "query string, folded string")
+    assert {(r["query"], r["id"]): r["distance"] for r in names.fuzzy(q, names.index(cards, "id", "name", "rank")).collect()} == want and len(want) > 20
+
+
 def test_names_stop_at_max_layer(spark):
     cards = spark.createDataFrame(NAMES, "id string, name string, rank double")
     assert names.resolve(spark.createDataFrame([("mara",)], "q string"), names.index(cards, "id", "name", "rank"), max_layer=2).isEmpty()
