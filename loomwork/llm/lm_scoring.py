@@ -37,9 +37,9 @@ from .shared import mixed, modest_batches, saved, slices, tidily
 PROBES = 16
 MU = 40.0
 #: Bytes of packed counts that a segment is planned for; its filter and token counts are smaller.
-SEGMENT_BYTES = 48_000_000
+SEGMENT_BYTES = 24_000_000
 #: Tokens that a task holds at once.
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 4_000_000
 
 END = b"\n"  # no word has white space
 _END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
@@ -51,7 +51,7 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     """The segment of a bigram's key or of a token's hash."""
-    return (mixed(keys) % np.uint64(segments)).astype(np.int64)
+    return (mixed(keys) % np.uint64(segments)).astype(np.int32)
 
 
 class Block:
@@ -201,8 +201,10 @@ def _score(segments: int, sent: list, total: int, distinct: int):
         after, before, h = block.arrays()
         counts = np.zeros(len(h), np.int64)
         pairs, place = np.unique((before.astype(np.int64) << 32) | after, return_inverse=True)
+        place = place.astype(np.int32)
         keys = pair_keys(h[pairs >> 32], h[pairs & 0xFFFFFFFF])
-        of_token, of_pair, level = segment_of(h, segments), segment_of(keys, segments), np.zeros(len(pairs), np.uint8)
+        del pairs
+        of_token, of_pair, level = segment_of(h, segments), segment_of(keys, segments), np.zeros(len(keys), np.uint8)
         for s, value in enumerate(sent):
             if value is None:
                 continue
