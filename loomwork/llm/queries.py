@@ -101,15 +101,19 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT row_number() OVER () AS r, *, md5(coalesce(text, '')) AS h, row_number() OVER (PARTITION BY doc_id, text) AS copy FROM documents),
         l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
         lp AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY k) - length(line) - 1 AS pos FROM l),
-        s AS (SELECT r, k, pos, string_split(replace(replace(replace(line, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10)) AS parts FROM lp),
+        s AS (SELECT r, k, pos, string_split(regexp_replace(line, '([.!?,;:]) ', '\1' || chr(10), 'g'), chr(10)) AS parts FROM lp),
         q AS (SELECT r, k, pos, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM s),
         t AS (SELECT r, k, j, length(part) AS n, pos + sum(length(part) + 1) OVER (PARTITION BY r, k ORDER BY j) - length(part) - 1 AS start,
               list_filter(regexp_split_to_array(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM q),
-        p AS (SELECT *, len(words) AS n_words, array_to_string(words, ' ') AS own, string_agg(array_to_string(words, ' '), ' ' ORDER BY j) OVER (PARTITION BY r, k) AS line, min(start) OVER (PARTITION BY r, k) AS line_start FROM t WHERE len(words) > 0),
-        u AS (SELECT DISTINCT r, line_start AS start, line AS unit FROM p UNION SELECT r, start, own FROM p WHERE n_words >= 8),
-        f AS (SELECT u.r, start, unit, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS FIRST, h, copy, start) > 1 AS again FROM u JOIN d USING (r)),
-        m AS (SELECT p.r, p.start, p.n, p.n_words, a.again OR coalesce(b.again, false) AS gone, lead(p.start) OVER w AS nxt, row_number() OVER w AS i
-              FROM p JOIN f a ON a.r = p.r AND a.start = p.line_start AND a.unit = p.line LEFT JOIN f b ON b.r = p.r AND b.start = p.start AND b.unit = p.own AND p.n_words >= 8 WINDOW w AS (PARTITION BY p.r ORDER BY p.start)),
+        p AS (SELECT *, len(words) AS n_words, array_to_string(words, ' ') AS own, row_number() OVER (PARTITION BY r ORDER BY start) AS i FROM t WHERE len(words) > 0),
+        x AS (SELECT r, k, i, start, list(n_words) OVER f AS nf, list(n_words) OVER b AS nb FROM p WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), b AS (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+        c AS (SELECT r, min(i) AS a, max(i) AS b FROM p GROUP BY r, k
+              UNION SELECT r, i, i + list_min(list_filter(range(len(nf)), lambda n: list_sum(nf[1:n + 1]) >= 8)) FROM x WHERE list_sum(nf) >= 8
+              UNION SELECT r, i - list_min(list_filter(range(len(nb)), lambda n: list_sum(nb[len(nb) - n:]) >= 8)), i FROM x WHERE list_sum(nb) >= 8),
+        u AS (SELECT c.r, a, b, string_agg(own, ' ' ORDER BY i) AS unit, min(start) AS start FROM c JOIN p ON p.r = c.r AND i BETWEEN a AND b GROUP BY c.r, a, b),
+        f AS (SELECT u.r, a, b, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS FIRST, h, copy, start) > 1 AS again FROM u JOIN d USING (r)),
+        z AS (SELECT DISTINCT r, unnest(range(a, b + 1)) AS i FROM f WHERE again),
+        m AS (SELECT p.r, p.i, p.start, p.n, p.n_words, z.r IS NOT NULL AS gone, lead(p.start) OVER (PARTITION BY p.r ORDER BY p.i) AS nxt FROM p LEFT JOIN z ON z.r = p.r AND z.i = p.i),
         g AS (SELECT *, i - row_number() OVER (PARTITION BY r, gone ORDER BY i) AS island FROM m),
         runs AS (SELECT r, gone, min(start) AS a, max(start + n) AS b, sum(n_words) AS words FROM g GROUP BY r, gone, island),
         spans AS (SELECT r, string_agg(CASE WHEN NOT gone THEN a || ':' || b END, ',' ORDER BY a) AS kept_spans, string_agg(CASE WHEN gone THEN a || ':' || b END, ',' ORDER BY a) AS removed_spans, max(CASE WHEN gone THEN words END) AS longest FROM runs GROUP BY r),

@@ -1,10 +1,11 @@
 """Removal of repeated lines or paragraphs (op 1).
 
-A text is cut into units: its lines, or its paragraphs (stretches between blank lines). A line of several sentences also gives each of its
-sentences of ``SENTENCE_WORDS`` words or more as a unit, since a repeated passage may begin and end within lines; shorter sentences repeat
-by chance, and go with their lines alone. A sentence ends at a space after one of ``.!?``. Each unit is normalised (A-Z lower-cased, white
-space squeezed) and hashed; digests are grouped over the whole corpus. Of each group the earliest occurrence stays (smallest doc_id, null
-first, then the text's digest, then start); the rest are removed.
+A text is cut into units: its lines, or its paragraphs (stretches between blank lines). Since a repeated passage may begin and end within
+lines, runs of clauses are units besides lines: from each clause, and up to each one, the shortest run of ``RUN_WORDS`` words or more,
+whatever the lines; a clause of so many words is a run by itself. A clause ends at a line's end, or at a space after one of ``.!?,;:``.
+Each unit is normalised (A-Z lower-cased, white space squeezed) and hashed; digests are grouped over the whole corpus. Of each group the
+earliest occurrence stays (smallest doc_id, null first, then the text's digest, then start); the clauses of the others are removed. What
+goes has stood earlier, so the first occurrence of every clause stays.
 
 Null and empty texts have no units. Of repeated rows (same id and text) the first is the earliest, the others lose all they have. Ties
 cannot be: places differ. Long texts are one Arrow batch each. Empty table: no rows. Only doc_id and text are read, so other columns cannot
@@ -24,16 +25,18 @@ from .repeats import folded, kept, occurrences, with_spans
 from .shared import dropped, saved, slices, tidily
 
 MIN_WORDS = 1
-SENTENCE_WORDS = 8
+RUN_WORDS = 8
 
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n(?![\x20\x09-\x0D]*(?:\n|\Z))[^\n]+)*")
 _UNITS = "doc_id long, text_md5 string, start long, end long, digest binary"
 
 
 def _pieces(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the sentences of each line, one after another; some are white space."""
+    """(start, end) of the clauses of each line, one after another; some are white space."""
     at = 0
-    for part in text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
+    for mark in ".!?,;:":
+        text = text.replace(mark + " ", mark + "\n")
+    for part in text.split("\n"):
         yield at, at + len(part)
         at += len(part) + 1
 
@@ -47,24 +50,37 @@ def pieces(unit: str):
     return _paragraphs if unit == "paragraph" else _pieces
 
 
-def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(start, end, normalised words) of each unit. Sentences lie within their lines."""
+def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, normalised text) of each unit."""
     if unit == "paragraph":
         for a, b in _paragraphs(text):
             words = text[a:b].encode().lower().split()
             if len(words) >= min_words:
-                yield a, b, words
+                yield a, b, b" ".join(words)
         return
-    at = 0
+    held, sizes, at, ranges = [], [], 0, set()  # (start, end, words) of the clauses, from all lines
     for line in text.split("\n"):
-        words = line.encode().lower().split()
-        if words and len(words) >= min_words:
-            yield at, at + len(line), words
-        if len(words) > SENTENCE_WORDS:
-            parts = [(a, b, w) for a, b in _pieces(line) if (w := line[a:b].encode().lower().split())]
-            if len(parts) > 1:
-                yield from ((at + a, at + b, w) for a, b, w in parts if len(w) >= SENTENCE_WORDS)
+        first = len(held)
+        for a, b in _pieces(line):
+            if words := line[a:b].encode().lower().split():
+                held.append((at + a, at + b, b" ".join(words)))
+                sizes.append(len(words))
+        if len(held) > first and sum(sizes[first:]) >= min_words:
+            ranges.add((first, len(held) - 1))
         at += len(line) + 1
+    for i, n in enumerate(sizes):
+        if n >= RUN_WORDS:
+            ranges.add((i, i))
+            continue
+        for step, last in ((1, len(sizes) - 1), (-1, 0)):
+            j, total = i, n
+            while total < RUN_WORDS and j != last:
+                j += step
+                total += sizes[j]
+            if total >= RUN_WORDS:
+                ranges.add((i, j) if step > 0 else (j, i))
+    for i, j in sorted(ranges):
+        yield held[i][0], held[j][1], held[i][2] if i == j else b" ".join([x[2] for x in held[i : j + 1]])
 
 
 def _units(unit: str, min_words: int):
@@ -72,7 +88,7 @@ def _units(unit: str, min_words: int):
         for batch in slices(batches):
             rows = []
             for doc_id, text, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_md5")), strict=True):
-                rows += [(doc_id, key, a, b, hashlib.md5(b" ".join(w)).digest()) for a, b, w in units(text or "", unit, min_words)]
+                rows += [(doc_id, key, a, b, hashlib.md5(w).digest()) for a, b, w in units(text or "", unit, min_words)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "text_md5", "start", "end", "digest"])
 

@@ -41,35 +41,33 @@ def line_words(text):
     return text.translate({i: i + 32 for i in range(65, 91)}).encode().split()
 
 
-def expected_units(rows, sentence=8):
-    """By brute force: per row, (removed pieces, kept text, removed words)."""
+def expected_units(rows, least=8):
+    """By brute force: per row, (kept text, removed pieces, removed words)."""
     ranked = sorted(range(len(rows)), key=lambda i: (order(rows[i][0]), hashlib.md5((rows[i][1] or "").encode()).hexdigest(), i))
     seen, out = set(), collections.Counter()
     for i in ranked:
         doc, text = rows[i][:2]
-        kept, gone, n_gone, pieces, at = [], 0, 0, [], 0
-        for line in (text or "").split("\n"):
-            whole = (b" ".join(line_words(line)),) if line_words(line) else None
-            parts = re.findall(r"(?:(?<=[.!?]) )?((?:(?![.!?] ).)*(?:[.!?](?= ))?)", line) if line else []
-            places, p = [], at
-            for part in [x for x in parts if x] or []:
-                p = text.index(part, p)
-                if line_words(part):
-                    places.append((p, p + len(part), (b" ".join(line_words(part)),)))
-                p += len(part)
-            again = whole in seen if whole else False
-            pieces += [(a, b, again or (key in seen and len(key[0].split()) >= sentence)) for a, b, key in places]
-            if whole:
-                seen.add(whole)
-            seen.update(key for *_, key in places if len(key[0].split()) >= sentence)
-            at += len(line) + 1
-        for k, (a, b, removed) in enumerate(pieces):
-            if removed:
-                gone, n_gone = gone + 1, n_gone + len(line_words(text[a:b]))
-            else:
-                kept.append(text[a : pieces[k + 1][0] if k + 1 < len(pieces) else len(text)])
+        pieces, cuts = [], [0, *(m.end() for m in re.finditer(r"\n|(?<=[.!?,;:]) ", text or "")), len(text or "") + 1]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if text and line_words(text[a : b - 1]):
+                pieces.append((a, b - 1, line_words(text[a : b - 1]), text[:a].count("\n")))
+        runs = [[k for k, p in enumerate(pieces) if p[3] == line] for line in sorted({p[3] for p in pieces})]
+        for k in range(len(pieces)):
+            for ends in (range(k, len(pieces)), range(k, -1, -1)):
+                for e in ends:
+                    run = range(min(k, e), max(k, e) + 1)
+                    if sum(len(pieces[x][2]) for x in run) >= least:
+                        runs.append(list(run))
+                        break
+        gone = set()
+        for run in sorted(runs):  # by their starts: of equal runs within a text the first stays
+            key = tuple(w for x in run for w in pieces[x][2])
+            if any(key == other for other, place in seen if place != (i, tuple(run))):
+                gone.update(run)
+            seen.add((key, (i, tuple(run))))
+        kept = [text[a : pieces[k + 1][0] if k + 1 < len(pieces) else len(text)] for k, (a, *_) in enumerate(pieces) if k not in gone]
         left = text[: pieces[0][0]] + "".join(kept) if pieces else text
-        out[doc, left, gone, n_gone] += 1
+        out[doc, left, len(gone), sum(len(pieces[k][2]) for k in gone)] += 1
     return out
 
 
@@ -79,13 +77,15 @@ ODD = "The first sentence of this text has some nine words. Short one. And anoth
 def test_substring_dedup(spark, rows, none):
     rng = __import__("random").Random(12)
     passage = " ".join(" ".join(rng.choice(WORDS) for _ in range(12)) + "." for _ in range(6))
-    more = [(400, ODD, None, None), (401, "Begins otherwise. " + ODD, None, None), (402, "short  ONE.\nNot padded. padded line", None, None), (403, f"Host a b c. {passage} Host goes on.", None, None), (404, f"Other host {passage} ends", None, None)]
+    short = "\n".join(" ".join(" ".join(rng.choice(WORDS) for _ in range(3)) + "." for _ in range(5)) for _ in range(4))
+    more = [(400, ODD, None, None), (401, "Begins otherwise. " + ODD, None, None), (402, "short  ONE.\nNot padded. padded line", None, None), (403, f"Host a b c. {passage} Host goes on.", None, None), (404, f"Other host {passage} ends", None, None), (405, f"Another one begins.\n{short} Ends so.", None, None), (390, short.replace("\n", " "), None, None)]
     rows = [*rows, *((d, t, lang, s, 0, "x", "x", "x", 0.0) for d, t, lang, s in more)]
     got = substring_dedup.deduplicated(frame(spark, rows)).collect()
     assert collections.Counter((r["doc_id"], r["text"], r["n_removed"], r["removed_words"]) for r in got) == expected_units(rows)
     text = {r[0]: r[1] for r in rows}
     by = {r["doc_id"]: r for r in got}
     assert by[404]["longest_run_words"] == 5 * 12 and by[403]["n_removed"] == 0  # its first sentence is one with words of the host
+    assert by[405]["removed_words"] == 60 and by[405]["text"].split() == "Another one begins. Ends so.".split()  # short sentences go with their neighbours, and across lines
     for r in by.values():
         if r["doc_id"] not in (3, None) and r["text"] is not None:
             spans = sorted([*map(int, x.split(":"))] for x in ",".join(filter(None, (r["kept_spans"], r["removed_spans"]))).split(",") if x)
