@@ -136,6 +136,7 @@ def main(arguments: list[str] | None = None) -> None:
     engine = Engine(spark, a.root)
     if a.command in ("build", "refresh"):
         (build if a.command == "build" else refresh)(spark, a.root, a.records)
+        engine.build_words("text")
     elif a.command in ("search", "art"):
         answer = engine.text_search(Request(a.text, a.k)) if a.command == "search" else engine.search(Request(a.text, a.k))
         answer.results.select(*(c for c in ("entity", "name", "card", "matched_ordinal") if c in answer.results.columns)).show(truncate=False)

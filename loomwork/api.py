@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import incremental, names, retrieval, scoring
 from .plans.models import ModelClient, StandIn
-from .plans.search import Answer, Request, art_search, text_search
+from .plans.search import Answer, Index, Request, art_search, text_search
 from .sources.store import Store
 
 
@@ -22,7 +22,7 @@ class Engine:
         self._built: tuple[tuple, dict[str, DataFrame]] | None = None
 
     def _tables(self) -> dict[str, DataFrame]:
-        names_ = ("art_index", "art_entities", "text_index", "cards", "types", "legalities", "names", "chunks", "phrases", "mined")
+        names_ = ("art_index", "art_entities", "text_index", "cards", "types", "legalities", "names", "chunks", "phrases", "mined", "statements", *(f"{i}_{t}" for i in ("art", "text") for t in ("postings", "frequencies", "totals")))
         version = tuple(self.store.current(n) for n in names_)
         if self._built is None or self._built[0] != version:
             self.refresh()
@@ -35,15 +35,25 @@ class Engine:
 
     def search(self, request: Request) -> Answer:
         t = self._tables()
-        return self._timed(lambda: art_search(self.spark, request, t["art_index"], t["art_entities"], self.client, self.dim, t.get("phrases"), t.get("mined")))
+        return self._timed(lambda: art_search(self.spark, request, t["art_index"], t["art_entities"], self.client, self.dim, t.get("phrases"), t.get("mined"), t.get("statements"), self._words(t, "art")))
 
     def text_search(self, request: Request) -> Answer:
         t = self._tables()
-        answer = self._timed(lambda: text_search(self.spark, request, t["text_index"], t["cards"], t["types"], t["legalities"], t["names"], self.client, self.dim))
+        answer = self._timed(lambda: text_search(self.spark, request, t["text_index"], t["cards"], t["types"], t["legalities"], t["names"], self.client, self.dim, self._words(t, "text")))
         if "chunks" in t and "best_row" in answer.results.columns:
             answer.results = retrieval.located(answer.results, t["chunks"])
         return answer
 
+    def build_words(self, which: str) -> None:
+        """The word tables of the index ``which`` (art or text), which searches read instead of its texts."""
+        index = self.store.read(f"{which}_index")
+        for name, df in zip(("postings", "frequencies", "totals"), retrieval.indexed(index, "row", "text"), strict=True):
+            self.store.replace(f"{which}_{name}", df)
+
+    def _words(self, tables: dict[str, DataFrame], which: str) -> Index | None:
+        held = [tables.get(f"{which}_{name}") for name in ("postings", "frequencies", "totals")]
+        return None if None in held else (held[0], held[1], held[2])
+
     def _timed(self, run: Callable[[], Answer]) -> Answer:
         began = time.perf_counter()
         answer = run()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, names, retrieval, selection, vocabulary
 from ..sources.scratch import written
-from .models import ModelClient, StandIn, embedded, expansions, judged, routed, verified, weights
+from .models import ModelClient, StandIn, cited, embedded, expansions, judged, routed, verified, weights
 
 
 @dataclass
@@ -37,6 +37,9 @@ class Request:
             raise ValueError("mana values are 0 to 30, in order")
 
 
+Index = tuple[DataFrame, DataFrame, DataFrame]
+
+
 @dataclass
 class Answer:
     results: DataFrame
@@ -45,15 +48,17 @@ class Answer:
     seconds: float | None = None
 
 
-def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]], layer_weight: dict[str, float], client: ModelClient, dim: int, allowed: DataFrame | None = None) -> DataFrame:
+def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]], layer_weight: dict[str, float], client: ModelClient, dim: int, allowed: DataFrame | None = None, words_of: Index | None = None) -> DataFrame:
     """(query=0, entity, score, lists, best_row) of an index ``rows`` (row, entity, layer, text, vector). A list is one expansion by one
-    method, over the rows of its layer; statistics of words cover all layers."""
+    method, over the rows of its layer; statistics of words cover all layers. ``words_of``: the tables of ``retrieval.indexed`` of the rows,
+    without which their texts are read."""
     asked = spark.createDataFrame([(i, layer, text, layer_weight.get(layer, 1.0)) for i, (layer, text) in enumerate(wanted)], "q int, want string, text string, w double")
     layers = rows.select("row", "entity", "layer")
     if allowed is not None:
         layers = layers.join(retrieval.small(allowed.select(F.col(allowed.columns[0]).alias("entity")).distinct()), "entity", "left_semi")
     ids = layers.select("row")
-    words = retrieval.bm25(rows, "row", "text", asked, "q", "text", ids).select(F.col("query").alias("q"), F.col("doc").alias("row"), "score")
+    met = retrieval.bm25(rows, "row", "text", asked, "q", "text", ids) if words_of is None else retrieval.bm25_of(words_of, asked, "q", "text", ids)
+    words = met.select(F.col("query").alias("q"), F.col("doc").alias("row"), "score")
     vectors = embedded(asked, "q", "text", client, dim)
     near = None
     for layer in sorted({layer for layer, _ in wanted}):  # a layer's rows meet its own expansions only
@@ -71,10 +76,11 @@ def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]]
 MECHANICAL = ("oracle_text", "type_line", "themes", "archetypes")
 
 
-def art_search(spark: SparkSession, request: Request, index: DataFrame, entities: DataFrame, client: ModelClient | None = None, dim: int = 64, phrases: DataFrame | None = None, mined: DataFrame | None = None) -> Answer:
+def art_search(spark: SparkSession, request: Request, index: DataFrame, entities: DataFrame, client: ModelClient | None = None, dim: int = 64, phrases: DataFrame | None = None, mined: DataFrame | None = None, statements: DataFrame | None = None, words_of: Index | None = None) -> Answer:
     """``index`` (row, entity, layer, text, vector), ``entities`` (entity, card, color_identity, band, evidence, vector, and columns of
     ``MECHANICAL``). ``phrases`` (entity, path, phrase) and ``mined``, the associations of their vocabulary, serve the plan's slot filters.
-    A finalist that verification rejects stays in the pool, marked, and is never chosen."""
+    With ``statements`` (entity, prop, text) judgments cite those that they rest on. A finalist that verification rejects stays in the pool,
+    marked, and is never chosen."""
     client, notes = client or StandIn(dim), []
     plan = routed(client, request.text)
     notes += plan.get("notes", [])
@@ -83,7 +89,7 @@ def art_search(spark: SparkSession, request: Request, index: DataFrame, entities
         return Answer(entities.limit(0), entities.limit(0), [*notes, "the index is empty"])
     slots = filters.clean_slots(plan.get("slot_filters"), notes)
     ids = vocabulary.allowed(phrases, "entity", slots, notes, mined) if phrases is not None else None
-    fused = retrieve(spark, index, expansions(client, request.text, layer_weight), layer_weight, client, dim, ids)
+    fused = retrieve(spark, index, expansions(client, request.text, layer_weight), layer_weight, client, dim, ids, words_of)
     rows = retrieval.collapse(fused.join(entities, "entity"), "card")
     rows = filters.mechanical(rows, [t for t in plan.get("mechanical_terms") or [] if t], [c for c in MECHANICAL if c in rows.columns] or ["evidence"], notes)
     if request.colors:
@@ -92,7 +98,12 @@ def art_search(spark: SparkSession, request: Request, index: DataFrame, entities
 
     def judge(pool: DataFrame) -> DataFrame:
         asked = pool.withColumn("text_asked", F.lit(request.text))
-        return written(pool.join(judged(asked, "query", "text_asked", "entity", "rank", "evidence", client).select("entity", "fit"), "entity", "left"), "judged")
+        if statements is None:
+            found = judged(asked, "query", "text_asked", "entity", "rank", "evidence", client).select("entity", "fit")
+        else:
+            own = statements.join(pool.select("entity"), "entity", "left_semi").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(F.col("prop").cast("long").alias("prop"), "text"))).alias("said"))
+            found = cited(asked.join(own, "entity", "left"), "query", "text_asked", "entity", "rank", "said", client).select("entity", "fit", "rationale", "prop_ids")
+        return written(pool.join(found, "entity", "left"), "judged")
 
     def verify(pool: DataFrame) -> DataFrame:
         """The best of the pool once more, one by one."""
@@ -147,7 +158,7 @@ def _soft(rows: DataFrame, plan: dict, types: DataFrame, legalities: DataFrame,
     return filters.soft(rows, own, notes=notes)[0].drop(*(f"_{name}" for name, _ in marks))
 
 
-def text_search(spark: SparkSession, request: Request, index: DataFrame, cards: DataFrame, types: DataFrame, legalities: DataFrame, name_index: DataFrame, client: ModelClient | None = None, dim: int = 64) -> Answer:
+def text_search(spark: SparkSession, request: Request, index: DataFrame, cards: DataFrame, types: DataFrame, legalities: DataFrame, name_index: DataFrame, client: ModelClient | None = None, dim: int = 64, words_of: Index | None = None) -> Answer:
     """Hard filters, the plan's soft ones among what they leave, then retrieval within. ``index`` as above with the layer ``any``; ``cards``
     (entity, name, cmc, color_identity, edhrec_rank, evidence). A text that names exactly one card is answered as such; a rules question is
     declined. ``best_row`` of a result is the matched row of the index."""
@@ -174,7 +185,7 @@ def text_search(spark: SparkSession, request: Request, index: DataFrame, cards:
     if not intent:
         best = filters.structural(rows, "edhrec_rank", "entity", request.k)
         return Answer(best, best, [*notes, "ordered by popularity"])
-    fused = retrieve(spark, index, [("any", t) for _, t in expansions(client, intent, {"literal": 1.0})], {"any": 1.0}, client, dim, rows.select("entity"))
+    fused = retrieve(spark, index, [("any", t) for _, t in expansions(client, intent, {"literal": 1.0})], {"any": 1.0}, client, dim, rows.select("entity"), words_of)
     pool = retrieval.pool(fused.join(rows, "entity"), retrieval.RULES_POOL)
     fit = judged(pool.withColumn("text_asked", F.lit(request.text)), "query", "text_asked", "entity", "rank", "evidence", client).select("entity", "fit")
     pool = pool.join(fit, "entity", "left")

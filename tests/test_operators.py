@@ -366,10 +366,20 @@ def test_store_and_engine(spark, tmp_path):
     assert e.text_search(Request("draw", mv=(9, 30))).results.isEmpty()
     assert {r["entity"] for r in e.text_search(Request("creature", types=["creature"], formats=["modern"])).results.collect()} == {"a"}
     assert [r["entity"] for r in e.search(Request("fights a creature", k=1)).results.collect()] == ["b"]
-    e.log("q1", Request("x"), e.search(Request("fights", k=1)))
+    before = {r["entity"]: r["score"] for r in e.text_search(Request("draw card flies")).pool.collect()}
+    e.build_words("text")
+    e.build_words("art")
+    assert {r["entity"]: r["score"] for r in e.text_search(Request("draw card flies")).pool.collect()} == before
+    e.store.replace("statements", cards.select("entity", F.lit(7).alias("prop"), F.col("evidence").alias("text")))
+    found = e.search(Request("fights a creature", k=1))
+    assert [(r["entity"], r["prop_ids"]) for r in found.results.collect()] == [("b", [7])]
+    e.log("q1", Request("x"), found)
+    assert e.typical_seconds().head()["n"] == 1
     votes = spark.createDataFrame([("q1", "a", 1.0, 1), ("q1", "a", 0.0, 2), ("nope", "a", 1.0, 3)], "query_id string, id string, fit double, seq int")
     assert [r["query_id"] for r in e.feedback(votes).collect()] == ["nope"]
     assert [r["fit"] for r in e.store.read("votes").collect()] == [0.0]
+    e.feedback(spark.createDataFrame([("q1", "b", 1.0, 3)], "query_id string, id string, fit double, seq int"))
+    assert {(r["id"], tuple(r["prop_ids"] or ())) for r in e.store.read("votes").collect()} == {("a", (7,)), ("b", (7,))}  # both share a word with the request
     with pytest.raises(ValueError):
         Request("x", band=(5, 1))
 
