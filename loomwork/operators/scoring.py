@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.scratch import written
+
 # Weights of the composite score.
 WEIGHTS = {"popularity": 0.4, "price": 0.25, "cost": 0.2, "competitive": 0.15}
 EDGES = (0.2, 0.4, 0.6, 0.8)
@@ -21,7 +23,7 @@ def minmax(rows: DataFrame, column: str, out: str) -> DataFrame:
 def midrank(rows: DataFrame, column: str, out: str) -> DataFrame:
     """Mid-rank percentile among present values, 0 where there is none: ties share the middle of their ranks. Ranks come from a count by
     value and a running sum over partitions of the values' range, so no task sorts all rows."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = written(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")), "values")
     below = running_sum(counts, "_v", "_n", "_upto")
     total = counts.agg(F.sum("_n").alias("_all"))
     pct = below.crossJoin(F.broadcast(total)).select("_v", ((2 * F.col("_upto") - F.col("_n")) / (2.0 * F.col("_all"))).alias("_p"))
@@ -43,9 +45,9 @@ def running_sum(rows: DataFrame, order: str, value: str, out: str, ranges: int =
 def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = EDGES) -> list[float]:
     """Exact quantiles, interpolated between the two nearest ranks, by counts of values and running sums over ranges: no task sorts all
     values, and the driver gets two rows a quantile. Empty where there is no value."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = written(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n")), "values")
     upto = running_sum(counts, "_v", "_n", "_upto")
-    n = rows.where(F.col(column).isNotNull()).count()
+    n = counts.agg(F.sum("_n")).head()[0]
     if not n:
         return []
     ranks = sorted({int(r) for q in at for r in (q * (n - 1) // 1, -(-q * (n - 1) // 1))})
@@ -66,12 +68,13 @@ def bands(rows: DataFrame, score: str, out: str = "band") -> DataFrame:
 
 
 def composite(rows: DataFrame, popularity: str, price: str, cost: str, competitive: Column, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """Adds score and components: scaled log of popularity, percentile of price, inverse scaled cost, and a flag."""
-    r = rows.withColumn("_pop", F.log1p(F.coalesce(F.col(popularity).cast("double"), F.lit(0.0)))).withColumn("_cost", F.coalesce(F.col(cost).cast("double"), F.lit(0.0)))
+    """Adds score and components: scaled log of popularity, percentile of price, inverse scaled cost, and a flag. ``rows`` are written once, as
+    bounds, percentiles and the result each read them."""
+    r = written(rows.withColumn("_flag", competitive.cast("double")), "scored").withColumn("_pop", F.log1p(F.coalesce(F.col(popularity).cast("double"), F.lit(0.0)))).withColumn("_cost", F.coalesce(F.col(cost).cast("double"), F.lit(0.0)))
     r = minmax(minmax(r, "_pop", "c_popularity"), "_cost", "_scaled").withColumn("c_cost", 1 - F.col("_scaled"))
-    r = midrank(r, price, "c_price").withColumn("c_competitive", competitive.cast("double"))
+    r = midrank(r, price, "c_price").withColumn("c_competitive", F.col("_flag"))
     score = sum((F.lit(w) * F.col(f"c_{n}") for n, w in weights.items()), F.lit(0.0))
-    return r.withColumn("score", score).drop("_pop", "_cost", "_scaled")
+    return r.withColumn("score", score).drop("_pop", "_cost", "_scaled", "_flag")
 
 
 def rolling_median(rows: DataFrame, value: str, order: list[Column], by: list[str], window: int = 20) -> DataFrame:
