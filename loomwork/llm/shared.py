@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import ClassVar
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-_OWN_ROOTS: dict[str, str] = {}
+from ..sources.scratch import root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,23 +32,10 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one, which only
-    a local master can share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        root = _OWN_ROOTS.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        _OWN_ROOTS[app] = root
-    return root.rstrip("/")
-
-
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomwork_path = path
