@@ -106,10 +106,9 @@ ORACLE_SQL: dict[str, str] = {
         t AS (SELECT r, k, j, length(part) AS n, pos + sum(length(part) + 1) OVER (PARTITION BY r, k ORDER BY j) - length(part) - 1 AS start,
               list_filter(regexp_split_to_array(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM q),
         p AS (SELECT *, len(words) AS n_words, array_to_string(words, ' ') AS own, row_number() OVER (PARTITION BY r ORDER BY start) AS i FROM t WHERE len(words) > 0),
-        x AS (SELECT r, k, i, start, list(n_words) OVER f AS nf, list(n_words) OVER b AS nb FROM p WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), b AS (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
-        c AS (SELECT r, min(i) AS a, max(i) AS b FROM p GROUP BY r, k
-              UNION SELECT r, i, i + list_min(list_filter(range(len(nf)), lambda n: list_sum(nf[1:n + 1]) >= 8)) FROM x WHERE list_sum(nf) >= 8
-              UNION SELECT r, i - list_min(list_filter(range(len(nb)), lambda n: list_sum(nb[len(nb) - n:]) >= 8)), i FROM x WHERE list_sum(nb) >= 8),
+        e AS (SELECT *, n_words >= 6 OR substr(md5(own), 2, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS ends FROM p),
+        x AS (SELECT r, i, n_words, count(*) FILTER (ends) OVER (PARTITION BY r ORDER BY i) - CAST(ends AS INT) AS chunk FROM e),
+        c AS (SELECT r, min(i) AS a, max(i) AS b FROM p GROUP BY r, k UNION SELECT r, min(i), max(i) FROM x GROUP BY r, chunk HAVING sum(n_words) >= 5),
         u AS (SELECT c.r, a, b, string_agg(own, ' ' ORDER BY i) AS unit, min(start) AS start FROM c JOIN p ON p.r = c.r AND i BETWEEN a AND b GROUP BY c.r, a, b),
         f AS (SELECT u.r, a, b, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS FIRST, h, copy, start) > 1 AS again FROM u JOIN d USING (r)),
         z AS (SELECT DISTINCT r, unnest(range(a, b + 1)) AS i FROM f WHERE again),

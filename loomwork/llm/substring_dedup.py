@@ -1,11 +1,12 @@
 """Removal of repeated lines or paragraphs (op 1).
 
 A text is cut into units: its lines, or its paragraphs (stretches between blank lines). Since a repeated passage may begin and end within
-lines, runs of clauses are units besides lines: from each clause, and up to each one, the shortest run of ``RUN_WORDS`` words or more,
-whatever the lines; a clause of so many words is a run by itself. A clause ends at a line's end, or at a space after one of ``.!?,;:``.
-Each unit is normalised (A-Z lower-cased, white space squeezed) and hashed; digests are grouped over the whole corpus. Of each group the
-earliest occurrence stays (smallest doc_id, null first, then the text's digest, then start); the clauses of the others are removed. What
-goes has stood earlier, so the first occurrence of every clause stays.
+lines, the text's clauses, whatever the lines, are cut into chunks that are units besides lines: a chunk ends with each clause of
+``CLAUSE_WORDS`` words or more, and with shorter ones whose hash is even, so that equal passages are cut alike from their first such clause on.
+Chunks of fewer than ``CHUNK_WORDS`` words repeat by chance, and are none. A clause ends at a line's end, or at a space after one of
+``.!?,;:``. Each unit is normalised (A-Z lower-cased, white space squeezed) and hashed; digests are grouped over the whole corpus. Of each
+group the earliest occurrence stays (smallest doc_id, null first, then the text's digest, then start); the clauses of the others are
+removed. What goes has stood earlier, so the first occurrence of every clause stays.
 
 Null and empty texts have no units. Of repeated rows (same id and text) the first is the earliest, the others lose all they have. Ties
 cannot be: places differ. Long texts are one Arrow batch each. Empty table: no rows. Only doc_id and text are read, so other columns cannot
@@ -25,7 +26,7 @@ from .repeats import folded, kept, occurrences, with_spans
 from .shared import dropped, saved, slices, tidily
 
 MIN_WORDS = 1
-RUN_WORDS = 8
+CLAUSE_WORDS, CHUNK_WORDS = 6, 5
 
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n(?![\x20\x09-\x0D]*(?:\n|\Z))[^\n]+)*")
 _UNITS = "doc_id long, text_md5 string, start long, end long, digest binary"
@@ -68,17 +69,12 @@ def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator
         if len(held) > first and sum(sizes[first:]) >= min_words:
             ranges.add((first, len(held) - 1))
         at += len(line) + 1
+    first = 0
     for i, n in enumerate(sizes):
-        if n >= RUN_WORDS:
-            ranges.add((i, i))
-            continue
-        for step, last in ((1, len(sizes) - 1), (-1, 0)):
-            j, total = i, n
-            while total < RUN_WORDS and j != last:
-                j += step
-                total += sizes[j]
-            if total >= RUN_WORDS:
-                ranges.add((i, j) if step > 0 else (j, i))
+        if i == len(sizes) - 1 or n >= CLAUSE_WORDS or not hashlib.md5(held[i][2]).digest()[0] % 2:
+            if sum(sizes[first : i + 1]) >= CHUNK_WORDS:
+                ranges.add((first, i))
+            first = i + 1
     for i, j in sorted(ranges):
         yield held[i][0], held[j][1], held[i][2] if i == j else b" ".join([x[2] for x in held[i : j + 1]])
 
