@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mixed, modest_batches, saved, slices, tidily
+from .shared import BATCH_BYTES, mixed, modest_batches, saved, slices, tidily
 
 PROBES = 16
 MU = 40.0
 #: Bytes of packed counts that a segment is planned for; its filter and token counts are smaller.
 SEGMENT_BYTES = 24_000_000
 #: Tokens that a task holds at once.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 
 END = b"\n"  # no word has white space
 _END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
@@ -99,21 +99,29 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count(segments: int):
-    def emit(block: Block) -> pa.RecordBatch:
+    def batch_of(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["segment", "pairs", "tokens"])
+
+    def emit(block: Block) -> Iterator[pa.RecordBatch]:
         after, before, h = block.arrays()
         pairs, n = np.unique((before.astype(np.int64) << 32) | after, return_counts=True)
+        n = n.astype(np.uint32)
         keys = pair_keys(h[pairs >> 32], h[pairs & 0xFFFFFFFF])
+        del pairs, before
         singles = np.bincount(after, minlength=len(h))
         seen = np.flatnonzero(singles)
         of_pair, of_token = segment_of(keys, segments), segment_of(h[seen], segments)
         pairs_at, tokens_at = np.argsort(of_pair, kind="stable"), np.argsort(of_token, kind="stable")
         pair_cuts, token_cuts = (np.searchsorted(x, np.arange(segments + 1)) for x in (of_pair[pairs_at], of_token[tokens_at]))
-        rows = []
+        rows, held = [], 0
         for s in range(segments):
             i, j = pairs_at[pair_cuts[s] : pair_cuts[s + 1]], seen[tokens_at[token_cuts[s] : token_cuts[s + 1]]]
             if len(i) or len(j):
                 rows.append((s, _packed(keys[i], n[i]), _packed(h[j], singles[j])))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["segment", "pairs", "tokens"])
+                held += 12 * (len(i) + len(j))
+            if held > BATCH_BYTES or (rows and s == segments - 1):
+                yield batch_of(rows)
+                rows, held = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
@@ -121,10 +129,10 @@ def _count(segments: int):
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 block.add(text)
             if block.tokens >= BLOCK_TOKENS:
-                yield emit(block)
+                yield from emit(block)
                 block = Block()
         if block.tokens:
-            yield emit(block)
+            yield from emit(block)
 
     return run
 
