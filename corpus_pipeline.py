@@ -31,9 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of two or more lines, and the long lines, that an earlier document, or place, has; documents of which nothing is left go.
-    Near copies go whole before: cut, they would leave stubs that no longer resemble what they were copied from."""
-    return without_passages(saved(jaccard_join.one_of_each(docs), "whole-copies-gone"))
+    """Texts without the passages of two or more lines, and the long lines, that an earlier document, or place, has. Documents of which nothing
+    is left go, as do repeated rows. Documents that would lose four fifths of their words or more, but not all, are left to the next stage,
+    which judges documents as a whole."""
+    return without_passages(docs, jaccard_join.THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return kept(with_repeats(rows, passages), most, lines, lambda text: merged((a, b) for a, b, _ in passages(text)))
 
 
-def without_passages(docs: DataFrame) -> DataFrame:
-    """``docs``, of which no two rows have an id and a text in common unless they have no passages, without their repeated passages."""
-    return repeats.without(docs, lambda rows: with_repeats(rows, passages))
+def passages_or_all(text: str) -> Iterator[tuple[int, int, int]]:
+    """``passages``, or all of a text that has none."""
+    found = False
+    for found in passages(text):
+        yield found
+    if not found and text.strip():
+        yield 0, len(text), text.count("\n") + 1
+
+
+def without_passages(docs: DataFrame, whole: Fraction = Fraction(1)) -> DataFrame:
+    """``docs`` without their repeated passages; of repeated rows one stays. With ``whole`` below 1 documents are judged as a whole too: those
+    without passages go where they equal an earlier one, and those that would lose that share of their words or more, but not all, stay as
+    they are."""
+    return repeats.without(docs, lambda rows: with_repeats(rows, passages if whole >= 1 else passages_or_all), whole)

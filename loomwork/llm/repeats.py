@@ -6,6 +6,7 @@ Rows of one id and one text cannot be told apart: they are one document with a n
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -121,12 +122,19 @@ def kept(rows: DataFrame, most: int, pieces: Spans, all_spans: Spans) -> DataFra
     return unfolded(out, "times", most).drop("at")
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], whole: Fraction):
+    def places(text: str, spans: list | None) -> list[tuple[int, int]]:
+        gone = merged((s["start"], s["end"]) for s in spans or () if s["again"])
+        if not gone or whole >= 1:
+            return gone
+        lost, all_ = (sum(len(x.encode().split()) for x in xs) for xs in ((text[a:b] for a, b in gone), (text,)))
+        return [] if whole * all_ <= lost < all_ else gone
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, sizes, cut = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                gone = merged((s["start"], s["end"]) for s in spans or () if s["again"])
+                gone = places(text or "", spans)
                 left, at = [], 0
                 for a, b in gone:
                     left.append(text[at:a])
@@ -134,27 +142,41 @@ def _cut(names: list[str]):
                 text = "".join(left) + text[at:] if gone else text
                 cut.append(bool(gone) and not text.strip(" \n\r\t\x0b\x0c"))
                 texts.append(text)
-                sizes.append(None if text is None else len(text))
+                sizes.append(len(text) if gone else None)
             own = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64()), "cut": pa.array(cut, pa.bool_())}
             yield pa.RecordBatch.from_arrays([own.get(n, batch.column(n) if n in batch.schema.names else None) for n in names], names=names)
 
     return run
 
 
-def without(docs: DataFrame, marked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, text_md5, others), one of those with an id and a text that is not blank. Only ids and digests are shuffled, and
+    rows that are repeated."""
+    keys = rows.where(F.col("text").rlike(r"\S")).groupBy(F.col("doc_id").alias("t_id"), F.col("text_md5").alias("t_md5"))
+    twice = saved(keys.agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-rows")
+    if twice.isEmpty():
+        return rows
+    twice = bounded(twice)
+    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_md5") == F.col("t_md5"))
+    return rows.join(twice, same, "left_anti").union(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text_md5"]))
+
+
+def without(docs: DataFrame, marked: Callable[[DataFrame], DataFrame], whole: Fraction = Fraction(1)) -> DataFrame:
     """``docs`` with the spans cut out of their texts that ``marked`` adds to rows (doc_id, text_md5, text, others), each with the line end
-    after it. n_chars, where there is one, follows a text that is cut. Documents of which nothing but white space is left by the cuts go."""
+    after it. n_chars, where there is one, follows a text that is cut. Documents of which nothing but white space is left by the cuts go. Those
+    that would lose the share ``whole`` of their words or more, but not all, stay as they are: they are copies as a whole, if anything. Of
+    repeated rows (same id and text, not blank) one stays."""
     columns = docs.columns
     hidden = ["text" if c == "text" else f"_{i}" for i, c in enumerate(columns)]
     rows = modest_batches(docs).withColumn("text", F.col("text").cast("string"))
     rows = rows.select(*(F.col(c).alias(h) for c, h in zip(columns, hidden, strict=True)), F.col("doc_id").cast("long").alias("doc_id"), md5_of().alias("text_md5"))
-    rows = marked(rows).drop("doc_id", "text_md5")
+    rows = marked(_once(rows)).drop("doc_id", "text_md5")
     any_ = F.exists(F.coalesce("spans", F.array().cast(rows.schema["spans"].dataType)), lambda s: s["again"])
     kinds = {f.name: f for f in rows.schema.fields}
     names = [*hidden, "n_chars", "cut"]
     schema = T.StructType([T.StructField(n, T.LongType() if n == "n_chars" else T.BooleanType()) if n in ("n_chars", "cut") else kinds[n] for n in names])
-    changed = rows.where(any_).mapInArrow(tidily(_cut(names)), schema).where(~F.col("cut"))
-    own = [F.col("n_chars").cast(kinds[h].dataType).alias(h) if c == "n_chars" else F.col(h) for c, h in zip(columns, hidden, strict=True)]
+    changed = rows.where(any_).mapInArrow(tidily(_cut(names, whole)), schema).where(~F.col("cut"))
+    own = [F.coalesce(F.col("n_chars").cast(kinds[h].dataType), F.col(h)).alias(h) if c == "n_chars" else F.col(h) for c, h in zip(columns, hidden, strict=True)]
     return rows.where(~any_).select(*hidden).union(changed.select(*own)).toDF(*columns)
 
 
