@@ -133,6 +133,20 @@ def test_texts_without_passages(spark, docs, rows, none):
     assert line_dedup.deduplicated(none).isEmpty()
 
 
+def test_cut_texts_and_copies_as_a_whole(spark):
+    rng = __import__("random").Random(71)
+    lines = [prose(rng, 20) for _ in range(10)]
+    short, most, half = prose(rng, 12), [*lines[:9], prose(rng, 20)], [*lines[:4], *(prose(rng, 20) for _ in range(6))]
+    rows = [(1, "\n".join(lines)), (1, "\n".join(lines)), (2, "\n".join(most)), (3, "\n".join(half)), (4, short), (5, short), (6, "\n".join(lines)), (7, None), (7, None), (8, ""), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blank = [(7, None), (7, None), (8, ""), (8, "")]
+    order = lambda rows: sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    got = order((r["doc_id"], r["text"]) for r in line_dedup.without_passages(df, jaccard_join.THRESHOLD).collect())
+    assert got == order([(1, rows[0][1]), (2, rows[2][1]), (3, "\n".join(half[4:])), (4, short), *blank])
+    got = order((r["doc_id"], r["text"]) for r in line_dedup.without_passages(df).collect())
+    assert got == order([(1, rows[0][1]), (2, most[9]), (3, "\n".join(half[4:])), (4, short), (5, short), *blank])
+
+
 def test_every_repeated_passage_is_found(spark, docs, rows, none):
     seen, want = set(), collections.defaultdict(set)
     for doc, text in distinct(rows):
