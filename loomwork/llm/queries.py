@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, line_dedup, lm_scoring, quality_rules, secret_scan, substring_dedup
+from . import chat_format, jaccard_join, language_id, line_dedup, lm_scoring, merkle_manifest, quality_rules, secret_scan, substring_dedup, turn_repair
 from .decontamination import decontaminate
 from .packing import pack
 from .shared import table
@@ -67,6 +67,23 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
+    turns = chat_format.gathered(chat_format.of_rows(rows.union(more), "conv_id", "turn", otherwise="turn"), "conv_id", "turn")
+    return chat_format.digests(chat_format.formatted(turns), "conv_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified(table(spark, sf_dir, "documents"), remainder(2) == 0, F.replace("text", F.lit("\n"), F.lit("")))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(rows), rows)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_forest": op2_jaccard_forest,
@@ -78,8 +95,15 @@ QUERIES = {
     "op8_quality_ratio": op8_quality_ratio,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_chunks": op10_line_chunks,
+    "op11_schema_fingerprint": op11_schema_fingerprint,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_turn_repair": op13_turn_repair,
 }
 
+#: crc32 of an ASCII text, in SQL: a bit at a time.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, CAST(i AS INT), 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"
+_FIELDS = " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}"))
+
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op4_winnowed_windows": r"""
@@ -122,4 +146,54 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words,
                CAST(coalesce(longest, 0) AS BIGINT) AS longest_run_words, coalesce(kept_spans, '') AS kept_spans, coalesce(removed_spans, '') AS removed_spans, coalesce(sums.text, d.text) AS text
         FROM d LEFT JOIN sums USING (r) LEFT JOIN spans USING (r)""",
+    "op11_schema_fingerprint": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(text, '\\', '\\e'), '<(/?s>|\|)', '\\l\1', 'g'), '<(<?/?SYS>>)', '\\l\1', 'g'), '\[(/?INST\])', '\\b\1', 'g') AS own FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('<|im_start|><|im_end|>') + 2 + length(role) + length(own)) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE h AS (SELECT doc_id, source, sha256({_FIELDS.format("text")}) AS leaf,
+              sha256(CASE WHEN {_CRC.format("coalesce(CAST(doc_id AS VARCHAR), '')")} % 2 = 0 THEN {_FIELDS.format("replace(text, chr(10), '')")} ELSE {_FIELDS.format("text")} END) AS shown FROM documents),
+        l AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree FROM h),
+        up AS (SELECT tree, 0 AS lvl, pos, leaf AS node FROM l UNION ALL
+               SELECT tree, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM up) WHERE n > 1 GROUP BY tree, lvl, pos // 3),
+        sub AS (SELECT tree, max(lvl) AS height, max_by(node, lvl) AS subroot FROM up GROUP BY tree),
+        top AS (SELECT 0 AS lvl, tree - 1 AS pos, subroot AS node FROM sub UNION ALL
+                SELECT lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY lvl, pos // 3),
+        root AS (SELECT max(lvl) AS top_height, max_by(node, lvl) AS root FROM top),
+        sib AS (SELECT r, up.lvl, up.pos < l.pos // CAST(3 ** up.lvl AS BIGINT) AS before, up.pos, node FROM l JOIN up USING (tree) WHERE up.pos // 3 = l.pos // CAST(3 ** up.lvl AS BIGINT) // 3 AND up.pos <> l.pos // CAST(3 ** up.lvl AS BIGINT)
+                UNION ALL SELECT r, height + top.lvl, top.pos < (tree - 1) // CAST(3 ** top.lvl AS BIGINT), top.pos, node FROM l JOIN sub USING (tree), top
+                WHERE top.pos // 3 = (tree - 1) // CAST(3 ** top.lvl AS BIGINT) // 3 AND top.pos <> (tree - 1) // CAST(3 ** top.lvl AS BIGINT)),
+        around AS (SELECT r, lvl, coalesce(string_agg(node, '' ORDER BY pos) FILTER (before), '') AS a, coalesce(string_agg(node, '' ORDER BY pos) FILTER (NOT before), '') AS b FROM sib GROUP BY r, lvl),
+        fold AS (SELECT r, 0 AS lvl, height + top_height AS last, shown AS v FROM l JOIN sub USING (tree), root UNION ALL
+                 SELECT fold.r, fold.lvl + 1, last, sha256(coalesce(a, '') || v || coalesce(b, '')) FROM fold LEFT JOIN around ON around.r = fold.r AND around.lvl = fold.lvl WHERE fold.lvl < last),
+        proof AS (SELECT r, string_agg(a || b, '' ORDER BY lvl) AS p FROM around GROUP BY r)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, v AS folded_root, v = root AS verified
+        FROM l JOIN sub USING (tree) JOIN fold ON fold.r = l.r AND fold.lvl = last LEFT JOIN proof ON proof.r = l.r, root""",
+    "op13_turn_repair": rf"""
+        WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+        how AS (SELECT conv_id, turn, role, text, {_CRC.format("key")} % 20 AS how FROM c),
+        d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy FROM how WHERE how <> 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM d),
+        f AS (SELECT conv_id, k, turn, role, text, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before,
+              CASE WHEN t = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM p),
+        ins AS (FROM (VALUES (0, 0, 0, '', CAST([] AS VARCHAR[])), (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+                (2, 2, 0, '', []), (2, 3, 5, 'I', ['assistant:']), (2, 2, 10, 'II', ['assistant:', 'user:']), (3, 3, 0, '', []), (3, 2, 5, 'I', ['user:']), (3, 3, 10, 'II', ['user:', 'assistant:'])) v(s, t, cost, audit, said)),
+        keep AS (FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) v(s, r, t)),
+        wanted AS (FROM (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) v(s, t, role)),
+        best AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, 0 AS s, {{'cost': 0, 'audit': '', 'said': CAST([] AS VARCHAR[])}} AS b FROM f UNION ALL
+            SELECT conv_id, k, s, min(b) FROM (
+                WITH m AS (SELECT f.*, ins.t AS pos, b.cost + ins.cost AS cost, b.audit || ins.audit AS audit, list_concat(b.said, ins.said) AS said FROM best JOIN ins ON ins.s = best.s JOIN f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.k = best.k + 1)
+                SELECT conv_id, k, pos AS s, {{'cost': cost + 2, 'audit': audit || 'D', 'said': said}} AS b FROM m
+                UNION ALL SELECT conv_id, k, keep.t, {{'cost': cost + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'audit': audit || 'K', 'said': list_append(said, m.role || ':' || text)}} FROM m JOIN keep ON keep.s = pos AND keep.r = m.r WHERE fault IN ('none', 'truncated')
+                UNION ALL SELECT conv_id, k, wanted.t, {{'cost': cost + 1 + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'audit': audit || 'R', 'said': list_append(said, wanted.role || ':' || text)}} FROM m JOIN wanted ON wanted.s = pos WHERE fault IN ('none', 'truncated')) GROUP BY conv_id, k, s),
+        sums AS (SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        done AS (SELECT best.conv_id, min({{'cost': b.cost + ins.cost, 'audit': b.audit || ins.audit, 'said': list_concat(b.said, ins.said)}}) AS b FROM best JOIN sums ON sums.conv_id IS NOT DISTINCT FROM best.conv_id AND best.k = n JOIN ins ON ins.s = best.s AND ins.t IN (0, 3) GROUP BY best.conv_id)
+        SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.said, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }

@@ -105,6 +105,19 @@ def numbered(rows: DataFrame, by: str, order: list[str], together: int, most_dea
     return unfolded(placed, "copies", most).withColumn("number", F.col("first") + F.col("at")).drop("first", "at")
 
 
+def in_order(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``rows``, which are saved, with ``place``: gapless from 0 within each value of ``by``, in ``order`` (nulls first), which tells rows apart.
+    Rows are dealt by ranges of all these columns, so that a hot value is many ranges; the ranges are written, so that a task that runs again
+    finds the same. Sums are sent only of values that span ranges: no more than there are ranges."""
+    range_, own, before, b_by, b_range = unused(rows, "range", "own", "before", "b_by", "b_range")
+    dealt = saved(rows.repartitionByRange(by, *order).withColumn(range_, F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(F.col(by).alias(b_by), F.col(range_).alias(b_range)).agg(F.count("*").alias("n"))
+    sums = counts.select(b_by, b_range, (F.sum("n").over(W.partitionBy(b_by).orderBy(b_range)) - F.col("n")).alias(before)).where(F.col(before) > 0)
+    placed = dealt.withColumn(own, F.row_number().over(W.partitionBy(by, range_).orderBy(*order)) - 1)
+    joined = placed.join(F.broadcast(sums), (F.col(by) == F.col(b_by)) & (F.col(range_) == F.col(b_range)), "left")
+    return joined.select(*rows.columns, (F.col(own) + F.coalesce(before, F.lit(0))).cast("long").alias("place"))
+
+
 #: Bytes of an Arrow batch between Spark and Python, where the session has no setting of its own. Texts may be very long, so rows are no bound.
 BATCH_BYTES = 8_000_000
 
