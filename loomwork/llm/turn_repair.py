@@ -99,6 +99,8 @@ def traced(turns: str, found: list[bytearray], state: int, left: int) -> tuple[l
 
 def repaired(turns: str) -> tuple[int, str, list[list[str]], str]:
     """(cost, audit, edits by block and turn, roles inserted at the end)."""
+    if not turns:
+        return 0, "", [], ""
     blocks = [turns[i : i + BLOCK] for i in range(0, len(turns), BLOCK)]
     behind = [END_COST]
     for block in reversed(blocks[1:]):

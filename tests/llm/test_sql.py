@@ -9,6 +9,7 @@ import pytest
 from loomwork.llm import queries
 
 from .helpers import corpus, frame
+from .test_conversations import CONVERSATIONS, ODD, conversations
 
 ITEMS = [(1, "amber basin cedar"), (2, None), (None, "delta"), (3, " ..")]
 
@@ -18,6 +19,7 @@ def odd(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("odd")
     frame(spark, corpus()).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame(conversations(ODD), CONVERSATIONS).write.parquet(f"{at}/conversations.parquet")
     return str(at)
 
 
