@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import incremental, names, retrieval, scoring
+from .operators import bitmaps, incremental, inverted, names, retrieval, scoring, vectors
+from .plans import batch
 from .plans.models import ModelClient, StandIn
-from .plans.search import Answer, Index, Request, art_search, text_search
+from .plans.search import Answer, Request, art_search, text_search
 from .sources.store import Store
 
 
@@ -22,7 +23,7 @@ class Engine:
         self._built: tuple[tuple, dict[str, DataFrame]] | None = None
 
     def _tables(self) -> dict[str, DataFrame]:
-        names_ = ("art_index", "art_entities", "text_index", "cards", "types", "legalities", "names", "chunks", "phrases", "mined", "statements", *(f"{i}_{t}" for i in ("art", "text") for t in ("postings", "frequencies", "totals")))
+        names_ = ("art_index", "art_entities", "text_index", "cards", "types", "legalities", "names", "chunks", "phrases", "mined", "statements", "numbers", "maps", *(f"{i}_{t}" for i in ("art", "text") for t in ("blocks", "terms", "totals")), *(f"{i}_near_{t}" for i in ("art_literal", "art_interpretive", "text_any") for t in ("rows", "cells")))
         version = tuple(self.store.current(n) for n in names_)
         if self._built is None or self._built[0] != version:
             self.refresh()
@@ -45,14 +46,40 @@ class Engine:
         return answer
 
     def build_words(self, which: str) -> None:
-        """The word tables of the index ``which`` (art or text), which searches read instead of its texts."""
+        """The word index of the index ``which`` (art or text), which searches read instead of its texts."""
+        inverted.stored(inverted.build(self.store.read(f"{which}_index"), "row", "text"), self.store.replace, which)
+
+    def build_near(self, which: str) -> None:
+        """Its vector indexes, one a layer, and for rules texts the bitmaps of filters; ``searches`` reads them."""
         index = self.store.read(f"{which}_index")
-        for name, df in zip(("postings", "frequencies", "totals"), retrieval.indexed(index, "row", "text"), strict=True):
-            self.store.replace(f"{which}_{name}", df)
+        for layer in ("literal", "interpretive") if which == "art" else ("any",):
+            vectors.stored(vectors.build(index.where(F.col("layer") == layer), "row", "vector", self.dim), self.store.replace, f"{which}_{layer}_near")
+        if which == "text":
+            cards = self.store.read("cards")
+            numbers = self.store.replace("numbers", bitmaps.numbered(cards, "entity"))
+            self.store.replace("maps", bitmaps.bitmaps(batch.corpus_sets(cards, self.store.read("types"), self.store.read("legalities")), numbers))
+
+    def _words(self, tables: dict[str, DataFrame], which: str) -> inverted.WordIndex | None:
+        held = [tables.get(f"{which}_{name}") for name in ("blocks", "terms", "totals")]
+        return None if None in held else inverted.WordIndex(*held)
+
+    def _corpus(self, which: str) -> batch.Corpus:
+        t = self._tables()
+        words = self._words(t, which)
+        layers = ("literal", "interpretive") if which == "art" else ("any",)
+        if words is None or any(f"{which}_{x}_near_rows" not in t for x in layers):
+            raise ValueError(f"the {which} index has no word or vector index yet: build_words, build_near")
+        near = {x: vectors.VectorIndex(t[f"{which}_{x}_near_rows"], t[f"{which}_{x}_near_cells"]) for x in layers}
+        return batch.Corpus(t[f"{which}_index"].select("row", "entity", "layer"), words, near, t["art_entities" if which == "art" else "cards"], t.get("numbers"), t.get("maps"))
+
+    def searches(self, requests: DataFrame) -> batch.Answers:
+        """Art searches of many requests (``batch.REQUEST``), as one plan."""
+        t = self._tables()
+        return batch.art_searches(requests, self._corpus("art"), self.client, self.dim, t.get("phrases"), t.get("mined"), t.get("statements"))
 
-    def _words(self, tables: dict[str, DataFrame], which: str) -> Index | None:
-        held = [tables.get(f"{which}_{name}") for name in ("postings", "frequencies", "totals")]
-        return None if None in held else (held[0], held[1], held[2])
+    def text_searches(self, requests: DataFrame) -> batch.Answers:
+        """Searches of rules texts of many requests, as one plan."""
+        return batch.text_searches(requests, self._corpus("text"), self._tables()["names"], self.client, self.dim)
 
     def _timed(self, run: Callable[[], Answer]) -> Answer:
         began = time.perf_counter()

@@ -6,7 +6,7 @@ dropped, broadest first kept, where they would leave fewer than a floor.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +92,24 @@ def hard(rows: DataFrame, predicates: Mapping[str, Column | None]) -> DataFrame:
     return rows
 
 
+def kept_filters(names: list[str], count: Callable[[tuple[int, ...]], int], floor: int = 0, drop_empty: bool = True, notes: list[str] | None = None) -> list[str]:
+    """The soft filters that stay. ``count`` gives the rows that a choice of them, by position, leaves. They are tried by their own matches, most
+    first, ties in the order given; one that would leave fewer than ``floor`` rows, or none, is dropped."""
+    own = [count((i,)) for i in range(len(names))]
+    kept: tuple[int, ...] = ()
+    for i in sorted(range(len(names)), key=lambda i: -own[i]):
+        if not own[i] and drop_empty:
+            note = "matched nothing"
+        elif (left := count((*kept, i))) < max(1, floor):
+            note = f"would leave {left}"
+        else:
+            kept = (*kept, i)
+            continue
+        if notes is not None:
+            notes.append(f"{names[i]} {note}; dropped")
+    return [names[i] for i in kept]
+
+
 def soft(rows: DataFrame, predicates: Mapping[str, Column | None], floor: int = 0, drop_empty: bool = True, notes: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """``rows`` under as many filters as leave more than ``floor`` rows when ``floor`` is 0, else at least ``floor``; and the filters used.
     Filters are tried by their own matches, most first, ties in the order given. Counts of all conjunctions come from one pass: a row a
@@ -102,20 +120,7 @@ def soft(rows: DataFrame, predicates: Mapping[str, Column | None], floor: int =
     flag = {n: f"_flag{i}" for i, n in enumerate(used)}
     marked = rows.select("*", *(F.coalesce(predicates[n], F.lit(False)).alias(flag[n]) for n in used))
     combos = [(tuple(r[flag[n]] for n in used), r["count"]) for r in marked.groupBy(*flag.values()).count().collect()]  # 2 ** filters rows at most
-    own = {n: sum(c for flags, c in combos if flags[i]) for i, n in enumerate(used)}
-    kept: list[str] = []
-    for name in sorted(used, key=lambda n: -own[n]):
-        if not own[name] and drop_empty:
-            if notes is not None:
-                notes.append(f"{name} matched nothing; dropped")
-            continue
-        trial = [used.index(n) for n in (*kept, name)]
-        left = sum(c for flags, c in combos if all(flags[i] for i in trial))
-        if left < max(1, floor):
-            if notes is not None:
-                notes.append(f"{name} would leave {left}; dropped")
-            continue
-        kept.append(name)
+    kept = kept_filters(used, lambda chosen: sum(c for flags, c in combos if all(flags[i] for i in chosen)), floor, drop_empty, notes)
     for name in kept:
         marked = marked.where(F.col(flag[name]))
     return marked.drop(*flag.values()), kept

@@ -19,36 +19,48 @@ from ..sources.scratch import written
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, DEPTH, POOL, RULES_POOL, LOGGED = 60, 200, 100, 40, 50
 
-#: Rows of a query table up to which it is broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes of a table up to which it is broadcast, and what a row counts at least.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 16
 #: Query vectors that meet the corpus at once.
 QUERY_BLOCK = 20_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is known to have at most ``rows`` rows; beyond, Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """(doc, token, tf, dl): one row per document and token; dl is the document's number of tokens."""
-    tokens = docs.select(F.col(id_).alias("doc"), tokenize(F.col(text)).alias("tokens"))
-    # The length is made apart from the explode, or it is counted anew for each token.
-    rows = tokens.select("doc", F.size("tokens").alias("dl"), "tokens").select("doc", "dl", F.explode("tokens").alias("token"))
-    return rows.groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
-
-
-def idf(df: DataFrame, n_docs: int) -> DataFrame:
-    """(token, df, idf) of ``df`` (token, df): Okapi's, negative values replaced by ``EPSILON`` times the mean over the vocabulary."""
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row has in memory."""
+    out = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array<string>":
+            out = out + F.coalesce(F.octet_length(F.array_join(c, "")) + 8 * F.size(c), F.lit(0))
+        elif kind.startswith("array<") and "<" not in kind[6:]:
+            out = out + 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+        elif "<" in kind:
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            out = out + 8
+    return out
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows are known to have at most ``limit`` bytes together; beyond, Spark shuffles both sides."""
+    most = limit // ROW_BYTES
+    rows, size = df.select(row_bytes(df).cast("long").alias("b")).limit(most + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).head()
+    return F.broadcast(df) if rows <= most and size <= limit else df
+
+
+def idf(df: DataFrame, n_docs: int, *also: str) -> DataFrame:
+    """(token, df, idf, and the columns ``also``) of ``df`` (token, df): Okapi's, negative values replaced by ``EPSILON`` times the mean over the vocabulary."""
     raw = df.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), *also)  # one row
 
 
 def bm25(docs: DataFrame, id_: str, text: str, queries: DataFrame, query_id: str, query_text: str, allowed: DataFrame | None = None) -> DataFrame:
     """(query, doc, score) with score > 0. A token that a query has twice counts twice. One pass over the corpus writes the postings of the
     queries' tokens, with a row a document for the totals; a second one is made only where some of them are in more than half of all
-    documents, whose weight is a share of the vocabulary's mean. ``indexed`` makes both tables once, for many sets of queries."""
+    documents, whose weight is a share of the vocabulary's mean. ``inverted`` stores an index once, for many sets of queries."""
     wanted = queries.select(F.col(query_id).alias("query"), F.explode(tokenize(F.col(query_text))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("qtf"))
     tokens = docs.select(F.col(id_).alias("doc"), F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("tokens")).select("doc", "tokens", F.size("tokens").alias("dl"))
     asked = small(wanted.select(F.col("token").alias("a")).distinct())
@@ -71,7 +83,7 @@ def _scored(posts: DataFrame, df: DataFrame, vocabulary: Callable[[], DataFrame]
     if df.where(F.col("df") > n / 2).isEmpty():
         weighted = df.select("token", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     else:
-        weighted = idf(vocabulary(), n).join(F.broadcast(df.select("token")) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.select("token"), "token", "left_semi").select("token", "idf")
+        weighted = idf(vocabulary(), n).join(small(df.select("token")), "token", "left_semi").select("token", "idf")
     weights = small(wanted.join(weighted, "token"))
     if allowed is not None:
         posts = posts.join(small(allowed.select(F.col(allowed.columns[0]).alias("doc")).distinct()), "doc", "left_semi")
@@ -80,22 +92,6 @@ def _scored(posts: DataFrame, df: DataFrame, vocabulary: Callable[[], DataFrame]
     return posts.join(weights, "token").groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def indexed(docs: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The index as tables: postings (doc, dl, token, tf), frequencies (token, df), and one row of totals (n, total)."""
-    tokens = docs.select(F.col(id_).alias("doc"), F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("tokens")).select("doc", "tokens", F.size("tokens").alias("dl"))
-    posts = postings(docs, id_, text)
-    return posts, posts.groupBy("token").agg(F.count("*").alias("df")), tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-
-
-def bm25_of(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, query_id: str, query_text: str, allowed: DataFrame | None = None) -> DataFrame:
-    """``bm25`` over the tables of ``indexed``, which the caller has stored: only postings of the queries' tokens are read on."""
-    posts, df, totals = index
-    wanted = queries.select(F.col(query_id).alias("query"), F.explode(tokenize(F.col(query_text))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("qtf"))
-    asked = small(wanted.select("token").distinct())
-    n, total = totals.select("n", "total").head()
-    return _scored(posts.join(asked, "token", "left_semi"), df.join(asked, "token", "left_semi"), lambda: df, n, total, wanted, allowed)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -197,10 +193,24 @@ def mean_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return means.select(group, normalized(F.col("vector")).alias("vector"))
 
 
-def logged(lists: DataFrame, fused: DataFrame, offset: int = LOGGED) -> DataFrame:
-    """Rows of the retrieval log: the best ``LOGGED`` of each method, and the fused list with its ranks moved by ``offset``."""
-    own = lists.where(F.col("rank") <= LOGGED).select("query", F.col("entity").alias("id"), "rank", F.col("list").alias("method"))
-    return own.union(ranked(fused, POOL, ("query",), "entity").select("query", F.col("entity").alias("id"), (F.col("rank") + offset).alias("rank"), F.lit("rrf").alias("method")))
+def contributions(lists: DataFrame, k: int = RRF_K, weight: str | None = None) -> DataFrame:
+    """(query, method, entity, score, layer): what each method alone gives an entity, and the layer of the best row that it found for it.
+    ``lists``: as for ``fuse``, with method and layer. Rows of equal rank go by the order of the lists."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    best = lists.groupBy("query", "method", "list", "entity").agg(F.min(F.struct("rank", F.col("row").alias("row"), "layer", w.cast("double").alias("w"))).alias("b"))
+    return best.groupBy("query", "method", "entity").agg(F.sum(F.col("b.w") / (k + F.col("b.rank"))).alias("score"), F.min_by("b.layer", F.struct("b.rank", "list")).alias("layer"))
+
+
+def logged(lists: DataFrame, fused: DataFrame, weight: str | None = None, start: int = 1, digits: int = 12) -> DataFrame:
+    """(query, id, rank, score, method, layer), rows of the retrieval log: the ``LOGGED`` entities that each method alone gives most, with the
+    layer that gave it, and the pool of the fused list. ``start``: the rank of the pool's first, where a wider pool goes on from an earlier one.
+    Scores are compared when rounded, so that sums in another order do not change the log."""
+    rounded = F.round("score", digits).alias("score")
+    own = contributions(lists, weight=weight).select("query", "method", "entity", rounded, "layer")
+    first = ranked(own, LOGGED, ("query", "method"), "entity")
+    joint = ranked(fused.select("query", "entity", rounded), POOL, ("query",), "entity")
+    rows = first.select("query", F.col("entity").alias("id"), "rank", "score", "method", "layer")
+    return rows.union(joint.select("query", F.col("entity").alias("id"), F.col("rank") + (start - 1), "score", F.lit("rrf"), F.lit("fused")))
 
 
 def built(props: DataFrame, embeddings: DataFrame, key: str, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:

@@ -31,22 +31,24 @@ def mmr_order(relevance: np.ndarray, vectors: np.ndarray, k: int, lam: float = L
     return chosen
 
 
-def mmr(rows: DataFrame, by: str, id_: str, position: str, fit: str, vector: str, k: int, lam: float = LAMBDA, most: int = DIVERSITY_POOL) -> DataFrame:
-    """(by, id, place): of each query's first ``most`` rows by position, k by maximal marginal relevance. A group has at most ``most`` rows."""
+def mmr(rows: DataFrame, by: str, id_: str, position: str, fit: str, vector: str, k: int | str, lam: float = LAMBDA, most: int = DIVERSITY_POOL) -> DataFrame:
+    """(by, id, place): of each query's first ``most`` rows by position, k (a number, or the column that has it) by maximal marginal relevance. A
+    group has at most ``most`` rows."""
     few = rows.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(position, id_))).where(F.col("_k") <= most)
     kinds = dict(few.dtypes)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_k")
         vectors = np.array(group[vector].tolist(), np.float64)
-        order = mmr_order(group[fit].fillna(0.0).to_numpy(np.float64), vectors, k, lam)
+        order = mmr_order(group[fit].fillna(0.0).to_numpy(np.float64), vectors, int(group["_wanted"].iloc[0]), lam)
         out = group.iloc[order][[by, id_]]
         return out.assign(place=np.arange(1, len(out) + 1, dtype=np.int32))
 
-    return few.select(by, id_, "_k", F.col(fit).cast("double").alias(fit), F.col(vector).cast("array<double>").alias(vector)).groupBy(by).applyInPandas(pick, f"{by} {kinds[by]}, {id_} {kinds[id_]}, place int")
+    wanted = (F.col(k) if isinstance(k, str) else F.lit(k)).alias("_wanted")
+    return few.select(by, id_, "_k", wanted, F.col(fit).cast("double").alias(fit), F.col(vector).cast("array<double>").alias(vector)).groupBy(by).applyInPandas(pick, f"{by} {kinds[by]}, {id_} {kinds[id_]}, place int")
 
 
-def diversified(rows: DataFrame, by: str, id_: str, group: str, position: str, fit: str, vector: str, k: int) -> DataFrame:
+def diversified(rows: DataFrame, by: str, id_: str, group: str, position: str, fit: str, vector: str, k: int | str) -> DataFrame:
     """Colour cap, first fifteen, then maximal marginal relevance."""
     return mmr(capped(rows, group, [F.col(position), F.col(id_)], (by,)), by, id_, position, fit, vector, k)
 

@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..operators import bitmaps as M
 from ..operators import chunks as C
 from ..operators import evaluation as E
 from ..operators import export as T
 from ..operators import filters as P
 from ..operators import incremental as I
 from ..operators import ingest as G
+from ..operators import inverted as Z
 from ..operators import names as N
 from ..operators import retrieval as R
 from ..operators import scoring as S
 from ..operators import selection as L
+from ..operators import vectors as A
 from ..operators import vocabulary as V
+from ..sources.scratch import once, replaced, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,9 +64,18 @@ _DENSE = """
     """
 
 
+def _words(docs: DataFrame) -> Z.WordIndex:
+    """The stored word index of the documents, built once for all queries of a session."""
+    return once(docs, "words", lambda: Z.stored(Z.build(docs, "doc_id", "text"), replaced, "words"))
+
+
 def _bm25(t) -> DataFrame:
-    scores = R.bm25(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
-    return R.ranked(scores)
+    return Z.topk(_words(t("documents")), t("benchmark"), "item_id", "text", digits=6)
+
+
+def _near(e: DataFrame) -> A.VectorIndex:
+    """The stored vector index, built once for all queries of a session."""
+    return once(e, "near", lambda: A.stored(A.build(e, "vec_id", "embedding", len(e.select("embedding").head()[0])), replaced, "near"))
 
 
 def _dense(t) -> DataFrame:
@@ -118,13 +131,50 @@ def collapse_best(t):
     return R.pool(best).select(F.col("query").alias("item_id"), F.col("entity").alias("doc_id"), "source", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(_RRF + """, l AS (SELECT item_id AS query, doc_id AS id, rank, list AS method FROM lists WHERE rank <= 50),
-    r AS (SELECT item_id AS query, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) + 50 AS rank, 'rrf' AS method FROM fused)
-    SELECT * FROM l UNION ALL SELECT * FROM r WHERE rank <= 150""")
+@query(_RRF + """, c AS (SELECT item_id AS query, doc_id AS id, list AS method, round(w / (60 + rank), 12) AS score, 'layer' || doc_id % 3 AS layer FROM lists),
+    l AS (SELECT query, id, row_number() OVER (PARTITION BY query, method ORDER BY score DESC, id) AS rank, score, method, layer FROM c),
+    fs AS (SELECT item_id AS query, doc_id AS id, round(sum(w / (60 + rank)), 12) AS score FROM lists GROUP BY ALL),
+    r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, score, 'rrf' AS method, 'fused' AS layer FROM fs)
+    SELECT query, id, rank, round(score, 9) AS score, method, layer FROM l WHERE rank <= 50 UNION ALL SELECT query, id, rank, round(score, 9), method, layer FROM r WHERE rank <= 100""")
 def retrieval_log(t):
-    """The per-method and the fused log rows."""
-    lists = _lists(t)
-    return R.logged(lists, R.fuse(lists, weight="w").withColumn("score", F.round("score", 9))).withColumn("rank", F.col("rank").cast("long"))
+    """What each method alone gives, with the layer that gave it, and the fused pool."""
+    lists = _lists(t).withColumn("method", F.col("list")).withColumn("layer", F.concat(F.lit("layer"), F.col("row") % 3))
+    return R.logged(lists, R.fuse(lists, weight="w"), "w").withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_DENSE} SELECT item_id AS query_id, doc_id AS vec_id, round(score, 6) AS score, rank FROM der WHERE rank <= 10")
+def cell_topk(t):
+    """Cosine top-k over the stored vector index, which is exact."""
+    e = t("embeddings")
+    found = A.topk(_near(e), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return found.select(F.col("query").alias("query_id"), F.col("doc").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_BY_ITEM = "CASE item_id % 3 WHEN 0 THEN lang = 'en' WHEN 1 THEN source IN ('src1', 'src2', 'src3', 'src4') AND lang <> 'en' ELSE true END"
+
+
+@query(f"""WITH {_BM25} {_DENSE},
+    v AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM de LEFT JOIN documents USING (doc_id) WHERE item_id % 3 = 2 OR {_BY_ITEM} QUALIFY rank <= 200),
+    lists AS (SELECT item_id, doc_id, 0.6 / (60 + rank) AS s FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE {_BY_ITEM} QUALIFY rank <= 200) UNION ALL SELECT item_id, doc_id, 0.4 / (60 + rank) FROM v),
+    f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score FROM lists GROUP BY ALL)
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 40""")
+def batched_hybrid(t):
+    """API1, F7, J12: many requests as one plan, each under filters of its own (bitmaps) that hold before both rankings, fused and cut to a pool."""
+    docs, e = t("documents"), t("embeddings")
+    numbers = written(M.numbered(docs, "doc_id"), "numbers")
+    members = docs.select(F.col("doc_id").alias("id"), F.lit("lang").alias("attribute"), F.col("lang").alias("value")).union(docs.select("doc_id", F.lit("source"), "source"))
+    asked = written(t("benchmark").select(F.col("item_id").alias("query")).union(e.where("vec_id % 50 = 0").select("vec_id")).distinct(), "asked")
+    clause = lambda rest, n, attribute, values, negated=False: asked.where(f"query % 3 = {rest}").select("query", F.lit(n).alias("clause"), F.lit(attribute).alias("attribute"), F.explode(F.array(*map(F.lit, values))).alias("value"), F.lit(negated).alias("negated"))
+    clauses = clause(0, "1", "lang", ["en"]).union(clause(1, "1", "source", ["src1", "src2", "src3", "src4"])).union(clause(1, "2", "lang", ["en"], True))
+    sets = written(M.listed(M.chosen(M.bitmaps(members, numbers), clauses), numbers), "allowed")
+    may = sets.select(F.col("query").alias("q"), F.col("id").alias("i"), F.lit(True).alias("may"))
+    keep = lambda s: s.join(may, (F.col("query") == F.col("q")) & (F.col("doc") == F.col("i")), "left").where("query % 3 = 2 or may").select("query", "doc", "score")
+    words = Z.topk(_words(docs), t("benchmark"), "item_id", "text", keep=keep, digits=6)
+    vectors = e.where("vec_id % 50 = 0").withColumn("group", F.when(F.col("vec_id") % 3 != 2, F.col("vec_id")))
+    near = A.topk(_near(e), vectors, "vec_id", "embedding", group="group", allowed=sets.withColumnRenamed("query", "group"))
+    one = lambda df, name, w: df.select("query", F.lit(name).alias("list"), F.col("doc").alias("entity"), F.col("doc").alias("row"), "rank", F.lit(w).alias("w"))
+    fused = R.fuse(one(words, "bm25", 0.6).union(one(near, "dense", 0.4)), weight="w").withColumn("score", F.round("score", 9))
+    return R.pool(fused, R.RULES_POOL).select(F.col("query").alias("item_id"), F.col("entity").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH u AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -199,6 +249,30 @@ def filter_soft(t):
     return P.soft(t("part"), p, floor=25)[0].select("p_partkey", "p_size")
 
 
+@query("""WITH q AS (SELECT DISTINCT p_brand AS brand FROM part), f AS (SELECT brand, p_partkey, CAST(p_size <= 20 AS INT) AS f1, CAST(p_brand = brand AS INT) * 2 AS f2, CAST(p_retailprice >= 1100 AS INT) * 4 AS f4 FROM q, part),
+    n AS (SELECT brand, [count(*) FILTER ((f1 | f2 | f4) & m = m) FOR m IN [1, 2, 3, 4, 5, 6, 7]] AS n FROM f GROUP BY brand),
+    o AS (SELECT brand, n, list_sort([{'k': -n[m], 'm': m} FOR m IN [1, 2, 4]]) AS o FROM n),
+    a AS (SELECT *, CASE WHEN n[o[1].m] >= 25 THEN o[1].m ELSE 0 END AS m1 FROM o), b AS (SELECT *, CASE WHEN n[m1 | o[2].m] >= 25 THEN m1 | o[2].m ELSE m1 END AS m2 FROM a),
+    c AS (SELECT brand, CASE WHEN n[m2 | o[3].m] >= 25 THEN m2 | o[3].m ELSE m2 END AS kept FROM b)
+    SELECT brand, kept, p_partkey FROM c JOIN f USING (brand) WHERE (f1 | f2 | f4) & kept = kept""".replace("[count(*) FILTER ((f1 | f2 | f4) & m = m) FOR m IN [1, 2, 3, 4, 5, 6, 7]]", "[" + ", ".join(f"count(*) FILTER ((f1 | f2 | f4) & {m} = {m})" for m in range(1, 8)) + "]"))
+def bitmap_soft(t):
+    """Soft filters with a floor of 25 for each brand, as bit operations on bitmaps of sizes, brands and prices."""
+    part = t("part")
+    numbers = written(M.numbered(part, "p_partkey"), "numbers")
+    one = lambda attribute, value: part.select(F.col("p_partkey").alias("id"), F.lit(attribute).alias("attribute"), value.cast("string").alias("value"))
+    maps = written(M.bitmaps(one("size", F.col("p_size")).union(one("brand", F.col("p_brand"))).union(one("price", F.col("p_retailprice") >= 1100)), numbers), "maps")
+    brands = part.select(F.col("p_brand").alias("query")).distinct()
+    filters = brands.select("query", F.explode(F.array(*(F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), v.alias("values")) for i, (n, v) in enumerate((("size", F.transform(F.sequence(F.lit(1), F.lit(20)), lambda x: x.cast("string"))), ("brand", F.array("query")), ("price", F.array(F.lit("true")))))))).alias("f")).select("query", "f.*")
+    filters = written(filters, "filters")
+    clauses = filters.select(F.concat_ws("/", "name", "query").alias("query"), F.col("name").alias("clause"), F.col("name").alias("attribute"), F.explode("values").alias("value"), F.lit(False).alias("negated"))
+    each = M.chosen(maps, clauses).withColumnRenamed("query", "key").join(filters.select(F.concat_ws("/", "name", "query").alias("key"), "query", "position", "name"), "key").select("query", "position", "name", "bucket", "bits")
+    known = filters.select("query", "position", "name", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"))
+    every = M.chosen(maps, brands.select("query", *(F.lit(M.ALL).alias(c) for c in ("clause", "attribute", "value")), F.lit(False).alias("negated")))
+    under, choice = M.soft(every, each.unionByName(known), 25)
+    bit = F.aggregate("kept", F.lit(0), lambda s, x: s + F.when(x == "size", 1).when(x == "brand", 2).otherwise(4))
+    return M.listed(under, numbers).join(choice, "query").select(F.col("query").alias("brand"), bit.alias("kept"), F.col("id").alias("p_partkey"))
+
+
 @query("SELECT user_id FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id HAVING count(DISTINCT event_type) = 2")
 def filter_division(t):
     """Users with every wanted event type."""
@@ -379,18 +453,30 @@ _GOLD = "g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON conta
 
 
 def _gold(t) -> DataFrame:
-    """Documents that contain an item word for word; joined on an item's words 2 to 5, so that no product is made. Items of fewer than six words,
-    whose last may end inside a longer one, are looked for in each text."""
-    head = lambda c: F.xxhash64(F.array_join(F.slice(c, 1, 4), " "))
+    """Documents that contain an item word for word. All but an item's first and last word, which may be parts of longer ones, stand whole in such
+    a text: items are joined on the first of those, four at most. Items of one or two words are joined on the beginning of their longest,
+    three characters at most, among all parts of the texts' words; that is planned only where there are such items."""
+    docs = t("documents").select("doc_id", F.col("text").alias("dtext"))
     items = t("benchmark").select("item_id", F.col("text").alias("btext"), F.split("text", r"\s+").alias("w")).where("btext is not null")
-    b = items.where(F.size("w") >= 6).select("item_id", "btext", head(F.slice("w", 2, 4)).alias("h"))
-    short = items.where(F.size("w") < 6).select("item_id", "btext")
-    d = t("documents").select("doc_id", F.col("text").alias("dtext"), F.split("text", r"\s+").alias("w"))
-    keys = d.select("doc_id", F.transform("w", lambda x, i: F.xxhash64(F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)))).alias("hs"))
-    hits = keys.select("doc_id", F.explode(F.array_distinct("hs")).alias("h")).join(R.small(b), "h").select("item_id", "doc_id", "btext")
-    long = hits.join(d.select("doc_id", "dtext"), "doc_id").where(F.col("dtext").contains(F.col("btext"))).select("item_id", "doc_id")
-    found = long.union(d.join(R.small(short), F.col("dtext").contains(F.col("btext"))).select("item_id", "doc_id"))
-    return found.select(F.col("item_id").alias("query"), F.col("doc_id").alias("id")).distinct()
+    inner = F.least(F.size("w") - 2, F.lit(4))
+    b = items.where(inner > 0).select("item_id", "btext", inner.alias("n"), F.xxhash64(F.array_join(F.slice("w", F.lit(2), inner), " ")).alias("h"))
+    lengths = [r["n"] for r in b.select("n").distinct().collect()]  # at most four
+    d = docs.select("doc_id", F.split("dtext", r"\s+").alias("w"))
+    run = lambda n: lambda x, i: F.xxhash64(F.concat_ws(" ", x, *(F.get("w", i + k) for k in range(1, n))))
+    runs = [d.select("doc_id", F.explode(F.array_distinct(F.transform("w", run(n)))).alias("h"), F.lit(n).alias("n")) for n in lengths]
+    few = items.where(inner <= 0).withColumn("longest", F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
+    few = few.select("item_id", "btext", F.substring("longest", 1, 3).alias("part")).where("part <> ''")
+    found = []
+    for own in runs:
+        found.append(own.join(R.small(b), ["n", "h"]).select("item_id", "doc_id", "btext"))
+    if not few.isEmpty():
+        words = d.select("doc_id", F.explode(F.array_distinct("w")).alias("x"))
+        parts = words.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("x"))), lambda i: F.array(*(F.substring(F.col("x"), i, F.lit(k)) for k in (1, 2, 3))))))).alias("part")).distinct()
+        found.append(parts.join(R.small(few), "part").select("item_id", "doc_id", "btext"))
+    out = docs.sparkSession.createDataFrame([], "query long, id long")
+    for hits in found:
+        out = out.union(hits.join(docs, "doc_id").where(F.col("dtext").contains(F.col("btext"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id")))
+    return out.distinct()
 
 
 @query(f"WITH {_BM25} {_GOLD}, r AS (SELECT * FROM bmr WHERE rank <= 200) SELECT g.item_id, count(r.doc_id) AS found, count(*) AS n, count(r.doc_id) / count(*) AS recall FROM g LEFT JOIN r USING (item_id, doc_id) GROUP BY g.item_id")
@@ -421,6 +507,39 @@ def pairwise(t):
     return E.pairwise(pairs.withColumn("winner", F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b"))), r).withColumn("agreement", F.round("agreement", 9))
 
 
+@query(rf"""WITH {_BM25} {_GOLD}, ep AS (SELECT item_id, doc_id, rank FROM bmr WHERE rank <= 100), r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank % 7, rank) AS place FROM ep WHERE rank <= 20 QUALIFY place <= 6),
+    k AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'literal' WHEN 1 THEN 'abstract' ELSE 'adversarial' END AS kind FROM benchmark),
+    w AS (SELECT item_id, doc_id FROM g UNION ALL SELECT item_id, -1 FROM benchmark), gs AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1),
+    hp AS (SELECT item_id, count(*) AS n FROM w SEMI JOIN ep USING (item_id, doc_id) GROUP BY 1), h5 AS (SELECT item_id, count(*) AS n FROM w JOIN r USING (item_id, doc_id) WHERE place <= 5 GROUP BY 1),
+    em AS (SELECT item_id, count(quality) AS marked, count(*) - count(quality) AS pending, count(*) FILTER (quality >= 0.5) AS accepted FROM r LEFT JOIN labels USING (doc_id) WHERE place <= 5 GROUP BY 1),
+    o AS (SELECT item_id, doc_id, place AS pos FROM r UNION ALL SELECT item_id, doc_id, 1000 + rank FROM ep ANTI JOIN r USING (item_id, doc_id)),
+    f AS (SELECT a.item_id, a.doc_id AS a, b.doc_id AS b, CASE WHEN (a.doc_id * 7 + b.doc_id) % 2 = 0 THEN a.doc_id ELSE b.doc_id END AS winner, x.pos AS pa, y.pos AS pb FROM ep a JOIN bmr b ON a.item_id = b.item_id AND a.rank < b.rank
+        LEFT JOIN o x ON x.item_id = a.item_id AND x.doc_id = a.doc_id LEFT JOIN o y ON y.item_id = b.item_id AND y.doc_id = b.doc_id WHERE a.rank <= 8 AND (b.rank <= 12 OR b.rank BETWEEN 99 AND 103)),
+    es AS (SELECT item_id, count(*) AS stored, count(*) FILTER (pa IS NOT NULL AND pb IS NOT NULL) AS comparable, count(*) FILTER ((CASE WHEN pa < pb THEN a ELSE b END) = winner AND pa IS NOT NULL AND pb IS NOT NULL) AS agree FROM f GROUP BY 1),
+    eq AS (SELECT kind, gs.n AS gold, coalesce(hp.n, 0) / gs.n AS rp, coalesce(h5.n, 0) / gs.n AS r5, coalesce(marked, 0) AS marked, coalesce(pending, 0) AS pending, coalesce(accepted, 0) AS accepted, coalesce(stored, 0) AS stored, coalesce(comparable, 0) AS comparable, coalesce(agree, 0) AS agree
+        FROM k LEFT JOIN gs USING (item_id) LEFT JOIN hp USING (item_id) LEFT JOIN h5 USING (item_id) LEFT JOIN em USING (item_id) LEFT JOIN es USING (item_id))
+    SELECT kind, count(*) AS n_queries, round(avg(CASE WHEN kind = 'literal' THEN rp END), 9) AS recall_pool, round(avg(CASE WHEN kind = 'literal' THEN r5 END), 9) AS recall_at_5, round(avg(CASE WHEN kind <> 'literal' AND marked > 0 THEN accepted / marked END), 9) AS p_at_5_macro,
+        CAST(sum(gold) AS BIGINT) AS gold_names, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(marked) AS BIGINT) AS marked, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(stored) AS BIGINT) AS stored, CAST(sum(comparable) AS BIGINT) AS comparable, CAST(sum(agree) AS BIGINT) AS agree,
+        round(CASE WHEN kind <> 'literal' AND sum(marked) > 0 THEN sum(accepted) / sum(marked) END, 9) AS p_at_5, round(CASE WHEN sum(comparable) > 0 THEN sum(agree) / sum(comparable) END, 9) AS agreement FROM eq GROUP BY kind""")
+def evaluation_report(t):
+    """A judged set scored as one plan: recall by names, precision of marks, agreement with preferences, by kind of query."""
+    hits = written(_bm25(t).select("query", F.col("doc").alias("id"), "rank"), "hits")
+    name = F.concat(F.lit("Doc "), F.col("id"), F.when(F.col("id") % 2 == 0, " // Side").otherwise(""))
+    pool = hits.where("rank <= 100").withColumn("name", name)
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.col("rank") % 7, "rank"))
+    results = pool.where("rank <= 20").withColumn("place", place).where("place <= 6")
+    kind = F.when(F.col("item_id") % 3 == 0, "literal").when(F.col("item_id") % 3 == 1, "abstract").otherwise("adversarial")
+    gold = _gold(t).select("query", F.concat(F.lit("doc "), "id").alias("g")).union(t("benchmark").select("item_id", F.lit("nobody"))).groupBy("query").agg(F.collect_list("g").alias("gold"))
+    judged = t("benchmark").select(F.col("item_id").alias("query"), kind.alias("kind")).join(gold, "query", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
+    marks = results.select("query", "id").join(t("labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("fit")), "id")
+    late = hits.where("rank <= 12 or rank between 99 and 103").select("query", F.col("id").alias("b"), F.col("rank").alias("rb"))
+    prefs = hits.where("rank <= 8").select("query", F.col("id").alias("a"), F.col("rank").alias("ra")).join(late, "query").where("ra < rb")
+    prefs = prefs.withColumn("winner", F.when((F.col("a") * 7 + F.col("b")) % 2 == 0, F.col("a")).otherwise(F.col("b")))
+    out = E.summary(E.scored(judged, pool, results, marks, prefs))
+    rates = ("recall_pool", "recall_at_5", "p_at_5", "p_at_5_macro", "agreement")
+    return out.select(*(F.round(c, 9).alias(c) if c in rates else c for c in out.columns))
+
+
 @query("WITH l AS (SELECT user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20) SELECT user_id, round(median(value), 9) AS median, count(value) AS n FROM l GROUP BY user_id")
 def rolling_median(t):
     """Median of the last twenty values of each user."""

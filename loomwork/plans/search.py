@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, names, retrieval, selection, vocabulary
+from ..operators import filters, inverted, names, retrieval, selection, vocabulary
 from ..sources.scratch import written
 from .models import ModelClient, StandIn, cited, embedded, expansions, judged, routed, verified, weights
 
@@ -37,9 +37,6 @@ class Request:
             raise ValueError("mana values are 0 to 30, in order")
 
 
-Index = tuple[DataFrame, DataFrame, DataFrame]
-
-
 @dataclass
 class Answer:
     results: DataFrame
@@ -48,16 +45,22 @@ class Answer:
     seconds: float | None = None
 
 
-def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]], layer_weight: dict[str, float], client: ModelClient, dim: int, allowed: DataFrame | None = None, words_of: Index | None = None) -> DataFrame:
+def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]], layer_weight: dict[str, float], client: ModelClient, dim: int, allowed: DataFrame | None = None, words_of: inverted.WordIndex | None = None) -> DataFrame:
     """(query=0, entity, score, lists, best_row) of an index ``rows`` (row, entity, layer, text, vector). A list is one expansion by one
-    method, over the rows of its layer; statistics of words cover all layers. ``words_of``: the tables of ``retrieval.indexed`` of the rows,
+    method, over the rows of its layer; statistics of words cover all layers. ``words_of``: the word index of the rows,
     without which their texts are read."""
     asked = spark.createDataFrame([(i, layer, text, layer_weight.get(layer, 1.0)) for i, (layer, text) in enumerate(wanted)], "q int, want string, text string, w double")
     layers = rows.select("row", "entity", "layer")
     if allowed is not None:
         layers = layers.join(retrieval.small(allowed.select(F.col(allowed.columns[0]).alias("entity")).distinct()), "entity", "left_semi")
     ids = layers.select("row")
-    met = retrieval.bm25(rows, "row", "text", asked, "q", "text", ids) if words_of is None else retrieval.bm25_of(words_of, asked, "q", "text", ids)
+    own_layer = asked.select(F.col("q").alias("of"), "want")
+
+    def keep(scores: DataFrame) -> DataFrame:
+        met = scores.join(layers, F.col("doc") == F.col("row")).join(F.broadcast(own_layer), F.col("query") == F.col("of")).where(F.col("want") == F.col("layer"))
+        return met.select("query", "doc", "score")
+
+    met = retrieval.bm25(rows, "row", "text", asked, "q", "text", ids) if words_of is None else inverted.topk(words_of, asked, "q", "text", keep=keep)
     words = met.select(F.col("query").alias("q"), F.col("doc").alias("row"), "score")
     vectors = embedded(asked, "q", "text", client, dim)
     near = None
@@ -76,7 +79,7 @@ def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]]
 MECHANICAL = ("oracle_text", "type_line", "themes", "archetypes")
 
 
-def art_search(spark: SparkSession, request: Request, index: DataFrame, entities: DataFrame, client: ModelClient | None = None, dim: int = 64, phrases: DataFrame | None = None, mined: DataFrame | None = None, statements: DataFrame | None = None, words_of: Index | None = None) -> Answer:
+def art_search(spark: SparkSession, request: Request, index: DataFrame, entities: DataFrame, client: ModelClient | None = None, dim: int = 64, phrases: DataFrame | None = None, mined: DataFrame | None = None, statements: DataFrame | None = None, words_of: inverted.WordIndex | None = None) -> Answer:
     """``index`` (row, entity, layer, text, vector), ``entities`` (entity, card, color_identity, band, evidence, vector, and columns of
     ``MECHANICAL``). ``phrases`` (entity, path, phrase) and ``mined``, the associations of their vocabulary, serve the plan's slot filters.
     With ``statements`` (entity, prop, text) judgments cite those that they rest on. A finalist that verification rejects stays in the pool,
@@ -158,7 +161,7 @@ def _soft(rows: DataFrame, plan: dict, types: DataFrame, legalities: DataFrame,
     return filters.soft(rows, own, notes=notes)[0].drop(*(f"_{name}" for name, _ in marks))
 
 
-def text_search(spark: SparkSession, request: Request, index: DataFrame, cards: DataFrame, types: DataFrame, legalities: DataFrame, name_index: DataFrame, client: ModelClient | None = None, dim: int = 64, words_of: Index | None = None) -> Answer:
+def text_search(spark: SparkSession, request: Request, index: DataFrame, cards: DataFrame, types: DataFrame, legalities: DataFrame, name_index: DataFrame, client: ModelClient | None = None, dim: int = 64, words_of: inverted.WordIndex | None = None) -> Answer:
     """Hard filters, the plan's soft ones among what they leave, then retrieval within. ``index`` as above with the layer ``any``; ``cards``
     (entity, name, cmc, color_identity, edhrec_rank, evidence). A text that names exactly one card is answered as such; a rules question is
     declined. ``best_row`` of a result is the matched row of the index."""

@@ -45,10 +45,11 @@ class Store:
         snapshot = self.current(name)
         return None if snapshot is None else self.spark.read.parquet(f"{self.root}/{name}/{snapshot}")
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a snapshot, then a pointer to it. A reader of the old one goes on undisturbed; the pointer before stays as well."""
+    def replace(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """Write a snapshot, in folders by ``partition_by``, then a pointer to it. A reader of the old one goes on undisturbed; the pointer before
+        stays as well."""
         snapshot, pointers = uuid.uuid4().hex, self._pointers(name)
-        df.write.parquet(f"{self.root}/{name}/{snapshot}")
+        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{snapshot}")
         fs = self._fs()
         new, at = self._path(name, f".{snapshot}"), self._path(name, f"CURRENT-{pointers[-1][0] + 1 if pointers else 1:012d}")
         out = fs.create(new, True)

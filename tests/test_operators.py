@@ -486,14 +486,6 @@ def test_dense_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.dense(v, "id", "v", v, "id", "v", depth=3).collect())) == whole and len(whole) == 180
 
 
-def test_bm25_over_an_index_is_bm25(spark):
-    docs = spark.createDataFrame([(0, "cat mat the"), (1, "cat the"), (2, "dog the"), (3, ""), (4, "cat cow the the"), (5, None)], "id long, text string")
-    asked = spark.createDataFrame([(0, "cat the"), (1, "cow cow")], "q long, text string")
-    rows = lambda df: sorted((r["query"], r["doc"], round(r["score"], 9)) for r in df.collect())
-    own = rows(retrieval.bm25(docs, "id", "text", asked, "q", "text"))
-    assert own == rows(retrieval.bm25_of(retrieval.indexed(docs, "id", "text"), asked, "q", "text")) and own
-
-
 def test_store_has_a_pointer_at_any_time(spark, tmp_path):
     from loomwork.sources.store import Store
 
