@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import Engine
 from .operators import chunks, evaluation, export, incremental, ingest, names, vocabulary
-from .plans import models
+from .plans import batch, models
 from .plans.models import StandIn, embedded
 from .plans.search import Request
 from .session import session
 from .sources.records import read_judged_set, read_records
+from .sources.scratch import written
 from .sources.store import Store, write_jsonl, write_report
 
 
@@ -88,19 +90,31 @@ def synth(spark: SparkSession, root: str, client: models.ModelClient | None = No
     store.append("synth", models.synthesised(rows, "entity", "literal", client, "statements").withColumn("source", F.lit("distill")))
 
 
-def evaluate(spark: SparkSession, root: str, path: str, engine: Engine, depth: int = 100) -> dict:
-    """Recall of the pool and marks at five for a judged set, written as a report."""
-    gold = read_judged_set(spark, path)
-    pools = None
-    for r in gold.select("id", "text").collect():  # the judged set: some dozens of queries
-        pool = engine.text_search(Request(r["text"])).pool
-        if "rank" in pool.columns:
-            own = pool.select(F.lit(r["id"]).alias("query"), F.col("name").alias("id"), "rank")
-            pools = own if pools is None else pools.unionByName(own)
-    wanted = gold.select(F.col("id").alias("query"), F.explode("gold").alias("id"))
-    pools = pools if pools is not None else spark.createDataFrame([], "query string, id string, rank int")
-    by_query = {r["query"]: r["recall"] for r in evaluation.recall(pools, wanted, depth=depth).collect()}
-    report = {"queries": len(by_query), "recall": sum(by_query.values()) / len(by_query) if by_query else None, "by_query": by_query}
+def evaluate(spark: SparkSession, root: str, path: str, engine: Engine, which: str = "text") -> dict:
+    """A judged set searched as one plan and scored: recall of names, precision of a person's marks, agreement with stored preferences, and
+    latency; written as a report, and the searches are logged. A judged set is some dozens of queries, so is what the report says of each."""
+    gold = written(read_judged_set(spark, path), "judged")
+    asked = gold.select(F.col("id").alias("query"), "text", F.lit(5).alias("k"), *(F.lit(None).cast(kind).alias(c) for c, kind in batch.FILTERS.items()))
+    began = time.perf_counter()
+    answers = (engine.text_searches if which == "text" else engine.searches)(asked)
+    seconds = (time.perf_counter() - began) / max(1, gold.count())
+    engine.log_all(asked, answers, seconds)
+    shown = lambda df, at: df.select("query", F.col("entity").cast("string").alias("id"), "name", at)
+    named = engine.store.read("cards").select(F.col("entity").alias("card"), "name") if which == "art" else None
+    pool, results = (df if named is None else df.join(named, "card") for df in (answers.pool, answers.results))
+    votes, queries, preferences = engine.store.read("votes"), engine.store.log("queries"), engine.store.log("preferences")
+    texts = queries.select("query_id", "text").distinct()
+    marks = spark.createDataFrame([], "text string, id string, fit double") if votes is None else evaluation.stored_marks(votes.withColumn("source", F.lit("human")), texts, "seq")
+    prefs = spark.createDataFrame([], "text string, a string, b string, winner string") if preferences is None else evaluation.stored_preferences(preferences, texts)
+    of_text = gold.select(F.col("id").alias("query"), "text")
+    judged = gold.select(F.col("id").alias("query"), "kind", "gold")
+    by_query = written(evaluation.scored(judged, shown(pool, "rank"), shown(results, "place"), marks.join(of_text, "text").drop("text"), prefs.join(of_text, "text").drop("text")), "scored")
+    kinds = {r["kind"]: r.asDict() for r in evaluation.summary(by_query).collect()}
+    pairs = {c: sum(r[c] for r in kinds.values()) for c in ("stored", "comparable", "agree")}
+    failed = [r.asDict() for r in answers.notes.where(F.col("note").contains("failed")).collect()]
+    timings = engine.store.log("timings").join(of_text.select(F.col("query").alias("query_id")), "query_id", "left_semi")
+    took = evaluation.latency(timings, "seconds").head().asDict() | {"n": timings.count()}
+    report = {"queries": len(by_query.collect()), "kinds": kinds, "pairwise": pairs | {"agreement": pairs["agree"] / pairs["comparable"] if pairs["comparable"] else None}, "latency": took, "errors": failed, "by_query": {r["query"]: r.asDict() for r in by_query.collect()}}
     write_report(spark, f"{root}/reports/eval", report)
     return report
 
@@ -137,6 +151,7 @@ def main(arguments: list[str] | None = None) -> None:
     if a.command in ("build", "refresh"):
         (build if a.command == "build" else refresh)(spark, a.root, a.records)
         engine.build_words("text")
+        engine.build_near("text")
     elif a.command in ("search", "art"):
         answer = engine.text_search(Request(a.text, a.k)) if a.command == "search" else engine.search(Request(a.text, a.k))
         answer.results.select(*(c for c in ("entity", "name", "card", "matched_ordinal") if c in answer.results.columns)).show(truncate=False)

@@ -124,5 +124,15 @@ class Engine:
         if answer.seconds is not None:
             self.store.append("timings", self.spark.createDataFrame([(query_id, answer.seconds)], "query_id string, seconds double").withColumn("created_at", F.current_timestamp()))
 
+    def log_all(self, requests: DataFrame, answers: batch.Answers, seconds: float) -> None:
+        """Logs of a batch: its requests, what each method found for them, and their judgments; ``seconds`` is each request's share of the time."""
+        now = F.current_timestamp().alias("created_at")
+        self.store.append("queries", requests.select(F.col("query").alias("query_id"), "text", now))
+        self.store.append("retrievals", answers.log.select(F.col("query").alias("query_id"), F.col("id").cast("string").alias("entity"), "rank", "score", "method", "layer"))
+        cited = F.col("prop_ids") if "prop_ids" in answers.pool.columns else F.lit(None).cast("array<bigint>")
+        judged = answers.pool.where("fit is not null").select(F.col("query").alias("query_id"), F.col("entity").cast("string").alias("entity"), "fit", cited.alias("prop_ids"), F.lit("judge").alias("source"), now)
+        self.store.append("judgments", judged)
+        self.store.append("timings", requests.select(F.col("query").alias("query_id"), F.lit(float(seconds)).alias("seconds"), now))
+
     def status(self) -> DataFrame:
         return incremental.fingerprint({n: (df, df.columns[0]) for n, df in self._tables().items()})

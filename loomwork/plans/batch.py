@@ -18,7 +18,8 @@ from ..sources.scratch import written
 from .models import ModelClient, StandIn, cited, embedded, expansions, judged, routed, verified, weights
 from .search import RULES_PREFIXES, Request
 
-REQUEST = "query string, text string, k int, types array<string>, formats array<string>, colors string, mv_min int, mv_max int, band_min int, band_max int"
+FILTERS = {"types": "array<string>", "formats": "array<string>", "colors": "string", "mv_min": "int", "mv_max": "int", "band_min": "int", "band_max": "int"}
+REQUEST = "query string, text string, k int, " + ", ".join(f"{c} {kind}" for c, kind in FILTERS.items())
 _PLAN = (
     "query string, intent string, types array<string>, formats array<string>, colors string, mv_min int, mv_max int, slots array<struct<path: string, op: string, value: string>>, mechanical array<string>,"
     "wanted array<struct<layer: string, text: string, w: double>>, notes array<string>"
