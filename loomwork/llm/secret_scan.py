@@ -1,14 +1,15 @@
 """Secrets in whole texts (op 7): three pattern kinds, and runs of characters that a pair of Markov models takes for random strings.
 
 Two second-order character Markov models, one of random strings (keys, digests, tokens) and one of ordinary identifiers and words, are
-trained from labelled samples. Of each run of 20 or more characters, what no pattern span covers is scored in pieces of 20 or more. A
-piece is a secret of the kind ``markov`` when its log-likelihood ratio, a character, exceeds a threshold. Otherwise its best stretches are:
-those of 20 or more characters with the greatest sum, when that exceeds ``MARGIN``, out to the separators around; so a path before a key
-does not outvote it.
+trained from labelled samples. Of each run of ``LEAST`` or more characters, what no pattern span covers is scored in pieces of that many
+or more. A piece is a secret of the kind ``markov`` when its log-likelihood ratio, a character, exceeds a threshold. Otherwise its maximal
+scoring segments are whose sum exceeds ``MARGIN``, out to the separators around; so a path before a key does not outvote it. They are found
+in one pass, whatever the run holds.
 
 The samples are seeded ones made here (random strings over common alphabets against composed identifiers) and, as ordinary strings, the
 long words of a bounded sample of the corpus: the ``sample_docs`` rows with the smallest hashes of id and text, of which each gives at most
-``sample_words`` words of 12 to ``LONGEST_WORD`` letters. All else covers every row. Keys of fewer than 20 characters are left to the patterns.
+``sample_words`` words of 12 to ``LONGEST_WORD`` letters. All else covers every row. Keys of fewer than ``LEAST`` characters, a
+parameter, are left to the patterns.
 
 Null or empty text: no span. Offsets are code points, ends exclusive. Repeated rows: each is reported. Ties: spans that begin together are
 in the order of ``KINDS``. Long texts are scanned whole, run by run. Empty table: no rows. Only doc_id
@@ -22,6 +23,7 @@ import random
 import re
 import string
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST = 20
+#: Characters that a run has at least, and from which on its mean alone decides.
+LEAST = FULL = 20
 THRESHOLD = 0.0
 #: Sum of the log-likelihood ratio from which on a stretch within a run is a secret, above what ordinary runs reach by chance.
 MARGIN = 10.0
@@ -46,6 +48,13 @@ SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 100
 LONGEST_WORD = 200
 
+
+
+@cache
+def run_pattern(least: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z0-9+/_=-]{{{least},}}")
+
+
 _SYMBOLS = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 _CODE = np.full(128, len(_SYMBOLS), np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
@@ -113,39 +122,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def stretches(model: np.ndarray, text: str, threshold: float = THRESHOLD, margin: float = MARGIN) -> Iterator[tuple[int, int]]:
-    """(start, end) of the secrets in a run or what is left of one: the whole, or else its best stretches."""
-    if len(text) < LEAST:
+def segments(scores: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal scoring segments of ``scores`` (Ruzzo and Tompa): the one of the greatest sum, and so on left and right of it. One pass; a
+    candidate knows the last one before it that begins lower, so what it passes over is not looked at again."""
+    total = np.concatenate(([0.0], np.cumsum(scores, dtype=np.float64))).tolist()
+    held: list[tuple[float, float, int, int, int]] = []  # sums before and after, start, end, the last that begins lower
+    for i in np.flatnonzero(np.asarray(scores) > 0).tolist():
+        low, start = total[i], i
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][0] >= low:
+                j = held[j][4]
+            if j < 0 or held[j][1] >= total[i + 1]:
+                held.append((low, total[i + 1], start, i + 1, j))
+                break
+            low, start = held[j][0], held[j][2]
+            del held[j:]
+    return [(x[2], x[3]) for x in held]
+
+
+def stretches(model: np.ndarray, text: str, threshold: float = THRESHOLD, margin: float = MARGIN, least: int = LEAST) -> Iterator[tuple[int, int]]:
+    """(start, end) of the secrets in a run or what is left of one: the whole, or else its best stretches. A run of fewer than ``FULL`` characters
+    says little by its mean, so its sum has to exceed ``margin`` too."""
+    if len(text) < least:
         return
-    if ratio(model, text) > threshold:
+    c = _codes(text)
+    scores = model[(c[:-2] * _N + c[1:-1]) * _N + c[2:]] - threshold
+    total = np.concatenate(([0.0], np.cumsum(scores, dtype=np.float64)))
+    if total[-1] > (0 if len(text) >= FULL else margin):
         yield 0, len(text)
         return
-    c = _codes(text)
-    total = np.concatenate(([0.0], np.cumsum(model[(c[:-2] * _N + c[1:-1]) * _N + c[2:]] - threshold, dtype=np.float64)))
-    least = np.minimum.accumulate(total[: len(total) - LEAST])
-    best = total[LEAST:] - least
-    k = int(best.argmax())
-    if best[k] <= margin:
+    if (total - np.minimum.accumulate(total)).max() <= margin:
         return
-    start, end = int(total[: k + 1].argmin()), k + LEAST
-    while start and text[start - 1] not in "/_=-":
-        start -= 1
-    while end < len(text) and text[end] not in "/_=-":
-        end += 1
-    yield from stretches(model, text[:start], threshold, margin)
-    yield start, end
-    yield from ((end + a, end + b) for a, b in stretches(model, text[end:], threshold, margin))
-
-
-def model_spans(model: np.ndarray, text: str, base: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int]]:
-    found, k = [], 0
-    for m in RUN.finditer(text):
+    last = 0
+    for start, end in segments(scores):
+        if end <= last or total[end] - total[start] <= margin:
+            continue
+        while start > last and text[start - 1] not in "/_=-":
+            start -= 1
+        start = max(start, last)
+        while end < len(text) and text[end] not in "/_=-":
+            end += 1
+        if end - start >= least and total[end] - total[start] > margin:
+            yield start, end
+            last = end
+
+
+def model_spans(model: np.ndarray, text: str, base: list[tuple[int, int, int]], threshold: float, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """Spans of the kind ``markov`` in what ``base``, sorted, leaves of the text's runs."""
+    found, k, near = [], 0, []
+    for m in run_pattern(least).finditer(text):
+        near = [x for x in near if x[2] > m.start()]
         while k < len(base) and base[k][0] < m.end():
+            if base[k][2] > m.start():
+                near.append(base[k])
             k += 1
         at = m.start()
-        for s, _, e in [*(x for x in base[:k] if x[2] > m.start()), (m.end(), 0, m.end())] if k else [(m.end(), 0, m.end())]:
+        for s, _, e in [*near, (m.end(), 0, m.end())]:
             if s > at:
-                found += [(at + a, 3, at + b) for a, b in stretches(model, text[at:s], threshold)]
+                found += [(at + a, 3, at + b) for a, b in stretches(model, text[at:s], threshold, least=least)]
             at = max(at, e)
     return found
 
@@ -182,7 +217,7 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_wor
     return seeded_samples() + [(0, w) for w in words]
 
 
-def _scan(model: np.ndarray, threshold: float):
+def _scan(model: np.ndarray, threshold: float, least: int):
     names = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
@@ -192,7 +227,7 @@ def _scan(model: np.ndarray, threshold: float):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
                 base = base_spans(text)
-                more = model_spans(model, text, base, threshold)
+                more = model_spans(model, text, base, threshold, least)
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 rows.append((doc_id, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more)), len(more)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
@@ -200,8 +235,8 @@ def _scan(model: np.ndarray, threshold: float):
     return run
 
 
-def scan(docs: DataFrame, samples: list[tuple[int, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
+def scan(docs: DataFrame, samples: list[tuple[int, str]] | None = None, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov. ``least``: characters of the shortest key."""
     model = train(labelled_samples(docs) if samples is None else samples)
     rows = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidily(_scan(model, threshold)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return rows.mapInArrow(tidily(_scan(model, threshold, least)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")

@@ -729,6 +729,42 @@ def test_secrets_behind_paths_and_beside_pattern_spans():
     assert [text[a:b].strip("/") for a, _, b in spans] == [key, key]
 
 
+def test_segments_are_the_maximal_ones():
+    rng = __import__("random").Random(12)
+
+    def plain(scores, at=0):
+        sums = [(round(sum(scores[i:j]), 9), -i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        best = max(sums, default=(0, 0, 0), key=lambda x: x[0])
+        if best[0] <= 0:
+            return []
+        i, j = -best[1], best[2]
+        return [*plain(scores[:i], at), (at + i, at + j), *plain(scores[j:], at + j)]
+
+    for _ in range(300):
+        scores = [rng.choice([-1, 1]) * rng.random() for _ in range(rng.randint(0, 20))]
+        assert secret_scan.segments(np.array(scores)) == plain(scores)
+
+
+def test_runs_of_many_keys_and_texts_of_many_pattern_spans():
+    model = secret_scan.train(secret_scan.seeded_samples())
+    key, path = "Zq9xT4vLm2Rk8WbN7cYp5HsJ", "/service/user/config/default/manager/request/response/buffer/handler/table/index/"
+    assert list(secret_scan.stretches(model, path + key * 5000)) == [(len(path), len(path) + 5000 * len(key))]
+    found = list(secret_scan.stretches(model, (path + key) * 5000))
+    assert len(found) == 5000 and all(a <= i * len(path + key) + len(path) and b >= (i + 1) * len(path + key) for i, (a, b) in enumerate(found))
+    text = f"password=abcdefgh some_long_identifier_name {key} " * 100_000
+    base = secret_scan.base_spans(text)
+    assert len(base) == 100_000 and len(secret_scan.model_spans(model, text, base, 0.0)) == 100_000
+
+
+@pytest.mark.parametrize("least", [12, 16, 20])
+def test_keys_of_the_least_length(least):
+    rng = __import__("random").Random(13)
+    model = secret_scan.train(secret_scan.seeded_samples())
+    keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in (least, least - 1) for _ in range(200)]
+    found = [bool(secret_scan.model_spans(model, f"x {k} y", [], 0.0, least)) for k in keys]
+    assert np.mean(found[:200]) > 0.9 and not any(found[200:])
+
+
 # --- 8: quality
 
 
