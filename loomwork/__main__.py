@@ -17,7 +17,7 @@ from .plans.search import Request
 from .session import session
 from .sources.records import read_judged_set, read_records
 from .sources.scratch import written
-from .sources.store import Store, write_jsonl, write_report
+from .sources.store import Store, Transaction, write_jsonl, write_report
 
 
 def _chunked(cards: DataFrame) -> DataFrame:
@@ -25,43 +25,49 @@ def _chunked(cards: DataFrame) -> DataFrame:
 
 
 def build(spark: SparkSession, root: str, path: str, dim: int = 64) -> None:
-    """Cards, types, legalities, names, arts and the rules-text index from raw records."""
-    store = Store(spark, root)
+    """Cards, types, legalities, names, arts and the rules-text index from raw records, in one commit."""
     every = read_records(spark, path, ingest.CARD).where(ingest.is_paper())
-    store.replace("arts", ingest.arts(every))
-    raw = ingest.default_printings(every)
-    cards = store.replace("cards", ingest.cards(raw).withColumn("entity", F.col("oracle_id")).withColumn("evidence", F.concat_ws("\n", "type_line", "oracle_text")))
-    store.replace("types", ingest.types(cards).select(F.col("oracle_id").alias("entity"), "kind", "value"))
-    store.replace("legalities", ingest.legalities(raw).select(F.col("oracle_id").alias("entity"), "format", "status"))
-    store.replace("names", names.index(cards, "entity", "name", "edhrec_rank", ingest.faces(raw).select("oracle_id", "name")))
-    rows = store.replace("chunks", _chunked(cards))
-    embed(store, rows, dim)
+    with Store(spark, root).transaction() as t:
+        t.replace("arts", ingest.arts(every))
+        raw = ingest.default_printings(every)
+        cards = _carded(t, raw)
+        embed(t, t.replace("chunks", _chunked(cards)), dim)
+
 
+def _carded(t: Transaction, raw: DataFrame) -> DataFrame:
+    """Cards and what hangs on them, replaced."""
+    cards = t.replace("cards", ingest.cards(raw).withColumn("entity", F.col("oracle_id")).withColumn("evidence", F.concat_ws("\n", "type_line", "oracle_text")))
+    t.replace("types", ingest.types(cards).select(F.col("oracle_id").alias("entity"), "kind", "value"))
+    t.replace("legalities", ingest.legalities(raw).select(F.col("oracle_id").alias("entity"), "format", "status"))
+    t.replace("names", names.index(cards, "entity", "name", "edhrec_rank", ingest.faces(raw).select("oracle_id", "name")))
+    return cards
 
-def embed(store: Store, rows: DataFrame, dim: int) -> None:
+
+def embed(t: Transaction, rows: DataFrame, dim: int) -> None:
     """Vectors of the chunks that have none for their text; those of departed chunks go."""
-    old = store.read("text_index")
+    old = t.read("text_index")
     held = rows.select("row", F.col("oracle_id").alias("entity"), F.lit("any").alias("layer"), F.col("text_embedded").alias("text"))
     if old is None:
-        store.replace("text_index", held.join(embedded(rows, "row", "text_embedded", StandIn(dim), dim), "row"))
+        t.replace("text_index", held.join(embedded(rows, "row", "text_embedded", StandIn(dim), dim), "row"))
         return
-    known = old.join(held.select("row", "text"), ["row", "text"], "left_semi")
+    known = incremental.cascaded(held, old, "row").join(held.select("row", "text"), ["row", "text"], "left_semi")
     new = held.join(known.select("row"), "row", "left_anti")
-    store.replace("text_index", known.select("row", "entity", "layer", "text", "vector").unionByName(new.join(embedded(new, "row", "text", StandIn(dim), dim), "row").select("row", "entity", "layer", "text", "vector")))
+    t.replace("text_index", known.select("row", "entity", "layer", "text", "vector").unionByName(new.join(embedded(new, "row", "text", StandIn(dim), dim), "row").select("row", "entity", "layer", "text", "vector")))
 
 
 def refresh(spark: SparkSession, root: str, path: str, dim: int = 64) -> None:
-    """What changed since the last build: texts are chunked and embedded anew where they differ."""
-    store, old = Store(spark, root), Store(spark, root).read("cards")
-    had = store.read("chunks")
+    """What changed since the last build, in one commit: texts are chunked and embedded anew where they differ; what is gone takes its chunks and
+    vectors along."""
+    store = Store(spark, root)
+    old, had = store.read("cards"), store.read("chunks")
     if old is None or had is None:
         build(spark, root, path, dim)
         return
     before = old.select("oracle_id", "oracle_text")
-    raw = ingest.default_printings(read_records(spark, path, ingest.CARD).where(ingest.is_paper()))
-    cards = store.replace("cards", ingest.cards(raw).withColumn("entity", F.col("oracle_id")).withColumn("evidence", F.concat_ws("\n", "type_line", "oracle_text")))
-    changed = incremental.changes(before, cards, "oracle_id", "oracle_text").where("change = 'changed'")
-    embed(store, store.replace("chunks", incremental.rechunked(cards, had, changed, "oracle_id", _chunked)), dim)
+    with store.transaction() as t:
+        cards = _carded(t, ingest.default_printings(read_records(spark, path, ingest.CARD).where(ingest.is_paper())))
+        changed = incremental.changes(before, cards, "oracle_id", "oracle_text").where("change = 'changed'")
+        embed(t, t.replace("chunks", incremental.rechunked(cards, had, changed, "oracle_id", _chunked)), dim)
 
 
 def describe(spark: SparkSession, root: str, client: models.ModelClient | None = None) -> None:
@@ -114,7 +120,9 @@ def evaluate(spark: SparkSession, root: str, path: str, engine: Engine, which: s
     failed = [r.asDict() for r in answers.notes.where(F.col("note").contains("failed")).collect()]
     timings = engine.store.log("timings").join(of_text.select(F.col("query").alias("query_id")), "query_id", "left_semi")
     took = evaluation.latency(timings, "seconds").head().asDict() | {"n": timings.count()}
-    report = {"queries": len(by_query.collect()), "kinds": kinds, "pairwise": pairs | {"agreement": pairs["agree"] / pairs["comparable"] if pairs["comparable"] else None}, "latency": took, "errors": failed, "by_query": {r["query"]: r.asDict() for r in by_query.collect()}}
+    each = {r["query"]: r.asDict() for r in by_query.collect()}
+    found = [r["hits_pool"] / r["gold_size"] for r in each.values() if r["gold_size"]]
+    report = {"queries": len(each), "recall": sum(found) / len(found) if found else None, "kinds": kinds, "pairwise": pairs | {"agreement": pairs["agree"] / pairs["comparable"] if pairs["comparable"] else None}, "latency": took, "errors": failed, "by_query": each}
     write_report(spark, f"{root}/reports/eval", report)
     return report
 

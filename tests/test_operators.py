@@ -486,19 +486,66 @@ def test_dense_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.dense(v, "id", "v", v, "id", "v", depth=3).collect())) == whole and len(whole) == 180
 
 
-def test_store_has_a_pointer_at_any_time(spark, tmp_path):
-    from loomwork.sources.store import Store
-
-    store = Store(spark, str(tmp_path))
-    for i in range(3):
-        store.replace("t", spark.range(i + 1))
-    assert store.read("t").count() == 3 and store.current("none") is None
-    assert len(list((tmp_path / "t").glob("CURRENT-*"))) == 2
-    (tmp_path / "t" / "CURRENT-000000000004").write_text('{"snapshot": "x"}')
-    other = Store(spark, str(tmp_path))
-    other._pointers = lambda name: [(3, "CURRENT-000000000003")]
-    with pytest.raises(OSError):
-        other.replace("t", spark.range(1))
+def test_commits_of_several_tables(spark, tmp_path, monkeypatch):
+    from loomwork.sources import store as st
+
+    store = st.Store(spark, str(tmp_path))
+    cards = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, text string")
+    vectors = spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.3)], "id int, v double")
+    with store.transaction() as t:
+        t.replace("cards", cards)
+        t.replace("vectors", vectors)
+    before = store.current("cards"), store.current("vectors")
+    with pytest.raises(RuntimeError), store.transaction() as t:  # noqa: PT012
+        left = t.delete("cards", spark.createDataFrame([(2,)], "id int"), ["id"])
+        assert left.count() == 2 and store.read("cards").count() == 3  # it reads its own change, others do not
+        t.replace("vectors", vectors.where("id <> 2"))
+        raise RuntimeError("in between")
+    assert (store.current("cards"), store.current("vectors")) == before and store.read("vectors").count() == 3 and store.current("none") is None
+    with store.transaction() as t:
+        gone = t.delete("cards", spark.createDataFrame([(2,)], "id int"), ["id"])
+        t.replace("vectors", incremental.cascaded(gone, t.read("vectors"), "id"))
+    rows = lambda name: sorted(map(tuple, store.read(name).collect()))
+    assert rows("cards") == [(1, "a"), (3, "c")] and [r[0] for r in rows("vectors")] == [1, 3]
+    # Two writers: of one table one fails, of different tables none does.
+    one, two, three = store.transaction(), store.transaction(), store.transaction()
+    with one as t:
+        t.replace("cards", cards)
+    with three as t:
+        t.replace("vectors", vectors)
+    with pytest.raises(OSError, match="cards"), two as t:
+        t.upsert("cards", cards, ["id"], "text")
+    assert len(rows("cards")) == len(rows("vectors")) == 3
+
+
+def test_changes_are_merged_when_read(spark, tmp_path, monkeypatch):
+    from loomwork.sources import store as st
+
+    store = st.Store(spark, str(tmp_path))
+    df = lambda *rows: spark.createDataFrame(list(rows), "id int, text string, seq int")
+    store.upsert("t", df((1, "a", 1), (2, "b", 1), (2, "c", 2)), ["id"], "seq")
+    base = store.head()[1]["tables"]["t"]["base"]
+    store.upsert("t", df((2, "d", 3), (3, "e", 1)), ["id"], "seq")
+    with store.transaction() as t:
+        t.delete("t", df((1, "", 0)), ["id"])
+    store.upsert("t", df((3, "f", 2)), ["id"], "seq")
+    rows = lambda: sorted((r["id"], r["text"]) for r in store.read("t").collect())
+    assert rows() == [(2, "d"), (3, "f")] and store.head()[1]["tables"]["t"]["base"] == base  # the table was not written again
+    store.insert_new("t", df((3, "no", 1), (4, "g", 1), (4, "h", 2)), "id", "seq")
+    assert rows() == [(2, "d"), (3, "f"), (4, "g")]
+    monkeypatch.setattr(st, "COMPACTED", 2)
+    store.upsert("t", df((5, "i", 1)), ["id"], "seq")
+    entry = store.head()[1]["tables"]["t"]
+    assert entry["base"] != base and len(entry["deltas"]) == 1 and rows() == [(2, "d"), (3, "f"), (4, "g"), (5, "i")]
+    assert store.vacuum(1) > 0 and len(store._numbers()) == 1 and rows() == [(2, "d"), (3, "f"), (4, "g"), (5, "i")]
+    # A batch of a stream that comes again changes nothing.
+    for batch, text in ((0, "x"), (0, "again"), (1, "y")):
+        with store.transaction() as t:
+            if t.once("votes", batch):
+                t.upsert("t", df((9, text, batch)), ["id"], "seq")
+    assert rows()[-1] == (9, "y")
+    with store.transaction() as t:
+        assert not t.once("votes", 1)
 
 
 def test_containing_documents_of_short_items(spark):
