@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .api import Engine
 from .operators import chunks, evaluation, export, incremental, ingest, names, vocabulary
-from .plans import batch, models
+from .plans import batch, models, resumable
 from .plans.models import StandIn, embedded
 from .plans.search import Request
 from .session import session
@@ -73,11 +73,10 @@ def refresh(spark: SparkSession, root: str, path: str, dim: int = 64) -> None:
 def describe(spark: SparkSession, root: str, client: models.ModelClient | None = None) -> None:
     """Descriptions, statements, phrases and mined vocabulary of the arts that have none yet."""
     store = Store(spark, root)
-    arts, had = store.read("arts"), store.read("descriptions")
+    arts = store.read("arts")
     todo = arts.select(F.col("illustration_id").alias("entity"), F.col("art_crop_url").alias("reference")).dropDuplicates(["entity"])
-    todo = todo if had is None else incremental.pending(todo, had, "entity", "reference")
-    made = models.described(todo, "entity", "reference", client).where("failed is null").drop("failed")
-    rows = store.replace("descriptions", made if had is None else had.unionByName(made))
+    resumable.worked(store, "descriptions", todo.where(F.length(F.trim("reference")) > 0), "entity", lambda rows: models.described(rows, "entity", "reference", client))
+    rows = store.read("descriptions")
     store.replace("statements", chunks.statements(rows, "entity", F.col("literal_propositions"), F.col("slots"), F.col("interpretive_propositions")).withColumnRenamed("position", "prop"))
     subject = [f"primary_subject.{x}" for x in ("species", "facial_hair", "clothing", "pose", "held_objects")]
     phrases = store.replace("phrases", chunks.slot_phrases(rows, "entity", {p: F.col(f"slots.{p}") for p in (*subject, "other_figures", "palette", "setting", "time_of_day", "art_style", "composition", "figure_count")}))
@@ -87,13 +86,15 @@ def describe(spark: SparkSession, root: str, client: models.ModelClient | None =
 
 
 def synth(spark: SparkSession, root: str, client: models.ModelClient | None = None) -> None:
-    """Themes and near misses of described arts that have none, appended to the logs of queries and judgments."""
+    """Themes and near misses of described arts that have none."""
     store = Store(spark, root)
     props = store.read("statements").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(F.col("prop").cast("long").alias("prop"), "text"))).alias("statements"))
     rows = store.read("descriptions").select("entity", "literal").join(props, "entity", "left").where("statements is not null")
     log = store.log("synth")
-    rows = rows if log is None else rows.join(log.select("entity").distinct(), "entity", "left_anti")
-    store.append("synth", models.synthesised(rows, "entity", "literal", client, "statements").withColumn("source", F.lit("distill")))
+    if log is not None:  # of a store of before
+        rows = rows.join(log.select("entity").distinct(), "entity", "left_anti")
+    make = lambda part: models.synthesised(part, "entity", "literal", client, "statements").withColumns({"source": F.lit("distill"), "failed": F.lit(None).cast("string")})
+    resumable.worked(store, "synth", rows, "entity", make)
 
 
 def evaluate(spark: SparkSession, root: str, path: str, engine: Engine, which: str = "text") -> dict:
@@ -130,7 +131,7 @@ def evaluate(spark: SparkSession, root: str, path: str, engine: Engine, which: s
 def export_training(spark: SparkSession, root: str, out: str) -> None:
     """Labels of the logs as pairs of a query and an art's statements, by split."""
     store = Store(spark, root)
-    made = store.log("synth").select(F.col("theme").alias("text"), F.col("entity").alias("id"), "fit", "source", "prop_ids", "register", F.monotonically_increasing_id().alias("seq"))
+    made = store.read("synth").select(F.col("theme").alias("text"), F.col("entity").alias("id"), "fit", "source", "prop_ids", "register", F.monotonically_increasing_id().alias("seq"))
     labels = export.folded_labels(made, "text", "id", "source", "seq").withColumnRenamed("id", "entity")
     pairs = export.text_for(labels, store.read("statements"), "entity", "prop_ids", "register").where("positive <> ''")
     write_jsonl(export.split(pairs.select("text", "entity", "fit", "positive"), "text"), out)

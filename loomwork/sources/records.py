@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.scoring import WEIGHTS
+from .arrays import array_records
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Records of a JSON array (``.json``) or of JSON lines (``.jsonl``, ``.jsonl.gz``)."""
+    """Records of a JSON array (``.json``) or of JSON lines (``.jsonl``, ``.jsonl.gz``). With a schema an array that is not compressed is read by
+    byte ranges; without one, or compressed, by one task a file."""
     lines = path.removesuffix(".gz").endswith(("l", ".ndjson"))
+    if not lines and schema and not path.endswith(".gz"):
+        return array_records(spark, path).select(F.from_json("value", schema).alias("r")).select("r.*")
     reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 

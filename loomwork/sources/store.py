@@ -13,8 +13,6 @@ import uuid
 from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..operators import incremental
 from ..operators.retrieval import small
@@ -68,17 +66,13 @@ class Store:
     def _merged(self, name: str, entry: dict | None) -> DataFrame | None:
         if entry is None:
             return None
-        base = self.spark.read.parquet(f"{self.root}/{name}/{entry['base']}")
-        if not entry["deltas"]:
-            return base
-        changes, key = None, entry["key"]
-        for i, d in enumerate(entry["deltas"]):
-            own = self.spark.read.parquet(f"{self.root}/{name}/{d['folder']}").withColumns({"_seq": F.lit(i), "_gone": F.lit(d["deleted"])})
-            changes = own if changes is None else changes.unionByName(own, allowMissingColumns=True)
-        last = changes.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("_seq")))).where("_k = 1")
-        fresh = last.where("not _gone").drop("_k", "_seq", "_gone")
-        kept = base.join(small(changes.select(*key).distinct()), key, "left_anti")
-        return kept.select(*base.columns).unionByName(fresh, allowMissingColumns=True)
+        rows = self.spark.read.parquet(f"{self.root}/{name}/{entry['base']}")
+        for d in entry["deltas"]:  # at most COMPACTED
+            own = self.spark.read.parquet(f"{self.root}/{name}/{d['folder']}")
+            if d["kind"] != "add":
+                rows = rows.join(small(own.select(*d["key"])), d["key"], "left_anti").select(*rows.columns)
+            rows = rows if d["kind"] == "delete" else rows.unionByName(own, allowMissingColumns=True)
+        return rows
 
     def transaction(self) -> Transaction:
         return Transaction(self)
@@ -100,7 +94,7 @@ class Store:
         old = self.read(name)
         own = incremental.first_wins((df if old is None else old).limit(0).select(*df.columns), df, key, order)
         with self.transaction() as t:
-            t.upsert(name, own if old is None else own.join(old.select(key).distinct(), key, "left_anti"), [key], order)
+            t.add(name, own if old is None else own.join(old.select(key).distinct(), key, "left_anti"))
         return self.read(name)
 
     def vacuum(self, keep: int = KEPT) -> int:
@@ -155,26 +149,29 @@ class Transaction:
         return folder
 
     def replace(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        self.tables[name] = {"base": self._written(name, df, partition_by), "deltas": [], "key": []}
+        self.tables[name] = {"base": self._written(name, df, partition_by), "deltas": []}
         return self.read(name)
 
-    def _changes(self, name: str, df: DataFrame, key: list[str], deleted: bool) -> DataFrame:
-        entry = self.tables[name]
-        if entry["deltas"] and (entry["key"] != key or len(entry["deltas"]) >= COMPACTED):
+    def _change(self, name: str, df: DataFrame, kind: str, key: list[str]) -> DataFrame:
+        if len(self.tables[name]["deltas"]) >= COMPACTED:
             self.replace(name, self.read(name))
-            entry = self.tables[name]
-        self.tables[name] = {"base": entry["base"], "deltas": [*entry["deltas"], {"folder": self._written(name, df), "deleted": deleted}], "key": key}
+        entry = self.tables[name]
+        self.tables[name] = {"base": entry["base"], "deltas": [*entry["deltas"], {"folder": self._written(name, df), "kind": kind, "key": key}]}
         return self.read(name)
 
     def upsert(self, name: str, df: DataFrame, key: list[str], order: str) -> DataFrame:
-        """Rows that replace those of their keys, which are not null. They are written by themselves; after ``COMPACTED`` such changes the table is
+        """Rows that replace those of their keys, which are not null. They are written by themselves; after ``COMPACTED`` changes the table is
         written anew."""
         own = incremental.last_wins(df.limit(0), df, key, order)
-        return self._changes(name, own, key, False) if name in self.tables else self.replace(name, own)
+        return self._change(name, own, "upsert", key) if name in self.tables else self.replace(name, own)
+
+    def add(self, name: str, df: DataFrame) -> DataFrame:
+        """Further rows."""
+        return self._change(name, df, "add", []) if name in self.tables else self.replace(name, df)
 
     def delete(self, name: str, keys: DataFrame, key: list[str]) -> DataFrame | None:
         """The rows of ``keys`` go."""
-        return self._changes(name, keys.select(*key).distinct(), key, True) if name in self.tables else None
+        return self._change(name, keys.select(*key).distinct(), "delete", key) if name in self.tables else None
 
     def once(self, stream: str, batch: int) -> bool:
         """Whether ``batch`` of a stream is not in yet; if so, this transaction counts as its. A batch that comes again changes nothing."""

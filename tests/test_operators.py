@@ -713,7 +713,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     run("synth")
     run("synth")
     assert store.read("descriptions").count() == 2 and store.read("phrases").where("path = 'primary_subject.species'").count() == 2
-    assert store.log("synth").groupBy("entity", "theme", "fit").count().where("count > 1").isEmpty() and not store.log("synth").isEmpty()
+    assert store.read("synth").groupBy("entity", "theme", "fit").count().where("count > 1").isEmpty() and not store.read("synth").isEmpty()
     run("export", str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).where("fit = 1.0").count() > 0
     judged.write_text(json.dumps({"id": "q1", "text": "draw cards", "gold": ["Mara"]}) + "\n")
