@@ -39,7 +39,7 @@ def _carded(t: Transaction, raw: DataFrame) -> DataFrame:
     cards = t.replace("cards", ingest.cards(raw).withColumn("entity", F.col("oracle_id")).withColumn("evidence", F.concat_ws("\n", "type_line", "oracle_text")))
     t.replace("types", ingest.types(cards).select(F.col("oracle_id").alias("entity"), "kind", "value"))
     t.replace("legalities", ingest.legalities(raw).select(F.col("oracle_id").alias("entity"), "format", "status"))
-    t.replace("names", names.index(cards, "entity", "name", "edhrec_rank", ingest.faces(raw).select("oracle_id", "name")))
+    names.stored(names.index(cards, "entity", "name", "edhrec_rank", ingest.faces(raw).select("oracle_id", "name")), t.replace, "names")
     return cards
 
 

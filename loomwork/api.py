@@ -93,7 +93,7 @@ class Engine:
         return None if log is None else scoring.rolling_median(log.withColumn("all", F.lit(1)), "seconds", [F.desc("created_at")], ["all"]).drop("all")
 
     def resolve(self, queries: DataFrame, max_layer: int = 5) -> DataFrame:
-        return names.resolve(queries, self._tables()["names"], max_layer)
+        return names.resolve(queries, self._tables()["names"], max_layer, kept=True)
 
     def feedback(self, votes: DataFrame) -> DataFrame:
         """Votes (query_id, id, fit, seq) on known queries replace earlier ones, and take over the citations of the judge's own last judgment of

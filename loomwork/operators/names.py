@@ -7,14 +7,19 @@ one of, within the length band; keeps pairs of a Dice similarity of 0.4 or more;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import bigrams, edit_budget, fold
 from ..sources.scratch import written
+from .retrieval import small
 
 DICE_FLOOR, CANDIDATES, BUDGET = 0.4, 10, 3
+#: Queries up to which their prefixes are named to the scan of a sorted table.
+NAMED_PREFIXES = 100
 
 
 def index(entities: DataFrame, id_: str, name: str, rank: str | None = None, parts: DataFrame | None = None) -> DataFrame:
@@ -27,6 +32,44 @@ def index(entities: DataFrame, id_: str, name: str, rank: str | None = None, par
     return whole.unionByName(own.select("id", "name", "folded", "rank", F.lit(True).alias("part")))
 
 
+def stored(names: DataFrame, replace: Callable[..., DataFrame], name: str) -> DataFrame:
+    """``names`` written by ``replace`` in ranges of folded names, sorted within, so that a prefix is a range: scans skip files and row groups."""
+    return replace(name, names.repartitionByRange("folded").sortWithinPartitions("folded", "id"))
+
+
+def under_prefixes(names: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Rows of ``names`` whose folded name begins with any of the prefixes, as ranges that reach the scan."""
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | ((F.col("folded") >= p) & (F.col("folded") < p + "\U0010ffff"))
+    return names.where(found)
+
+
+def prefixed(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, id) of names that begin with a query's folded text. Few queries are named to the scan; names meet the prefixes of the lengths that
+    are asked for, so each row of the join is a hit and no key holds more."""
+    asked = queries.select("query", "folded", F.length("folded").alias("n"))
+    few = [r["folded"] for r in asked.select("folded").distinct().limit(NAMED_PREFIXES + 1).collect()]
+    held = under_prefixes(names, few) if len(few) <= NAMED_PREFIXES else names
+    lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # no more than a name's length
+    each = held.select("id", F.explode(F.array(*(F.when(F.length("folded") >= n, F.struct(F.lit(n).alias("n"), F.substring("folded", 1, n).alias("head"))) for n in lengths))).alias("x")) if lengths else held.select("id", F.lit(None).cast("struct<n: int, head: string>").alias("x"))
+    heads = each.where("x is not null").select("id", "x.head")
+    return heads.join(small(asked.select("query", "folded")), F.col("head") == F.col("folded")).select("query", "id")
+
+
+def with_all_words(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, id) of names that have all words of a query: looked up by each query's rarest word, then held against the others."""
+    want = queries.select("query", F.array_distinct(F.filter(F.split("folded", " "), lambda w: w != "")).alias("w")).where(F.size("w") > 0)
+    have = names.select("id", F.col("folded").alias("f")).distinct().select("id", F.array_distinct(F.split("f", " ")).alias("own"))
+    words = have.select("id", "own", F.explode("own").alias("t"))
+    asked = want.select("query", "w", F.explode("w").alias("t"))
+    often = words.join(small(asked.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.count("*").alias("often"))
+    # A word that no name has makes the query's answer empty, and is its rarest.
+    rarest = asked.join(often, "t", "left").groupBy("query", "w").agg(F.min_by(F.struct("t", "often"), F.struct(F.coalesce("often", F.lit(0)), "t")).alias("r")).where("r.often is not null")
+    hits = words.join(small(rarest.select("query", "w", F.col("r.t").alias("t"))), "t")
+    return hits.where(F.size(F.array_except("w", "own")) == 0).select("query", "id")
+
+
 def fuzzy(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query, id, distance): the nearest names within the budget, all that tie. ``queries`` has query and folded."""
     q = queries.select("query", F.col("folded").alias("qf"), edit_budget(F.col("folded"), BUDGET).alias("budget"), F.length("folded").alias("qn"), bigrams(F.col("folded")).alias("qg"))
@@ -65,11 +108,11 @@ def similar(names: DataFrame, name: str, floor: float = DICE_FLOOR) -> DataFrame
     return pairs.withColumn("dice", dice).where(F.col("dice") >= floor).select("a", "b", "shared", "dice")
 
 
-def resolve(queries: DataFrame, names: DataFrame, max_layer: int = 5) -> DataFrame:
+def resolve(queries: DataFrame, names: DataFrame, max_layer: int = 5, kept: bool = False) -> DataFrame:
     """(query, layer, id, place, total, distance): up to ten ids a query, by rank, unranked last, then name; total counts all. An action a
-    layer: each is written."""
+    layer: each is written. ``kept``: ``names`` is a table, such as ``stored`` makes, and is read as it is."""
     asked = queries.select(F.trim(F.col(queries.columns[0])).alias("query")).where("query <> ''").distinct().withColumn("folded", fold(F.col("query")))
-    asked, names = written(asked, "asked"), written(names, "names")
+    asked, names = written(asked, "asked"), names if kept else written(names, "names")
     wholes, open_, found = names.where("not part"), asked, None
 
     def layer(n: int, hits: DataFrame) -> None:
@@ -85,18 +128,13 @@ def resolve(queries: DataFrame, names: DataFrame, max_layer: int = 5) -> DataFra
     layer(1, open_.join(wholes.select("id", F.col("folded").alias("f")), F.col("folded") == F.col("f")))
     layer(2, open_.join(names.where("part").select("id", F.col("folded").alias("f")), F.col("folded") == F.col("f")))
     if max_layer >= 3:
-        head = lambda c: F.substring(c, 1, 3)  # noqa: E731  prefixes meet in buckets of their first characters
-        long = open_.where(F.length("folded") >= 3).join(names.select("id", F.col("folded").alias("f")), (head("folded") == head("f")) & F.col("f").startswith(F.col("folded")))
-        short = open_.where(F.length("folded") < 3).join(names.select("id", F.col("folded").alias("f")), (F.substring("folded", 1, 1) == F.substring("f", 1, 1)) & F.col("f").startswith(F.col("folded")))
-        layer(3, long.select("query", "id").union(short.select("query", "id")))
+        layer(3, prefixed(open_, names))
     if max_layer >= 4:
-        want = open_.select("query", F.array_distinct(F.split("folded", " ")).alias("w"))
-        have = names.select("id", F.col("folded").alias("f")).distinct().select("id", "f", F.explode(F.array_distinct(F.split("f", " "))).alias("t"))
-        hit = want.select("query", F.size("w").alias("need"), F.explode("w").alias("t")).join(have, "t").groupBy("query", "need", "id", "f").agg(F.count("*").alias("n")).where("n = need")
-        layer(4, hit)
+        layer(4, with_all_words(open_, names))
     if max_layer >= 5:
         layer(5, fuzzy(open_, names))
     shown = wholes.select("id", "name", "rank").distinct()
+    totals = found.groupBy("query").agg(F.count("*").alias("total"))
     order = W.partitionBy("query").orderBy(F.col("rank").asc_nulls_last(), "name", "id")
-    placed = found.join(shown, "id").withColumn("place", F.row_number().over(order)).withColumn("total", F.count("*").over(W.partitionBy("query")))
-    return placed.where(F.col("place") <= CANDIDATES).select("query", "layer", "id", "place", "total", "distance")
+    placed = found.join(shown, "id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES)  # cut before the shuffle
+    return placed.join(totals, "query").select("query", "layer", "id", "place", "total", "distance")

@@ -195,7 +195,7 @@ def text_searches(asked: DataFrame, corpus: Corpus, name_index: DataFrame, clien
     asked = written(asked, "requests")
     cards = corpus.entities
     proper = F.length(F.trim("text")).between(1, 300)
-    one = names.resolve(asked.where(proper).select("text"), name_index, max_layer=2).where("total = 1").select(F.col("query").alias("name_asked"), F.col("id").alias("entity"))
+    one = names.resolve(asked.where(proper).select("text"), name_index, max_layer=2, kept=True).where("total = 1").select(F.col("query").alias("name_asked"), F.col("id").alias("entity"))
     named = written(asked.join(one, F.trim("text") == F.col("name_asked")).select("query", "entity"), "named")
     starts = F.lit(False)
     for p in RULES_PREFIXES:

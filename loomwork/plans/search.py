@@ -167,7 +167,7 @@ def text_search(spark: SparkSession, request: Request, index: DataFrame, cards:
     declined. ``best_row`` of a result is the matched row of the index."""
     client, notes = client or StandIn(dim), []
     asked = spark.createDataFrame([(request.text,)], "query string")
-    named = names.resolve(asked, name_index, max_layer=2).where("total = 1")
+    named = names.resolve(asked, name_index, max_layer=2, kept=True).where("total = 1")
     if not named.isEmpty():
         hit = cards.join(named.select(F.col("id").alias("entity"), "place"), "entity").orderBy("place")
         return Answer(hit, hit, ["that is a card's name"])

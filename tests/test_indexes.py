@@ -161,3 +161,34 @@ def test_tables_made_once_and_swept(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "root", lambda s: f"file://{tmp_path}")
     (tmp_path / "loomwork" / "tables" / "other-app").mkdir(parents=True)
     assert sweep(spark, 1) == 0 and sweep(spark, -1) == 1 and not (tmp_path / "loomwork" / "tables" / "other-app").exists()
+
+
+def test_names_are_looked_up_in_ranges(spark, tmp_path):
+    from loomwork.operators import names
+
+    rng = random.Random(11)
+    parts = ["stone", "storm", "star", "sea", "wolf", "wind", "moon", "sun", "ember", "ash"]
+    rows = [(i, " ".join(rng.choice(parts) + str(rng.randrange(40)) for _ in range(rng.randint(1, 3))), float(i)) for i in range(400)] + [(900, "Dawn // Dusk", 1.0)]
+    df = spark.createDataFrame(rows, "id int, name string, rank double")
+    faces = spark.createDataFrame([(900, "Dawn"), (900, "Dusk")], "id int, name string")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    table = names.stored(names.index(df, "id", "name", "rank", faces), lambda n, d: replaced(n, d), "names")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    some = names.under_prefixes(table, ["wolf1"])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(folded,wolf1)" in plan and "LessThan(folded,wolf1" in plan
+    files = {tuple(r) for r in table.groupBy(F.input_file_name()).agg(F.min("folded"), F.max("folded")).collect()}
+    assert len(files) > 3 and sum(lo <= "wolf1\U0010ffff" and hi >= "wolf1" for _, lo, hi in files) <= 2  # other files are skipped by their bounds
+    for few in (names.NAMED_PREFIXES, 0):
+        names.NAMED_PREFIXES = few
+        asked = spark.createDataFrame([("st",), ("wolf1",), ("s",), ("storm2 ",), ("zzz",)], "query string").withColumn("folded", F.trim("query"))
+        want = {(q, i) for q in ("st", "wolf1", "s", "storm2 ", "zzz") for i, n, _ in rows if n.lower().startswith(q.strip())}
+        assert {tuple(r) for r in names.prefixed(asked, table).collect()} == want and want
+    names.NAMED_PREFIXES = 100
+    asked = spark.createDataFrame([(" ".join(reversed(n.split())),) for _, n, _ in rows[:40]] + [("wolf1 nosuch",), ("moon3",)], "query string").withColumn("folded", F.col("query"))
+    want = {(q, i) for (q,) in asked.select("query").collect() for i, n, _ in rows if set(q.split()) <= set(n.lower().split())}
+    assert {tuple(r) for r in names.with_all_words(asked, table).distinct().collect()} == want
+    got = {r["query"]: (r["layer"], r["id"], r["total"]) for r in names.resolve(spark.createDataFrame([("dusk",), ("DAWN // dusk",), ("Dawn // Dusk",), (rows[7][1][:-1] + "x",)], "query string"), table, kept=True).where("place = 1").collect()}
+    assert got["dusk"] == ("L2", 900, 1) and got["DAWN // dusk"][:2] == ("L1", 900) and got["Dawn // Dusk"][:2] == ("L0", 900) and got[rows[7][1][:-1] + "x"][0] == "L5"

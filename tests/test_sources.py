@@ -85,3 +85,52 @@ def test_model_calls_are_kept_batch_by_batch(spark, tmp_path):
     assert (second.done, second.failed, second.stopped) == (20 - first.done, 0, False)
     assert {int(f.name.split("-")[0][3:]) for f in asked.iterdir()} == set(range(20)) - before
     assert resumable.worked(store, "descriptions", todo, "entity", make) == resumable.Progress(0, 0, False)
+
+
+@pytest.fixture()
+def rocksdb(spark):
+    from loomwork.streaming import feeds
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", feeds.ROCKSDB)
+    yield feeds
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_votes_of_a_stream_that_is_stopped_in_between(spark, tmp_path, rocksdb):
+    from loomwork.operators import incremental
+    from loomwork.sources.store import Store
+
+    rng = random.Random(3)
+    rows = [(f"q{rng.randrange(3)}", f"e{rng.randrange(4)}", float(rng.randrange(2)), i) for i in range(120)]
+    rng.shuffle(rows)
+    store, schema, folder = Store(spark, f"{tmp_path}/store"), "query_id string, id string, fit double, seq long", f"{tmp_path}/in"
+    for k in range(4):  # a restart after each two files
+        spark.createDataFrame(rows[k * 30 : k * 30 + 30], schema).coalesce(1).write.mode("append").parquet(folder)
+        if k % 2:
+            q = rocksdb.stored(rocksdb.latest_votes(rocksdb.landed(spark, folder, schema, files=1)), store, "votes", ["query_id", "id"], "seq", f"{tmp_path}/cp")
+            assert q.awaitTermination(120)
+    df = spark.createDataFrame(rows, schema)
+    want = incremental.last_wins(df.limit(0), df, ["query_id", "id"], "seq")
+    order = lambda d: sorted(tuple(r) for r in d.select("query_id", "id", "fit", "seq").collect())
+    assert order(store.read("votes")) == order(want)
+    number = store.head()[0]
+    stream = f"votes@{tmp_path}/cp"
+    with store.transaction() as t:  # the last batch once more
+        assert not t.once(stream, store.head()[1]["batches"][stream])
+    assert store.head()[0] == number
+
+
+def test_live_medians_are_those_of_the_batch(spark, tmp_path, rocksdb):
+    from loomwork.operators import scoring
+    from loomwork.sources.store import Store
+
+    rng = random.Random(4)
+    rows = [(f"k{rng.randrange(3)}", None if i % 11 == 0 else rng.random(), f"2024-01-01 00:{i // 2 % 60:02d}:00", i) for i in range(150)]
+    schema, folder, store = "key string, seconds double, at string, number long", f"{tmp_path}/in", Store(spark, f"{tmp_path}/store")
+    for k in range(3):
+        spark.createDataFrame(rows[k * 50 : k * 50 + 50], schema).coalesce(1).write.mode("append").parquet(folder)
+        live = rocksdb.medians(rocksdb.landed(spark, folder, schema, files=1), "key", "seconds", "at", "number")
+        q = rocksdb.stored(live.withColumn("seq", F.current_timestamp()), store, "medians", ["key"], "seq", f"{tmp_path}/cp")
+        assert q.awaitTermination(120)
+    want = scoring.rolling_median(spark.createDataFrame(rows, schema), "seconds", [F.desc("at"), F.desc("number")], ["key"])
+    assert {r["key"]: (round(r["median"], 9), r["n"]) for r in store.read("medians").collect()} == {r["key"]: (round(r["median"], 9), r["n"]) for r in want.collect()}
