@@ -20,7 +20,9 @@ from ..sources.scratch import written
 from .retrieval import DEPTH, K1, B, idf, ranked, small
 
 #: Folders that tokens are hashed to, documents of a block, and tokens up to which a search names them to the scan.
-BUCKETS, BLOCK_DOCS, NAMED_TOKENS = 64, 256, 1_000
+BUCKETS, BLOCK_DOCS, NAMED_TOKENS = 64, 1_024, 1_000
+#: Blocks whose rows of one bucket are written by one task.
+STRETCH = 256
 #: Length classes are half powers of two, so there are at most so many.
 CLASSES = 64
 
@@ -60,9 +62,10 @@ def build(docs: DataFrame, id_: str, text: str, buckets: int = BUCKETS, block_do
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("class"))
     placed = rows.withColumn("block", pick([sum(own[:c]) for c in range(CLASSES)]) + F.pmod(F.xxhash64("doc"), pick(own)))
     posts = placed.select("doc", "dl", "block", F.inline("words")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-    # A frequent token has many blocks, so its rows are many groups.
+    # One shuffle, by bucket and stretch of blocks, deals rows to groups and groups to files. A frequent token is in many stretches.
+    posts = posts.withColumn("stretch", F.floor(F.col("block") / STRETCH)).repartition("bucket", "stretch")
     top = F.max(impact(F.col("tf"), F.col("dl"), total / max(1, n))).alias("top")
-    blocks = posts.groupBy("bucket", "token", "block").agg(F.count("*").cast("int").alias("n"), top, F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("posts"))
+    blocks = posts.groupBy("bucket", "stretch", "token", "block").agg(F.count("*").cast("int").alias("n"), top, F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("posts")).drop("stretch")
     return WordIndex(blocks, terms_of(blocks, n), totals)
 
 
@@ -74,8 +77,7 @@ def terms_of(blocks: DataFrame, n_docs: int) -> DataFrame:
 def stored(index: WordIndex, replace: Callable[..., DataFrame], name: str) -> WordIndex:
     """``index`` written by ``replace`` (name, df, partition_by), as ``Store`` has it: blocks in a folder a bucket, sorted by token, so that
     scans skip folders, files and row groups."""
-    dealt = index.blocks.repartition("bucket", F.floor(F.col("block") / 1024)).sortWithinPartitions("bucket", "token", "block")
-    blocks = replace(f"{name}_blocks", dealt, ("bucket",))
+    blocks = replace(f"{name}_blocks", index.blocks.sortWithinPartitions("bucket", "token", "block"), ("bucket",))
     totals = replace(f"{name}_totals", index.totals)
     return WordIndex(blocks, replace(f"{name}_terms", terms_of(blocks, totals.head()["n"])), totals)
 

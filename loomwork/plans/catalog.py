@@ -69,8 +69,14 @@ def _words(docs: DataFrame) -> Z.WordIndex:
     return once(docs, "words", lambda: Z.stored(Z.build(docs, "doc_id", "text"), replaced, "words"))
 
 
-def _bm25(t) -> DataFrame:
-    return Z.topk(_words(t("documents")), t("benchmark"), "item_id", "text", digits=6)
+def build_indexes(spark: SparkSession, sf_dir: str) -> None:
+    """The stored indexes of a scale's documents and vectors; queries of the session that need one find it."""
+    _words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    _near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _bm25(t, depth: int = R.DEPTH) -> DataFrame:
+    return Z.topk(_words(t("documents")), t("benchmark"), "item_id", "text", depth, digits=6)
 
 
 def _near(e: DataFrame) -> A.VectorIndex:
@@ -93,7 +99,7 @@ def tokenize_df(t):
 @query(f"WITH {_BM25} z AS (SELECT 1) SELECT item_id, doc_id, score, rank FROM bmr WHERE rank <= 10")
 def bm25_topk(t):
     """R2: Okapi BM25 of every benchmark item against every document."""
-    return _bm25(t).where("rank <= 10").select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return _bm25(t, 10).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_DENSE} SELECT item_id AS query_id, doc_id AS vec_id, round(score, 6) AS score, rank FROM der WHERE rank <= 10")
@@ -490,7 +496,7 @@ def recall_pool(t):
 def p_at_5(t):
     """Precision at 5 over the marks given, labels being the marks."""
     marks = t("labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("fit"))
-    ranked = _bm25(t).withColumnRenamed("doc", "id").where("rank <= 5")
+    ranked = _bm25(t, 5).withColumnRenamed("doc", "id")
     marked = ranked.select("query", "id").join(marks, "id")
     return E.micro_macro(E.precision(ranked, marked)).select(F.round("micro", 9).alias("micro"), F.round("macro", 9).alias("macro"))
 
@@ -500,7 +506,7 @@ def p_at_5(t):
     SELECT CAST(sum(CASE WHEN winner = CASE WHEN ra < rb THEN a ELSE b END THEN 1 ELSE 0 END) AS BIGINT) AS agree, count(*) AS compared, round(agree / compared, 9) AS agreement FROM pref""")
 def pairwise(t):
     """Agreement of ranks with preferences (here: the longer document) among twenty hits an item."""
-    r = _bm25(t).where("rank <= 20").select("query", F.col("doc").alias("id"), "rank")
+    r = _bm25(t, 20).select("query", F.col("doc").alias("id"), "rank")
     size = t("documents").select("doc_id", F.length("text").alias("n"))
     x = r.join(size, F.col("id") == F.col("doc_id")).select("query", "id", "n")
     pairs = x.select("query", F.col("id").alias("a"), F.col("n").alias("na")).join(x.select("query", F.col("id").alias("b"), F.col("n").alias("nb")), "query").where("a < b")
