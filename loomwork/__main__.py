@@ -28,8 +28,12 @@ def build(spark: SparkSession, root: str, path: str, dim: int = 64) -> None:
     """Cards, types, legalities, names, arts and the rules-text index from raw records, in one commit."""
     every = read_records(spark, path, ingest.CARD).where(ingest.is_paper())
     with Store(spark, root).transaction() as t:
-        t.replace("arts", ingest.arts(every))
         raw = ingest.default_printings(every)
+        chosen = raw.select("oracle_id", F.col("id").alias("printing"))
+        arts = ingest.arts(every)
+        flagged = incremental.with_default(arts, arts.join(chosen, ["oracle_id", "printing"], "left_semi").select("illustration_id"), "illustration_id")
+        # A card whose chosen printing has no art of its own gets the least of the others.
+        t.replace("arts", incremental.promoted(flagged, "oracle_id", "illustration_id"))
         cards = _carded(t, raw)
         embed(t, t.replace("chunks", _chunked(cards)), dim)
 
@@ -163,7 +167,10 @@ def main(arguments: list[str] | None = None) -> None:
         engine.build_near("text")
     elif a.command in ("search", "art"):
         answer = engine.text_search(Request(a.text, a.k)) if a.command == "search" else engine.search(Request(a.text, a.k))
-        answer.results.select(*(c for c in ("entity", "name", "card", "matched_ordinal") if c in answer.results.columns)).show(truncate=False)
+        shown = answer.results
+        if {"matched_face_index", "oracle_text"} <= set(shown.columns):
+            shown = shown.withColumn("text", chunks.marked_line(F.col("oracle_text"), F.col("matched_face_index"), F.col("matched_ordinal")))
+        shown.select(*(c for c in ("entity", "name", "card", "fit", "stretch", "rationale", "text") if c in shown.columns)).show(truncate=False)
         print(*answer.notes, sep="\n")
     elif a.command == "resolve":
         engine.resolve(spark.createDataFrame([(n,) for n in a.names], "query string")).show(truncate=False)

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bitmaps, incremental, inverted, names, retrieval, scoring, vectors
+from .operators import bitmaps, incremental, inverted, names, retrieval, scoring, vectors, vocabulary
 from .plans import batch
-from .plans.models import ModelClient, StandIn
+from .plans.models import ModelClient, StandIn, told
 from .plans.search import Answer, Request, art_search, text_search
 from .sources.store import Store
 
@@ -21,6 +21,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, client: ModelClient | None = None, dim: int = 64):
         self.spark, self.store, self.client, self.dim = spark, Store(spark, root), client or StandIn(dim), dim
         self._built: tuple[tuple, dict[str, DataFrame]] | None = None
+        self._told: dict[str, ModelClient] = {}
 
     def _tables(self) -> dict[str, DataFrame]:
         names_ = ("art_index", "art_entities", "text_index", "cards", "types", "legalities", "names", "chunks", "phrases", "mined", "statements", "numbers", "maps", *(f"{i}_{t}" for i in ("art", "text") for t in ("blocks", "terms", "totals")), *(f"{i}_near_{t}" for i in ("art_literal", "art_interpretive", "text_any") for t in ("rows", "cells")))
@@ -32,15 +33,28 @@ class Engine:
 
     def refresh(self) -> None:
         """Forget what was read; the next request reads the current snapshots."""
-        self._built = None
+        self._built, self._told = None, {}
+
+    def _router(self, which: str) -> ModelClient:
+        """The client, told what words the corpus has; asked for once as long as the tables stay."""
+        t = self._tables()
+        if which not in self._told:
+            words = None
+            if which == "art" and "phrases" in t:
+                kinds = t["mined"].select(F.col("category").alias("value")) if "mined" in t else t["phrases"].limit(0).select(F.col("phrase").alias("value"))
+                words = vocabulary.router_hint(t["phrases"], "primary_subject.species", kinds)
+            elif which == "text":
+                words = vocabulary.type_vocabulary(t["types"])
+            self._told[which] = self.client if words is None else told(self.client, words)
+        return self._told[which]
 
     def search(self, request: Request) -> Answer:
         t = self._tables()
-        return self._timed(lambda: art_search(self.spark, request, t["art_index"], t["art_entities"], self.client, self.dim, t.get("phrases"), t.get("mined"), t.get("statements"), self._words(t, "art")))
+        return self._timed(lambda: art_search(self.spark, request, t["art_index"], t["art_entities"], self._router("art"), self.dim, t.get("phrases"), t.get("mined"), t.get("statements"), self._words(t, "art")))
 
     def text_search(self, request: Request) -> Answer:
         t = self._tables()
-        answer = self._timed(lambda: text_search(self.spark, request, t["text_index"], t["cards"], t["types"], t["legalities"], t["names"], self.client, self.dim, self._words(t, "text")))
+        answer = self._timed(lambda: text_search(self.spark, request, t["text_index"], t["cards"], t["types"], t["legalities"], t["names"], self._router("text"), self.dim, self._words(t, "text")))
         if "chunks" in t and "best_row" in answer.results.columns:
             answer.results = retrieval.located(answer.results, t["chunks"])
         return answer
@@ -75,11 +89,11 @@ class Engine:
     def searches(self, requests: DataFrame) -> batch.Answers:
         """Art searches of many requests (``batch.REQUEST``), as one plan."""
         t = self._tables()
-        return batch.art_searches(requests, self._corpus("art"), self.client, self.dim, t.get("phrases"), t.get("mined"), t.get("statements"))
+        return batch.art_searches(requests, self._corpus("art"), self._router("art"), self.dim, t.get("phrases"), t.get("mined"), t.get("statements"))
 
     def text_searches(self, requests: DataFrame) -> batch.Answers:
         """Searches of rules texts of many requests, as one plan."""
-        return batch.text_searches(requests, self._corpus("text"), self._tables()["names"], self.client, self.dim)
+        return batch.text_searches(requests, self._corpus("text"), self._tables()["names"], self._router("text"), self.dim)
 
     def _timed(self, run: Callable[[], Answer]) -> Answer:
         began = time.perf_counter()
@@ -115,8 +129,8 @@ class Engine:
 
     def log(self, query_id: str, request: Request, answer: Answer) -> None:
         self.store.append("queries", self.spark.createDataFrame([(query_id, request.text)], "query_id string, text string").withColumn("created_at", F.current_timestamp()))
-        if "rank" in answer.pool.columns:
-            self.store.append("retrievals", answer.pool.select(F.lit(query_id).alias("query_id"), F.col("entity").cast("string").alias("entity"), "rank", "score", F.lit("rrf").alias("method")))
+        if answer.log is not None:
+            self.store.append("retrievals", answer.log.select(F.lit(query_id).alias("query_id"), F.col("id").cast("string").alias("entity"), "rank", "score", "method", "layer"))
         if "fit" in answer.pool.columns:
             cited = F.col("prop_ids") if "prop_ids" in answer.pool.columns else F.lit(None).cast("array<bigint>")
             judged = answer.pool.where("fit is not null").select(F.lit(query_id).alias("query_id"), F.col("entity").cast("string").alias("entity"), "fit", cited.alias("prop_ids"), F.lit("judge").alias("source"), F.current_timestamp().alias("created_at"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from itertools import filterfalse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,17 +31,25 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-#: Endings whose ``s`` belongs to the word.
+#: Endings whose ``s`` belongs to the word; plural endings, what words with them are longer than, and what stands instead.
 NOT_PLURAL = ("ss", "us", "is", "os", "as")
+PLURAL = (("ies", 4, "y", ()), ("s", 3, "", NOT_PLURAL))
 
 
 def singular(token: Column) -> Column:
-    """``-ies`` to ``-y`` in longer tokens; else one ``s`` off, unless it belongs to the word."""
-    n = F.length(token)
-    belongs = F.lit(False)
-    for end in NOT_PLURAL:
-        belongs = belongs | token.endswith(end)
-    return F.when(token.endswith("ies") & (n > 4), F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y"))).when(token.endswith("s") & (n > 3) & ~belongs, F.substring(token, F.lit(1), n - 1)).otherwise(token)
+    """``token`` by the first rule of ``PLURAL`` that it fits."""
+    out = token
+    for end, longer, instead, unless in reversed(PLURAL):
+        fits = token.endswith(end) & (F.length(token) > longer)
+        for other in unless:
+            fits = fits & ~token.endswith(other)
+        out = F.when(fits, F.concat(F.substring(token, F.lit(1), F.length(token) - len(end)), F.lit(instead))).otherwise(out)
+    return out
+
+
+def singular_of(word: str) -> str:
+    """``singular`` of a word that the driver has."""
+    return next((word.removesuffix(end) + instead for end, longer, instead, unless in PLURAL if word.endswith(end) and len(word) > longer and not word.endswith(unless or ("\0",))), word)
 
 
 def phrase_tokens(text: Column) -> Column:
@@ -47,12 +57,15 @@ def phrase_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(normalize(text), " "), lambda t: t != ""), singular))
 
 
+def _bare(text: str, spelled: dict[int, str | None]) -> str:
+    """``text`` in its parts: letters as ``spelled`` has them, others without their accents, in lower case."""
+    parts = unicodedata.normalize("NFKD", text.translate(spelled))
+    return "".join(filterfalse(unicodedata.combining, parts)).translate(spelled).lower()
+
+
 def fold_name(name: str | None) -> str | None:
     """Matching key of a name: no accents, case, apostrophes or punctuation."""
-    if name is None:
-        return None
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).translate(_FOLDED)
-    return " ".join("".join(c if c.isalnum() else " " for c in plain).lower().split())
+    return None if name is None else " ".join(re.sub(r"[\W_]", " ", _bare(name, _FOLDED)).split())
 
 
 @F.pandas_udf(T.StringType())
@@ -111,13 +124,12 @@ def numeric(text: Column) -> Column:
     return F.when(t.rlike(r"^[+-]?\d{1,9}$"), t).cast("int").cast("double")
 
 
+_SLUGGED = {ord(k): v for letter, v in SLUG_LETTERS.items() for k in {letter, letter.upper()} if len(k) == 1} | {ord(c): None for c in SLUG_DROPPED}
+
+
 def fold_slug(name: str | None) -> str | None:
     """Name to address: no accents, dropped marks vanish, all else that is no letter or digit becomes one hyphen."""
-    if name is None:
-        return None
-    plain = "".join(SLUG_LETTERS.get(c, c) for c in name.strip().lower())
-    plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c) and c not in SLUG_DROPPED)
-    return "-".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in plain).split())
+    return None if name is None else "-".join(re.findall("[a-z0-9]+", _bare(name, _SLUGGED)))
 
 
 @F.pandas_udf(T.StringType())

@@ -36,6 +36,11 @@ class Request:
         if any(v is not None and not 0 <= v <= 30 for v in self.mv) or (low is not None and high is not None and low > high):
             raise ValueError("mana values are 0 to 30, in order")
 
+    def echo(self) -> tuple[str, str]:
+        """The filters as a line to show, and as a query of the public card search."""
+        asked = {"types": self.types, "colors": self.colors, "mv": self.mv, "formats": self.formats}
+        return filters.echo(**asked), filters.external_query(**asked)
+
 
 @dataclass
 class Answer:
@@ -43,10 +48,11 @@ class Answer:
     pool: DataFrame
     notes: list[str]
     seconds: float | None = None
+    log: DataFrame | None = None
 
 
-def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]], layer_weight: dict[str, float], client: ModelClient, dim: int, allowed: DataFrame | None = None, words_of: inverted.WordIndex | None = None) -> DataFrame:
-    """(query=0, entity, score, lists, best_row) of an index ``rows`` (row, entity, layer, text, vector). A list is one expansion by one
+def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]], layer_weight: dict[str, float], client: ModelClient, dim: int, allowed: DataFrame | None = None, words_of: inverted.WordIndex | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query=0, entity, score, lists, best_row), and the rows of the retrieval log, of an index ``rows`` (row, entity, layer, text, vector). A list is one expansion by one
     method, over the rows of its layer; statistics of words cover all layers. ``words_of``: the word index of the rows,
     without which their texts are read."""
     asked = spark.createDataFrame([(i, layer, text, layer_weight.get(layer, 1.0)) for i, (layer, text) in enumerate(wanted)], "q int, want string, text string, w double")
@@ -71,8 +77,10 @@ def retrieve(spark: SparkSession, rows: DataFrame, wanted: list[tuple[str, str]]
     scored = words.withColumn("method", F.lit("bm25")).unionByName(near.withColumn("method", F.lit("dense")))
     own = scored.join(layers, "row").join(F.broadcast(asked.select("q", "want", "w")), "q").where(F.col("want") == F.col("layer"))
     ranked = retrieval.ranked(own, retrieval.DEPTH, ("q", "method"), "row")
-    lists = ranked.select(F.lit(0).alias("query"), F.concat_ws("/", "q", "method").alias("list"), "entity", "row", "rank", "w")
-    return retrieval.fuse(lists, weight="w")
+    lists = ranked.select(F.lit(0).alias("query"), F.concat_ws("/", F.lpad(F.col("q").cast("string"), 3, "0"), "method").alias("list"), "method", "layer", "entity", "row", "rank", "w")
+    lists = written(lists, "lists")
+    fused = retrieval.fuse(lists, weight="w")
+    return fused, retrieval.logged(lists, fused, weight="w")
 
 
 #: Columns of a card that mechanical terms are looked for in, those that are there.
@@ -92,7 +100,7 @@ def art_search(spark: SparkSession, request: Request, index: DataFrame, entities
         return Answer(entities.limit(0), entities.limit(0), [*notes, "the index is empty"])
     slots = filters.clean_slots(plan.get("slot_filters"), notes)
     ids = vocabulary.allowed(phrases, "entity", slots, notes, mined) if phrases is not None else None
-    fused = retrieve(spark, index, expansions(client, request.text, layer_weight), layer_weight, client, dim, ids, words_of)
+    fused, log = retrieve(spark, index, expansions(client, request.text, layer_weight), layer_weight, client, dim, ids, words_of)
     rows = retrieval.collapse(fused.join(entities, "entity"), "card")
     rows = filters.mechanical(rows, [t for t in plan.get("mechanical_terms") or [] if t], [c for c in MECHANICAL if c in rows.columns] or ["evidence"], notes)
     if request.colors:
@@ -131,7 +139,8 @@ def art_search(spark: SparkSession, request: Request, index: DataFrame, entities
     ordered = passing.withColumn("key", -F.col("fit"))
     chosen = selection.diversified(ordered, "query", "entity", "color_identity", "key", "fit", "vector", request.k)
     final = selection.filled(final_pool, chosen, "query", "entity", "color_identity", "fit", request.k)
-    return Answer(final.join(final_pool.drop("query"), "entity").orderBy("place"), final_pool, notes)
+    shown = selection.passing_first(final, "query").join(final_pool.drop("query"), "entity").orderBy("place")
+    return Answer(shown, final_pool, notes, log=log)
 
 
 # How questions about the rules begin.
@@ -188,8 +197,8 @@ def text_search(spark: SparkSession, request: Request, index: DataFrame, cards:
     if not intent:
         best = filters.structural(rows, "edhrec_rank", "entity", request.k)
         return Answer(best, best, [*notes, "ordered by popularity"])
-    fused = retrieve(spark, index, [("any", t) for _, t in expansions(client, intent, {"literal": 1.0})], {"any": 1.0}, client, dim, rows.select("entity"), words_of)
+    fused, log = retrieve(spark, index, [("any", t) for _, t in expansions(client, intent, {"literal": 1.0})], {"any": 1.0}, client, dim, rows.select("entity"), words_of)
     pool = retrieval.pool(fused.join(rows, "entity"), retrieval.RULES_POOL)
     fit = judged(pool.withColumn("text_asked", F.lit(request.text)), "query", "text_asked", "entity", "rank", "evidence", client).select("entity", "fit")
     pool = pool.join(fit, "entity", "left")
-    return Answer(selection.by_fit(pool, "fit", "entity", ("query",), request.k).orderBy("place"), pool, notes)
+    return Answer(selection.by_fit(pool, "fit", "entity", ("query",), request.k).orderBy("place"), pool, notes, log=log)

@@ -59,9 +59,8 @@ def engine(spark, tmp_path_factory, client):
 
 
 TEXT = {
-    "plain": Request("draw a card that flies"), "typed": Request("tap for mana", types=["creature beast", "unheard"]), "all unknown": Request("tap", types=["unheard"]), "legal": Request("exile a creature", k=3, formats=["modern"]),
-    "cheap": Request("haste guard", mv=(None, 2), colors="WU"), "reversed": Request("haste", mv=(1, 1)), "none pass": Request("haste", types=["land"], formats=["nowhere"]), "routed": Request("a beast in a storm", k=2), "popular": Request("nothing else"),
-    "popular too": Request("nothing", types=["spirit"]), "named": Request("name 7"), "rules": Request("Can  I draw a card?"), "words of none": Request("zzz"),
+    "typed": Request("tap for mana", types=["creature beast", "unheard"], formats=["modern"]), "all unknown": Request("tap", types=["unheard"]), "cheap": Request("haste guard", k=3, mv=(None, 2), colors="WU"),
+    "none pass": Request("haste", types=["land"], formats=["nowhere"]), "routed": Request("a beast in a storm", k=2), "popular": Request("nothing else"), "popular too": Request("nothing", types=["spirit"]), "named": Request("name 7"), "rules": Request("Can  I draw a card?"),
 }
 
 
@@ -83,7 +82,7 @@ def test_text_searches_are_single_searches(spark, engine):
         assert notes.get(q, set()) == set(one.notes), q
 
 
-ART = {"plain": Request("draw a card that flies"), "banded": Request("storm dragon", k=3, band=(2, 3)), "thin": Request("storm dragon haste", k=5, band=(5, 5)), "coloured": Request("spirit", colors="WG", k=4), "terms": Request("a beast", k=5), "slots": Request("slots of a token", k=5)}
+ART = {"banded": Request("storm dragon", k=3, band=(2, 3)), "thin": Request("storm dragon haste", k=5, band=(5, 5)), "terms": Request("a beast", k=5, colors="WGU"), "slots": Request("slots of a token", k=5)}
 
 
 def test_art_searches_are_single_searches(spark, engine):
