@@ -862,3 +862,46 @@ def filled_up(t):
 def slugs(t):
     """Addresses of the first face and of the whole name."""
     return t("part").select("p_partkey", X.slug_candidates(F.concat("p_name", F.lit(" // "), "p_brand")).alias("slugs"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 = 0 AND o_orderstatus = 'F' AS d FROM orders), h AS (SELECT o_custkey, bool_or(d) AS has, min(o_orderkey) AS least FROM o GROUP BY 1)
+    SELECT o_custkey, o_orderkey, d OR (NOT has AND o_orderkey = least) AS is_default FROM o JOIN h USING (o_custkey)""")
+def promoted_defaults(t):
+    """A default order for each customer that has none: the one of the least key."""
+    o = t("orders").select("o_custkey", "o_orderkey", ((F.col("o_orderkey") % 3 == 0) & (F.col("o_orderstatus") == "F")).alias("is_default"))
+    return I.promoted(o, "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "is_default")
+
+
+@query("""WITH l AS (SELECT l_suppkey % 5 AS query, l_returnflag AS list, l_partkey AS entity, l_orderkey * 10 + l_linenumber AS row, l_linenumber, l_linestatus, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query, list ORDER BY round(l_extendedprice, 2) DESC, row) AS rank FROM l QUALIFY rank <= 200),
+    b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query, list, entity ORDER BY rank) = 1),
+    f AS (SELECT query, entity, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS lists, arg_min(row, {'rank': rank, 'row': row}) AS best_row FROM b GROUP BY ALL)
+    SELECT f.query, f.entity, score, lists, best_row, l_linenumber % 2 AS face, l_linenumber AS ordinal, l_linestatus AS kind FROM f JOIN l ON l.row = best_row AND l.query = f.query""")
+def located_rows(t):
+    """Fused lists in which an entity has many rows, with where its best one stands."""
+    li = t("lineitem").withColumn("k", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey"))).where("k = 1")
+    rows = li.select((F.col("l_suppkey") % 5).alias("query"), F.col("l_returnflag").alias("list"), F.col("l_partkey").alias("entity"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), F.round("l_extendedprice", 2).alias("score"), "l_linenumber", "l_linestatus")
+    lists = R.ranked(rows, R.DEPTH, ("query", "list"), "row")
+    spots = rows.select("row", (F.col("l_linenumber") % 2).alias("face_index"), F.col("l_linenumber").alias("ordinal"), F.col("l_linestatus").alias("kind"))
+    fused = R.fuse(lists).withColumn("score", F.round("score", 9))
+    return R.located(fused, spots).select("query", "entity", "score", "lists", "best_row", F.col("matched_face_index").cast("long").alias("face"), F.col("matched_ordinal").cast("long").alias("ordinal"), F.col("matched_kind").alias("kind"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (extract(day FROM ts) = 5) AS fifth FROM events GROUP BY user_id")
+def theme_counts(t):
+    """Counts out of JSON: of a theme in an array of objects, of a bracket in a map."""
+    e = t("events")
+    themes = e.groupBy("user_id", F.col("event_type").alias("slug")).agg(F.count("*").alias("count")).groupBy("user_id").agg(F.to_json(F.collect_list(F.struct("count", "slug"))).alias("themes"))
+    days = e.groupBy("user_id", F.dayofmonth("ts").cast("string").alias("day")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("day", "n")))).alias("days"))
+    return themes.join(days, "user_id").select("user_id", S.tagged_count(F.col("themes"), "click").alias("clicks"), S.bracket_count(F.col("days"), "5").alias("fifth"))
+
+
+@query("""WITH n AS (SELECT p_name AS name, min(p_partkey) AS id, avg(p_size) AS rank FROM part GROUP BY p_name), w AS (SELECT DISTINCT id, name, rank, unnest(string_split(name, ' ')) AS part FROM n WHERE contains(name, ' '))
+    SELECT upper(part) AS query, 'L2' AS layer, id, CAST(row_number() OVER x AS INTEGER) AS place, count(*) OVER (PARTITION BY part) AS total FROM w WHERE part NOT IN (SELECT lower(name) FROM n)
+    WINDOW x AS (PARTITION BY part ORDER BY rank, name, id) QUALIFY row_number() OVER x <= 10""")
+def name_parts(t):
+    """2.9: names asked for by one of their parts, which is the ladder's third layer."""
+    n = _part_names(t)
+    parts = n.where("p_name like '% %'").select("id", F.explode(F.split("p_name", " ")).alias("part"))
+    asked = parts.join(n.select(F.lower("p_name").alias("part")), "part", "left_anti").select(F.upper("part").alias("query")).distinct()
+    return N.resolve(asked, N.index(n, "id", "p_name", "rank", parts)).drop("distance")
