@@ -5,7 +5,8 @@ of its words (runs of letters) comes from one language, and expectation-maximisa
 languages' proportions. The language set is chosen by penalised likelihood: languages enter in the order of their proportions, each must
 raise the log-likelihood by more than half the logarithm of the number of words, plus a constant. The predicted language is the one of the
 largest proportion within the set, and that proportion is the score. ``fit`` is the mean log-likelihood of a used character under that
-language, by which ``in_known_language`` tells texts in none of the languages.
+language; that under the whole mixture is what ``in_known_language`` tells texts in none of the languages by, so a text of two known languages
+is not one of none.
 
 A text that is null or has no letter, or any text when nothing was learned: ``und``, score 0, fit null. Ties go to the language that sorts first.
 Training rows with null text or language are left out. Repeated rows: each is predicted (and counted in training). Empty table: no rows.
@@ -135,21 +136,31 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float | None], list[int]]:
         """Language, score, fit and used characters of each text."""
-        langs, scores, fits, sizes = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts), [0] * len(texts)
+        return self.predicted(texts)[:4]
+
+    def predicted(self, texts: list[str]) -> tuple[list[str], list[float], list[float | None], list[int], list[float | None]]:
+        """``predict``, and the fit of each text to the mixture of its languages: that of its language where it has one."""
+        langs, scores, fits, sizes, mixed = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts), [0] * len(texts), [None] * len(texts)
         if not self.langs:
-            return langs, scores, fits, sizes
+            return langs, scores, fits, sizes, mixed
         w, doc, n = self.word_logs(texts)
         if not len(w):
-            return langs, scores, fits, sizes
+            return langs, scores, fits, sizes, mixed
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        ids = doc[first]
+        ids, n_words = doc[first], np.diff(np.append(first, len(w)))
         shares = proportions(w, first)
         best = shares.argmax(1)
-        likely = np.add.reduceat(w[np.arange(len(w)), np.repeat(best, np.diff(np.append(first, len(w))))].astype(np.float64), first)
-        used = np.add.reduceat(n, first)
+        of_word = w[np.arange(len(w)), np.repeat(best, n_words)].astype(np.float64)
+        likely = np.add.reduceat(of_word, first)
+        several = np.repeat(shares.max(1) < 1, n_words)
+        if several.any():
+            own, most = w[several].astype(np.float64), w[several].max(1).astype(np.float64)
+            joint = (np.exp(own - most[:, None]) * np.repeat(shares, n_words, 0)[several]).sum(1)
+            of_word[several] = np.log(np.maximum(joint, 1e-30)) + most
+        together, used = np.add.reduceat(of_word, first), np.add.reduceat(n, first)
         for j, (i, k, s) in enumerate(zip(ids, best, shares[np.arange(len(ids)), best], strict=True)):
-            langs[i], scores[i], fits[i], sizes[i] = self.langs[k], float(min(1.0, max(0.0, s))), float(likely[j] / used[j]), int(used[j])
-        return langs, scores, fits, sizes
+            langs[i], scores[i], fits[i], sizes[i], mixed[i] = self.langs[k], float(min(1.0, max(0.0, s))), float(likely[j] / used[j]), int(used[j]), float(together[j] / used[j])
+        return langs, scores, fits, sizes, mixed
 
 
 def _mixture(p: np.ndarray, first: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,15 +223,15 @@ def train(labelled: DataFrame) -> Model:
     return Model(list(langs), logs)
 
 
-_FOUND = ("lang_pred", "score", "fit", "used")
+_FOUND = ("lang_pred", "score", "fit", "used", "mixture")
 
 
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=BLOCK):
-            langs, scores, fits, sizes = model.predict([t or "" for t in batch.column("text").to_pylist()])
+            langs, scores, fits, sizes, mixed = model.predicted([t or "" for t in batch.column("text").to_pylist()])
             rest = [batch.column(i) for i in range(1, batch.num_columns)]
-            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64()), pa.array(sizes, pa.int64())]
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64()), pa.array(sizes, pa.int64()), pa.array(mixed, pa.float64())]
             yield pa.RecordBatch.from_arrays([*rest, *found], names=[*batch.schema.names[1:], *_FOUND])
 
     return run
@@ -230,7 +241,7 @@ def _identified(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFra
     """The columns ``keep`` by the names _0, _1, ..., then ``_FOUND``."""
     held = modest_batches(docs).select(F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
     kinds = {f.name: f for f in held.schema.fields}
-    found = [T.StructField(n, t) for n, t in zip(_FOUND, (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()), strict=True)]
+    found = [T.StructField(n, t) for n, t in zip(_FOUND, (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.DoubleType()), strict=True)]
     return held.mapInArrow(tidily(_predict(model)), T.StructType([*(kinds[f"_{i}"] for i in range(len(keep))), *found]))
 
 
@@ -258,14 +269,14 @@ def floors(labelled: DataFrame) -> dict[str, float]:
 
 
 def in_known_language(docs: DataFrame, model: Model, wanted: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
-    """``docs``, whatever the names of their columns, without the rows that are ``und``; those whose text fits its language worse than texts
-    of a known language do; and, if languages are ``wanted``, those of another one or with a score below ``least``. Docs have a column lang."""
+    """``docs``, whatever the names of their columns, without the rows that are ``und``; those whose text fits the mixture of its languages worse
+    than texts of a known language do; and, if languages are ``wanted``, those of another one or with a score below ``least``. Docs have a column lang."""
     rows = saved(_identified(docs, model, tuple(docs.columns)), "identified")
     lang = F.col(f"_{docs.columns.index('lang')}")
     limit = F.lit(float("-inf"))
-    for name, floor in sorted(floors(rows.where(lang.isNotNull())).items()):
+    for name, floor in sorted(floors(rows.where(lang.isNotNull()).select("lang_pred", F.col("mixture").alias("fit"))).items()):
         limit = F.when(F.col("lang_pred") == name, F.lit(floor)).otherwise(limit)
-    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= limit - SHORT / F.sqrt(F.col("used")))
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("mixture") >= limit - SHORT / F.sqrt(F.col("used")))
     if wanted is not None:
         kept = kept & F.col("lang_pred").isin(*wanted) & (F.col("score") >= least)
     return rows.where(kept).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -975,6 +975,21 @@ def test_pipeline(spark, tmp_path):
     assert set(range(30)) - {7} - set(kept["decontamination"]) == set()
 
 
+def test_first_stage_rejects_planted_texts_and_no_clean_ones(spark):
+    """Texts of an unknown language, alone and for the greater part, go; clean ones without a label, of either language, and mixed ones stay."""
+    import corpus_pipeline as P
+
+    rng = __import__("random").Random(18)
+    other = "blikto frandu gresmo plintar skorve drumbal twistek quondir shavrol mendipu corvast fendril".split()
+    unknown = ["".join(rng.choice("qxzkjwvy") + rng.choice("aeiou") * rng.randint(0, 1) for _ in range(rng.randint(2, 5))) for _ in range(40)]
+    rows = [(i, prose(rng, rng.randint(5, 80), WORDS if i % 2 else other), ("en", "zz")[i % 2 == 0] if i < 300 else None) for i in range(400)]
+    rows += [(1000 + i, prose(rng, 40, unknown), None) for i in range(20)]
+    rows += [(2000 + i, prose(rng, 15) + " " + prose(rng, 45, unknown), None) for i in range(20)]
+    rows += [(3000 + i, prose(rng, 30) + " " + prose(rng, 30, other), None) for i in range(20)]
+    kept = {r["doc_id"] for r in P.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert kept == set(range(400)) | set(range(3000, 3020))
+
+
 def test_pipeline_of_empty_tables_and_clashing_names(spark, tmp_path):
     import corpus_pipeline as P
 
