@@ -253,7 +253,8 @@ def art_searches(asked: DataFrame, corpus: Corpus, client: ModelClient | None =
         noted = of.crossJoin(plans.sparkSession.createDataFrame([(n,) for n in own], "note string"))  # some notes
         extra = noted if extra is None else extra.union(noted)
         if ids is not None:
-            pairs = of.crossJoin(ids)  # the requests of one set of slots
+            pairs = ids.crossJoin(retrieval.small(of))  # the requests of one set of slots
+            pairs = pairs.select("query", "entity")
             groups = pairs if groups is None else groups.unionByName(pairs)
             used = of if used is None else used.union(of)
     flags = asked.select("query").join(used.withColumn("filtered", F.lit(True)), "query", "left").select("query", F.coalesce("filtered", F.lit(False)).alias("filtered")) if used is not None else asked.select("query", F.lit(False).alias("filtered"))

@@ -11,6 +11,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,11 +79,12 @@ def once(table: DataFrame, name: str, make: Callable[[], object]) -> object:
     """What ``make`` gives, made once an application for the files that ``table`` is now; other files, or the same ones written anew, count as
     another table. Only for what ``make`` has written out."""
     spark = table.sparkSession
-    stamps = []
-    for f in sorted(table.inputFiles()):
-        at = spark._jvm.org.apache.hadoop.fs.Path(f)
-        s = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
-        stamps.append((f, s.getLen(), s.getModificationTime()))
+    files = set(table.inputFiles())
+    names, stamps = {unquote(f.rsplit("/", 1)[1]) for f in files}, [len(files)]
+    for folder_ in sorted({f.rsplit("/", 1)[0] for f in files}):  # a listing a folder, not a call a file
+        at = spark._jvm.org.apache.hadoop.fs.Path(unquote(folder_))
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+        stamps += [(folder_, s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found if s.getPath().getName() in names]
     key = (spark.sparkContext.applicationId, name, tuple(stamps))
     if key not in _KEPT:
         _KEPT[key] = make()
