@@ -13,17 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .retrieval import DEPTH, normalized, ranked, small
+from .retrieval import DEPTH, ROWS, Nearest, matrix, normalized, ranked, small
 
 #: Rows that centroids are fitted on, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 10
 #: Rows that a cell shall have, and cells at most.
 CELL_ROWS, MOST_CELLS = 2_000, 4_096
-#: Numbers that the driver and each task hold of the queries and of their distances from the centroids.
+#: Numbers that the driver and each task hold of the queries, of their distances from the centroids, and of their results.
 HELD = 8_000_000
 EDGE = 1e-6
 
@@ -62,7 +63,7 @@ def build(vectors: DataFrame, id_: str, vector: str, dim: int, cells: int | None
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
         for batch in batches:
-            v = _matrix(batch.column("vector"), dim)
+            v = matrix(batch.column("vector"), dim)
             s = v @ c.T
             own = np.argmax(s, axis=1).astype(np.int32)
             apart = np.linalg.norm(v - c[own], axis=1)
@@ -79,16 +80,12 @@ def stored(index: VectorIndex, replace: Callable[..., DataFrame], name: str) ->
     return VectorIndex(replace(f"{name}_rows", index.rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))), ("cell",)), replace(f"{name}_cells", index.cells))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-
-
 def topk(index: VectorIndex, queries: DataFrame, query_id: str, query_vector: str, depth: int = DEPTH, group: str | None = None, allowed: DataFrame | None = None, report: dict | None = None) -> DataFrame:
     """(query, doc, score, rank): the ``depth`` nearest by cosine, scores rounded to nine digits, ties by id. With ``allowed`` (group, id), a query
     whose column ``group`` is not null meets the ids of its group alone. The queries are broadcast as one matrix of at most ``HELD`` numbers;
     more are dealt by the hash of their ids into blocks. ``report`` gets the numbers of pairs of query and row: all, and those scored."""
     cells = index.cells.orderBy("cell").collect()  # at most MOST_CELLS
-    each = len(cells) + (len(cells[0]["centroid"]) if cells else 0)
+    each = depth + len(cells) + (len(cells[0]["centroid"]) if cells else 0)
     blocks = 1 + queries.count() * each // HELD
     out = None
     for b in range(blocks):
@@ -119,11 +116,12 @@ def _block(index: VectorIndex, cells: list, queries: DataFrame, query_id: str, q
     least = np.maximum(0, np.maximum(apart - np.array([c["farthest"] for c in cells])[None, :], np.array([c["nearest"] for c in cells])[None, :] - apart))
     rows = index.rows
     if allowed is not None:
-        sets = allowed.select(F.col("group").cast("string").alias("g"), F.col("id").alias("a_id")).where(F.col("g").isin(groups)) if groups else None
-        marks = None if sets is None else sets.groupBy("a_id").agg(F.collect_set("g").alias("gs"))
-        rows = rows.withColumn("gs", F.lit(None).cast("array<string>")) if marks is None else rows.join(small(marks), F.col("id") == F.col("a_id"), "left").drop("a_id")
+        numbers = spark.createDataFrame(list(enumerate(groups)), "gi int, g string")
+        sets = allowed.select(F.col("group").cast("string").alias("g"), F.col("id").alias("a_id")).join(small(numbers), "g") if groups else None
+        marks = None if sets is None else sets.groupBy("a_id").agg(F.collect_set("gi").alias("gs"))
+        rows = rows.withColumn("gs", F.lit(None).cast("array<int>")) if marks is None else rows.join(small(marks), F.col("id") == F.col("a_id"), "left").drop("a_id")
     else:
-        rows = rows.withColumn("gs", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn("gs", F.lit(None).cast("array<int>"))
     sent = spark.sparkContext.broadcast((m, apart, own_group, {int(c): i for i, c in enumerate(ids)}))
 
     def scored(wanted: np.ndarray, reach: np.ndarray) -> DataFrame:
@@ -133,27 +131,32 @@ def _block(index: VectorIndex, cells: list, queries: DataFrame, query_id: str, q
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vectors, apart_, own_group_, at = sent.value
             wanted_, reach_ = plan.value
-            for batch in batches:
-                v, c, d = _matrix(batch.column("vector"), dim), np.array([at[x] for x in batch.column("cell").to_pylist()], np.int64), batch.column("apart").to_numpy()
-                can = wanted_[:, c] & (np.abs(apart_[:, c] - d[None, :]) <= reach_[:, None] + EDGE)
-                if groups:
-                    marks_ = np.zeros((len(groups) + 1, batch.num_rows), bool)
-                    marks_[-1] = True  # queries of no group
-                    for i, gs in enumerate(batch.column("gs").to_pylist()):
-                        for g in gs or []:
-                            marks_[groups.index(g), i] = True
-                    can &= marks_[own_group_]
-                s = np.where(can, vectors @ v.T, -np.inf)
-                k = min(depth, s.shape[1])
-                last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if k else s
-                q, r = np.nonzero(can & (s >= last - 1e-8))
-                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), batch.column("id").take(pa.array(r)), pa.array(s[q, r])], names=["query", "doc", "score"])
-                if report is not None:
-                    met.add(int(can.sum()))
+            best = Nearest(len(vectors), depth)
+            for whole in batches:
+                for first_ in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(first_, ROWS)
+                    v, c, d = matrix(batch.column("vector"), dim), np.array([at[x] for x in batch.column("cell").to_pylist()], np.int64), batch.column("apart").to_numpy()
+                    gs = batch.column("gs")
+                    of_group, of_row = gs.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.list_parent_indices(gs).to_numpy(zero_copy_only=False)
+                    for a, b in best.tiles(ROWS):
+                        can = wanted_[a:b][:, c] & (np.abs(apart_[a:b][:, c] - d[None, :]) <= reach_[a:b, None] + EDGE)
+                        if groups:
+                            own, local = np.unique(own_group_[a:b], return_inverse=True)
+                            marks_ = np.zeros((len(own), batch.num_rows), bool)
+                            marks_[own == -1] = True  # queries of no group
+                            i = np.minimum(np.searchsorted(own, of_group), len(own) - 1)
+                            met_ = own[i] == of_group
+                            marks_[i[met_], of_row[met_]] = True
+                            can &= marks_[local]
+                        if can.any():
+                            best.add(a, batch.column("id"), np.where(can, vectors[a:b] @ v.T, -np.inf))
+                        if report is not None:
+                            met.add(int(can.sum()))
+            yield from best.batches()
 
         touched = [int(x) for x in ids[wanted.any(axis=0)]]
         few = rows.where(F.col("cell").isin(touched)) if len(touched) < len(ids) else rows
-        return written(few.mapInArrow(run, f"query int, doc {doc_kind}, score double").withColumn("score", F.round("score", 9)), "cell-scores")
+        return written(few.mapInArrow(run, f"query int, doc {doc_kind}, score double"), "cell-scores")
 
     met = spark.sparkContext.accumulator(0)
     sizes = np.array([c["n"] for c in cells])

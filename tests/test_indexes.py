@@ -192,3 +192,27 @@ def test_names_are_looked_up_in_ranges(spark, tmp_path):
     assert {tuple(r) for r in names.with_all_words(asked, table).distinct().collect()} == want
     got = {r["query"]: (r["layer"], r["id"], r["total"]) for r in names.resolve(spark.createDataFrame([("dusk",), ("DAWN // dusk",), ("Dawn // Dusk",), (rows[7][1][:-1] + "x",)], "query string"), table, kept=True).where("place = 1").collect()}
     assert got["dusk"] == ("L2", 900, 1) and got["DAWN // dusk"][:2] == ("L1", 900) and got["Dawn // Dusk"][:2] == ("L0", 900) and got[rows[7][1][:-1] + "x"][0] == "L5"
+
+
+def test_nearest_holds_the_best_however_many_rows_tie():
+    """What a task holds and passes on is its best rows of each query, not those of every batch; tiles have a bound."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    m, v = rng.integers(-2, 3, (3_000, 4)).astype(float), rng.integers(-2, 3, (20_000, 4)).astype(float)
+    ids = rng.permutation(20_000)
+    best = retrieval.Nearest(len(m), 7)
+    tracemalloc.start()
+    for at in range(0, len(v), retrieval.ROWS):
+        for a, b in best.tiles(retrieval.ROWS):
+            best.add(a, pa.array(ids[at : at + retrieval.ROWS]), m[a:b] @ v[at : at + retrieval.ROWS].T)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [x for b in best.batches() for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(got) == 7 * len(m) and peak < 100 << 20  # all products at once are 480 MB
+    for q in (0, 1, 1_499, 2_999):
+        s = retrieval.rounded(m[q] @ v.T)
+        assert [x[1] for x in got if x[0] == q] == ids[np.lexsort((ids, -s))[:7]].tolist()
