@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import count_phrase
+from ..sources.scratch import written
+from .retrieval import small
 
 WHOLE = -1
 FACE_SEPARATOR = "\n//\n"
@@ -113,12 +115,20 @@ def said_of(kind: Column, value: Column) -> Column:
 
 def statements(rows: DataFrame, id_: str, literal: Column, slots: Column, interpretive: Column) -> DataFrame:
     """(id, position, layer, text): literal statements, those of the slots, then interpretive ones; of equal ones, white space and case
-    aside, the first stays, over all layers."""
+    aside, the first stays, over all layers. An id has its statements in one row as a rule, where they are compared without a shuffle; ids
+    are counted to know the others, whose statements meet by id."""
     tag = lambda layer, texts: F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.struct(F.lit(layer).alias("layer"), t.alias("text")))
-    every = rows.select(id_, F.posexplode(F.concat(tag("literal", literal), tag("literal", folded_slots(slots)), tag("interpretive", interpretive))).alias("position", "s"))
-    keyed = every.select(id_, "position", "s.layer", "s.text", F.lower(squeezed(F.col("s.text"))).alias("_key")).where("_key <> ''")
+    every = rows.select(id_, F.concat(tag("literal", literal), tag("literal", folded_slots(slots)), tag("interpretive", interpretive)).alias("s"))
+    every = every.withColumn("keys", F.transform("s", lambda s: F.lower(squeezed(s["text"]))))
+    each = F.transform("s", lambda s, i: F.struct(i.alias("position"), s["layer"].alias("layer"), s["text"].alias("text"), F.get("keys", i).alias("_key")))
+    own = F.filter(each, lambda x: (x["_key"] != "") & (F.array_position("keys", x["_key"]) == x["position"] + 1))
+    several = written(rows.groupBy(F.col(id_).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "several")
+    if several.isEmpty():
+        return every.select(id_, F.inline(own)).drop("_key")
+    again = F.col(id_).eqNullSafe(F.col("_id"))
     first = W.partitionBy(id_, "_key").orderBy("position")
-    return keyed.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "_key")
+    met = every.join(small(several), again, "left_semi").select(id_, F.inline(own)).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "_key")
+    return every.join(small(several), again, "left_anti").select(id_, F.inline(own)).drop("_key").unionByName(met)
 
 
 def slot_phrases(rows: DataFrame, id_: str, slots: dict[str, Column]) -> DataFrame:

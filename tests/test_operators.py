@@ -160,6 +160,21 @@ def test_slots(spark):
     assert phrases == {("palette", '["green","gold"]'), ("palette", "green"), ("palette", "gold"), ("setting", "a wood")}
 
 
+def test_statements_of_a_row_need_no_shuffle(spark):
+    slots = F.from_json(F.lit('{"setting": "a wood", "art_style": "oil"}'), "primary_subject struct<species: string, facial_hair: string, clothing: string, pose: string, held_objects: array<struct<object: string, is_weapon: boolean>>>, other_figures array<struct<species: string, role: string>>, figure_count int, setting string, time_of_day string, art_style string, composition string, palette array<string>")
+    made = lambda rows: chunks.statements(spark.createDataFrame(rows, "id int, a array<string>, b array<string>").withColumn("slots", slots), "id", F.col("a"), F.col("slots"), F.col("b"))
+    said = [(1, "literal", "figure count: 0 (no figures)"), (2, "literal", "setting: a wood"), (3, "literal", "art style: oil")]
+    one = made([(1, ["x"], ["ART  style: OIL", "X ", "calm", None, " "]), (2, None, None)])
+    assert sorted(tuple(r)[1:] for r in one.where("id = 1").collect()) == [(0, "literal", "x"), *said, (6, "interpretive", "calm")]
+    assert one.where("id = 2").count() == 3
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    two = made([(1, ["x"], []), (1, ["X", "y"], ["calm"]), (None, ["z"], None), (None, ["Z"], None), (3, ["x"], None)])
+    got = sorted((r["id"] or 0, r["text"].lower()) for r in two.collect())
+    every = [t for _, _, t in said]
+    assert got == sorted([(0, t) for t in ["z", *every]] + [(1, t) for t in ["x", "y", "calm", *every]] + [(3, t) for t in ["x", *every]])
+
+
 @pytest.mark.parametrize("absent", ["none", "N/A", " Not  Visible ", "unknown", "unspecified", "nil", "not present", ""])
 def test_absent_values(spark, absent):
     df = spark.createDataFrame([(absent, "no"), (absent, "obscured by fog")], "t string, other string")
