@@ -216,3 +216,20 @@ def test_nearest_holds_the_best_however_many_rows_tie():
     for q in (0, 1, 1_499, 2_999):
         s = retrieval.rounded(m[q] @ v.T)
         assert [x[1] for x in got if x[0] == q] == ids[np.lexsort((ids, -s))[:7]].tolist()
+
+
+def test_word_search_shuffles_no_pairs_of_query_and_document(spark, tmp_path):
+    """Postings are dealt by block; scores of a query and a document are summed without another shuffle."""
+    plans = []
+    docs = spark.range(3_000).select(F.col("id"), F.concat_ws(" ", F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 5), F.lit("all")).alias("text"))
+    queries = spark.createDataFrame([(i, f"w{i % 7} v{i % 5}") for i in range(40)], "q int, text string")
+    index = inverted.stored(inverted.build(docs, "id", "text", 4, 128), replaced, "pairs")
+
+    def keep(scores):
+        plans.append(scores._jdf.queryExecution().executedPlan().toString())
+        return scores
+
+    got = inverted.topk(index, queries, "q", "text", 5, keep=keep, digits=6)
+    want = retrieval.ranked(retrieval.bm25(docs, "id", "text", queries, "q", "text").withColumn("score", F.round("score", 6)), 5)
+    assert sorted(map(tuple, got.select("query", "doc", "score", "rank").collect())) == sorted(map(tuple, want.select("query", "doc", "score", "rank").collect()))
+    assert plans and not any("Exchange" in line and "query" in line and "doc" in line for plan in plans for line in plan.splitlines())
