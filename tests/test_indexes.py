@@ -233,3 +233,13 @@ def test_word_search_shuffles_no_pairs_of_query_and_document(spark, tmp_path):
     want = retrieval.ranked(retrieval.bm25(docs, "id", "text", queries, "q", "text").withColumn("score", F.round("score", 6)), 5)
     assert sorted(map(tuple, got.select("query", "doc", "score", "rank").collect())) == sorted(map(tuple, want.select("query", "doc", "score", "rank").collect()))
     assert plans and not any("Exchange" in line and "query" in line and "doc" in line for plan in plans for line in plan.splitlines())
+
+
+def test_requests_of_one_filter_share_a_set(spark, monkeypatch):
+    """Entities are listed for each distinct filter, not for each request."""
+    from loomwork.plans import catalog
+
+    seen, real = [], bitmaps.listed
+    monkeypatch.setattr(bitmaps, "listed", lambda sets, numbers: seen.append(sets.select("query").distinct().count()) or real(sets, numbers))
+    catalog.QUERIES["batched_hybrid"](spark, "/root/testdata/sf0.001")
+    assert seen == [2]
