@@ -243,3 +243,34 @@ def test_requests_of_one_filter_share_a_set(spark, monkeypatch):
     monkeypatch.setattr(bitmaps, "listed", lambda sets, numbers: seen.append(sets.select("query").distinct().count()) or real(sets, numbers))
     catalog.QUERIES["batched_hybrid"](spark, "/root/testdata/sf0.001")
     assert seen == [2]
+
+
+def test_index_is_built_in_tasks_of_like_size(spark, docs, asked, monkeypatch):
+    """How many postings a task groups depends neither on the corpus, nor on the session's partitions, nor on how long documents are."""
+    monkeypatch.setattr(inverted, "TASK_POSTS", 500, raising=False)
+    monkeypatch.setattr(inverted, "LEAST_POSTS", 50, raising=False)
+    for copies in (1, 3):
+        more = written(docs.crossJoin(spark.range(copies).select(F.col("id").alias("k"))).select((F.col("id") + 1_000 * F.col("k")).alias("id"), "text"), "more")
+        index = inverted.build(more, "id", "text", buckets=4, block_docs=16)
+        plan = index.blocks._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("Exchange") == 1
+        tasks = [r["n"] for r in index.blocks.groupBy(F.spark_partition_id().alias("task")).agg(F.sum("n").alias("n")).collect()]
+        assert sum(tasks) > 10_000 * copies and max(tasks) <= 3 * 500
+        plain = retrieval.ranked(retrieval.bm25(more, "id", "text", asked, "q", "text").withColumn("score", F.round("score", 6)), 5)
+        assert found(inverted.topk(index, asked, "q", "text", 5, digits=6)) == found(plain)
+
+
+def test_a_task_sums_scores_of_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(inverted, "PART_SCORES", 640)
+    docs = spark.range(1_280).select("id", F.concat(F.lit("v"), F.col("id") % 5).alias("text"))
+    queries = spark.createDataFrame([(q, f"v0 v1 v2 v3 v4 v{q % 5}") for q in range(20)], "q int, text string")
+    index, most = inverted.stored(inverted.build(docs, "id", "text", 4, 16), replaced, "dealt"), []
+
+    def keep(scores):
+        most.append([r["n"] for r in scores.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+        return scores
+
+    assert inverted.topk(index, queries, "q", "text", 100, keep=keep, digits=6).count() == 20 * 100
+    # Each document meets each query. One block beyond: chance makes some of more than 16 documents.
+    assert sum(map(sum, most)) > 10_000 and max(map(max, most)) <= 640 + 20 * 28, most

@@ -573,6 +573,22 @@ def test_containing_documents_of_short_items(spark):
     assert got == {(i, d) for i, b in items for d, t in docs if b is not None and b in t}
 
 
+def test_containing_documents_are_found_without_shuffling_texts(spark, tmp_path):
+    from loomwork.plans import catalog
+
+    docs = [(i, f"word{i % 9} lies between these many others and word{i % 7} too") for i in range(200)]
+    items = [(1, "between these many others and word3"), (2, "ord5 lies between"), (3, "word2"), (4, "nothing like this is there")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the documents are large
+    try:
+        out = catalog._gold(lambda name: spark.read.parquet(f"{tmp_path}/{name}"))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["query"], r["id"]) for r in out.collect()) == [(i, d) for i, b in items for d, t in docs if b in t]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_described_and_checked(spark):
     import json
 
