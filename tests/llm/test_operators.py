@@ -515,6 +515,39 @@ def test_lm_scores(spark, docs, rows, none):
     assert lm_scoring.score(docs.where("doc_id = 104"), F.lit(True)).count() == 1
 
 
+def test_lm_filter_stays_out_of_the_driver(spark, docs, monkeypatch):
+    """However many segments the filter has: nothing is broadcast, and no rows but sums are read."""
+    held = queries.remainder(10) == 0
+    want = sorted(map(tuple, lm_scoring.score(docs, held).collect()), key=str)
+    read, collect = [], type(docs).collect
+
+    def collected(self):
+        out = collect(self)
+        read.append(len(out))
+        return out
+
+    def refused(*_, **__):
+        raise AssertionError("through the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.sparkContext), "broadcast", refused)
+        m.setattr(type(docs), "toLocalIterator", refused)
+        m.setattr(type(docs), "collect", collected)
+        scored = lm_scoring.score(docs, held, segment_bytes=2_000)
+    assert read and max(read) == 1
+    got = sorted(map(tuple, scored.collect()), key=str)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[5:] for r in got], [r[5:] for r in want], atol=1e-6)
+
+
+def test_lm_rows_do_not_depend_on_blocks(spark):
+    rng = __import__("random").Random(8)
+    rows = [(i if i % 90 else None, prose(rng, i % 40) if i % 70 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    key = lambda r: (r["doc_id"] or -1, r["n_tokens"], r["score"])
+    one, many = (sorted(lm_scoring.score(df, queries.remainder(10) == 0, block_tokens=n).collect(), key=key) for n in (10**9, 100))
+    assert len(one) == len(rows) and one == many
+
+
 def test_lm_levels():
     keys, counts = np.arange(1, 20001, dtype=np.uint64), np.random.default_rng(1).integers(1, 60, 20000)
     bits = np.frombuffer(lm_scoring._filter(keys, counts), np.uint8)
